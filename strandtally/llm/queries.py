@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_sort, quality_rules
+from . import content_sort, packing, quality_rules, word_bpe
 from .shared import table
 
 
@@ -12,11 +13,19 @@ def op2_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.decisions(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.encode_decode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_content_sort, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_content_sort, op3_word_bpe, op7_best_fit_packing, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op2_content_sort": """
