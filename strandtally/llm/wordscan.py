@@ -30,9 +30,8 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     if len(_powers[0]) < n:
-        n = max(n, 1 << 20)
         for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
+            steps = np.full(max(n, 1 << 20), base, np.uint64)
             steps[0] = 1
             _powers[k] = np.multiply.accumulate(steps)
     return _powers[0][:n], _powers[1][:n]
