@@ -55,8 +55,9 @@ class Direction:
         k = self.carry.shape[1]
         h = np.zeros((k, x.shape[1]), np.float32)
         out = np.empty((len(x), k, x.shape[1]), np.float32)
+        rows = np.ascontiguousarray(self.table.T)
         for t, row in enumerate(x):
-            a, g = self.table.take(row, axis=1), self.carry @ h
+            a, g = np.ascontiguousarray(rows.take(row, axis=0).T), self.carry @ h
             gate = a[: 2 * k]
             gate += g[: 2 * k]
             gate *= 0.5
@@ -160,7 +161,7 @@ class Net:
         length = np.minimum(begin + window, offsets[doc + 1]) - begin
         sums = np.zeros((len(size), len(self.labels)))
         weight = np.zeros(len(size))
-        for part in np.array_split(np.arange(len(doc)), max(1, len(doc) // 6000)):
+        for part in np.array_split(np.arange(len(doc)), max(1, len(doc) // 4000)):
             if not len(part):
                 continue
             t = np.arange(window)[:, None]

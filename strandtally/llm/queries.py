@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_sort, ngram_join, packing, pii, quality_rules, word_bpe
+from . import content_sort, language_id, ngram_join, packing, pii, quality_rules, word_bpe
 from .shared import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op2_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.decisions(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -33,7 +37,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_content_sort, op3_word_bpe, op4_ngram_jaccard_join, op6_contextual_pii, op7_best_fit_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_content_sort, op3_word_bpe, op4_ngram_jaccard_join, op6_contextual_pii, op7_best_fit_packing, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op2_content_sort": """
