@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_sort, language_id, ngram_join, packing, pii, quality_rules, word_bpe
+from . import content_sort, language_id, ngram_join, packing, pii, quality_rules, suffix_tree, word_bpe
 from .shared import table
 
 
@@ -33,11 +33,15 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_content_sort, op3_word_bpe, op4_ngram_jaccard_join, op6_contextual_pii, op7_best_fit_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_content_sort, op3_word_bpe, op4_ngram_jaccard_join, op6_contextual_pii, op7_best_fit_packing, op8_suffix_tree, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op2_content_sort": """
