@@ -197,7 +197,7 @@ def shares_first(o: Column, rules: JoinRules) -> Column:
 
 
 def near_classes(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
-    """One row for each text: doc_id, n_shingles, cls (null without words), component_id, head.
+    """One row for each text: doc_id, print (a hash of the text), n_shingles, cls (null without words), component_id, head.
 
     head is true for one row of each component, of those with its smallest doc_id."""
     spark = docs.sparkSession
@@ -241,11 +241,20 @@ def near_classes(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
     ids = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "cls")).alias("least"))
     named = classes.join(ids, "root").select("cls", F.col("least.id").alias("component_id"), (F.col("cls") == F.col("least.cls")).alias("head"))
     out = rows.filter("cls is not null").join(named, "cls")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), "cls", "component_id", (F.col("head") & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("head"))
-    alone = rows.filter("cls is null").select("doc_id", F.col("n").alias("n_shingles"), "cls", F.col("doc_id").alias("component_id"), F.lit(True).alias("head"))
+    out = out.select("doc_id", "print", F.col("n").alias("n_shingles"), "cls", "component_id", (F.col("head") & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("head"))
+    alone = rows.filter("cls is null").select("doc_id", "print", F.col("n").alias("n_shingles"), "cls", F.col("doc_id").alias("component_id"), F.lit(True).alias("head"))
     return out.unionByName(alone)
 
 
 def ngram_jaccard_join(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
     """One row for each text: doc_id, n_shingles, component_id."""
     return near_classes(docs, rules).select("doc_id", "n_shingles", "component_id")
+
+
+def distinct_rows(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component one row with its smallest doc_id; texts without words stay.
+
+    Rows equal in doc_id and text are one row here."""
+    heads = near_classes(docs, rules).filter("head").select(F.col("doc_id").alias("__head"), F.col("cls").alias("__cls"), F.col("print").alias("__print")).distinct()
+    same = docs["doc_id"].eqNullSafe(heads["__head"]) & F.xxhash64(docs["text"]).eqNullSafe(heads["__print"])
+    return docs.join(heads, same, "left_semi")

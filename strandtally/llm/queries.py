@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_sort, language_id, ngram_join, packing, pii, quality_rules, suffix_tree, word_bpe
+from . import content_sort, language_id, license_scan, ngram_join, packing, pii, quality_rules, suffix_tree, warc, word_bpe
 from .shared import table
 
 
@@ -25,6 +25,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -37,11 +41,15 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_content_sort, op3_word_bpe, op4_ngram_jaccard_join, op6_contextual_pii, op7_best_fit_packing, op8_suffix_tree, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_content_sort, op3_word_bpe, op4_ngram_jaccard_join, op5_warc, op6_contextual_pii, op7_best_fit_packing, op8_suffix_tree, op9_license_scan, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op2_content_sort": """
