@@ -43,12 +43,14 @@ _SALTS = (np.uint64(0x8F14E45FCEEA167A), np.uint64(0xC9F0F895FB98AB91))
 class JoinRules:
     """size: words in a shingle. percent: least similarity, in whole percent.
     cells: size of the table of hashed counts. extra: a set's first tokens under
-    the hash orders go this much further, and that many more must be shared."""
+    the hash orders go this much further, and that many more must be shared. filter_bits: a bit filter has two to
+    this power bits; a full one lets more rows through and changes no result."""
 
     size: int = 3
     percent: int = 90
     cells: int = 1 << 20
     extra: int = 8
+    filter_bits: int = 26
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -121,6 +123,14 @@ def _first_by(key: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
     return own[np.argsort(key)]
 
 
+def class_of(own: np.ndarray, common: np.ndarray, rules: JoinRules) -> tuple[int, np.ndarray]:
+    """A set's class, and its tokens' counts. The class has in its top bits how common the tokens are, so that the
+    largest class of a list is its pivot, and below them a hash of the set."""
+    count = common[cell(own, rules.cells)]
+    level = min(14, int(15 * float(np.log2(count.clip(1)).mean()) / np.log2(max(2, int(common.max(initial=0))))))
+    return level << 59 | int(mix(np.bitwise_xor.reduce(mix(own), keepdims=True) + np.add.reduce(own, keepdims=True))[0] >> np.uint64(5)), count
+
+
 def sketches(docs: DataFrame, order: "Broadcast[np.ndarray]", rules: JoinRules) -> DataFrame:
     """For each text its set's size and class; for a class's first text in a task also its first tokens."""
     docs = docs.withColumn("print", F.xxhash64("text"))
@@ -128,7 +138,6 @@ def sketches(docs: DataFrame, order: "Broadcast[np.ndarray]", rules: JoinRules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, met = order.value, set()
-        scale = np.log2(max(2, int(common.max(initial=0))))
         for batch in batches:
             for part in slices(batch, "text"):
                 sizes, classes, firsts = [], [], ([], [], [])
@@ -139,10 +148,7 @@ def sketches(docs: DataFrame, order: "Broadcast[np.ndarray]", rules: JoinRules)
                         for f in firsts:
                             f.append(None)
                         continue
-                    count = common[cell(own, rules.cells)]
-                    # the class: how common its tokens are in the top bits, so that the largest of a list is its pivot, then a hash of the set
-                    level = min(14, int(15 * float(np.log2(count.clip(1)).mean()) / scale))
-                    cls = level << 59 | int(mix(np.bitwise_xor.reduce(mix(own), keepdims=True) + np.add.reduce(own, keepdims=True))[0] >> np.uint64(5))
+                    cls, count = class_of(own, common, rules)
                     classes.append(cls)
                     if cls in met:
                         for f in firsts:
@@ -160,13 +166,91 @@ def sketches(docs: DataFrame, order: "Broadcast[np.ndarray]", rules: JoinRules)
     return docs.select("doc_id", "text", "print").mapInArrow(run, schema)
 
 
-def similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, rules: JoinRules) -> DataFrame:
+def bit_filter(rows: DataFrame, column: str, rules: JoinRules) -> np.ndarray:
+    """Bits of a column's hashes, of a fixed size: what it doesn't have needn't be shuffled for a join on that column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (rules.filter_bits - 3), np.uint8)
+        for batch in batches:
+            at = bit(batch.column(0).to_numpy(), rules)
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        full = np.flatnonzero(bits.reshape(-1, _CHUNK).any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([bits[i * _CHUNK : (i + 1) * _CHUNK].tobytes() for i in full], pa.binary())], names=["chunk", "bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}  # at most one array for each chunk
+        for batch in batches:
+            for k, c in zip(batch.column("chunk").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                sums[k] = sums.get(k, np.uint8(0)) | np.frombuffer(c, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["chunk", "bits"])
+
+    out = np.zeros(1 << (rules.filter_bits - 3), np.uint8)
+    for row in rows.select(column).mapInArrow(run, "chunk long, bits binary").repartition("chunk").mapInArrow(merge, "chunk long, bits binary").collect():
+        out[row.chunk * _CHUNK : (row.chunk + 1) * _CHUNK] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def bit(hashes: np.ndarray, rules: JoinRules) -> np.ndarray:
+    return (mix(hashes.view(np.uint64)) >> np.uint64(64 - rules.filter_bits)).astype(np.int64)
+
+
+def has_bit(bits: np.ndarray, hashes: np.ndarray, rules: JoinRules) -> np.ndarray:
+    at = bit(hashes, rules)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def first_listed(sets: DataFrame, bits: "Broadcast[np.ndarray]", rules: JoinRules) -> DataFrame:
+    """(cls, n, pos, token) of the first tokens that other classes may have among theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("by0")
+            size = np.diff(lists.offsets.to_numpy())
+            token = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            at = np.flatnonzero(has_bit(bits.value, token, rules))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row[at])) for c in ("cls", "n")), pa.array(pos[at], pa.int64()), pa.array(token[at])], names=["cls", "n", "pos", "token"])
+
+    return sets.select("cls", "n", "by0").mapInArrow(run, "cls long, n long, pos long, token long")
+
+
+def texts_of(docs: DataFrame, classes: DataFrame, order: "Broadcast[np.ndarray]", rules: JoinRules) -> DataFrame:
+    """One text of each of ``classes``; documents are read again, and only texts that pass a bit filter are shuffled."""
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(classes, "cls", rules))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = shingle_sets(part.column("text"), rules.size)
+                at = [i for i, own in enumerate(sets) if len(own)]
+                cls = np.array([class_of(sets[i], order.value, rules)[0] for i in at], np.int64)
+                keep = [k for k in np.flatnonzero(has_bit(bits.value, cls, rules)).tolist() if not (cls[k] in met or met.add(cls[k]))] if at else []
+                yield pa.RecordBatch.from_arrays([pa.array(cls[keep] if keep else [], pa.int64()), part.column("text").take(pa.array([at[k] for k in keep], pa.int64()))], names=["cls", "text"])
+
+    return docs.select("text").mapInArrow(run, "cls long, text string").join(classes, "cls", "left_semi").dropDuplicates(["cls"])
+
+
+def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, order: "Broadcast[np.ndarray]", rules: JoinRules) -> DataFrame:
     """The pairs (x, y) of classes whose whole sets reach the threshold; the hash orders' filters come first."""
+    sc = docs.sparkSession.sparkContext
+    pairs = stored(pairs, "candidates")
+    members = stored(pairs.select(F.col("x").alias("cls")).union(pairs.select("y")).distinct(), "candidate-classes")
+    bits = sc.broadcast(bit_filter(members, "cls", rules))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(has_bit(bits.value, batch.column("cls").to_numpy(), rules)))
+
+    own = sets.select("cls", "n", "by1", "by2")
+    own = stored(own.mapInArrow(pick, own.schema).join(members, "cls", "left_semi").dropDuplicates(["cls"]), "candidate-sets")
     for k in ("x", "y"):
-        own = sets.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), *(F.col(f"by{i}").alias(f"{k}{i}") for i in (1, 2)))
-        pairs = pairs.join(own, k)
+        pairs = pairs.join(own.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), *(F.col(f"by{i}").alias(f"{k}{i}") for i in (1, 2))), k)
     o = least_overlap(F.col("nx"), F.col("ny"), rules.percent)
-    pairs = pairs.filter((F.least("nx", "ny") >= o) & shares_first(o, rules)).select("x", "y")
+    pairs = stored(pairs.filter((F.least("nx", "ny") >= o) & shares_first(o, rules)).select("x", "y"), "filtered")
+    members = stored(pairs.select(F.col("x").alias("cls")).union(pairs.select("y")).distinct(), "filtered-classes")
+    texts = stored(texts_of(docs, members, order, rules), "filtered-texts")
     for k in ("x", "y"):
         pairs = pairs.join(texts.select(F.col("cls").alias(k), F.col("text").alias(f"text_{k}")), k)
 
@@ -205,24 +289,18 @@ def near_classes(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
     order = spark.sparkContext.broadcast(token_counts(docs, rules))
     rows = stored(sketches(docs, order, rules), "shingle-sets")
     sets = rows.filter("by0 is not null")  # a class has one row for each task that met it
-    first = sets.select("cls", "n", F.posexplode("by0").alias("pos", "token"))
 
     # tokens that several classes have among their first, with the most common class as pivot
-    lists = first.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("pivot")).filter("low != pivot").drop("low")
-    listed = stored(first.join(lists, "token"), "token-lists")
-    members = listed.select("cls").distinct()
-    sets = stored(sets.join(members, "cls", "left_semi").dropDuplicates(["cls"]), "listed-sets")
-    named = rows.groupBy("cls").agg(F.min(F.struct("doc_id", "print")).alias("of")).join(members, "cls", "left_semi")
-    docs = docs.withColumn("print", F.xxhash64("text"))
-    texts = docs.join(named, docs["doc_id"].eqNullSafe(named["of.doc_id"]) & (docs["print"] == named["of.print"])).select("cls", "text")
-    texts = stored(texts.dropDuplicates(["cls"]), "listed-texts")
+    lists = sets.select("cls", F.explode("by0").alias("token")).groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("pivot"))
+    lists = stored(lists.filter("low != pivot").drop("low"), "shared-tokens")
+    listed = stored(first_listed(sets, spark.sparkContext.broadcast(bit_filter(lists, "token", rules)), rules).join(lists, "token"), "token-lists")
 
-    # each class against the pivots of its lists; a pivot's own place in the list decides whether the pair can be similar
+    # each class against the pivots of its lists; both places in the list decide whether the pair can be similar
     pivots = listed.filter("cls = pivot").select("token", F.col("n").alias("pn"), F.col("pos").alias("ppos")).distinct()
     o = least_overlap(F.col("n"), F.col("pn"), rules.percent)
     near = (F.col("pos") <= F.col("n") - o) & (F.col("ppos") <= F.col("pn") - o)
     pairs = listed.filter("cls != pivot").join(pivots, "token").filter(near).select(F.col("cls").alias("x"), F.col("pivot").alias("y")).distinct()
-    links = stored(similar(pairs, sets, texts, rules), "links")
+    links = stored(similar(pairs, sets, docs, order, rules), "links")
     roots = components(links, "x", "y")
 
     # then pairs of classes that share a first token and are not connected yet
@@ -233,7 +311,7 @@ def near_classes(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
     o = least_overlap(F.col("n_a"), F.col("n_b"), rules.percent)
     near = (F.col("pos_a") <= F.col("n_a") - o) & (F.col("pos_b") <= F.col("n_b") - o)
     pairs = a.join(b, "token").filter((F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")) & near)
-    more = similar(pairs.select(F.col("cls_a").alias("x"), F.col("cls_b").alias("y")).distinct(), sets, texts, rules)
+    more = similar(pairs.select(F.col("cls_a").alias("x"), F.col("cls_b").alias("y")).distinct(), sets, docs, order, rules)
     roots = components(links.unionByName(more), "x", "y")
 
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("id"))
