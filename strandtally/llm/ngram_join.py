@@ -127,8 +127,8 @@ def class_of(own: np.ndarray, common: np.ndarray, rules: JoinRules) -> tuple[int
     """A set's class, and its tokens' counts. The class has in its top bits how common the tokens are, so that the
     largest class of a list is its pivot, and below them a hash of the set."""
     count = common[cell(own, rules.cells)]
-    level = min(14, int(15 * float(np.log2(count.clip(1)).mean()) / np.log2(max(2, int(common.max(initial=0))))))
-    return level << 59 | int(mix(np.bitwise_xor.reduce(mix(own), keepdims=True) + np.add.reduce(own, keepdims=True))[0] >> np.uint64(5)), count
+    level = min(4094, int(4095 * float(np.log2(count.clip(1)).mean()) / np.log2(max(2, int(common.max(initial=0))))))
+    return level << 51 | int(mix(np.bitwise_xor.reduce(mix(own), keepdims=True) + np.add.reduce(own, keepdims=True))[0] >> np.uint64(13)), count
 
 
 def sketches(docs: DataFrame, order: "Broadcast[np.ndarray]", rules: JoinRules) -> DataFrame:
@@ -215,24 +215,23 @@ def first_listed(sets: DataFrame, bits: "Broadcast[np.ndarray]", rules: JoinRule
     return sets.select("cls", "n", "by0").mapInArrow(run, "cls long, n long, pos long, token long")
 
 
-def texts_of(docs: DataFrame, classes: DataFrame, order: "Broadcast[np.ndarray]", rules: JoinRules) -> DataFrame:
+def texts_of(docs: DataFrame, classes: DataFrame, sets: DataFrame, rules: JoinRules) -> DataFrame:
     """One text of each of ``classes``; documents are read again, and only texts that pass a bit filter are shuffled."""
-    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(classes, "cls", rules))
+    prints = stored(sets.select("cls", "print").join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("print").alias("print")), "filtered-prints")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(prints, "print", rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
-            for part in slices(batch, "text"):
-                sets = shingle_sets(part.column("text"), rules.size)
-                at = [i for i, own in enumerate(sets) if len(own)]
-                cls = np.array([class_of(sets[i], order.value, rules)[0] for i in at], np.int64)
-                keep = [k for k in np.flatnonzero(has_bit(bits.value, cls, rules)).tolist() if not (cls[k] in met or met.add(cls[k]))] if at else []
-                yield pa.RecordBatch.from_arrays([pa.array(cls[keep] if keep else [], pa.int64()), part.column("text").take(pa.array([at[k] for k in keep], pa.int64()))], names=["cls", "text"])
+            hashes = batch.column("print").to_numpy()
+            at = [i for i in np.flatnonzero(has_bit(bits.value, hashes, rules)).tolist() if not (hashes[i] in met or met.add(hashes[i]))]
+            yield batch.take(pa.array(at, pa.int64()))
 
-    return docs.select("text").mapInArrow(run, "cls long, text string").join(classes, "cls", "left_semi").dropDuplicates(["cls"])
+    rows = docs.filter("text is not null").select("text", F.xxhash64("text").alias("print"))
+    return rows.mapInArrow(run, rows.schema).join(prints, "print").dropDuplicates(["cls"]).select("cls", "text")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, order: "Broadcast[np.ndarray]", rules: JoinRules) -> DataFrame:
+def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rules: JoinRules) -> DataFrame:
     """The pairs (x, y) of classes whose whole sets reach the threshold; the hash orders' filters come first."""
     sc = docs.sparkSession.sparkContext
     pairs = stored(pairs, "candidates")
@@ -250,7 +249,7 @@ def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, order: "Broadcas
     o = least_overlap(F.col("nx"), F.col("ny"), rules.percent)
     pairs = stored(pairs.filter((F.least("nx", "ny") >= o) & shares_first(o, rules)).select("x", "y"), "filtered")
     members = stored(pairs.select(F.col("x").alias("cls")).union(pairs.select("y")).distinct(), "filtered-classes")
-    texts = stored(texts_of(docs, members, order, rules), "filtered-texts")
+    texts = stored(texts_of(docs, members, sets, rules), "filtered-texts")
     for k in ("x", "y"):
         pairs = pairs.join(texts.select(F.col("cls").alias(k), F.col("text").alias(f"text_{k}")), k)
 
@@ -300,7 +299,7 @@ def near_classes(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
     o = least_overlap(F.col("n"), F.col("pn"), rules.percent)
     near = (F.col("pos") <= F.col("n") - o) & (F.col("ppos") <= F.col("pn") - o)
     pairs = listed.filter("cls != pivot").join(pivots, "token").filter(near).select(F.col("cls").alias("x"), F.col("pivot").alias("y")).distinct()
-    links = stored(similar(pairs, sets, docs, order, rules), "links")
+    links = stored(similar(pairs, sets, docs, rules), "links")
     roots = components(links, "x", "y")
 
     # then pairs of classes that share a first token and are not connected yet
@@ -311,7 +310,7 @@ def near_classes(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
     o = least_overlap(F.col("n_a"), F.col("n_b"), rules.percent)
     near = (F.col("pos_a") <= F.col("n_a") - o) & (F.col("pos_b") <= F.col("n_b") - o)
     pairs = a.join(b, "token").filter((F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")) & near)
-    more = similar(pairs.select(F.col("cls_a").alias("x"), F.col("cls_b").alias("y")).distinct(), sets, docs, order, rules)
+    more = similar(pairs.select(F.col("cls_a").alias("x"), F.col("cls_b").alias("y")).distinct(), sets, docs, rules)
     roots = components(links.unionByName(more), "x", "y")
 
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("id"))
