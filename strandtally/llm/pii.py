@@ -66,24 +66,25 @@ class PiiRules:
     reach: int = 80
 
 
-_NONE = "cast(array() AS array<struct<s:int,e:int,m:string>>)"
+_NONE = "cast(array() AS array<struct<s:int,e:int,m:string,b:string>>)"
 
 
 def _sql_string(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def spans_of(text: str, pattern: str) -> str:
-    """SQL for the matches of a pattern in a column: array of (s, e, m), positions in code points.
+def spans_of(text: str, pattern: str, reach: int) -> str:
+    """SQL for the matches of a pattern in a column: array of (s, e, m, b), positions in code points, b what stands before.
 
     The running sum goes block by block, so that arrays are not copied once for each match."""
     p = _sql_string(pattern)
-    pairs = f"zip_with(slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))), regexp_extract_all({text}, {p}, 0), (g, m) -> struct(length(g) AS g, m AS m))"
+    pairs = f"zip_with(slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))), regexp_extract_all({text}, {p}, 0), (g, m) -> struct(length(g) AS g, right(g, {reach}) AS t, m AS m))"
     blocks = f"transform(array({pairs}), v -> transform(sequence(0, greatest(0, (size(v) - 1) DIV 256)), b -> slice(v, cast(b AS int) * 256 + 1, 256)))[0]"
-    return f"""aggregate({blocks}, struct(0 AS p, {_NONE} AS found),
-        (a, block) -> aggregate(block, struct(a.p AS p, {_NONE} AS found),
-            (c, x) -> struct(c.p + x.g + length(x.m) AS p, concat(c.found, array(struct(c.p + x.g AS s, c.p + x.g + length(x.m) AS e, x.m AS m))) AS found),
-            c -> struct(c.p AS p, concat(a.found, c.found) AS found)),
+    return f"""aggregate({blocks}, struct(0 AS p, '' AS t, {_NONE} AS found),
+        (a, block) -> aggregate(block, struct(a.p AS p, a.t AS t, {_NONE} AS found),
+            (c, x) -> struct(c.p + x.g + length(x.m) AS p, right(concat(c.t, x.t, x.m), {reach}) AS t,
+                concat(c.found, array(struct(c.p + x.g AS s, c.p + x.g + length(x.m) AS e, x.m AS m, right(concat(c.t, x.t), {reach}) AS b))) AS found),
+            c -> struct(c.p AS p, c.t AS t, concat(a.found, c.found) AS found)),
         a -> a.found)"""
 
 
@@ -99,33 +100,32 @@ _FINE = {
 }
 
 
-def base_spans(kind: str, text: str) -> Column:
+def base_spans(kind: str, text: str, reach: int) -> Column:
     hint = f"contains({text}, '@')" if kind == "email" else f"{text} rlike {_sql_string(_HINTS[kind])}"
-    return F.expr(f"CASE WHEN {hint} THEN filter({spans_of(text, PATTERNS[kind])}, x -> {_FINE[kind]}) ELSE {_NONE} END")
+    return F.expr(f"CASE WHEN {hint} THEN filter({spans_of(text, PATTERNS[kind], reach)}, x -> {_FINE[kind]}) ELSE {_NONE} END")
 
 
-def context(text: str, start: str, reach: int) -> str:
-    """SQL for the two words before a place, in lower case and with digits alike; null if there are no two within reach."""
-    before = f"substr({text}, greatest(1, {start} + 1 - {reach}), least({start}, {reach}))"
-    return f"nullif(regexp_replace(regexp_replace(lower(regexp_extract({before}, '([^ \\\\t-\\\\r]+[ \\\\t-\\\\r]+[^ \\\\t-\\\\r]+)[ \\\\t-\\\\r]*$', 1)), '[0-9]', '9'), '[ \\\\t-\\\\r]+', ' '), '')"
+def context(before: str) -> str:
+    """SQL for the two words that end a text, in lower case and with digits alike; null if there are no two."""
+    return f"nullif(regexp_replace(regexp_replace(lower(regexp_extract({before}, '([^ \\t-\\r]+[ \\t-\\r]+[^ \\t-\\r]+)[ \\t-\\r]*$', 1)), '[0-9]', '9'), '[ \\t-\\r]+', ' '), '')"
 
 
 def with_base(docs: DataFrame, rules: PiiRules = PiiRules(), prefix: str = "__pii_") -> DataFrame:
     """``docs`` with a row number, the base spans of each kind, the seeds' patterns, and other tokens with their patterns."""
     p, t = prefix, prefix + "text"
     docs = docs.withColumns({p + "row": F.monotonically_increasing_id(), t: F.coalesce(F.col("text").cast("string"), F.lit(""))})
-    docs = docs.withColumns({p + k: base_spans(k, t) for k in KINDS})
-    every = "concat(" + ", ".join(f"transform({p}{k}, x -> struct('{k}' AS kind, x.s AS s, x.e AS e, x.m AS m))" for k in KINDS) + ")"
+    docs = docs.withColumns({p + k: base_spans(k, t, rules.reach) for k in KINDS})
+    every = "concat(" + ", ".join(f"transform({p}{k}, x -> struct('{k}' AS kind, x.s AS s, x.e AS e, x.m AS m, x.b AS b))" for k in KINDS) + ")"
     docs = docs.withColumn(p + "all", F.expr(every))
-    other = f"filter({spans_of(t, _TOKEN)}, x -> length(x.m) BETWEEN 6 AND 80 AND NOT exists({p}all, b -> b.s < x.e AND b.e > x.s))"
+    other = f"filter({spans_of(t, _TOKEN, rules.reach)}, x -> length(x.m) BETWEEN 6 AND 80 AND NOT exists({p}all, b -> b.s < x.e AND b.e > x.s))"
     docs = docs.withColumn(p + "other", F.expr(f"CASE WHEN {t} rlike '[0-9@]' THEN {other} ELSE {_NONE} END"))
     # a token's own punctuation at its ends isn't part of a span
     tail = "regexp_replace(x.m, '^[^0-9A-Za-z(]++', '')"
     core = f"regexp_replace({tail}, '[^0-9A-Za-z]++$', '')"
-    docs = docs.withColumn(p + "other", F.expr(f"transform({p}other, x -> struct(x.e - length({tail}) AS s, x.e - length({tail}) + length({core}) AS e, {core} AS m))"))
+    docs = docs.withColumn(p + "other", F.expr(f"transform({p}other, x -> struct(x.e - length({tail}) AS s, x.e - length({tail}) + length({core}) AS e, {core} AS m, x.b AS b))"))
     docs = docs.withColumn(p + "seen", F.expr(f"""concat(
-        transform({p}all, x -> struct({context(t, 'x.s', rules.reach)} AS pattern, x.kind AS kind, x.s AS s, x.e AS e, lower(x.m) AS m)),
-        transform({p}other, x -> struct({context(t, 'x.s', rules.reach)} AS pattern, cast(NULL AS string) AS kind, x.s AS s, x.e AS e, lower(x.m) AS m)))"""))
+        transform({p}all, x -> struct({context('x.b')} AS pattern, x.kind AS kind, x.s AS s, x.e AS e, lower(x.m) AS m)),
+        transform({p}other, x -> struct({context('x.b')} AS pattern, cast(NULL AS string) AS kind, x.s AS s, x.e AS e, lower(x.m) AS m)))"""))
     return docs.drop(t, p + "other", p + "all")
 
 

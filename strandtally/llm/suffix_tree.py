@@ -201,7 +201,7 @@ def grow(counts: DataFrame, rules: TreeRules) -> SuffixTree:
     d, c, s, n = d[order], c[order], s[order], n[order]
     cut = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (c[1:] != c[:-1]))) if len(d) else np.zeros(0, int)
     contexts = {}
-    for a, b in zip(cut, np.append(cut[1:], len(d)), strict=True):
+    for a, b in zip(cut, [*cut[1:], len(d)], strict=False):
         contexts[int(c[a]).to_bytes(8, "big")[8 - int(d[a]) :]] = (s[a:b], n[a:b])
     return SuffixTree(contexts, rules)
 
@@ -236,7 +236,7 @@ def lm_scores(docs: DataFrame, rules: TreeRules = TreeRules(), folds: int = 5, h
                 ends = np.searchsorted(doc[rest], np.arange(len(text) + 1)).astype(np.int32)
                 arrays = [
                     part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(w.first) + 1, pa.int64()), pa.array(np.bincount(doc[hit], minlength=len(text)), pa.int64()),
-                    pa.array(np.bincount(doc[hit], logs[at[hit]], len(text))), pa.array(tree.value.score(text)), pa.ListArray.from_arrays(pa.array(ends), pa.array(token[rest].view(np.int64))),
+                    pa.array(np.bincount(doc[hit], logs[at[hit]], len(text)).astype(float)), pa.array(tree.value.score(text).astype(float)), pa.ListArray.from_arrays(pa.array(ends), pa.array(token[rest].view(np.int64))),
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
 
