@@ -29,6 +29,7 @@ from .shared import stored
 from .wordscan import per_doc, scan, slices, span_hashes, windows
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+FENCE = "__fence_"
 #: Groups of language and source up to which the fences are broadcast (some 100 bytes each); more are shuffled.
 MOST_BROADCAST = 100_000
 SYMBOLS = np.zeros(256, bool)
@@ -161,8 +162,8 @@ def fences(counted: DataFrame, rules: Rules, prefix: str = "") -> DataFrame:
         .join(b.alias("b"), F.col("g.g_lang").eqNullSafe(F.col("b.g_lang")), "left")
         .join(F.broadcast(c), F.lit(True), "left")  # one row at most
     )
-    top = [F.coalesce(F.col(f"{n}_own"), F.col(f"{n}_lang"), F.col(f"{n}_all"), F.lit(float("inf"))).alias(f"top_{n}") for n in names]
-    out = stored(out.select(F.col("g.g_lang").alias("g_lang"), F.col("g.g_source").alias("g_source"), *top), "quality-fences")
+    top = [F.coalesce(F.col(f"{n}_own"), F.col(f"{n}_lang"), F.col(f"{n}_all"), F.lit(float("inf"))).alias(FENCE + n) for n in names]
+    out = stored(out.select(F.col("g.g_lang").alias(FENCE + "lang"), F.col("g.g_source").alias(FENCE + "source"), *top), "quality-fences")
     return F.broadcast(out) if out.count() <= MOST_BROADCAST else out
 
 
@@ -174,9 +175,9 @@ def judged(docs: DataFrame, rules: Rules = Rules(), prefix: str = "") -> DataFra
     r = ratios(prefix)
     fine = F.lit(True)
     for n in names:
-        fine = fine & F.coalesce(r[n] <= F.col(f"top_{n}"), F.lit(True))
+        fine = fine & F.coalesce(r[n] <= F.col(FENCE + n), F.lit(True))
     failed = base_failed(rules, prefix)
-    joined = counted.join(tops, counted["lang"].eqNullSafe(tops["g_lang"]) & counted["source"].eqNullSafe(tops["g_source"]), "left")
+    joined = counted.join(tops, counted["lang"].eqNullSafe(tops[FENCE + "lang"]) & counted["source"].eqNullSafe(tops[FENCE + "source"]), "left")
     return joined.select(*(counted[c] for c in counted.columns), failed.alias(prefix + "base_failed"), (~failed & fine).alias(prefix + "kept"))
 
 
@@ -186,8 +187,8 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     tops = fences(counted, rules)
     r, failed, fine = ratios(), base_failed(rules), F.lit(True)
     for n, _ in rules.floors:
-        fine = fine & F.coalesce(r[n] <= F.col(f"top_{n}"), F.lit(True))
-    joined = counted.join(tops, counted["lang"].eqNullSafe(tops["g_lang"]) & counted["source"].eqNullSafe(tops["g_source"]), "left")
+        fine = fine & F.coalesce(r[n] <= F.col(FENCE + n), F.lit(True))
+    joined = counted.join(tops, counted["lang"].eqNullSafe(tops[FENCE + "lang"]) & counted["source"].eqNullSafe(tops[FENCE + "source"]), "left")
     return joined.select("doc_id", *COUNTS, failed.alias("base_failed"), (~failed & fine).alias("kept"))
 
 
