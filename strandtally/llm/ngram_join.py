@@ -228,7 +228,7 @@ def texts_of(docs: DataFrame, classes: DataFrame, sets: DataFrame, rules: JoinRu
             yield batch.take(pa.array(at, pa.int64()))
 
     rows = docs.filter("text is not null").select("text", F.xxhash64("text").alias("print"))
-    return rows.mapInArrow(run, rows.schema).join(prints, "print").dropDuplicates(["cls"]).select("cls", "text")
+    return rows.mapInArrow(run, rows.schema).join(prints, "print").dropDuplicates(["print", "cls"]).select("cls", "text")  # dealt by print already
 
 
 def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rules: JoinRules) -> DataFrame:
