@@ -132,9 +132,11 @@ def class_of(own: np.ndarray, common: np.ndarray, rules: JoinRules) -> tuple[int
 
 
 def sketches(docs: DataFrame, order: "Broadcast[np.ndarray]", rules: JoinRules) -> DataFrame:
-    """For each text its set's size and class; for a class's first text in a task also its first tokens."""
+    """For each text its set's size and class; for a class's first text in a task also its first tokens.
+
+    Tokens of the hash orders are only compared within a pair, and are known by 32 bits of their hash."""
     docs = docs.withColumn("print", F.xxhash64("text"))
-    schema = T.StructType([docs.schema["doc_id"], docs.schema["print"], T.StructField("n", T.LongType()), T.StructField("cls", T.LongType()), *(T.StructField(f"by{k}", T.ArrayType(T.LongType())) for k in range(3))])
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["print"], T.StructField("n", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("by0", T.ArrayType(T.LongType())), *(T.StructField(f"by{k}", T.ArrayType(T.IntegerType())) for k in (1, 2))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, met = order.value, set()
@@ -159,8 +161,9 @@ def sketches(docs: DataFrame, order: "Broadcast[np.ndarray]", rules: JoinRules)
                     rare = count.argsort(kind="stable")[:p]
                     firsts[0].append(own[rare].view(np.int64))
                     for f, salt in zip(firsts[1:], _SALTS, strict=True):
-                        f.append(_first_by(mix(own ^ salt), own, p + rules.extra).view(np.int64))
-                arrays = [part.column("doc_id"), part.column("print"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), *(pa.array(f, pa.list_(pa.int64())) for f in firsts)]
+                        key = mix(own ^ salt)
+                        f.append(_first_by(key, key.astype(np.uint32), p + rules.extra).view(np.int32))
+                arrays = [part.column("doc_id"), part.column("print"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), *(pa.array(f, pa.list_(kind)) for f, kind in zip(firsts, (pa.int64(), pa.int32(), pa.int32()), strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return docs.select("doc_id", "text", "print").mapInArrow(run, schema)
@@ -271,11 +274,14 @@ def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rules: JoinRules
 
 def shares_first(o: Column, rules: JoinRules) -> Column:
     """The filters of both hash orders. Of two sets that share o tokens or more, the k-th shared token comes
-    after n - o others at most, so the first 1 + extra shared ones are among the first n - o + 1 + extra of each."""
+    after n - o others at most, so the first 1 + extra shared ones are among the first n - o + 1 + extra of each.
+
+    A pair passes if two of its own tokens are alike in their 32 bits, as shared ones can't be counted then."""
     fine = F.lit(True)
     for i in (1, 2):
         x, y = (F.slice(f"{k}{i}", F.lit(1), (F.col(f"n{k}") - o + 1 + rules.extra).cast("int")) for k in ("x", "y"))
-        fine = fine & (F.size(F.array_intersect(x, y)) >= F.least(o, F.lit(1 + rules.extra)))
+        enough = F.size(F.array_intersect(x, y)) >= F.least(o, F.lit(1 + rules.extra))
+        fine = fine & (enough | (F.size(F.array_distinct(x)) < F.size(x)))
     return fine
 
 
