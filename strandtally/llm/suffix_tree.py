@@ -2,11 +2,12 @@
 
 The tree is over the bytes of lower-cased texts. Spark counts all runs of
 ``depth`` bytes and the byte that follows, over all training texts, and adds
-them up for shorter contexts. A context is a state if it is frequent enough and
+them up for shorter contexts. A context is a state if it occurs a few times and
 its next-symbol distribution diverges from that of the context one byte
-shorter; the frequency bound also bounds the number of states. Distributions
-are smoothed with those of the next shorter state. Tasks score whole texts,
-always from the longest state that is a suffix of what was read.
+shorter; states grow with the texts. Distributions are smoothed with those of
+the next shorter state. The tree is a Spark table: texts are dealt into chunks,
+each chunk's distinct contexts are joined to their probabilities, always from
+the longest state that is a suffix, and tasks score a chunk's whole texts.
 
 Beside it stands a unigram baseline over words: all words of all training texts
 are counted. The most frequent ones, a table of fixed size, are looked up in
@@ -24,8 +25,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .language_id import fold
 from .shared import stored
@@ -37,28 +39,29 @@ END_TOKEN = 0x0E11D0F7E7700001
 
 @dataclass(frozen=True)
 class TreeRules:
-    """depth: longest context. least_share: share of all training symbols that must follow a context that is a state;
-    there are at most 1 / least_share states of each length. divergence, gain: least Kullback-Leibler divergence from the
+    """depth: longest context. least_count: training symbols that must follow a context that is a state, whatever the
+    input's size. least_share: a least share of all training symbols besides, if any. divergence, gain: least Kullback-Leibler divergence from the
     shorter context, for each symbol and over all. weight: pseudo-count of the shorter state's distribution.
-    common: words whose counts every task has."""
+    common: words whose counts every task has. chunk: bytes of text that are scored together."""
 
     depth: int = 6
-    least_share: float = 1e-5
+    least_count: int = 2
+    least_share: float = 0.0
     divergence: float = 0.005
     gain: float = 10.0
     weight: float = 3.0
     common: int = 100_000
-    window: int = 256
+    chunk: int = 96 << 20
 
 
 class Tally:
-    """Counts of 64-bit keys, kept sorted; given out when there are many."""
+    """Summed weights of 64-bit keys, kept sorted; given out when there are many."""
 
     def __init__(self, most: int = 1 << 21) -> None:
         self.keys, self.counts, self.held, self.most = [], [], 0, most
 
-    def add(self, keys: np.ndarray) -> None:
-        k, n = np.unique(keys, return_counts=True)
+    def add(self, keys: np.ndarray, weights: np.ndarray) -> None:
+        k, n = summed(keys, weights)
         self.keys.append(k)
         self.counts.append(n)
         self.held += len(k)
@@ -67,12 +70,8 @@ class Tally:
 
     def merge(self) -> None:
         if len(self.keys) > 1:
-            keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
-            order = np.argsort(keys)
-            keys, counts = keys[order], counts[order]
-            at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            self.keys, self.counts = [keys[at]], [np.add.reduceat(counts, at)]
-            self.held = len(at)
+            keys, counts = summed(np.concatenate(self.keys), np.concatenate(self.counts))
+            self.keys, self.counts, self.held = [keys], [counts], len(keys)
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         self.merge()
@@ -81,6 +80,14 @@ class Tally:
         return got
 
 
+def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of each one's weights."""
+    order = np.argsort(keys)
+    keys, weights = keys[order], weights[order]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
+    return keys[at], np.add.reduceat(weights, at) if len(at) else weights
+
+
 def streams(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all texts, each as ``depth`` start symbols, its bytes and an end; where each begins."""
     data, offsets = raw_bytes(texts)
@@ -101,119 +108,84 @@ def grams(stream: np.ndarray, depth: int) -> np.ndarray:
     return key[stream[depth:] != START]
 
 
-def count(docs: DataFrame, learn: Column, rules: TreeRules) -> DataFrame:
-    """(word, key, n): counts of words (word true) and of contexts with their next symbol, over all training texts."""
+def count(texts: DataFrame, rules: TreeRules) -> DataFrame:
+    """(word, chunk, key, n) of texts (chunk, held_out, text): counts of words (word true) over training texts, and the
+    contexts with their next symbol that any text of a chunk has, with their counts over its training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, runs = Tally(), Tally()
+        words, runs, now = Tally(), Tally(1 << 23), 0
 
         def give(tally: Tally, word: bool) -> pa.RecordBatch:
             keys, n = tally.take()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), word)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), word)), pa.array(np.full(len(keys), now, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "chunk", "key", "n"])
 
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                text = part.column("text")
-                words.add(np.append(scan(text, lower=True).hashes(), np.full(len(text), END_TOKEN, np.uint64)))
-                runs.add(grams(streams(text, rules.depth)[0], rules.depth))
-                for tally, word in ((words, True), (runs, False)):
-                    if tally.held > tally.most // 2:
-                        yield give(tally, word)
+            chunks = batch.column("chunk").to_numpy()
+            for c in np.unique(chunks):
+                if c != now:
+                    yield give(runs, False)
+                    now = int(c)
+                for part in slices(batch.filter(pa.array(chunks == c)), "text", 2 << 20):
+                    text, learn = part.column("text"), ~part.column("held_out").to_numpy(zero_copy_only=False)
+                    w = scan(text, lower=True)
+                    token = np.append(w.hashes(), np.full(len(text), END_TOKEN, np.uint64))[np.append(learn[w.doc], learn)]
+                    words.add(token, np.ones(len(token), np.int64))
+                    stream, begin = streams(text, rules.depth)
+                    runs.add(grams(stream, rules.depth), np.repeat(learn.astype(np.int64), np.diff(begin) - rules.depth))
+                    for tally, word in ((words, True), (runs, False)):
+                        if tally.held > tally.most // 2:
+                            tally.merge()
+                        if tally.held > tally.most // 2:
+                            yield give(tally, word)
         yield give(words, True)
         yield give(runs, False)
 
-    rows = docs.filter(learn).select("text").mapInArrow(run, "word boolean, key long, n long")
-    return rows.groupBy("word", "key").agg(F.sum("n").alias("n"))
-
-
-class SuffixTree:
-    """States, transitions and log10 probabilities of a tree; ``contexts`` maps a state's bytes to its next-symbol counts."""
-
-    def __init__(self, contexts: dict[bytes, tuple[np.ndarray, np.ndarray]], rules: TreeRules) -> None:
-        self.depth, self.window = rules.depth, rules.window
-        node = {b"": 0}
-        for c in sorted(contexts, key=len):
-            for k in range(1, len(c) + 1):
-                node.setdefault(c[:k], len(node))
-        by_length = sorted(node, key=len)
-        children: dict[int, list[tuple[int, int]]] = {}
-        for c in by_length[1:]:
-            children.setdefault(node[c[:-1]], []).append((c[-1], node[c]))
-        n = len(node)
-        step, fail = np.zeros((n, 256), np.int32), np.zeros(n, np.int64)
-        self.log10 = np.zeros((n, 256), np.float32)
-        prob = np.full((n, 256), 1 / 256)
-        for c in by_length:
-            u = node[c]
-            if u:
-                step[u] = step[fail[u]]
-                prob[u] = prob[fail[u]]
-            for sym, v in children.get(u, ()):
-                fail[v] = step[u, sym] if u else 0
-                step[u, sym] = v
-            if c in contexts:
-                syms, counts = contexts[c]
-                row = prob[u] * rules.weight
-                row[syms] += counts
-                prob[u] = row / (counts.sum() + rules.weight)
-        self.step, self.log10, self.states = step.ravel(), np.log10(prob).astype(np.float32).ravel(), n
-
-    def score(self, texts: pa.Array) -> np.ndarray:
-        """log10 probability of each whole text with its end."""
-        stream, begin = streams(texts, self.depth)
-        size = np.diff(begin) - self.depth
-        lanes = -(-size // self.window)
-        doc = np.repeat(np.arange(len(size)), lanes)
-        at = begin[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * self.window
-        left = np.minimum(begin[doc + 1] - self.depth - at, self.window)
-        order = np.argsort(-left, kind="stable")
-        at, left = at[order], left[order]
-        state, total = np.zeros(len(at), np.int64), np.zeros(len(at))
-        for t in range(self.depth + self.window):
-            live = int(np.searchsorted(-left, -(t - self.depth), side="left")) if t >= self.depth else len(at)
-            if not live:
-                break
-            place = state[:live] * 256 + stream[at[:live] + t]
-            if t >= self.depth:
-                total[:live] += self.log10[place]
-            state[:live] = self.step[place]
-        return np.bincount(doc[order], total, len(size))
-
-
-def grow(counts: DataFrame, rules: TreeRules) -> SuffixTree:
-    """The tree of a table of context counts (key, n)."""
-    levels = F.explode(F.sequence(F.lit(0), F.lit(rules.depth))).alias("d")
-    long = counts.select(levels, "key", "n").select("d", F.expr("key & (shiftleft(1L, 8 * d + 8) - 1)").alias("key"), "n")
-    each = stored(long.groupBy("d", "key").agg(F.sum("n").alias("n")), "tree-counts")
-    ctx, sym = F.shiftright("key", 8), F.col("key").bitwiseAND(255)
-    all_ = each.filter("d = 0").agg(F.sum("n")).first()[0] or 0
-    total = each.groupBy("d", ctx.alias("ctx")).agg(F.sum("n").alias("total")).filter(F.col("total") >= max(1.0, all_ * rules.least_share))
-    frequent = stored(each.select("d", ctx.alias("ctx"), sym.alias("sym"), "n").join(total, ["d", "ctx"]), "tree-contexts")
-    shorter = frequent.select((F.col("d") + 1).alias("d"), F.col("ctx").alias("up"), "sym", F.col("n").alias("m"), F.col("total").alias("up_total"))
-    up = F.expr("ctx & (shiftleft(1L, 8 * (d - 1)) - 1)")
-    test = frequent.filter("d > 0").withColumn("up", up).join(shorter, ["d", "up", "sym"])
-    gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("m") / F.col("up_total"))))
-    kept = test.groupBy("d", "ctx").agg(gain.alias("gain"), F.first("total").alias("t")).filter((F.col("gain") >= rules.gain) & (F.col("gain") >= F.col("t") * rules.divergence))
-    states = frequent.join(kept.select("d", "ctx"), ["d", "ctx"], "left_semi").unionByName(frequent.filter("d = 0"))
-    rows = states.select("d", "ctx", "sym", "n").toArrow()  # at most depth / least_share contexts
-    d, c, s, n = (rows.column(k).to_numpy() for k in ("d", "ctx", "sym", "n"))
-    order = np.lexsort((c, d))
-    d, c, s, n = d[order], c[order], s[order], n[order]
-    cut = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (c[1:] != c[:-1]))) if len(d) else np.zeros(0, int)
-    contexts = {}
-    for a, b in zip(cut, [*cut[1:], len(d)], strict=False):
-        contexts[int(c[a]).to_bytes(8, "big")[8 - int(d[a]) :]] = (s[a:b], n[a:b])
-    return SuffixTree(contexts, rules)
+    return texts.select("chunk", "held_out", "text").mapInArrow(run, "word boolean, chunk int, key long, n long")
+
+
+def tree(counts: DataFrame, rules: TreeRules) -> DataFrame:
+    """(key, log10): log10 probability of every context's next symbol in a table of counts (key, n), from the longest
+    state that is a suffix of the context.
+
+    From the empty context on, each length's table is joined to the one before; no part of it leaves Spark."""
+    shorter = lambda d: F.expr(f"key & {(1 << (8 * (d + 1))) - 1}L")
+    levels = [counts]
+    for d in range(rules.depth - 1, -1, -1):
+        levels.append(stored(levels[-1].groupBy(shorter(d).alias("key")).agg(F.sum("n").alias("n")), "tree-counts"))
+    levels.reverse()
+    whole = levels[0].agg(F.sum("n")).first()[0] or 0
+    least = max(rules.least_count, whole * rules.least_share)
+    smooth = lambda n, total, base: (n + rules.weight * base) / (total + rules.weight)
+    first = smooth(F.col("n"), F.lit(float(whole)), F.lit(1 / 256)) if whole else F.lit(1 / 256)
+    known = levels[0].select("key", "n", F.lit(whole).cast("long").alias("total"), first.alias("p"))
+    alike = Window.partitionBy("ctx")
+    for d in range(1, rules.depth + 1):
+        up = known.select(F.col("key").alias("up"), F.col("n").alias("m"), F.col("total").alias("up_total"), F.col("p").alias("base"))
+        rows = levels[d].select("key", "n", shorter(d - 1).alias("up"), F.shiftright("key", 8).alias("ctx")).join(up, "up")
+        rows = rows.withColumn("total", F.sum("n").over(alike))
+        gain = F.when(F.col("n") > 0, F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("m") / F.col("up_total"))))
+        rows = rows.withColumn("gain", F.sum(gain).over(alike))
+        state = (F.col("total") >= least) & (F.col("gain") >= rules.gain) & (F.col("gain") >= F.col("total") * rules.divergence)
+        p = F.when(state, smooth(F.col("n"), F.col("total"), F.col("base"))).otherwise(F.col("base"))
+        known = rows.select("key", "n", "total", p.alias("p"))
+        if d < rules.depth:
+            known = stored(known, "tree-states")
+    return known.select("key", F.log10("p").cast("float").alias("log10"))
 
 
 def lm_scores(docs: DataFrame, rules: TreeRules = TreeRules(), folds: int = 5, held_out: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text."""
     spark = docs.sparkSession
-    out_of = fold(F.col("doc_id")) % folds == held_out
-    counts = stored(count(docs, ~out_of, rules), "lm-counts")
-    words = counts.filter("word").select(F.col("key").alias("token"), F.col("n").alias("c"))
+    out_of = F.coalesce(fold(F.col("doc_id")) % folds == held_out, F.lit(False))
+    chunks = max(2, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // rules.chunk))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", out_of.alias("held_out"), "text")
+    texts = stored(rows.repartition(chunks).withColumn("chunk", F.spark_partition_id()), "lm-texts")
+    counts = stored(count(texts, rules), "lm-counts")
+    words = stored(counts.filter("word").groupBy(F.col("key").alias("token")).agg(F.sum("n").alias("c")), "lm-words")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tree = spark.sparkContext.broadcast(grow(counts.filter("NOT word").select("key", "n"), rules))  # bounded by least_share
+    keys_of = counts.filter("NOT word")
+    logs_of = tree(stored(keys_of.groupBy("key").agg(F.sum("n").alias("n")), "tree-counts"), rules)
+    looked_up = keys_of.select("chunk", "key").join(logs_of, "key")  # one row for each context of a chunk
     top = words.orderBy(F.col("c").desc(), "token").limit(rules.common).toArrow()  # a table of fixed size
     key, c = top.column("token").to_numpy().view(np.uint64), top.column("c").to_numpy()
     order = np.argsort(key)
@@ -221,9 +193,13 @@ def lm_scores(docs: DataFrame, rules: TreeRules = TreeRules(), folds: int = 5, h
     common = spark.sparkContext.broadcast((np.append(key[order], np.uint64(2**64 - 1)), np.append(np.log10((c[order] + 0.5) / size), 0.0), len(key)))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         keys, logs, known = common.value
-        for batch in batches:
+        grams_, log10 = found.column("key").to_numpy(), found.column("log10").to_numpy()
+        by_key = np.argsort(grams_)
+        grams_, log10 = grams_[by_key], log10[by_key].astype(float)
+        out = []
+        for batch in texts.to_batches():
             for part in slices(batch, "text", 2 << 20):
                 text = part.column("text")
                 w = scan(text, lower=True)
@@ -234,14 +210,19 @@ def lm_scores(docs: DataFrame, rules: TreeRules = TreeRules(), folds: int = 5, h
                 rest = np.flatnonzero(~hit)
                 rest = rest[np.argsort(doc[rest], kind="stable")]
                 ends = np.searchsorted(doc[rest], np.arange(len(text) + 1)).astype(np.int32)
+                stream, begin = streams(text, rules.depth)
+                run_, of = grams(stream, rules.depth).view(np.int64), np.repeat(np.arange(len(text)), np.diff(begin) - rules.depth)
+                sort = np.argsort(run_)
+                score = np.bincount(of[sort], log10[np.searchsorted(grams_, run_[sort])], len(text))
                 arrays = [
                     part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(w.first) + 1, pa.int64()), pa.array(np.bincount(doc[hit], minlength=len(text)), pa.int64()),
-                    pa.array(np.bincount(doc[hit], logs[at[hit]], len(text)).astype(float)), pa.array(tree.value.score(text).astype(float)), pa.ListArray.from_arrays(pa.array(ends), pa.array(token[rest].view(np.int64))),
+                    pa.array(np.bincount(doc[hit], logs[at[hit]], len(text)).astype(float)), pa.array(score.astype(float)), pa.ListArray.from_arrays(pa.array(ends), pa.array(token[rest].view(np.int64))),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
+                out.append(pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"]))
+        return pa.Table.from_batches(out)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", out_of.alias("held_out"), "text")
-    rows = stored(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"), "lm-scores")
+    scored = texts.groupBy("chunk").cogroup(looked_up.groupBy("chunk"))
+    rows = stored(scored.applyInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"), "lm-scores")
     rare = rows.select("row", F.explode("rare").alias("token")).join(words, "token")
     rare = rare.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10((F.col("c") + 0.5) / F.lit(size))).alias("sum"))
     known = F.col("known") + F.coalesce("more", F.lit(0))

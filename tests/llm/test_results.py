@@ -238,6 +238,14 @@ def test_suffix_tree(spark, rows):
         assert got[d].score == pytest.approx(score, rel=1e-5)
 
 
+def test_suffix_tree_keeps_rare_contexts(spark):
+    rare = [(i, "qzxjvkwy" * 3) for i in range(10)]
+    rng = random.Random(1)
+    common = [(100 + i, "".join(rng.choices("abcdefgh ", k=100_000))) for i in range(40)]
+    few, many = ({r.doc_id: r.score for r in suffix_tree.lm_scores(table(spark, docs)).collect()} for docs in (rare + common[:1], rare + common))
+    assert all(few[i] > -8 and many[i] > -8 for i in range(10))  # shorter states alone give -126 in the second
+
+
 def test_licenses(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     names = {"GNU General Public": "GPL", "CC BY-NC": "CC-BY-NC", "MIT License": "MIT", "Apache License": "Apache-2.0"}
