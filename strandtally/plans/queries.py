@@ -381,6 +381,14 @@ def log_add_pairs(spark, d):
     return a.select("frag", F.round(log_add(F.col("x"), F.col("y")), 6).alias("a"))
 
 
+@query()
+def log_add_alignments(spark, d):
+    """Over all alignments of every fragment, where log_add_pairs and its SQL take fragments' first two."""
+    x = F.collect_list(F.col("score") * F.lit(0.1))
+    a = alignments(spark, d).groupBy("frag").agg(F.reduce(F.array_sort(x), F.lit(float("-inf")), log_add).alias("a"))
+    return a.select("frag", F.round("a", 6).alias("a"))
+
+
 # --- mates
 
 _MATES = f"""{ALN}, l AS (SELECT frag, tid, ln, pos, fwd FROM aln WHERE ln % 2 = 1), r AS (SELECT frag, tid, pos AS mate_pos, fwd AS mate_fwd FROM aln WHERE ln % 2 = 0),
@@ -432,8 +440,11 @@ def part_hits(spark, d):
 
 
 
-def components_of(spark, d):
-    h = part_hits(spark, d)
+def all_hits(spark, d):
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("frag"), F.col("l_partkey").alias("tid"))
+
+
+def components_of(h):
     return graph.connected_components(graph.class_edges(h), h.select("tid").distinct())
 
 
@@ -441,12 +452,18 @@ def components_of(spark, d):
     lab(it, tid, c) AS (SELECT 0, tid, tid FROM (SELECT DISTINCT tid FROM fr) UNION ALL SELECT it + 1, ed.b, min(c) FROM lab JOIN ed ON ed.a = lab.tid WHERE it < 40 GROUP BY it, ed.b)
     SELECT tid, c AS component FROM lab WHERE it = 40""")
 def connected_components(spark, d):
-    return components_of(spark, d)
+    return components_of(part_hits(spark, d))
 
 
-def _projected(spark, d):
-    comp = components_of(spark, d)
-    h = part_hits(spark, d).distinct()
+@query()
+def connected_components_whole(spark, d):
+    """Over all fragments, where connected_components and its SQL take every twentieth."""
+    return components_of(all_hits(spark, d))
+
+
+def _projected(hits):
+    comp = components_of(hits)
+    h = hits.distinct()
     mass = h.groupBy("tid").agg(F.count("*").cast("double").alias("mass"))
     n = h.join(comp, "tid").groupBy("component").agg(F.countDistinct("frag").alias("n"))
     return h, comp, n, graph.projected_counts(mass, comp, n)
@@ -457,12 +474,17 @@ def _projected(spark, d):
     comp AS (SELECT tid, c AS component FROM lab WHERE it = 40), m AS (SELECT tid, count(*) AS mass FROM fr GROUP BY 1), k AS (SELECT component, count(DISTINCT frag) AS n FROM fr JOIN comp USING (tid) GROUP BY 1)
     SELECT tid, round(n * mass / sum(mass) OVER (PARTITION BY component), 5) AS projected FROM m JOIN comp USING (tid) JOIN k USING (component)""")
 def cluster_projected_counts(spark, d):
-    return _projected(spark, d)[3].withColumn("projected", F.round("projected", 5))
+    return _projected(part_hits(spark, d))[3].withColumn("projected", F.round("projected", 5))
+
+
+@query()
+def cluster_projected_counts_whole(spark, d):
+    return _projected(all_hits(spark, d))[3].withColumn("projected", F.round("projected", 5))
 
 
 @query()
 def polytope_projection(spark, d):
-    h, comp, n, projected = _projected(spark, d)
+    h, comp, n, projected = _projected(all_hits(spark, d))
     rows = projected.join(comp, "tid").join(n, "component").join(classes.target_counts(h), "tid")
     return graph.project_to_bounds(rows.select("component", F.col("tid").cast("long").alias("tid"), "projected", "uniq", "total", "n"))
 
@@ -613,7 +635,7 @@ def forgetting_mass(spark, d):
 def online_pass(spark, d):
     from ..streaming.online import online_masses
 
-    return online_masses(read(spark, d, "events").select((F.floor((F.col("event_id") / 500)) + 1).cast("int").alias("batch"), "event_id", (F.col("user_id") % 25).cast("int").alias("tid")), most_batches=20)
+    return online_masses(read(spark, d, "events").select((F.floor((F.col("event_id") / 500)) + 1).cast("int").alias("batch"), "event_id", (F.col("user_id") % 25).cast("int").alias("tid")))
 
 
 @query()

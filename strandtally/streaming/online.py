@@ -33,11 +33,17 @@ def add_batch(state: DataFrame, hits: DataFrame, log_mass: float) -> DataFrame:
     return stored(both, "online-state")
 
 
-def online_masses(events: DataFrame, most_batches: int) -> DataFrame:
-    """(tid, mass) after the first batches of rows (batch, event_id, tid), each row a fragment with one target."""
+def online_masses(events: DataFrame) -> DataFrame:
+    """(tid, mass) after all batches, in their order, of rows (batch, event_id, tid); rows of an event_id are one fragment's targets.
+
+    Where no fragment has two targets, its share is 1 whatever the masses before it, so that batches add up in one step."""
+    n = events.agg(F.max("batch")).first()[0] or 0
+    weights = log_masses(n)[:n]
+    if events.groupBy("batch", "event_id").count().filter("count > 1").limit(1).count() == 0:
+        table = events.sparkSession.createDataFrame(list(enumerate(weights, 1)), "batch int, log_mass double")
+        return events.join(table, "batch").groupBy("tid").agg(F.sum(F.exp("log_mass")).alias("mass"))
     state = events.select("tid").distinct().withColumn("mass", F.lit(0.0))
-    n = min(most_batches, events.agg(F.max("batch")).first()[0] or 0)
-    for i, m in enumerate(log_masses(max(1, n))[:n], 1):
+    for i, m in enumerate(weights, 1):
         state = add_batch(state, events.filter(F.col("batch") == i).select(F.col("event_id").alias("frag"), "tid"), m)
     return state
 
