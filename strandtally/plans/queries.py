@@ -504,8 +504,14 @@ _K = 15
 
 @query(f"WITH {SEQS}, idx AS (SELECT substr(seq, CAST(i + 1 AS BIGINT), {_K}) AS kmer, tid, CAST(i AS INTEGER) AS pos FROM (SELECT tid, seq, unnest(range(length(seq) - {_K} + 1)) AS i FROM seqs WHERE length(seq) >= {_K})) SELECT least(kmer, translate(reverse(kmer), 'ACGT', 'TGCA')) AS kmer, count(*) AS n, count(DISTINCT tid) AS targets FROM idx GROUP BY 1 HAVING count(*) > 1")
 def kmer_index(spark, d):
+    return kmer_index_whole(spark, d).filter("n > 1")
+
+
+@query()
+def kmer_index_whole(spark, d):
+    """All k-mers, where kmer_index and its SQL give those that occur twice."""
     rows = mapping.kmer_index(sequences(spark, d), _K)
-    return rows.groupBy(seq.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n"), F.countDistinct("tid").alias("targets")).filter("n > 1")
+    return rows.groupBy(seq.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n"), F.countDistinct("tid").alias("targets"))
 
 
 @query(f"WITH {SEQS} SELECT substr(seq, 1, 6) AS kmer, count(*) AS n FROM seqs WHERE length(seq) >= 6 GROUP BY 1")
@@ -549,6 +555,27 @@ def sketch_map(spark, d):
     return mapping.sketch_map(seeds(spark, d))
 
 
+def whole_seeds(spark, d):
+    """Over whole pages and with the reference's 1000 places, where seeds() and its SQL take 200 letters and 50 places."""
+    pages = read(spark, d, "pages").select(F.col("page_id").alias("frag"), seq.clean(F.col("html")).alias("seq"))
+    return mapping.seed_hits(pages, mapping.kmer_index(sequences(spark, d), _SEED_K), _SEED_K)
+
+
+@query()
+def seed_join_whole(spark, d):
+    return whole_seeds(spark, d).groupBy("frag", "tid").agg(F.count("*").alias("n"))
+
+
+@query()
+def seed_chains_whole(spark, d):
+    return mapping.chains(whole_seeds(spark, d))
+
+
+@query()
+def sketch_map_whole(spark, d):
+    return mapping.sketch_map(whole_seeds(spark, d))
+
+
 @query(f"WITH {SEQS} SELECT min(tid) AS tid, length(seq) AS len FROM seqs GROUP BY seq")
 def dedup_targets(spark, d):
     return mapping.distinct_targets(sequences(spark, d)).select("tid", F.length("seq").cast("long").alias("len"))
