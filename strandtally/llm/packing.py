@@ -198,5 +198,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = 4096, rows
 
 
 def best_fit_packing(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(stored(pieces(docs, path, capacity, end_id), "pieces"), capacity)
+    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids.
+
+    Ids stay out of the packing and come back to the placed pieces by a mark."""
+    parts = stored(pieces(docs, path, capacity, end_id, with_ids=True).withColumn("mark", F.monotonically_increasing_id()), "pieces")
+    placed = pack(parts.drop("ids"), capacity)
+    return placed.join(parts.select("mark", "ids"), "mark").drop("mark").select("doc_id", *(n for n, _ in _PIECES), "sequence_id", "offset", "ids")

@@ -119,6 +119,17 @@ def test_packing(spark, rows):
     assert len(bins) <= math.ceil(sum(r.length for r in got) / packing.CAPACITY) * 1.02 + 1
 
 
+def test_packing_gives_ids(spark, rows):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    theirs, long = Tokenizer.from_file(path), (5000, "one two three " * 2000)
+    got, want = {}, {d: [*theirs.encode(t, add_special_tokens=False).ids, 0] for d, t in [*rows[:30], long]}
+    for r in sorted(corpus_pipeline.packed(spark, table(spark, [*rows[:30], long]), "").collect(), key=lambda r: r.start):
+        assert len(r.ids) == r.length
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    assert got == want
+    assert "ids" not in queries.op7_best_fit_packing(spark, DATA).columns
+
+
 def test_fullest_bin_closes():
     bins = packing.OpenBins(10, 2)
     assert [bins.place(n) for n in (6, 7, 8)] == [(0, 0), (1, 0), (2, 0)]
