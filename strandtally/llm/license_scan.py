@@ -7,8 +7,10 @@ threshold is unknown; the threshold is calibrated on variants of the training
 paragraphs from which words were left out. A prediction counts only if the
 paragraph also has most of the word n-grams of one of the family's notices.
 
-Only paragraphs with a word that every notice has one of are classified:
-without such a word no notice can confirm a prediction.
+Paragraphs end at blank lines; their wrapped lines are joined. A paragraph is
+read by its lines and by overlapping windows of its words, each longer than
+two notices, and has the families that any of them confirms. Of these, only
+such with a word that every notice has one of are classified.
 
 Edge cases: a null or empty text has no paragraphs; repeated rows are scanned
 one by one; several families in one text are all named.
@@ -85,6 +87,16 @@ PROSE = [
 ]
 CUES = r"(?i)licen[sc]e|copyright|permission|redistribut|warrant"
 UNKNOWN = "unknown"
+#: Words in a window; the next begins half a window later, so a notice of up to that half lies within one.
+WINDOW = 80
+
+
+def parts(paragraph: Column) -> Column:
+    """A paragraph's windows of words and its lines, those with a cue."""
+    words = F.filter(F.split(paragraph, r"\s+"), lambda w: w != "")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - WINDOW // 2, F.lit(1)), F.lit(WINDOW // 2))
+    windows = F.transform(starts, lambda i: F.array_join(F.slice(words, i, WINDOW), " "))
+    return F.array_distinct(F.filter(F.concat(windows, F.split(paragraph, "\n")), lambda x: x.rlike(CUES)))
 
 
 def grams(text: Column) -> Column:
@@ -135,20 +147,21 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFra
     paragraphs with a cue that are and aren't confirmed), score (best probability of a confirmed one, or 0)."""
     spark = docs.sparkSession
     model = model or train(spark)
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(CUES))
-    found = F.when(F.col("text").rlike(CUES), lines).otherwise(F.array().cast("array<string>"))
-    base = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(found, F.array().cast("array<string>")).alias("lines")), "license-lines")
-    lines = base.select("row", F.explode("lines").alias("line")).withColumn("grams", grams(F.col("line")))
+    paragraphs = F.filter(F.split("text", r"\r?\n[^\S\n]*\n\s*"), lambda x: x.rlike(CUES))
+    found = F.when(F.col("text").rlike(CUES), paragraphs).otherwise(F.array().cast("array<string>"))
+    base = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(found, F.array().cast("array<string>")).alias("paragraphs")), "license-paragraphs")
+    lines = base.select("row", F.posexplode("paragraphs").alias("at", "paragraph")).select("row", "at", F.explode(parts(F.col("paragraph"))).alias("line")).withColumn("grams", grams(F.col("line")))
     scored = model.scores(lines, "grams")
     notices = spark.createDataFrame([(f, t) for f, ts in NOTICES.items() for t in ts], "family string, text string").select("family", grams(F.col("text")).alias("g"))
     notices = notices.groupBy("family").agg(F.collect_list("g").alias("notices"))  # a fixed, small table
     best = F.array_max(F.transform("notices", lambda g: F.size(F.array_intersect(g, F.col("grams"))) / F.size(g)))
     judged = scored.join(F.broadcast(notices), "family", "left").select(
-        "row", "family", "p", (F.coalesce(best >= model.coverage, F.lit(False)) & (F.col("p") >= model.threshold)).alias("ok")
+        "row", "at", "family", "p", (F.coalesce(best >= model.coverage, F.lit(False)) & (F.col("p") >= model.threshold)).alias("ok")
     )
-    each = judged.groupBy("row").agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("family")))), ",").alias("licenses"),
-        F.count_if("ok").alias("n_license"), F.count_if(~F.col("ok")).alias("n_unknown"), F.max(F.when(F.col("ok"), F.col("p"))).alias("score"),
+    found = judged.groupBy("row", "at").agg(F.collect_set(F.when(F.col("ok"), F.col("family"))).alias("families"), F.bool_or("ok").alias("ok"), F.max(F.when(F.col("ok"), F.col("p"))).alias("p"))
+    each = found.groupBy("row").agg(
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))), ",").alias("licenses"),
+        F.count_if("ok").alias("n_license"), F.count_if(~F.col("ok")).alias("n_unknown"), F.max("p").alias("score"),
     )
-    out = base.drop("lines").join(each, "row", "left")
+    out = base.drop("paragraphs").join(each, "row", "left")
     return out.select("doc_id", F.coalesce("licenses", F.lit("")).alias("licenses"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_license", "n_unknown")), F.coalesce("score", F.lit(0.0)).alias("score"))

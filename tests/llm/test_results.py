@@ -267,6 +267,15 @@ def test_licenses(spark):
     assert {r.doc_id: (r.licenses, r.n_unknown) for r in license_scan.scan_licenses(own).collect()} == {1: ("", 1), 2: ("GPL", 0), 3: ("", 1)}
 
 
+def test_wrapped_licenses(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    prose = "The river ran past the old mill and on to the sea\nwhile the boats waited for the evening tide to turn.\n"
+    docs = [(1, gpl), (2, bsd), (3, "# " + gpl.replace("\n", "\n# ") + "\n\n" + bsd), (4, prose * 12 + gpl + "\n" + prose * 12), (5, prose * 3 + "\n \n" + prose), (6, None)]
+    got = {r.doc_id: (r.licenses, r.n_license, r.n_unknown) for r in license_scan.scan_licenses(table(spark, docs)).collect()}
+    assert got == {1: ("GPL", 1, 0), 2: ("BSD", 1, 0), 3: ("BSD,GPL", 2, 0), 4: ("GPL", 1, 0), 5: ("", 0, 0), 6: ("", 0, 0)}
+
+
 def test_quality(spark, rows):
     every = [*((d, t, "en", "s") for d, t in rows), (900, None, None, None), (901, "a b a b a b a b", "en", "s"), (902, "x y z\nx y z\n\n \nx y z ", "fr", None)]
     got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(every, "doc_id long, text string, lang string, source string").repartition(3)).collect()}
