@@ -26,7 +26,8 @@ def expectation_maximisation(members: DataFrame, rounds: int, start: DataFrame |
     """(tid, alpha) after ``rounds`` rounds over members (key, n, tid, w), from equal abundances or ``start``.
 
     prior: with it the variational form is used, with that many pseudo-counts for each target.
-    tolerance: rounds end when no abundance above ``significant`` changes by a larger share, but not before least_rounds."""
+    tolerance: rounds end when no abundance above ``significant`` changes by a larger share, but not before least_rounds;
+    if they never do, that is an error."""
     kept = members.select("key", "n", "tid", "w").repartition("key").persist(StorageLevel.DISK_ONLY)
     alpha = start if start is not None else kept.select("tid").distinct().withColumn("alpha", F.lit(1.0))
     shares = Window.partitionBy("key")
@@ -49,6 +50,10 @@ def expectation_maximisation(members: DataFrame, rounds: int, start: DataFrame |
                 break
         else:
             alpha = stored(new, "alpha") if i % CUT_EVERY == 0 or i == rounds else new
+    else:
+        if tolerance is not None:
+            kept.unpersist()
+            raise RuntimeError("abundances did not settle")
     kept.unpersist()
     return alpha
 

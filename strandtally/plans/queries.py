@@ -124,7 +124,7 @@ def vbem_fixed_rounds(spark, d):
 
 @query()
 def em_until_settled(spark, d):
-    return inference.truncate(inference.expectation_maximisation(equal_members(spark, d), 100, tolerance=0.01, least_rounds=10))
+    return inference.truncate(inference.expectation_maximisation(equal_members(spark, d), 10_000, tolerance=0.01, least_rounds=100))
 
 
 def counted(spark, d):

@@ -126,6 +126,13 @@ def test_alignment_scores(spark):
     assert mapping.rescue(r, 0).first().at == 5
 
 
+def test_unsettled_abundances_are_an_error(spark):
+    c = spark.createDataFrame([("0", 1000), ("0,1", 3000)], "key string, n long")
+    m = classes.members(c).withColumn("w", F.lit(1.0))
+    with pytest.raises(RuntimeError):
+        inference.expectation_maximisation(m, 2, tolerance=1e-9)
+
+
 def test_resampling(spark):
     c = spark.createDataFrame([("0", 1000), ("1", 2000), ("0,1", 3000)], "key string, n long")
     m = classes.members(c).withColumn("w", F.lit(1.0))
