@@ -11,7 +11,8 @@ SHA-256, two rows at most for each partition.
 
 Edge cases: a null text counts as empty; rows equal in text and identifier form
 one group, of which one row stays; a null identifier sorts below all others and
-stays only if there is no other.
+stays only if there is no other. Which of the rows equal in both stays is
+open. An empty table gives an empty one; columns of the input may have any name.
 """
 
 from __future__ import annotations
@@ -27,22 +28,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import stored
+from .shared import free_prefix, partitions_for, stored
 
-_P = "__sort_"
-_MARKS = T.StructType([T.StructField(_P + "part", T.LongType()), T.StructField(_P + "run", T.LongType()), T.StructField(_P + "place", T.LongType()), T.StructField(_P + "edge", T.BooleanType())])
+P = "__sort_"
 
 
-def sorted_rows(docs: DataFrame, partitions: int, keep: str) -> DataFrame:
+def marks(p: str) -> T.StructType:
+    return T.StructType([T.StructField(p + "part", T.LongType()), T.StructField(p + "run", T.LongType()), T.StructField(p + "place", T.LongType()), T.StructField(p + "edge", T.BooleanType())])
+
+
+def sorted_rows(docs: DataFrame, partitions: int, keep: str, p: str = P) -> DataFrame:
     """``docs`` in content order with key columns; the row to keep comes first among equals."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumns({_P + "text": text, _P + "head": F.substring(text, 1, 32), _P + "hash": F.xxhash64(text), _P + "sha": F.sha2(text, 256)})
+    keyed = docs.withColumns({p + "text": text, p + "head": F.substring(text, 1, 32), p + "hash": F.xxhash64(text), p + "sha": F.sha2(text, 256)})
     by_id = F.col("doc_id").desc_nulls_last() if keep == "largest" else F.col("doc_id").asc_nulls_last()
-    head = [_P + "head", _P + "hash"]
-    return keyed.repartitionByRange(partitions, *head, by_id).sortWithinPartitions(*head, _P + "text", by_id)
+    head = [p + "head", p + "hash"]
+    return keyed.repartitionByRange(partitions, *head, by_id).sortWithinPartitions(*head, p + "text", by_id)
 
 
-def _marked(names: list[str]):
+def _marked(names: list[str], p: str = P):
     """A function that gives each row its run of equal texts, by comparing neighbours in full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +56,7 @@ def _marked(names: list[str]):
             if batch is not None and not batch.num_rows:
                 continue
             if batch is not None:
-                text = batch.column(batch.schema.get_field_index(_P + "text"))
+                text = batch.column(batch.schema.get_field_index(p + "text"))
                 new = np.ones(len(text), bool)
                 new[0] = last is None or not text[0].equals(last)
                 if len(text) > 1:
@@ -63,43 +67,43 @@ def _marked(names: list[str]):
                 places = np.where(begun >= 0, index - begun, place + index)
                 last, at, place = text[-1], int(runs[-1]), int(places[-1]) + 1
             if waiting is not None:  # the last run is known only at the end: a batch waits for its successor
-                yield _give(waiting, names, part, at if batch is None else None)
+                yield _give(waiting, names, p, part, at if batch is None else None)
             waiting = None if batch is None else (batch, runs, places)
 
     return run
 
 
-def _give(waiting: tuple, names: list[str], part: int, last_run: int | None) -> pa.RecordBatch:
+def _give(waiting: tuple, names: list[str], p: str, part: int, last_run: int | None) -> pa.RecordBatch:
     batch, runs, places = waiting
     edge = runs == 0
     if last_run is not None:
         edge |= runs == last_run
-    marks = [pa.array(np.full(len(runs), part, np.int64)), pa.array(runs.astype(np.int64)), pa.array(places.astype(np.int64)), pa.array(edge)]
-    return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *marks], names=[*names, *_MARKS.names])
+    given = [pa.array(np.full(len(runs), part, np.int64)), pa.array(runs.astype(np.int64)), pa.array(places.astype(np.int64)), pa.array(edge)]
+    return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), *given], names=[*names, *marks(p).names])
 
 
 def default_partitions(docs: DataFrame) -> int:
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return partitions_for(docs, "text")
 
 
 def decisions(docs: DataFrame, keep: str = "largest", partitions: int | None = None) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
     docs = docs.select("doc_id", "text")
     rows = sorted_rows(docs, partitions or default_partitions(docs), keep)
-    names = ["doc_id", _P + "sha"]
-    schema = T.StructType([docs.schema["doc_id"], T.StructField(_P + "sha", T.StringType()), *_MARKS.fields])
-    marked = stored(rows.select("doc_id", _P + "text", _P + "sha").mapInArrow(_marked(names), schema), "content-sort")
+    names = ["doc_id", P + "sha"]
+    schema = T.StructType([docs.schema["doc_id"], T.StructField(P + "sha", T.StringType()), *marks(P).fields])
+    marked = stored(rows.select("doc_id", P + "text", P + "sha").mapInArrow(_marked(names), schema), "content-sort")
     best = F.max("doc_id") if keep == "largest" else F.min("doc_id")
     # a run is whole within its partition, but for those that may go on over an edge
-    key = [_P + "part", _P + "run"]
-    runs = marked.groupBy(*key).agg(best.alias("keep_id"), F.count("*").alias("group_size"), F.first(_P + "sha").alias("sha"), F.max(_P + "edge").alias("edge"), F.min(_P + "part").alias("p"))
+    key = [P + "part", P + "run"]
+    runs = marked.groupBy(*key).agg(best.alias("keep_id"), F.count("*").alias("group_size"), F.first(P + "sha").alias("sha"), F.max(P + "edge").alias("edge"), F.min(P + "part").alias("p"))
     runs = stored(runs, "content-runs")
     over = runs.filter("edge").groupBy("sha").agg(best_of(keep, "keep_id").alias("k"), F.sum("group_size").alias("g"), F.min("p").alias("first_part"))
     runs = runs.join(over, (runs["sha"] == over["sha"]) & runs["edge"], "left").select(
         *key, F.coalesce("k", "keep_id").alias("keep_id"), F.coalesce("g", "group_size").alias("group_size"), (F.coalesce("first_part", "p") == F.col("p")).alias("begins")
     )
     return marked.join(runs, key).select(
-        "doc_id", "keep_id", "group_size", (F.col("begins") & (F.col(_P + "place") == 0)).alias("kept"), F.col(_P + "sha").alias("text_sha256")
+        "doc_id", "keep_id", "group_size", (F.col("begins") & (F.col(P + "place") == 0)).alias("kept"), F.col(P + "sha").alias("text_sha256")
     )
 
 
@@ -113,11 +117,12 @@ def distinct_rows(docs: DataFrame, keep: str = "largest", partitions: int | None
     The first row of each run is written. A run that crosses an edge has such a
     row in several partitions, of which the first counts; there are fewer of
     these runs than partitions, so their list is broadcast."""
-    rows = sorted_rows(docs, partitions or default_partitions(docs), keep)
-    schema = T.StructType([*docs.schema.fields, T.StructField(_P + "sha", T.StringType()), *_MARKS.fields])
-    rows = rows.drop(_P + "head", _P + "hash")
-    heads = rows.mapInArrow(_marked(schema.names[: -len(_MARKS.fields)]), schema).filter(F.col(_P + "place") == 0)
+    p = free_prefix(docs, P)
+    rows = sorted_rows(docs, partitions or default_partitions(docs), keep, p)
+    schema = T.StructType([*docs.schema.fields, T.StructField(p + "sha", T.StringType()), *marks(p).fields])
+    rows = rows.drop(p + "head", p + "hash")
+    heads = rows.mapInArrow(_marked(schema.names[: -len(marks(p).fields)], p), schema).filter(F.col(p + "place") == 0)
     heads = stored(heads, "content-heads")
-    firsts = heads.groupBy(_P + "sha").agg(F.min(_P + "part").alias(_P + "first"), F.count("*").alias(_P + "n")).filter(F.col(_P + "n") > 1)
-    kept = heads.join(F.broadcast(firsts), _P + "sha", "left").filter(F.col(_P + "first").isNull() | (F.col(_P + "part") == F.col(_P + "first")))
+    firsts = heads.groupBy(p + "sha").agg(F.min(p + "part").alias(p + "first"), F.count("*").alias(p + "n")).filter(F.col(p + "n") > 1)
+    kept = heads.join(F.broadcast(firsts), p + "sha", "left").filter(F.col(p + "first").isNull() | (F.col(p + "part") == F.col(p + "first")))
     return kept.select(*docs.columns)

@@ -11,12 +11,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
+    """The cluster's shared folder; a temporary one only where none is set and all tasks run on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all of them share")
         where = "file://" + tempfile.mkdtemp(prefix="strandtally-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -34,5 +37,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_prefix(df: DataFrame, start: str = "__own_") -> str:
+    """A prefix that no column of ``df`` begins with, whatever case it is written in."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(start) for c in taken):
+        start = "_" + start
+    return start
+
+
+def partitions_for(df: DataFrame, column: str, bytes_each: int = 128 << 20) -> int:
+    """Partitions for a shuffle that carries a text column: by its size, and no fewer than the session's number."""
+    whole = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-whole // bytes_each))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
