@@ -6,8 +6,14 @@ the pair of lowest rank of every word is found by binary search over the sorted
 keys of the vocabulary's pairs and merged, until no word has a pair left. The
 number of rounds follows the longest word's merges, not the number of words.
 
+Decoding starts from the ids alone: tokens lie in one byte array, and those of
+all ids of a batch are gathered in one step.
+
 Edge cases: a null text counts as empty and has no ids; texts of any length are
 encoded whole; special tokens in a text are recognised, as the vocabulary says.
+Repeated rows are encoded one by one; of a word's equal pairs the leftmost goes
+first. An empty table gives an empty one. Only doc_id and text are read, so
+further columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,8 +33,8 @@ from pyspark.sql import types as T
 
 from .wordscan import slices
 
-#: Most chunks between white space that a worker remembers; beyond it forgets all and goes on.
-MOST_CACHED = 400_000
+#: Most bytes of chunks between white space, with their ids, that a worker remembers; beyond it forgets all and goes on.
+MOST_CACHED = 96 << 20
 _NONE = np.iinfo(np.int64).max
 #: Python's split() also cuts at U+001C to U+001F, which Unicode doesn't count as white space.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -61,7 +67,9 @@ class WordBpe:
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.arange(len(pairs), dtype=np.int64)[order]
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)  # by rank
-        self.seen: dict[str, tuple[int, str, str]] = {}
+        self.tokens, self.numbers = pieces_of(self.token), pieces_of({i: str(i) for i in self.token})
+        self.seen: dict[str, bytes] = {}
+        self.held = 0
 
     @classmethod
     def load(cls, path: str) -> "WordBpe":
@@ -118,13 +126,14 @@ class WordBpe:
         text = text.lower()
         return [c for c in _SPACE.split(text) if c] if _ODD.search(text) else text.split()
 
-    def encode_batch(self, texts: list[str]) -> list[list[tuple[int, str, str]]]:
-        """For each text the number of ids, the ids and the tokens of its chunks, the latter two as text."""
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and where each text begins in it."""
         seen = self.seen
-        if len(seen) > MOST_CACHED:
+        if self.held > MOST_CACHED:
             seen.clear()
+            self.held = 0
         for s, i in self.special.items():
-            seen["\n" + s] = (1, str(i), s)
+            seen["\n" + s] = np.array([i], "<i4").tobytes()
         cut, met = [], set()
         for t in texts:
             own: list[str] = []
@@ -136,19 +145,46 @@ class WordBpe:
         words = list(dict.fromkeys(w for _, ws in todo for w in ws))
         number = {w: i for i, w in enumerate(words)}
         ids, first = self.merge_words(words)
-        ids, first = ids.tolist(), first.tolist()
-        token = self.token
+        raw, first = ids.astype("<i4").tobytes(), (first * 4).tolist()
         for c, ws in todo:
-            own = [x for w in ws for x in ids[first[number[w]] : first[number[w] + 1]]]
-            seen[c] = (len(own), " ".join(map(str, own)), " ".join([token[x] for x in own]))
-        return [[seen[c] for c in own] for own in cut]
+            own = b"".join([raw[first[i] : first[i + 1]] for i in map(number.__getitem__, ws)])
+            seen[c] = own
+            self.held += len(c) + len(own) + 200
+        flat = [b"".join([seen[c] for c in own]) for own in cut]
+        return np.frombuffer(b"".join(flat), "<i4"), np.cumsum([0, *map(len, flat)]) // 4
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for _, ids, _ in self.encode_batch([text])[0] for x in ids.split()]
+        return self.encode_batch([text])[0].tolist()
+
+    def decode_batch(self, ids: np.ndarray, first: np.ndarray) -> list[bytes]:
+        """The text of each run of ids, in UTF-8: the vocabulary names no decoder, so tokens are joined by spaces.
+        Ids that it doesn't have leave nothing."""
+        return joined(self.tokens, ids, first)
 
     def decode(self, ids: list[int]) -> str:
-        """The vocabulary names no decoder, so tokens are joined by spaces."""
-        return " ".join(self.token[i] for i in ids if i in self.token)
+        return self.decode_batch(np.array(ids, np.int64), np.array([0, len(ids)]))[0].decode()
+
+    def decimals(self, ids: np.ndarray, first: np.ndarray) -> list[bytes]:
+        """Each run of ids as decimal numbers with one space between."""
+        return joined(self.numbers, ids, first)
+
+
+def pieces_of(entries: dict[int, str]) -> tuple[np.ndarray, np.ndarray]:
+    """Entries by number, each with a space behind it, as one byte array; where each begins. The last one is empty."""
+    raw = [(entries[i] + " ").encode() if i in entries else b"" for i in range(max(entries) + 1)] + [b""]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def joined(table: tuple[np.ndarray, np.ndarray], ids: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """The entries of each run of ids, gathered from the table in one step, without the last space."""
+    data, begin = table
+    known = np.where((ids >= 0) & (ids < len(begin) - 1), ids, len(begin) - 2)
+    start = begin[known]
+    size = begin[known + 1] - start
+    end = np.cumsum(size)
+    out = data[np.arange(end[-1] if len(end) else 0) + np.repeat(start - end + size, size)].tobytes()
+    at = np.append(0, end)[first].tolist()
+    return [out[a : b - 1] if b > a else b"" for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -160,8 +196,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         codec = WordBpe.load(path)
         for batch in batches:
             for part in slices(batch, "text"):
-                got = [np.array(" ".join(i for _, i, _ in own).split(), np.int32) for own in codec.encode_batch(pc.fill_null(part.column("text"), "").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(got, pa.list_(pa.int32()))], names=schema.names)
+                ids, first = codec.encode_batch(pc.fill_null(part.column("text"), "").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -173,28 +209,27 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = WordBpe.load(path)
         for batch in batches:
-            text = [None if ids is None else codec.decode(ids) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], names=schema.names)
+            runs = batch.column("ids")
+            first = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False)))
+            ids = pc.fill_null(runs.flatten(), -1).to_numpy(zero_copy_only=False)
+            text = pa.array(codec.decode_batch(ids, first), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.if_else(runs.is_valid(), text, None)], names=schema.names)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, schema)
 
 
 def encode_decode_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text, encoded and decoded in one pass."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text: its ids, and the text that these ids decode to."""
     docs = docs.select("doc_id", "text")
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    sha = lambda parts: hashlib.sha256(" ".join(parts).encode()).hexdigest()
+    sha = lambda runs: pa.array([hashlib.sha256(x).hexdigest() for x in runs], pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = WordBpe.load(path)
         for batch in batches:
             for part in slices(batch, "text"):
-                n, ids, text = [], [], []
-                for own in codec.encode_batch(pc.fill_null(part.column("text"), "").to_pylist()):
-                    count, numbers, tokens = zip(*own, strict=True) if own else ((), (), ())
-                    n.append(sum(count))
-                    ids.append(sha(numbers))
-                    text.append(sha(tokens))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(text)], names=schema.names)
+                ids, first = codec.encode_batch(pc.fill_null(part.column("text"), "").to_pylist())
+                arrays = [part.column("doc_id"), pa.array(np.diff(first), pa.int64()), sha(codec.decimals(ids, first)), sha(codec.decode_batch(ids, first))]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return docs.mapInArrow(run, schema)
