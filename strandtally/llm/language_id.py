@@ -9,7 +9,10 @@ Edge cases: a null text, or one without a letter, is ``und`` with score 0, as
 are all texts if there is nothing to learn from. A null identifier counts as an
 empty text when rows are dealt to training and held-out ones. Rows without a
 label are not learned from but get a prediction; repeated rows are predicted
-one by one.
+one by one and learned from once. Of equally probable labels the first in
+alphabetical order is given, and of equally frequent ones the first is learned.
+An empty table gives an empty one; columns other than doc_id, text and lang are
+not read and may have any name.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .wordscan import raw_bytes, slices
 
@@ -30,11 +34,13 @@ LETTER[ord("A") : ord("Z") + 1] = LETTER[ord("a") : ord("z") + 1] = LETTER[0x80:
 
 @dataclass(frozen=True)
 class NetRules:
-    """hidden: units in each direction. window: bytes read at a time. texts: labelled texts of each language that
-    are learned from, about; crops: windows taken from each of them. epochs, batch, rate, seed: training."""
+    """hidden: units in each direction. window: bytes read at a time. labels: languages that are learned, at most; the
+    most frequent ones. texts: labelled texts of each language that are learned from, at most; crops: windows taken
+    from each of them. epochs, batch, rate, seed: training."""
 
     hidden: int = 8
     window: int = 96
+    labels: int = 256
     texts: int = 500
     crops: int = 4
     epochs: int = 5
@@ -184,18 +190,21 @@ def fold(doc_id: Column) -> Column:
 def train(docs: DataFrame, learn: Column, rules: NetRules = NetRules()) -> Net | None:
     """A network for the labels of the rows of ``docs`` that satisfy ``learn``; None if there are none.
 
-    About ``texts`` rows of each label are drawn by a hash; of each, ``crops`` windows go to the driver."""
+    The ``labels`` most frequent labels are learned. Of each, the ``texts`` rows with the least hash of identifier and
+    text are taken (rows equal in both count once), and ``crops`` windows of each go to the driver."""
     docs = docs.filter(learn & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "lang")
-    count = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each label
+    count = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(rules.labels).collect()}
     if not count:
         return None
     labels = sorted(count)
-    pick = F.lit(False)
-    for lang in labels:
-        pick = pick | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rules.texts / count[lang]))))
+    # by hash, some more rows than needed, so that few are sorted; the window has the exact number
+    drawn = F.xxhash64("doc_id", "text")
+    share = F.element_at(F.create_map(*(F.lit(x) for lang in labels for x in (lang, min(1.0, 3.0 * rules.texts / count[lang])))), F.col("lang"))
+    some = docs.filter(F.col("lang").isin(labels)).withColumn("order", drawn).filter(F.shiftrightunsigned("order", 1) < share * float(2**63))
+    some = some.dropDuplicates(["lang", "order"]).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).filter(F.col("rank") <= rules.texts)
     room = F.greatest(F.length("text") - rules.window, F.lit(1))
-    crops = F.array(*(F.substring(F.col("text"), (1 + F.pmod(F.xxhash64("doc_id", F.lit(i)), room)).cast("int"), F.lit(rules.window)) for i in range(rules.crops)))
-    rows = docs.filter(pick).select("lang", crops.alias("crops"), F.xxhash64("doc_id", "text").alias("order")).collect()
+    crops = F.array(*(F.substring(F.col("text"), (1 + F.pmod(F.xxhash64("order", F.lit(i)), room)).cast("int"), F.lit(rules.window)) for i in range(rules.crops)))
+    rows = some.select("lang", crops.alias("crops"), "order").collect()  # labels * texts rows at most
     rows.sort(key=lambda r: (r.order, r.lang))
     number = {lang: i for i, lang in enumerate(labels)}
     x = [np.frombuffer(c.encode()[: rules.window].ljust(rules.window), np.uint8) for r in rows for c in r.crops]
