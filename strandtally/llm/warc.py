@@ -13,6 +13,9 @@ object stores), by the address of the shared folder.
 Edge cases: null html counts as empty; a null URL is left out of the record;
 rows equal in page_id and payload are all responses if that page_id is the
 smallest of its payload; a null page_id is smallest only if there is no other.
+Identifiers and URLs of any characters are escaped. An empty table gives an
+empty index; only page_id, url and html are read, so further columns may have
+any name.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -41,11 +45,26 @@ _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload and refers_to (null for responses) of every page.
 
-    Payloads of ``least_bytes`` or more that equal that of a page with a smaller page_id are revisits."""
-    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("sha", F.sha1(F.col("payload").cast("binary")))
-    first = pages.groupBy("sha").agg(F.min("page_id").alias("first"))
-    again = ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("payload") >= least_bytes)
-    return pages.join(first, "sha").select("page_id", "url", "payload", F.when(again, F.col("first")).alias("refers_to"))
+    Payloads of ``least_bytes`` or more that equal that of a page with a smaller page_id are revisits. Equal means equal
+    in length and SHA-256. Payloads that over a thousandth of all repeated pages have, fewer than a thousand of them, are
+    broadcast, so that no task takes all pages of one payload; the others are joined by digest."""
+    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
+    size = F.octet_length("payload")
+    pages = pages.withColumn("sha", F.concat_ws("-", F.sha2(F.col("payload").cast("binary"), 256), size.cast("string")))
+    first = stored(pages.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL"), "warc-copies")
+    rows = first.agg(F.sum("n")).first()[0] or 0
+    often = first.filter(F.col("n") > rows / 1000).select("sha", F.col("first").alias("often"))
+    rest = first.filter(F.col("n") <= rows / 1000).select("sha", "first")
+    met = pages.join(F.broadcast(often), "sha", "left")
+    again = lambda of: F.when(~F.col("page_id").eqNullSafe(of) & (F.octet_length("payload") >= least_bytes), of)
+    hot = met.filter("often IS NOT NULL").select("page_id", "url", "payload", again(F.col("often")).alias("refers_to"))
+    others = met.filter("often IS NULL").join(rest, "sha", "left")
+    return hot.unionByName(others.select("page_id", "url", "payload", F.when(F.col("first").isNotNull(), again(F.col("first"))).alias("refers_to")))
+
+
+def urn(page_id: object) -> str:
+    """A record's name; all but letters, digits and some signs are escaped, so that any identifier keeps to its line."""
+    return "<urn:no-page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
 
 
 def record(page_id: object, url: str | None, payload: bytes, refers_to: object, date: str) -> tuple[bytes, str]:
@@ -54,9 +73,9 @@ def record(page_id: object, url: str | None, payload: bytes, refers_to: object,
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {urn(page_id)}", f"WARC-Date: {date}",
         *([] if url is None else ["WARC-Target-URI: " + _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url)]), f"WARC-Payload-Digest: sha1:{digest}",
-        *([] if refers_to is None else [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {_PROFILE}"]),
+        *([] if refers_to is None else [f"WARC-Refers-To: {urn(refers_to)}", f"WARC-Profile: {_PROFILE}"]),
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", digest
@@ -108,7 +127,8 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes, bytes]:
 def read_records(index: DataFrame, folder: str, most_gap: int = 64 << 10, most_read: int = 8 << 20, partitions: int | None = None, with_payload: bool = False) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to (and payload) of the records of ``index``."""
     id_type = index.schema["page_id"].dataType
-    n = partitions or max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    whole = index.agg(F.sum("length")).first()[0] or 0
+    n = partitions or max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-whole // (64 << 20)))
     rows = index.select("page_id", "file", "offset", "length", "digest").repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
     schema = T.StructType([
         T.StructField("page_id", id_type), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()),
@@ -145,7 +165,7 @@ def read_records(index: DataFrame, folder: str, most_gap: int = 64 << 10, most_r
                         raise ValueError(f"{name}: the record at {offset} doesn't match its digest")
                     size = int(re.search(rb"Content-Length: (\d+)", http)[1])
                     refers = fields.get("warc-refers-to")
-                    for c, v in zip(cols, (size, given, kind, refers and refers.removeprefix("<urn:page:").removesuffix(">"), payload), strict=True):
+                    for c, v in zip(cols, (size, given, kind, refers and unquote(refers.removeprefix("<urn:page:").removesuffix(">")), payload), strict=True):
                         c.append(v)
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
                 arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)][: 4 + with_payload]
