@@ -5,8 +5,9 @@ word windows). Ratios of these counts are gathered in mergeable quantile
 sketches, one per language, source and ratio: logarithmic bins with counts, so
 that two sketches merge by adding bins and a quantile is off by one bin width at
 most, whatever the order of merging. A text is rejected by the base rules, or
-when a ratio lies beyond the upper fence of its own language and source. Groups
-too small for a fence take that of their language, then that of all texts.
+when a ratio lies beyond the upper fence of its own language and source. The
+fewer texts a group has, the nearer its fence is drawn to that of its language,
+and that to the fence of all texts.
 
 Edge cases: a null or empty text has no words and fails the base rules; null
 language or source form groups of their own; repeated rows are judged one by
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import stored
+from .shared import free_prefix, stored
 from .wordscan import per_doc, scan, slices, span_hashes, windows
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -40,13 +41,14 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 class Rules:
     """min_words, most_repeated: base rules. fence: a ratio may exceed the upper
     quartile by this many times the larger of the interquartile range and of
-    ``floor``. min_group: fewest texts that make a fence of their own. width:
-    relative width of a sketch's bins."""
+    ``floor``. weight: a group of n texts takes n / (n + weight) of its own fence
+    and the rest from its language's, as that does from the fence of all texts.
+    width: relative width of a sketch's bins."""
 
     min_words: int = 50
     most_repeated: float = 50.0
     fence: float = 6.0
-    min_group: int = 50
+    weight: float = 10.0
     width: float = 0.02
     floors: tuple[tuple[str, float], ...] = (("symbol_ratio", 0.004), ("dup_line_ratio", 0.02), ("repeat_ratio", 0.05), ("long_words", 0.6))
 
@@ -143,56 +145,57 @@ def fences(counted: DataFrame, rules: Rules, prefix: str = "") -> DataFrame:
     own = stored(own, "quality-sketches")  # small: bins of groups, not texts
     floor = F.create_map(*(F.lit(v) for pair in rules.floors for v in pair))
 
-    def fence(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    def fence(sketch: DataFrame, keys: list[str], mark: str) -> DataFrame:
         w = Window.partitionBy(*keys, "ratio")
         at = sketch.select(*keys, "ratio", "bin", "n", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("all"))
         value = F.when(F.col("bin") == -10_000, 0.0).otherwise(F.pow(F.lit(1 + rules.width), F.col("bin") + 0.5))
         q = lambda p: F.min(F.when(F.col("upto") >= F.col("all") * p, value))
         q1, q3 = q(0.25), q(0.75)
         got = at.groupBy(*keys, "ratio").agg(F.max("all").alias("all"), (q3 + rules.fence * F.greatest(q3 - q1, F.element_at(floor, F.col("ratio")))).alias("top"))
-        got = got.filter(F.col("all") >= rules.min_group)
-        return got.groupBy(*keys).agg(*(F.max(F.when(F.col("ratio") == n, F.col("top"))).alias(n) for n in names))
+        return got.groupBy(*keys).agg(F.max("all").alias(f"n_{mark}"), *(F.max(F.when(F.col("ratio") == n, F.col("top"))).alias(f"{n}_{mark}") for n in names))
 
     merged = lambda keys: own.groupBy(*keys, "ratio", "bin").agg(F.sum("n").alias("n"))
-    suffixed = lambda df, s: df.select(*(c for c in df.columns if c not in names), *(F.col(n).alias(f"{n}_{s}") for n in names))
-    groups = own.select("g_lang", "g_source").distinct()
-    a, b, c = suffixed(fence(own, ["g_lang", "g_source"]), "own"), suffixed(fence(merged(["g_lang"]), ["g_lang"]), "lang"), suffixed(fence(merged([]), []), "all")
-    out = (
-        groups.alias("g").join(a.alias("a"), F.col("g.g_lang").eqNullSafe(F.col("a.g_lang")) & F.col("g.g_source").eqNullSafe(F.col("a.g_source")), "left")
-        .join(b.alias("b"), F.col("g.g_lang").eqNullSafe(F.col("b.g_lang")), "left")
-        .join(F.broadcast(c), F.lit(True), "left")  # one row at most
-    )
-    top = [F.coalesce(F.col(f"{n}_own"), F.col(f"{n}_lang"), F.col(f"{n}_all"), F.lit(float("inf"))).alias(FENCE + n) for n in names]
-    out = stored(out.select(F.col("g.g_lang").alias(FENCE + "lang"), F.col("g.g_source").alias(FENCE + "source"), *top), "quality-fences")
-    return F.broadcast(out) if out.count() <= MOST_BROADCAST else out
+    a, b, c = fence(own, ["g_lang", "g_source"], "own"), fence(merged(["g_lang"]), ["g_lang"], "lang"), fence(merged([]), [], "all")
+    out = a.alias("a").join(b.alias("b"), F.col("a.g_lang").eqNullSafe(F.col("b.g_lang"))).join(F.broadcast(c), F.lit(True))  # c is one row
+    drawn = lambda n, mark, up: (F.col(f"n_{mark}") * F.col(f"{n}_{mark}") + rules.weight * up) / (F.col(f"n_{mark}") + rules.weight)
+    top = [drawn(n, "own", drawn(n, "lang", F.col(f"{n}_all"))).alias(FENCE + n) for n in names]
+    return stored(out.select(F.col("a.g_lang").alias(FENCE + "lang"), F.col("a.g_source").alias(FENCE + "source"), F.col("n_own").alias(FENCE + "n"), *top), "quality-fences")
 
 
-def judged(docs: DataFrame, rules: Rules = Rules(), prefix: str = "") -> DataFrame:
-    """``docs`` with counts, ``base_failed`` and ``kept`` (all named with ``prefix``)."""
-    counted = with_counts(docs, prefix)
-    tops = fences(stored(with_counts(docs.select("text", "lang", "source"), prefix).drop("text"), "quality-counts"), rules, prefix)
+def within_fences(counted: DataFrame, tops: DataFrame, rules: Rules, prefix: str = "") -> DataFrame:
+    """``counted`` with ``base_failed`` and ``kept`` (named with ``prefix``): no ratio is above the fence of the text's group.
+
+    Up to MOST_BROADCAST groups are broadcast. Of more, only those with over a ten thousandth of all texts are, and
+    their texts are dealt by number in the join with the others, so that no task takes all texts of one group."""
     names = [n for n, _ in rules.floors]
-    r = ratios(prefix)
-    fine = F.lit(True)
+    r, failed, fine = ratios(prefix), base_failed(rules, prefix), F.lit(True)
+    groups, whole = tops.agg(F.count("*"), F.sum(FENCE + "n")).first()
+    often = tops if groups <= MOST_BROADCAST else tops.filter(F.col(FENCE + "n") > whole / 10_000)
+    alike = lambda t: counted["lang"].eqNullSafe(t[FENCE + "lang"]) & counted["source"].eqNullSafe(t[FENCE + "source"])
+    joined, top = counted.join(F.broadcast(often), alike(often), "left"), {n: often[FENCE + n] for n in names}
+    if groups > MOST_BROADCAST:
+        rest = tops.filter(F.col(FENCE + "n") <= whole / 10_000).select(*(F.col(c).alias("rest" + c) for c in tops.columns), F.lit(0).alias("rest_deal"))
+        deal = F.when(often[FENCE + "n"].isNull(), 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("int"))
+        same = counted["lang"].eqNullSafe(rest[f"rest{FENCE}lang"]) & counted["source"].eqNullSafe(rest[f"rest{FENCE}source"]) & (deal == rest["rest_deal"])
+        joined, top = joined.join(rest, same, "left"), {n: F.coalesce(often[FENCE + n], rest[f"rest{FENCE}{n}"]) for n in names}
     for n in names:
-        fine = fine & F.coalesce(r[n] <= F.col(FENCE + n), F.lit(True))
-    failed = base_failed(rules, prefix)
-    joined = counted.join(tops, counted["lang"].eqNullSafe(tops[FENCE + "lang"]) & counted["source"].eqNullSafe(tops[FENCE + "source"]), "left")
+        fine = fine & F.coalesce(r[n] <= top[n], F.lit(True))
     return joined.select(*(counted[c] for c in counted.columns), failed.alias(prefix + "base_failed"), (~failed & fine).alias(prefix + "kept"))
 
 
+def judged(docs: DataFrame, rules: Rules = Rules(), prefix: str = "") -> DataFrame:
+    """``docs`` with counts, ``base_failed`` and ``kept`` (all named with ``prefix``)."""
+    tops = fences(stored(with_counts(docs.select("text", "lang", "source"), prefix).drop("text"), "quality-counts"), rules, prefix)
+    return within_fences(with_counts(docs, prefix), tops, rules, prefix)
+
+
 def quality_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row for each text: doc_id, the counts, base_failed and kept."""
     counted = stored(with_counts(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality-counts")
-    tops = fences(counted, rules)
-    r, failed, fine = ratios(), base_failed(rules), F.lit(True)
-    for n, _ in rules.floors:
-        fine = fine & F.coalesce(r[n] <= F.col(FENCE + n), F.lit(True))
-    joined = counted.join(tops, counted["lang"].eqNullSafe(tops[FENCE + "lang"]) & counted["source"].eqNullSafe(tops[FENCE + "source"]), "left")
-    return joined.select("doc_id", *COUNTS, failed.alias("base_failed"), (~failed & fine).alias("kept"))
+    return within_fences(counted, fences(counted, rules), rules).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    p = "__quality_"
+    p = free_prefix(docs, "__quality_")
     return judged(docs, rules, p).filter(F.col(p + "kept")).select(*docs.columns)
