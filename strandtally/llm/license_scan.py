@@ -2,18 +2,21 @@
 
 A sparse logistic regression over word n-grams, trained with Spark's own
 implementation on licence notices and on prose that merely speaks of licences,
-gives each paragraph a family. A paragraph whose best probability stays below a
-threshold is unknown; the threshold is calibrated on variants of the training
-paragraphs from which words were left out. A prediction counts only if the
-paragraph also has most of the word n-grams of one of the family's notices.
+gives every paragraph a family or the class unknown. A prediction must reach a
+threshold, which is calibrated on sentences and variants that were not trained
+on, and counts only if the paragraph also has most of the word n-grams of one
+of the family's notices.
 
-Paragraphs end at blank lines; their wrapped lines are joined. A paragraph is
-read by its lines and by overlapping windows of its words, each longer than
-two notices, and has the families that any of them confirms. Of these, only
-such with a word that every notice has one of are classified.
+Paragraphs end at blank lines; their wrapped lines are joined. Every paragraph
+is classified: by overlapping windows of its words, each longer than two
+notices, and by its lines; it has the families that any of them confirms.
 
 Edge cases: a null or empty text has no paragraphs; repeated rows are scanned
-one by one; several families in one text are all named.
+one by one; several families in one text are all named; of equally probable
+families the first in the order of NOTICES is predicted. A line of more words
+than a window is read by windows alone, so very long lines and texts cost no
+more than others of their length. An empty table gives an empty one; only
+doc_id and text are read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -61,6 +64,40 @@ NOTICES = {
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ],
+    "LGPL": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    ],
+    "AGPL": [
+        "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "CC0-1.0": [
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "Released under the CC0 1.0 Universal public domain dedication.",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "Licensed under the Eclipse Public License, version 2.0.",
+    ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Released under the Mozilla Public License 2.0.",
@@ -84,26 +121,44 @@ PROSE = [
     "MIT students released a binary star catalogue.",
     "The doctor is licensed to practise in three states.",
     "A fishing licence is needed at the lake and a copy of it must be carried.",
+    "The software of the ticket machine was modified without notice and the public was angry.",
+    "Persons who distribute leaflets in the station need a permit from the general office.",
+    "The library is free and you can return a book under the terms on the card.",
+    "He waived the fee and released the bird into the public garden.",
+    "In no event did the authors arrive before the evening meal.",
+    "The materials and the program of the summer school are available at the entrance.",
+    "The terms of the lease were published by the foundation in the spring.",
+    "The origin of the river must be found before the winter.",
 ]
+#: Paragraphs with such a word that aren't confirmed are counted in n_unknown. What is classified doesn't depend on it.
 CUES = r"(?i)licen[sc]e|copyright|permission|redistribut|warrant"
 UNKNOWN = "unknown"
 #: Words in a window; the next begins half a window later, so a notice of up to that half lies within one.
 WINDOW = 80
 
 
-def parts(paragraph: Column) -> Column:
-    """A paragraph's windows of words and its lines, those with a cue."""
-    words = F.filter(F.split(paragraph, r"\s+"), lambda w: w != "")
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.+-]+|[.]+(?=\s|$)"), lambda w: w != "")
+
+
+def units(paragraph: Column) -> Column:
+    """The word arrays by which a paragraph is read: windows of its words, and its lines of up to a window's length."""
+    lines = F.transform(F.split(paragraph, "\n"), words_of)
+    words = F.flatten(lines)
     starts = F.sequence(F.lit(1), F.greatest(F.size(words) - WINDOW // 2, F.lit(1)), F.lit(WINDOW // 2))
-    windows = F.transform(starts, lambda i: F.array_join(F.slice(words, i, WINDOW), " "))
-    return F.array_distinct(F.filter(F.concat(windows, F.split(paragraph, "\n")), lambda x: x.rlike(CUES)))
+    windows = F.transform(starts, lambda i: F.slice(words, i, WINDOW))
+    short = F.filter(lines, lambda x: F.size(x) <= WINDOW)
+    return F.filter(F.concat(windows, F.when(F.size(lines) > 1, short).otherwise(F.slice(short, 1, 0))), lambda x: F.size(x) > 0)
 
 
-def grams(text: Column) -> Column:
-    """Distinct word n-grams, one to three words, in lower case."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.+-]+|[.]+(?=\s|$)"), lambda w: w != "")
-    runs = lambda w, k: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(words, runs(words, 2), runs(words, 3)))
+def grams(words: Column) -> Column:
+    """Word n-grams of an array of words, one to three words each; all of them, in order."""
+    none = F.array().cast("array<string>")
+    n = F.size(words)
+    follow = lambda runs, k: F.zip_with(F.slice(runs, F.lit(1), n - k), F.slice(words, k + 1, n - k), lambda a, b: F.concat_ws(" ", a, b))
+    two = F.when(n >= 2, follow(words, 1)).otherwise(none)
+    three = F.when(n >= 3, follow(follow(words, 1), 2)).otherwise(none)
+    return F.concat(words, two, three)
 
 
 class LicenseModel:
@@ -112,56 +167,65 @@ class LicenseModel:
     def __init__(self, terms: CountVectorizerModel, net: LogisticRegressionModel, families: list[str], threshold: float, coverage: float) -> None:
         self.terms, self.net, self.families, self.threshold, self.coverage = terms, net, families, threshold, coverage
 
-    def scores(self, paragraphs: DataFrame, grams_column: str) -> DataFrame:
-        """``paragraphs`` with probability p and family of the best class."""
-        out = self.net.transform(self.terms.transform(paragraphs))
-        p = vector_to_array("__p")
-        names = F.array(*map(F.lit, self.families))
-        return out.withColumn("p", F.array_max(p)).withColumn("family", F.element_at(names, F.array_position(p, F.array_max(p)).cast("int"))).drop("__x", "__raw", "__p", "__best")
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with a column grams) with the most probable family, and the vector __p of all probabilities."""
+        out = self.net.transform(self.terms.transform(rows))
+        return out.withColumn("family", F.element_at(F.array(*map(F.lit, self.families)), F.col("__best").cast("int") + 1)).drop("__x", "__raw", "__best")
 
 
-def train(spark: SparkSession, coverage: float = 0.6, keep_unknown: float = 0.98) -> LicenseModel:
-    """A model from the notices and the prose above. Variants leave out every k-th word, so that a paragraph
-    need not be word for word. keep_unknown: share of the prose variants that must fall below the threshold."""
+def examples(spark: SparkSession, left_out: tuple[int, ...], prose: list[str]) -> DataFrame:
+    """(label, text, grams) of notices and prose; of each also the variants without every k-th word, k in ``left_out``,
+    so that a paragraph need not be word for word (0: the whole sentence)."""
     families = [*NOTICES, UNKNOWN]
-    rows = [(float(families.index(f)), t) for f, ts in [*NOTICES.items(), (UNKNOWN, PROSE)] for t in ts]
+    rows = [(float(families.index(f)), t) for f, ts in [*NOTICES.items(), (UNKNOWN, prose)] for t in ts]
     whole = spark.createDataFrame(rows, "label double, text string").coalesce(1)
     words = F.split("text", " ")
-    variants = whole.withColumn("k", F.explode(F.array(*map(F.lit, (0, 3, 4, 5, 7))))).withColumn(
+    variants = whole.withColumn("k", F.explode(F.array(*map(F.lit, left_out)))).withColumn(
         "text", F.when(F.col("k") == 0, F.col("text")).otherwise(F.array_join(F.filter(words, lambda w, i: (i % F.col("k")) != F.col("k") - 1), " "))
     )
     # words alone, without the notices' sentences, are prose as well
     mixed = whole.filter(F.col("label") < len(NOTICES)).select(F.lit(float(len(NOTICES))).alias("label"), F.array_join(F.filter(words, lambda w, i: i % 4 == 1), " ").alias("text"), F.lit(1).alias("k"))
-    data = variants.select("label", "text", "k").unionByName(mixed).withColumn("grams", grams(F.col("text"))).cache()
+    return variants.select("label", "text", "k").unionByName(mixed).withColumn("grams", grams(words_of(F.col("text"))))
+
+
+def train(spark: SparkSession, coverage: float = 0.6, keep_unknown: float = 0.98) -> LicenseModel:
+    """A model from the notices and the prose above. Each third sentence of the prose, and variants of notices that
+    are not trained on, calibrate the threshold: keep_unknown is the share of that prose that must fall below it."""
+    families = [*NOTICES, UNKNOWN]
+    data = stored(examples(spark, (0, 3, 5, 7), [t for i, t in enumerate(PROSE) if i % 3]), "license-examples")  # some hundred rows
     terms = CountVectorizer(inputCol="grams", outputCol="__x", binary=True, minDF=1).fit(data)
     net = LogisticRegression(featuresCol="__x", labelCol="label", family="multinomial", regParam=0.003, elasticNetParam=0.1, maxIter=60, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__best").fit(terms.transform(data))
     model = LicenseModel(terms, net, families, 0.0, coverage)
-    prose = model.scores(data, "grams").filter(F.col("label") == len(NOTICES)).withColumn("p", F.when(F.col("family") == UNKNOWN, 0.0).otherwise(F.col("p")))
-    model.threshold = max(0.5, float(prose.agg(F.expr(f"percentile(p, {keep_unknown})")).first()[0]))
-    data.unpersist()
+    apart = model.predict(examples(spark, (4, 6), PROSE[::3])).filter(F.col("label") == len(NOTICES))
+    p = F.when(F.col("family") == UNKNOWN, 0.0).otherwise(F.array_max(vector_to_array("__p")))
+    model.threshold = max(0.5, float(apart.agg(F.percentile(p, keep_unknown)).first()[0]))
     return model
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
-    """One row for each text: doc_id, licenses (families, sorted and comma-joined), n_license and n_unknown (its
-    paragraphs with a cue that are and aren't confirmed), score (best probability of a confirmed one, or 0)."""
+    """One row for each text: doc_id, licenses (families, sorted and comma-joined), n_license (paragraphs with a
+    confirmed family), n_unknown (others that have a word of CUES), score (best probability of a confirmed one, or 0)."""
     spark = docs.sparkSession
     model = model or train(spark)
-    paragraphs = F.filter(F.split("text", r"\r?\n[^\S\n]*\n\s*"), lambda x: x.rlike(CUES))
-    found = F.when(F.col("text").rlike(CUES), paragraphs).otherwise(F.array().cast("array<string>"))
-    base = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(found, F.array().cast("array<string>")).alias("paragraphs")), "license-paragraphs")
-    lines = base.select("row", F.posexplode("paragraphs").alias("at", "paragraph")).select("row", "at", F.explode(parts(F.col("paragraph"))).alias("line")).withColumn("grams", grams(F.col("line")))
-    scored = model.scores(lines, "grams")
-    notices = spark.createDataFrame([(f, t) for f, ts in NOTICES.items() for t in ts], "family string, text string").select("family", grams(F.col("text")).alias("g"))
+    none = F.array().cast("array<string>")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")  # numbered before rows multiply
+    rows = rows.select("row", "doc_id", F.posexplode_outer(F.split("text", r"\r?\n[^\S\n]*\n\s*")).alias("at", "paragraph"))
+    rows = rows.select("row", "doc_id", "at", F.coalesce(F.col("paragraph").rlike(CUES), F.lit(False)).alias("cue"), F.posexplode_outer(units(F.col("paragraph"))).alias("u", "words"))
+    scored = model.predict(rows.withColumn("grams", grams(F.coalesce("words", none))))
+    # what was predicted, and a row for each text and for each paragraph with a cue
+    first = (F.coalesce("u", F.lit(0)) == 0) & ((F.coalesce("at", F.lit(0)) == 0) | F.col("cue"))
+    named = F.col("family") != UNKNOWN
+    few = scored.filter(named | first).select("row", "doc_id", "at", "cue", "family", F.when(named, F.array_max(vector_to_array("__p"))).alias("p"), F.when(named, F.col("grams")).alias("grams"))
+    notices = spark.createDataFrame([(f, t) for f, ts in NOTICES.items() for t in ts], "family string, text string").select("family", F.array_distinct(grams(words_of(F.col("text")))).alias("g"))
     notices = notices.groupBy("family").agg(F.collect_list("g").alias("notices"))  # a fixed, small table
     best = F.array_max(F.transform("notices", lambda g: F.size(F.array_intersect(g, F.col("grams"))) / F.size(g)))
-    judged = scored.join(F.broadcast(notices), "family", "left").select(
-        "row", "at", "family", "p", (F.coalesce(best >= model.coverage, F.lit(False)) & (F.col("p") >= model.threshold)).alias("ok")
+    ok = F.coalesce(best >= model.coverage, F.lit(False)) & F.coalesce(F.col("p") >= model.threshold, F.lit(False))
+    judged = stored(few.join(F.broadcast(notices), "family", "left").select("row", "doc_id", "at", "cue", "family", "p", ok.alias("ok")), "license-found")
+    found = judged.groupBy("row", "at").agg(
+        F.first("doc_id").alias("doc_id"), F.bool_or("cue").alias("cue"), F.collect_set(F.when(F.col("ok"), F.col("family"))).alias("families"), F.bool_or("ok").alias("ok"), F.max(F.when(F.col("ok"), F.col("p"))).alias("p"),
     )
-    found = judged.groupBy("row", "at").agg(F.collect_set(F.when(F.col("ok"), F.col("family"))).alias("families"), F.bool_or("ok").alias("ok"), F.max(F.when(F.col("ok"), F.col("p"))).alias("p"))
     each = found.groupBy("row").agg(
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))), ",").alias("licenses"),
-        F.count_if("ok").alias("n_license"), F.count_if(~F.col("ok")).alias("n_unknown"), F.max("p").alias("score"),
+        F.first("doc_id").alias("doc_id"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))), ",").alias("licenses"),
+        F.count_if("ok").alias("n_license"), F.count_if(F.col("cue") & ~F.col("ok")).alias("n_unknown"), F.coalesce(F.max("p"), F.lit(0.0)).alias("score"),
     )
-    out = base.drop("paragraphs").join(each, "row", "left")
-    return out.select("doc_id", F.coalesce("licenses", F.lit("")).alias("licenses"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_license", "n_unknown")), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return each.drop("row")
