@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -12,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -195,6 +197,56 @@ def test_pii(spark, rows):
     assert all(clean[d] == t for d, t in rows if not got[d].spans)
 
 
+def contextual(n=400, hidden=0.15):
+    """Texts with identifiers in a few contexts; a share of them has a form that no base pattern matches."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 8)))
+    seen = {
+        "email": (lambda: f"{word()}{rng.randint(1, 99)}@{word()}.org", lambda: f"{word()}{rng.randint(1, 99)}@{word()}"),
+        "ip": (lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4)), lambda: "-".join(str(rng.randint(1, 255)) for _ in range(4))),
+        "phone": (lambda: f"+{rng.randint(10**10, 10**11 - 1)}", lambda: f"{rng.randint(100, 999)}-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}"),
+    }
+    places = {"email": ["please write to {} for details", "contact email: {} or come by"], "ip": ["the server at {} went down", "login from {} was refused"], "phone": ["call me on {} after noon", "phone number: {} office only"]}
+    rows, want = [], []
+    for i in range(n):
+        kind = rng.choice(list(seen))
+        form = rng.choice(places[kind])
+        odd = rng.random() < hidden
+        value = seen[kind][odd]()
+        front = " ".join(word() for _ in range(rng.randint(0, 9)))
+        if rng.random() < 0.3:
+            front += f" number {rng.randint(1, 10**8)} of {rng.randint(1, 99)}"
+        text = f"{front} {form.format(value)} " + " ".join(word() for _ in range(rng.randint(0, 9)))
+        rows.append((i, text))
+        if odd:
+            want.append((i, kind, text.index(value), text.index(value) + len(value)))
+    return rows, want
+
+
+def test_pii_graph(spark, rows):
+    every, hidden = contextual()
+    for docs in (every, [*rows, *((1000 + i, t) for i, t in every[:60])]):
+        got = []
+        place = {d: i for i, (d, _) in enumerate(docs)}
+        for r in pii.find_pii(table(spark, docs)).collect():
+            base = {f"{k}:{a}:{b}" for k, a, b in brute.pii(dict(docs)[r.doc_id])}
+            got += [(place[r.doc_id], k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x and x not in base)]
+        assert sorted(got) == brute.pii_graph(docs) and got
+        if docs is every:
+            assert len({*got} & {*hidden}) >= 0.9 * len(hidden) and len(got) <= 1.02 * len(hidden)
+
+
+def test_pii_in_long_texts(spark):
+    line = "call +1 (234) 555-6789 or a.b@c.org from 10.0.0.1 now x9 "
+    docs = [(1, line * 3000), (2, "é😀 " * 3000 + line)]
+    got = {r.doc_id: r for r in pii.find_pii(table(spark, docs)).collect()}
+    for d, t in docs:
+        spans = brute.pii(t)
+        assert got[d].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest() and got[d].n_ip == sum(s[0] == "ip" for s in spans)
+    clean = {r.doc_id: r.text for r in pii.redact(table(spark, docs)).collect()}
+    assert clean == {d: t.replace("+1 (234) 555-6789", "<PHONE>").replace("a.b@c.org", "<EMAIL>").replace("10.0.0.1", "<IP>") for d, t in docs}
+
+
 def test_no_python_in_native_plans(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     for out in (pii.find_pii(docs), license_scan.scan_licenses(docs)):
@@ -276,6 +328,68 @@ def test_wrapped_licenses(spark):
     assert got == {1: ("GPL", 1, 0), 2: ("BSD", 1, 0), 3: ("BSD,GPL", 2, 0), 4: ("GPL", 1, 0), 5: ("", 0, 0), 6: ("", 0, 0)}
 
 
+def wrapped(text, width=72, mark=""):
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+FULL = {
+    "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+}
+
+
+def test_full_notices_however_wrapped(spark):
+    docs, want = [], {}
+    for i, (family, text) in enumerate(FULL.items()):
+        for k, form in enumerate((text, wrapped(text), wrapped(text, 60, "# "), wrapped(text, 72, " * "), wrapped(text, 40))):
+            docs.append((10 * i + k, f"Notes on the tool\n\n{form}\n\nThe end."))
+            want[10 * i + k] = family
+    got = {r.doc_id: r.licenses for r in license_scan.scan_licenses(table(spark, docs)).collect()}
+    assert got == want
+
+
+def test_licences_against_a_plain_version(spark):
+    """The same decisions paragraph by paragraph in Python, from the model's weights."""
+    model = license_scan.train(spark)
+    rng = random.Random(4)
+    pool = [*(x for xs in license_scan.NOTICES.values() for x in xs), *license_scan.PROSE, *FULL.values()]
+    texts = [(i, "\n\n".join(wrapped(" ".join(w for w in rng.choice(pool).split() if rng.random() > 0.1), rng.choice((30, 72, 400))) for _ in range(rng.randint(0, 4)))) for i in range(120)]
+    number = {w: i for i, w in enumerate(model.terms.vocabulary)}
+    weights, shift = model.net.coefficientMatrix.toArray(), model.net.interceptVector.toArray()
+    words_of = lambda t: [w for w in regex.split(r"[^\p{L}\p{N}.+-]+|[.]+(?=\s|$)", t.lower()) if w]
+    grams = lambda w: {" ".join(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1)}
+    notices = {f: [grams(words_of(t)) for t in ts] for f, ts in license_scan.NOTICES.items()}
+
+    def family(w):
+        own = grams(w)
+        logits = shift + weights[:, sorted(number[g] for g in own if g in number)].sum(1)
+        p = np.exp(logits - logits.max())
+        best, p = model.families[int(p.argmax())], p.max() / p.sum()
+        fine = best != license_scan.UNKNOWN and p >= model.threshold and max(len(g & own) / len(g) for g in notices[best]) >= model.coverage
+        return best if fine else None
+
+    def plain(text):
+        found, n = set(), 0
+        for paragraph in regex.split(r"\r?\n[^\S\n]*\n\s*", text):
+            lines = [words_of(x) for x in paragraph.split("\n")]
+            w = [x for line in lines for x in line]
+            parts = [w[i : i + 80] for i in range(0, max(len(w) - 40, 1), 40)] + [x for x in lines if len(lines) > 1 and len(x) <= 80]
+            own = {family(x) for x in parts if x} - {None}
+            found |= own
+            n += bool(own)
+        return ",".join(sorted(found)), n
+
+    got = {r.doc_id: (r.licenses, r.n_license) for r in license_scan.scan_licenses(table(spark, texts), model).collect()}
+    assert got == {i: plain(t) for i, t in texts} and sum(bool(x) for x, _ in got.values()) > 40
+
+
 def test_quality(spark, rows):
     every = [*((d, t, "en", "s") for d, t in rows), (900, None, None, None), (901, "a b a b a b a b", "en", "s"), (902, "x y z\nx y z\n\n \nx y z ", "fr", None)]
     got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(every, "doc_id long, text string, lang string, source string").repartition(3)).collect()}
