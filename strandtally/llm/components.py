@@ -3,6 +3,11 @@
 Edges are rewired so that each vertex points to the smallest vertex it knows
 of; a few rounds of two groupings leave a star for each component. Every round
 is written to the shared folder, which ends its lineage.
+
+Edge cases: edges with a null end, and from a vertex to itself, link nothing and
+are left out; repeated edges count once; an empty table has no vertices. Rounds
+grow with the logarithm of the longest path; beyond ``most_rounds``, far more
+than any table of edges needs, that is an error.
 """
 
 from __future__ import annotations

@@ -16,7 +16,13 @@ classes in one component already, so the components are exact.
 
 Edge cases: a null text, or one without words, has an empty set and is linked
 with nothing; repeated rows are members of one class; a null identifier never
-becomes a component's identifier unless the component has no other.
+becomes a component's identifier unless the component has no other. Of tokens
+equally rare the smaller hash comes first, which changes no result. An empty
+table gives an empty one; only doc_id and text are read by the join, so further
+columns may have any name.
+
+Sets and texts are known by over 100 bits of hash, shingles by 64: two shingles
+of one pair of texts of a thousand words are alike by chance once in 10^13 pairs.
 """
 
 from __future__ import annotations
@@ -32,11 +38,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import stored
+from .shared import free_prefix, stored
 from .wordscan import mix, scan, slices, windows
 
 _CHUNK = 4096  # cells of the count table in one row
 _SALTS = (np.uint64(0x8F14E45FCEEA167A), np.uint64(0xC9F0F895FB98AB91))
+#: A class in Spark: below 2^126, so that it fits in 38 digits.
+CLASS = T.DecimalType(38, 0)
+_CLASS = "decimal(38,0)"
+
+
+def class_array(high: np.ndarray, low: np.ndarray, there: np.ndarray) -> pa.Array:
+    """Classes from their upper and lower 64 bits; null where not ``there``."""
+    both = np.empty((len(low), 2), "<u8")
+    both[:, 0], both[:, 1] = low, high
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(low), [pa.py_buffer(np.packbits(there, bitorder="little").tobytes()), pa.py_buffer(both.tobytes())])
+
+
+def low_bits(array: pa.Array) -> np.ndarray:
+    """64 bits of each value: of a class the lower half."""
+    if pa.types.is_decimal(array.type):
+        return np.ascontiguousarray(np.frombuffer(array.buffers()[1], "<u8").reshape(-1, 2)[array.offset : array.offset + len(array), 0])
+    return array.to_numpy().view(np.uint64)
 
 
 @dataclass(frozen=True)
@@ -123,36 +146,37 @@ def _first_by(key: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
     return own[np.argsort(key)]
 
 
-def class_of(own: np.ndarray, common: np.ndarray, rules: JoinRules) -> tuple[int, np.ndarray]:
-    """A set's class, and its tokens' counts. The class has in its top bits how common the tokens are, so that the
-    largest class of a list is its pivot, and below them a hash of the set."""
+def class_of(own: np.ndarray, common: np.ndarray, rules: JoinRules) -> tuple[int, int, np.ndarray]:
+    """The upper and lower half of a set's class, and its tokens' counts. The class has in its top 12 bits how common
+    the tokens are, so that the largest class of a list is its pivot, and below them 114 bits of hashes of the set."""
     count = common[cell(own, rules.cells)]
     level = min(4094, int(4095 * float(np.log2(count.clip(1)).mean()) / np.log2(max(2, int(common.max(initial=0))))))
-    return level << 51 | int(mix(np.bitwise_xor.reduce(mix(own), keepdims=True) + np.add.reduce(own, keepdims=True))[0] >> np.uint64(13)), count
+    low = mix(np.bitwise_xor.reduce(mix(own), keepdims=True) + np.add.reduce(own, keepdims=True))[0]
+    high = mix(np.add.reduce(mix(own ^ _SALTS[0]), keepdims=True) ^ np.uint64(len(own)))[0] >> np.uint64(14)
+    return level << 50 | int(high), int(low), count
 
 
 def sketches(docs: DataFrame, order: "Broadcast[np.ndarray]", rules: JoinRules) -> DataFrame:
     """For each text its set's size and class; for a class's first text in a task also its first tokens.
 
     Tokens of the hash orders are only compared within a pair, and are known by 32 bits of their hash."""
-    docs = docs.withColumn("print", F.xxhash64("text"))
-    schema = T.StructType([docs.schema["doc_id"], docs.schema["print"], T.StructField("n", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("by0", T.ArrayType(T.LongType())), *(T.StructField(f"by{k}", T.ArrayType(T.IntegerType())) for k in (1, 2))])
+    docs = printed(docs)
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["print"], docs.schema["check"], T.StructField("n", T.LongType()), T.StructField("cls", CLASS), T.StructField("by0", T.ArrayType(T.LongType())), *(T.StructField(f"by{k}", T.ArrayType(T.IntegerType())) for k in (1, 2))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, met = order.value, set()
         for batch in batches:
             for part in slices(batch, "text"):
-                sizes, classes, firsts = [], [], ([], [], [])
-                for own in shingle_sets(part.column("text"), rules.size):
-                    sizes.append(len(own))
-                    if not len(own):
-                        classes.append(None)
-                        for f in firsts:
-                            f.append(None)
-                        continue
-                    cls, count = class_of(own, common, rules)
-                    classes.append(cls)
-                    if cls in met:
+                rows = part.num_rows
+                sizes, halves, there, firsts = np.zeros(rows, np.int64), np.zeros((2, rows), np.uint64), np.zeros(rows, bool), ([], [], [])
+                for i, own in enumerate(shingle_sets(part.column("text"), rules.size)):
+                    sizes[i], there[i] = len(own), len(own) > 0
+                    cls = None
+                    if len(own):
+                        high, low, count = class_of(own, common, rules)
+                        cls = high, low
+                        halves[:, i] = cls
+                    if cls is None or cls in met:
                         for f in firsts:
                             f.append(None)
                         continue
@@ -163,10 +187,15 @@ def sketches(docs: DataFrame, order: "Broadcast[np.ndarray]", rules: JoinRules)
                     for f, salt in zip(firsts[1:], _SALTS, strict=True):
                         key = mix(own ^ salt)
                         f.append(_first_by(key, key.astype(np.uint32), p + rules.extra).view(np.int32))
-                arrays = [part.column("doc_id"), part.column("print"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), *(pa.array(f, pa.list_(kind)) for f, kind in zip(firsts, (pa.int64(), pa.int32(), pa.int32()), strict=True))]
+                arrays = [*(part.column(c) for c in ("doc_id", "print", "check")), pa.array(sizes), class_array(*halves, there), *(pa.array(f, pa.list_(kind)) for f, kind in zip(firsts, (pa.int64(), pa.int32(), pa.int32()), strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.select("doc_id", "text", "print").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", "print", "check").mapInArrow(run, schema)
+
+
+def printed(docs: DataFrame) -> DataFrame:
+    """With two hashes of the text, 128 bits by which a text is found again."""
+    return docs.withColumns({"print": F.xxhash64("text"), "check": F.xxhash64(F.lit(1), "text")})
 
 
 def bit_filter(rows: DataFrame, column: str, rules: JoinRules) -> np.ndarray:
@@ -175,7 +204,7 @@ def bit_filter(rows: DataFrame, column: str, rules: JoinRules) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << (rules.filter_bits - 3), np.uint8)
         for batch in batches:
-            at = bit(batch.column(0).to_numpy(), rules)
+            at = bit(low_bits(batch.column(0)), rules)
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         full = np.flatnonzero(bits.reshape(-1, _CHUNK).any(1))
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([bits[i * _CHUNK : (i + 1) * _CHUNK].tobytes() for i in full], pa.binary())], names=["chunk", "bits"])
@@ -194,7 +223,7 @@ def bit_filter(rows: DataFrame, column: str, rules: JoinRules) -> np.ndarray:
 
 
 def bit(hashes: np.ndarray, rules: JoinRules) -> np.ndarray:
-    return (mix(hashes.view(np.uint64)) >> np.uint64(64 - rules.filter_bits)).astype(np.int64)
+    return (mix(hashes) >> np.uint64(64 - rules.filter_bits)).astype(np.int64)
 
 
 def has_bit(bits: np.ndarray, hashes: np.ndarray, rules: JoinRules) -> np.ndarray:
@@ -212,26 +241,28 @@ def first_listed(sets: DataFrame, bits: "Broadcast[np.ndarray]", rules: JoinRule
             token = lists.flatten().to_numpy()
             row = np.repeat(np.arange(len(size)), size)
             pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-            at = np.flatnonzero(has_bit(bits.value, token, rules))
+            at = np.flatnonzero(has_bit(bits.value, token.view(np.uint64), rules))
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row[at])) for c in ("cls", "n")), pa.array(pos[at], pa.int64()), pa.array(token[at])], names=["cls", "n", "pos", "token"])
 
-    return sets.select("cls", "n", "by0").mapInArrow(run, "cls long, n long, pos long, token long")
+    return sets.select("cls", "n", "by0").mapInArrow(run, f"cls {_CLASS}, n long, pos long, token long")
 
 
 def texts_of(docs: DataFrame, classes: DataFrame, sets: DataFrame, rules: JoinRules) -> DataFrame:
     """One text of each of ``classes``; documents are read again, and only texts that pass a bit filter are shuffled."""
-    prints = stored(sets.select("cls", "print").join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("print").alias("print")), "filtered-prints")
+    prints = sets.select("cls", "print", "check").join(classes, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("print", "check")).alias("x"))
+    prints = stored(prints.select("cls", "x.*"), "filtered-prints")
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(prints, "print", rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
+        met: set[tuple] = set()
         for batch in batches:
-            hashes = batch.column("print").to_numpy()
-            at = [i for i in np.flatnonzero(has_bit(bits.value, hashes, rules)).tolist() if not (hashes[i] in met or met.add(hashes[i]))]
+            hashes = low_bits(batch.column("print"))
+            both = list(zip(hashes.tolist(), batch.column("check").to_pylist(), strict=True))
+            at = [i for i in np.flatnonzero(has_bit(bits.value, hashes, rules)).tolist() if not (both[i] in met or met.add(both[i]))]
             yield batch.take(pa.array(at, pa.int64()))
 
-    rows = docs.filter("text is not null").select("text", F.xxhash64("text").alias("print"))
-    return rows.mapInArrow(run, rows.schema).join(prints, "print").dropDuplicates(["print", "cls"]).select("cls", "text")  # dealt by print already
+    rows = printed(docs.filter("text is not null").select("text"))
+    return rows.mapInArrow(run, rows.schema).join(prints, ["print", "check"]).dropDuplicates(["print", "check", "cls"]).select("cls", "text")  # dealt by print already
 
 
 def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rules: JoinRules) -> DataFrame:
@@ -243,7 +274,7 @@ def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rules: JoinRules
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(has_bit(bits.value, batch.column("cls").to_numpy(), rules)))
+            yield batch.filter(pa.array(has_bit(bits.value, low_bits(batch.column("cls")), rules)))
 
     own = sets.select("cls", "n", "by1", "by2")
     own = stored(own.mapInArrow(pick, own.schema).join(members, "cls", "left_semi").dropDuplicates(["cls"]), "candidate-sets")
@@ -269,7 +300,7 @@ def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rules: JoinRules
                 at = pa.array(np.flatnonzero(ok))
                 yield pa.RecordBatch.from_arrays([part.column("x").take(at), part.column("y").take(at)], names=["x", "y"])
 
-    return pairs.select("x", "y", "text_x", "text_y").mapInArrow(run, "x long, y long")
+    return pairs.select("x", "y", "text_x", "text_y").mapInArrow(run, f"x {_CLASS}, y {_CLASS}")
 
 
 def shares_first(o: Column, rules: JoinRules) -> Column:
@@ -286,7 +317,7 @@ def shares_first(o: Column, rules: JoinRules) -> Column:
 
 
 def near_classes(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
-    """One row for each text: doc_id, print (a hash of the text), n_shingles, cls (null without words), component_id, head.
+    """One row for each text: doc_id, print and check (hashes of the text), n_shingles, cls (null without words), component_id, head.
 
     head is true for one row of each component, of those with its smallest doc_id."""
     spark = docs.sparkSession
@@ -312,20 +343,32 @@ def near_classes(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
     joined = listed.join(roots, listed["cls"] == roots["vertex"], "left").select("token", "cls", "n", "pos", F.coalesce("root", "cls").alias("root"))
     several = joined.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("token")
     left = stored(joined.join(several, "token", "left_semi"), "open-lists")
-    a, b = (left.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "n", "pos", "root"))) for k in "ab")
+    # similar sets differ in size by a bounded share: a list falls into bands of sizes, and only neighbouring ones meet
+    band = F.floor(F.log("n") / F.lit(1.001 * float(np.log(100 / rules.percent)))).cast("int") if rules.percent < 100 else F.col("n").cast("int")
+    left = left.withColumn("band", band)
+    a, b = (left.select("token", "band", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "n", "pos", "root"))) for k in "ab")
+    b = b.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
     o = least_overlap(F.col("n_a"), F.col("n_b"), rules.percent)
-    near = (F.col("pos_a") <= F.col("n_a") - o) & (F.col("pos_b") <= F.col("n_b") - o)
-    pairs = a.join(b, "token").filter((F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")) & near)
+    near = (F.col("n_a") >= o) & (F.col("pos_a") <= F.col("n_a") - o) & (F.col("pos_b") <= F.col("n_b") - o)
+    below = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("cls_a") < F.col("cls_b"))
+    pairs = a.join(b, ["token", "band"]).filter(below & (F.col("root_a") != F.col("root_b")) & near)
     more = similar(pairs.select(F.col("cls_a").alias("x"), F.col("cls_b").alias("y")).distinct(), sets, docs, rules)
     roots = components(links.unionByName(more), "x", "y")
 
-    classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("id"))
-    classes = classes.join(roots, classes["cls"] == roots["vertex"], "left").select("cls", "id", F.coalesce("root", "cls").alias("root"))
+    classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"))
+    classes = classes.join(roots, classes["cls"] == roots["vertex"], "left").select("cls", "id", "rows", F.coalesce("root", "cls").alias("root"))
+    classes = stored(classes, "classes")
     ids = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "cls")).alias("least"))
-    named = classes.join(ids, "root").select("cls", F.col("least.id").alias("component_id"), (F.col("cls") == F.col("least.cls")).alias("head"))
-    out = rows.filter("cls is not null").join(named, "cls")
-    out = out.select("doc_id", "print", F.col("n").alias("n_shingles"), "cls", "component_id", (F.col("head") & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("head"))
-    alone = rows.filter("cls is null").select("doc_id", "print", F.col("n").alias("n_shingles"), "cls", F.col("doc_id").alias("component_id"), F.lit(True).alias("head"))
+    named = stored(classes.join(ids, "root").select("cls", "rows", F.col("least.id").alias("component_id"), (F.col("cls") == F.col("least.cls")).alias("first")), "classes-named")
+    # classes with over a ten thousandth of all rows, fewer than 10,000, are broadcast; rows of the others are shuffled
+    whole = named.agg(F.sum("rows")).first()[0] or 0
+    often = named.filter(F.col("rows") > whole / 10_000).select("cls", F.col("component_id").alias("often_id"), F.col("first").alias("often"))
+    met = rows.filter("cls is not null").select("doc_id", "print", "check", "n", "cls").join(F.broadcast(often), "cls", "left")
+    hot = met.filter("often is not null").select("doc_id", "print", "check", "n", "cls", F.col("often_id").alias("component_id"), F.col("often").alias("first"))
+    rest = met.filter("often is null").drop("often_id", "often").join(named.filter(F.col("rows") <= whole / 10_000).drop("rows"), "cls")
+    out = hot.unionByName(rest)
+    out = out.select("doc_id", "print", "check", F.col("n").alias("n_shingles"), "cls", "component_id", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("head"))
+    alone = rows.filter("cls is null").select("doc_id", "print", "check", F.col("n").alias("n_shingles"), "cls", F.col("doc_id").alias("component_id"), F.lit(True).alias("head"))
     return out.unionByName(alone)
 
 
@@ -337,7 +380,16 @@ def ngram_jaccard_join(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataF
 def distinct_rows(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
     """The rows of ``docs`` that stay: of each component one row with its smallest doc_id; texts without words stay.
 
-    Rows equal in doc_id and text are one row here."""
-    heads = near_classes(docs, rules).filter("head").select(F.col("doc_id").alias("__head"), F.col("cls").alias("__cls"), F.col("print").alias("__print")).distinct()
-    same = docs["doc_id"].eqNullSafe(heads["__head"]) & F.xxhash64(docs["text"]).eqNullSafe(heads["__print"])
-    return docs.join(heads, same, "left_semi")
+    Rows with words that are equal in doc_id and text are copies, of which one stays."""
+    p = free_prefix(docs, "__near_")
+    heads = near_classes(docs, rules).filter("head").groupBy(F.col("doc_id").alias(p + "id"), F.col("print").alias(p + "print"), F.col("check").alias(p + "check"))
+    heads = stored(heads.agg(F.first("cls").alias(p + "cls"), F.count("*").alias(p + "n")), "near-heads")
+    # of equal sets in different texts with one doc_id, one text stays
+    one = heads.filter(F.col(p + "cls").isNotNull()).groupBy(p + "id", p + "cls").agg(F.min(F.struct(p + "print", p + "check", p + "n")).alias("x")).select(p + "id", "x.*")
+    heads = stored(one.unionByName(heads.filter(F.col(p + "cls").isNull()).select(p + "id", p + "print", p + "check", F.lit(1).cast("long").alias(p + "n"))), "near-kept")
+    same = lambda h: docs["doc_id"].eqNullSafe(h[p + "id"]) & F.xxhash64(docs["text"]).eqNullSafe(h[p + "print"]) & F.xxhash64(F.lit(1), docs["text"]).eqNullSafe(h[p + "check"])
+    several = heads.filter(F.col(p + "n") > 1)
+    if several.isEmpty():
+        return docs.join(heads, same(heads), "left_semi")
+    single = heads.filter(F.col(p + "n") == 1)
+    return docs.join(single, same(single), "left_semi").unionByName(docs.join(several, same(several), "left_semi").dropDuplicates(["doc_id", "text"]))
