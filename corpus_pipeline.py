@@ -13,27 +13,32 @@ NEAR = ngram_join.JoinRules(size=5, percent=80)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that pass the quality rules."""
+    """Texts that pass the quality rules. Null and empty texts go; null language or source is a group of its own;
+    repeated rows are judged one by one; an empty table stays empty. Further columns are kept, whatever their names."""
     return quality_rules.keep_good(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest doc_id."""
+    """Of equal texts the one with the smallest doc_id. Null counts as empty; a null doc_id stays only if there is no
+    other; of rows equal in both, any one stays. An empty table stays empty; further columns are kept."""
     return content_sort.distinct_rows(docs, keep="smallest")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates the one with the smallest doc_id."""
+    """Of near-duplicates the one with the smallest doc_id. Null texts and such without words all stay; of rows equal in
+    doc_id and text one stays; a null doc_id stays only if its group has no other. An empty table stays empty."""
     return ngram_join.distinct_rows(docs, NEAR)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by tags."""
+    """Personal data replaced by tags, one for spans that overlap; n_chars follows. A null text stays null; repeated rows
+    and further columns are kept; an empty table stays empty."""
     return pii.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences."""
+    """Token sequences: the pieces of all texts with their ids and places. A null text is the end id alone; repeated rows
+    are packed as rows of their own; an empty table gives no pieces; only doc_id and text are read."""
     return packing.best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
