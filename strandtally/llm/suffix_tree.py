@@ -57,7 +57,7 @@ class TreeRules:
     gain: float = 10.0
     weight: float = 3.0
     common: int = 100_000
-    chunk: int = 96 << 20
+    chunk: int = 48 << 20
 
 
 class Tally:
