@@ -58,6 +58,11 @@ def context_gc_percent(seq: Column, start: Column, length: Column, outside: int
     return F.rint(F.lit(100.0) * gc_count(both) / F.nullif(F.length(both), F.lit(0))).cast("int")
 
 
+def starts(seq: Column, first: int, length: int, step: int) -> Column:
+    """Array of the places first, first + step, ... at which ``length`` letters still lie on the sequence."""
+    return F.when(F.length(seq) >= first + length, F.sequence(F.lit(first), F.length(seq) - length, F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+
 def percent_bin(percent: Column, bins: int) -> Column:
     return F.least(F.lit(bins - 1), F.floor(percent / F.lit(100.0 / bins)).cast("int"))
 

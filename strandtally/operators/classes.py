@@ -51,9 +51,9 @@ def weights(hits: DataFrame, labelled: DataFrame, key: str = "label") -> DataFra
     return sums.select("key", "tid", (F.col("s") / F.sum("s").over(Window.partitionBy("key"))).alias("w"))
 
 
-def length_weights(class_members: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Weights divided by effective lengths of at least 1, normalised within each class."""
-    scaled = class_members.join(lengths, "tid").withColumn("v", F.col("w") / F.greatest(F.col("eff_len"), F.lit(1.0)))
+def length_weights(class_members: DataFrame, lengths: DataFrame, least: float = 1.0) -> DataFrame:
+    """Weights divided by effective lengths of at least ``least`` (0 after bias correction), normalised within each class."""
+    scaled = class_members.join(lengths, "tid").withColumn("v", F.col("w") / F.greatest(F.col("eff_len"), F.lit(least)))
     return scaled.withColumn("v", F.col("v") / F.sum("v").over(Window.partitionBy("key"))).drop("w", "eff_len").withColumnRenamed("v", "w")
 
 

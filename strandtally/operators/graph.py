@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,31 +38,50 @@ def projected_counts(masses: DataFrame, components: DataFrame, fragments: DataFr
 
 
 def fit_bounds(projected: list[float], low: list[float], high: list[float], total: float, tolerance: float = 1e-9, most_rounds: int = 5000) -> list[float]:
-    """Counts within bounds and with a given sum, as near in proportion to those projected as these allow.
-
-    Counts out of bounds are set to their bound and the rest is scaled to what remains, until nothing moves."""
-    x, fixed = [float(v) for v in projected], [False] * len(projected)
+    """Counts of one cluster within bounds and with a given sum, in plain Python; see project_to_bounds."""
+    x, bound = [float(v) for v in projected], [False] * len(projected)
     for _ in range(most_rounds):
-        moved = False
         for i, v in enumerate(x):
-            if not fixed[i] and not low[i] - tolerance <= v <= high[i] + tolerance:
-                x[i], fixed[i], moved = min(max(v, low[i]), high[i]), True, True
-        free = sum(v for v, f in zip(x, fixed, strict=True) if not f)
-        left = total - sum(v for v, f in zip(x, fixed, strict=True) if f)
-        if free > 0 and abs(left - free) > tolerance:
-            x = [v if f else v * left / free for v, f in zip(x, fixed, strict=True)]
-            moved = True
-        if not moved:
+            if not low[i] <= v <= high[i]:
+                x[i], bound[i] = min(max(v, low[i]), high[i]), True
+        fixed = sum(v for v, b in zip(x, bound, strict=True) if b)
+        loose = sum(x) - fixed
+        if abs(fixed + loose - total) <= tolerance * max(1.0, total):
+            break
+        if loose == 0:  # all are bound, so all are free again
+            bound, loose, fixed = [False] * len(x), fixed, 0.0
+        if loose == 0:
             break
+        x = [v if b else v * (total - fixed) / loose for v, b in zip(x, bound, strict=True)]
     return x
 
 
-def project_to_bounds(counts: DataFrame) -> DataFrame:
-    """(tid, fitted) for rows (component, tid, projected, uniq, total, n): within unique and total counts, and with the cluster's sum."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("tid")
-        fitted = fit_bounds(pdf["projected"].tolist(), pdf["uniq"].tolist(), pdf["total"].tolist(), float(pdf["n"].iloc[0]))
-        return pd.DataFrame({"tid": pdf["tid"], "fitted": fitted})
-
-    return counts.groupBy("component").applyInPandas(run, "tid long, fitted double")
+def project_to_bounds(counts: DataFrame, tolerance: float = 1e-9, most_rounds: int = 5000) -> DataFrame:
+    """(tid, fitted) for rows (component, tid, projected, uniq, total, n): counts between uniq and total, with the sum n
+    in each cluster, as near in proportion to those projected as this allows.
+
+    In each round, counts beyond a bound are set to it and stay there, and the others are scaled to what remains; where
+    all are bound and the sum is still off, all are free again. Clusters are sums by key, so one of any size is no group
+    in one task; those that have settled leave the rounds. Clusters without any solution (uniq above n or total below it,
+    summed) keep their counts of the first round within the bounds."""
+    left = stored(counts.select("component", "tid", F.col("projected").cast("double").alias("x"), F.col("uniq").cast("double").alias("low"), F.col("total").cast("double").alias("high"), F.col("n").cast("double").alias("n"), F.lit(False).alias("bound")), "bounds")
+    done = None
+    for i in range(most_rounds):
+        x = F.least(F.greatest("x", "low"), "high")
+        rows = left.withColumn("bound", F.col("bound") | (x != F.col("x"))).withColumn("x", x)
+        fixed = F.sum(F.when(F.col("bound"), F.col("x")).otherwise(0.0))
+        loose = F.sum(F.when(F.col("bound"), 0.0).otherwise(F.col("x")))
+        sums = rows.groupBy("component").agg(fixed.alias("fixed"), loose.alias("loose"), F.sum("low").alias("least"), F.sum("high").alias("most"))
+        both = rows.join(sums, "component")
+        off = F.abs(F.col("fixed") + F.col("loose") - F.col("n")) > tolerance * F.greatest(F.lit(1.0), F.col("n"))
+        can = (F.col("least") <= F.col("n") * (1 + tolerance)) & (F.col("most") >= F.col("n") * (1 - tolerance)) & (F.col("fixed") + F.col("loose") > 0)
+        free = F.col("loose") == 0
+        scale = F.when(free, F.col("n") / F.nullif(F.col("fixed"), F.lit(0.0))).otherwise((F.col("n") - F.col("fixed")) / F.nullif(F.col("loose"), F.lit(0.0)))
+        both = both.withColumn("open", off & can).withColumn("x", F.when(F.col("open") & (free | ~F.col("bound")), F.col("x") * scale).otherwise(F.col("x")))
+        both = stored(both.select("component", "tid", "x", "low", "high", "n", (F.col("bound") & ~free).alias("bound"), "open"), "bounds")
+        settled = both.filter("NOT open").select("tid", F.col("x").alias("fitted"))
+        done = settled if done is None else done.unionByName(settled)
+        left = both.filter("open").drop("open")
+        if left.isEmpty():
+            return done
+    return done.unionByName(left.select("tid", F.col("x").alias("fitted")))

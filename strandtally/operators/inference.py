@@ -1,18 +1,20 @@
 """Abundances by expectation maximisation, its variational form, and resampling.
 
 Members of classes are partitioned by class once and kept; in each round the
-abundances, one row for each target, are joined to them, shares are formed
-within each class without a further shuffle, and partial sums by target go
-through the only shuffle. Lineage is cut every few rounds by a table in the
+abundances, one row for each target, are joined to them (broadcast while they
+are few), shares are formed within each class, and partial sums by target are
+shuffled. Lineage is cut every few rounds by a table in the
 shared folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,26 +22,29 @@ from ..functions.numeric import digamma
 from ..store import stored
 
 CUT_EVERY = 5
+#: Targets up to which their abundances are broadcast: 16 bytes each.
+MOST_BROADCAST = 2_000_000
 
 
-def expectation_maximisation(members: DataFrame, rounds: int, start: DataFrame | None = None, prior: Column | float | None = None, tolerance: float | None = None, least_rounds: int = 0, significant: float = 1e-2) -> DataFrame:
+def expectation_maximisation(members: DataFrame, rounds: int, start: DataFrame | None = None, prior: DataFrame | float | None = None, tolerance: float | None = None, least_rounds: int = 0, significant: float = 1e-2) -> DataFrame:
     """(tid, alpha) after ``rounds`` rounds over members (key, n, tid, w), from equal abundances or ``start``.
 
-    prior: with it the variational form is used, with that many pseudo-counts for each target.
+    prior: with it the variational form is used, with that many pseudo-counts for each target, or those of (tid, prior).
+    Up to MOST_BROADCAST targets, abundances are broadcast and a round has one shuffle, of partial sums by target.
     tolerance: rounds end when no abundance above ``significant`` changes by a larger share, but not before least_rounds;
     if they never do, that is an error."""
     kept = members.select("key", "n", "tid", "w").repartition("key").persist(StorageLevel.DISK_ONLY)
     alpha = start if start is not None else kept.select("tid").distinct().withColumn("alpha", F.lit(1.0))
     shares = Window.partitionBy("key")
+    small = alpha.count() <= MOST_BROADCAST
     for i in range(1, rounds + 1):
         if prior is None:
             theta = alpha.select("tid", F.col("alpha").alias("theta"))
         else:
-            p = F.lit(prior) if not isinstance(prior, Column) else prior
-            raised = alpha.withColumn("a", F.col("alpha") + p)
+            raised = alpha.join(prior, "tid").withColumn("a", F.col("alpha") + F.col("prior")) if isinstance(prior, DataFrame) else alpha.withColumn("a", F.col("alpha") + prior)
             whole = raised.agg(digamma(F.sum("a")).alias("whole"))
             theta = raised.crossJoin(F.broadcast(whole)).select("tid", F.when(F.col("a") > 1e-10, F.exp(digamma(F.col("a")) - F.col("whole"))).otherwise(0.0).alias("theta"))  # one row on the right
-        joined = kept.join(theta, "tid").withColumn("x", F.col("theta") * F.col("w"))
+        joined = kept.join(F.broadcast(theta) if small else theta, "tid").withColumn("x", F.col("theta") * F.col("w"))
         given = joined.withColumn("share", F.col("n") * F.col("x") / F.nullif(F.sum("x").over(shares), F.lit(0.0)))
         new = given.groupBy("tid").agg(F.coalesce(F.sum("share"), F.lit(0.0)).alias("alpha"))
         if tolerance is not None and i >= least_rounds:
@@ -63,23 +68,58 @@ def truncate(alpha: DataFrame, least: float = 1e-8) -> DataFrame:
     return alpha.withColumn("alpha", F.when(F.col("alpha") <= least, 0.0).otherwise(F.col("alpha")))
 
 
-def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Members of all classes: class number, target number, weight; counts by class; targets."""
-    pdf = pdf.sort_values(["key", "tid"])
-    key, first = np.unique(pdf["key"].to_numpy(), return_index=True)
-    targets, tid = np.unique(pdf["tid"].to_numpy(), return_inverse=True)
-    cls = np.searchsorted(key, pdf["key"].to_numpy())
-    return cls, tid, pdf["w"].to_numpy(float), pdf["n"].to_numpy()[first], targets
+def start(projected: DataFrame, required: float = 5e7, most: float = 0.999, own: DataFrame | None = None) -> DataFrame:
+    """(tid, alpha) to begin with, of (tid, projected): a mixture of these counts and of an even share.
+
+    The more fragments there are next to ``required``, the more the counts weigh. own (tid, unique_count, eff_len): the
+    share is not even but (unique_count + 0.5) eff_len / 1000."""
+    whole = projected.agg(F.sum("projected").alias("whole"), F.count("*").alias("targets"))
+    f = F.least(F.lit(most), F.col("whole") / required)
+    rows = projected.crossJoin(F.broadcast(whole))  # one row on the right
+    even = F.col("whole") / F.col("targets")
+    if own is not None:
+        rows, even = rows.join(own, "tid"), (F.col("unique_count") + 0.5) * F.col("eff_len") / 1000
+    return rows.select("tid", (F.col("projected") * f + even * (1 - f)).alias("alpha"))
+
+
+def per_nucleotide(lengths: DataFrame, prior: float = 1e-5) -> DataFrame:
+    """(tid, prior) for expectation_maximisation: pseudo-counts by effective length."""
+    return lengths.select("tid", (F.col("eff_len") * prior).alias("prior"))
+
+
+def blocks_of(members: DataFrame, classes_each: int = 50_000) -> int:
+    return max(1, -(-members.select("key").distinct().count() // classes_each))
+
+
+def resample(counts: DataFrame, draws: int, seed: int = 1, classes_each: int = 50_000) -> DataFrame:
+    """(sample_id, key, n): multinomial draws from classes (key, n), each with the same total as these.
+
+    Classes fall into blocks by a hash. The totals of the blocks are drawn first, one number for each block and draw, and
+    then the classes' counts within each block, given its total; both together are one multinomial draw over all classes."""
+    blocks = max(1, -(-counts.count() // classes_each))
+    dealt = stored(counts.select("key", F.col("n").cast("long").alias("n"), F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block")), "classes-dealt")
+    sums = {r.block: r.n for r in dealt.groupBy("block").agg(F.sum("n").alias("n")).collect()}  # a row for 50,000 classes
+    whole, names = sum(sums.values()), sorted(sums)
+    if not whole:
+        return dealt.select(F.lit(0).alias("sample_id"), "key", "n").limit(0)
+    drawn = np.random.default_rng(seed).multinomial(whole, np.array([sums[b] for b in names]) / whole, draws)
+    totals = counts.sparkSession.createDataFrame([(d, b, int(drawn[d, i])) for d in range(draws) for i, b in enumerate(names)], "sample_id int, block int, total long")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key")
+        n = pdf["n"].to_numpy()
+        got = np.random.default_rng([seed, int(key[0]), int(key[1])]).multinomial(int(pdf["total"].iloc[0]), n / n.sum())
+        return pd.DataFrame({"sample_id": key[0], "key": pdf["key"], "n": got})
+
+    return dealt.join(F.broadcast(totals), "block").filter("n > 0").groupBy("sample_id", "block").applyInPandas(run, "sample_id int, key string, n long")
 
 
 def bootstrap(members: DataFrame, draws: int, rounds: int = 50, seed: int = 1) -> DataFrame:
     """(sample_id, tid, alpha): abundances of classes whose counts are drawn anew, with the same total.
 
-    Counts are drawn as independent Poisson numbers by class and draw, by hash of both, so that draws are made
-    by Spark over all classes; one grouped round then serves all draws at once."""
-    each = members.select("key", "n", "tid", "w", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("sample_id"))
-    drawn = each.withColumn("n", _poisson(F.col("n").cast("double"), F.xxhash64("key", "sample_id", F.lit(seed))))
-    kept = stored(drawn.filter("n > 0"), "bootstrap-members").repartition("sample_id", "key").persist(StorageLevel.DISK_ONLY)
+    Counts are multinomial draws (see resample); one grouped round then serves all draws at once."""
+    drawn = resample(members.groupBy("key").agg(F.max("n").alias("n")), draws, seed)
+    kept = stored(members.select("key", "tid", "w").join(drawn.filter("n > 0"), "key"), "bootstrap-members").repartition("sample_id", "key").persist(StorageLevel.DISK_ONLY)
     alpha = kept.select("sample_id", "tid").distinct().withColumn("alpha", F.lit(1.0))
     shares = Window.partitionBy("sample_id", "key")
     for i in range(1, rounds + 1):
@@ -92,41 +132,66 @@ def bootstrap(members: DataFrame, draws: int, rounds: int = 50, seed: int = 1) -
     return alpha
 
 
-def _poisson(mean: Column, bits: Column) -> Column:
-    """A number with a mean and about its variance: a rounded normal deviate by hash."""
-    u1 = (F.pmod(bits, F.lit(1_000_003)) + 0.5) / 1_000_003
-    u2 = (F.pmod(F.shiftright(bits, 20), F.lit(999_983)) + 0.5) / 999_983
-    z = F.sqrt(-2 * F.log(u1)) * F.cos(u2 * 2 * np.pi)
-    return F.greatest(F.round(mean + F.sqrt(mean) * z), F.lit(0.0))
-
-
-def gibbs(members: DataFrame, chains: int, kept_draws: int, thinning: int = 16, prior: float = 1.0, seed: int = 1) -> DataFrame:
-    """(sample_id, tid, alpha) by Gibbs sampling, one task for each chain and component.
-
-    Targets that share no class don't influence each other, so each group is a connected component of the
-    classes (column component of members) rather than the whole."""
-    each = members.select("component", "key", "n", "tid", "w", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain"))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        cls, tid, w, n, targets = _matrix(pdf)
-        rng = np.random.default_rng([seed, int(key[0]), int(key[1])])
-        a = np.bincount(tid, w * n[cls], len(targets))
-        first = np.searchsorted(cls, np.arange(len(n) + 1))
-        out = []
-        for draw in range(kept_draws):
-            for _ in range(thinning):
-                mu = rng.gamma(a + prior)
-                p = mu[tid] * w
-                a = np.zeros(len(targets))
-                for c in range(len(n)):
-                    s = slice(first[c], first[c + 1])
-                    q = p[s].sum()
-                    if q > 0:
-                        np.add.at(a, tid[s], rng.multinomial(n[c], p[s] / q))
-            out.append(pd.DataFrame({"sample_id": int(key[0]) * kept_draws + draw, "tid": targets, "alpha": a}))
-        return pd.concat(out)
-
-    return each.groupBy("chain", "component").applyInPandas(run, "sample_id int, tid int, alpha double")
+def gibbs_prior(prior: float = 1e-3, variational: bool = False, lengths: bool = False) -> float:
+    """Pseudo-counts of a target: 1e-3 after plain rounds; after variational ones no less than 1, or than 1e-3 a nucleotide."""
+    return max(prior, 1e-3 if lengths else 1.0) if variational else 1e-3
+
+
+def deal_classes(cls: np.ndarray, n: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A multinomial draw for every class at once: cls is ascending, n and p are those of each member.
+
+    By conditional binomials: the i-th members of all classes draw together from what the members before them left."""
+    new = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
+    size = np.diff(np.append(new, len(cls)))
+    left, whole = n[new].copy(), np.add.reduceat(p, new)
+    out = np.zeros(len(cls), np.int64)
+    for i in range(size.max(initial=0)):
+        own = np.flatnonzero(size > i)
+        at = new[own] + i
+        share = np.where(whole[own] > 0, np.clip(p[at] / np.where(whole[own] > 0, whole[own], 1), 0, 1), 0)
+        last = size[own] == i + 1
+        out[at] = np.where(last & (whole[own] > 0), left[own], rng.binomial(left[own], share))
+        left[own] -= out[at]
+        whole[own] = np.maximum(whole[own] - p[at], 0)
+    return out
+
+
+def gibbs(members: DataFrame, chains: int, kept_draws: int, thinning: int = 16, prior: float = 1.0, seed: int = 1, lengths: DataFrame | None = None) -> DataFrame:
+    """(sample_id, tid, alpha) by Gibbs sampling: counts of every ``thinning``-th round of each chain.
+
+    In a round every target draws its rate from a gamma distribution, with 0.1 and its effective length (tid, eff_len; 1
+    if not given) as inverse scale, and every class deals its fragments by rate and weight. Targets draw where they are;
+    classes are dealt in blocks of some ten thousand by a hash, so no task has more, whatever hangs together. Draws
+    depend on seed, chain, round and block or target alone, so a lost task draws the same again."""
+    blocks = blocks_of(members, 20_000)
+    inverse = members.select("tid").distinct().withColumn("eff_len", F.lit(1.0)) if lengths is None else lengths.select("tid", "eff_len")
+    each = members.select("key", "n", "tid", "w", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain"))
+    each = stored(each, "gibbs-members")
+    alpha = stored(each.groupBy("chain", "tid").agg(F.sum(F.col("w") * F.col("n")).alias("alpha")).join(inverse, "tid").select("chain", "tid", "alpha", (1 / (0.1 + F.col("eff_len"))).alias("scale")), "gibbs-alpha")
+    out = None
+
+    def one_round(i: int, alpha: DataFrame) -> DataFrame:
+        def rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                pdf["mu"] = [np.random.default_rng([seed, i, c, t]).gamma(a + prior) * s for c, t, a, s in zip(pdf["chain"], pdf["tid"], pdf["alpha"], pdf["scale"], strict=True)]
+                yield pdf[["chain", "tid", "mu"]]
+
+        def deal(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["key", "tid"])
+            cls = np.unique(pdf["key"].to_numpy(), return_inverse=True)[1]
+            got = deal_classes(cls, pdf["n"].to_numpy(), (pdf["mu"] * pdf["w"]).to_numpy(), np.random.default_rng([seed, i, int(key[0]), int(key[1]), 7]))
+            return pd.DataFrame({"chain": key[0], "tid": pdf["tid"], "got": got}).groupby(["chain", "tid"], as_index=False).sum()
+
+        mu = alpha.mapInPandas(rates, "chain int, tid int, mu double")
+        drawn = each.join(mu, ["chain", "tid"]).groupBy("chain", "block").applyInPandas(deal, "chain int, tid int, got long").groupBy("chain", "tid").agg(F.sum("got").cast("double").alias("got"))
+        return stored(alpha.select("chain", "tid", "scale").join(drawn, ["chain", "tid"], "left").select("chain", "tid", F.coalesce("got", F.lit(0.0)).alias("alpha"), "scale"), "gibbs-alpha")
+
+    for i in range(kept_draws * thinning):
+        alpha = one_round(i, alpha)
+        if (i + 1) % thinning == 0:
+            draw = alpha.select((F.col("chain") * kept_draws + i // thinning).cast("int").alias("sample_id"), F.col("tid").cast("int").alias("tid"), "alpha")
+            out = draw if out is None else out.unionByName(draw)
+    return out
 
 
 def forgetting_mass(batches: DataFrame, factor: float = 0.65) -> DataFrame:
@@ -139,7 +204,9 @@ def forgetting_mass(batches: DataFrame, factor: float = 0.65) -> DataFrame:
 
 def posterior_sample(posteriors: DataFrame, seed: int = 1) -> DataFrame:
     """One alignment of each fragment, drawn by its posterior p: the first whose running sum exceeds a hash of the fragment."""
-    u = (F.pmod(F.xxhash64("frag", F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
+    digest = F.substring(F.md5(F.concat_ws(":", F.col("frag").cast("string"), F.lit(str(seed))).cast("binary")), 1, 8)
+    u = (F.conv(digest, 16, 10).cast("double") + 0.5) / float(1 << 32)
     run = F.sum("p").over(Window.partitionBy("frag").orderBy("tid").rowsBetween(Window.unboundedPreceding, 0))
-    hit = posteriors.withColumn("cum", run).filter(F.col("cum") > u - 1e-12)
-    return hit.groupBy("frag").agg(F.min_by(F.struct("tid", "p"), "cum").alias("x")).select("frag", "x.tid", "x.p")
+    last = F.max("tid").over(Window.partitionBy("frag"))
+    hit = posteriors.withColumn("cum", run).withColumn("__last", last).filter((F.col("cum") > u) | (F.col("tid") == F.col("__last")))
+    return hit.groupBy("frag").agg(F.min_by(F.struct("tid", "p"), "tid").alias("x")).select("frag", "x.tid", "x.p")

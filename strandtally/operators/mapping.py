@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.sequences import kmers, reverse_complement
+from ..functions.sequences import reverse_complement
+from ..store import stored
+from .kmers import kmer_places
 
 MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND, BAND, LEAST_SCORE = 2, -4, 6, 2, 15, 0.65  # fixed values: default scoring
 
@@ -22,16 +24,22 @@ def distinct_targets(targets: DataFrame) -> DataFrame:
 
 
 def kmer_index(targets: DataFrame, k: int) -> DataFrame:
-    """(kmer, tid, pos) of every k-mer of every target of at least k letters."""
-    long_enough = targets.filter(F.length("seq") >= k)
-    return long_enough.select("tid", F.posexplode(kmers(F.col("seq"), k)).alias("pos", "kmer")).select("kmer", "tid", "pos")
+    """(kmer, tid, pos) of every k-mer, as a number, of every target of at least k letters; k is odd and at most 31."""
+    return kmer_places(targets, "tid", k)
+
+
+#: K-mers with too many places up to which their list is broadcast (8 bytes each); longer lists are shuffled.
+MOST_BROADCAST = 1_000_000
 
 
 def seed_hits(reads: DataFrame, index: DataFrame, k: int, most_places: int = 1000) -> DataFrame:
-    """(frag, rpos, tid, pos): places of the reads' k-mers; k-mers with more than ``most_places`` places give none."""
-    rare = index.groupBy("kmer").agg(F.count("*").alias("places")).filter(F.col("places") <= most_places).select("kmer")
-    seeds = reads.filter(F.length("seq") >= k).select("frag", F.posexplode(kmers(F.col("seq"), k)).alias("rpos", "kmer"))
-    return seeds.join(index.join(rare, "kmer", "left_semi"), "kmer").select("frag", "rpos", "tid", "pos")
+    """(frag, rpos, tid, pos): places of the reads' k-mers; k-mers with more than ``most_places`` places give none.
+
+    Such k-mers leave the index before the join, so that their places are never shuffled with the reads."""
+    index = stored(index, "kmer-index")
+    often = stored(index.groupBy("kmer").agg(F.count("*").alias("places")).filter(F.col("places") > most_places).select("kmer"), "kmers-often")
+    few = F.broadcast(often) if often.count() <= MOST_BROADCAST else often
+    return kmer_places(reads, "frag", k, "rpos").join(index.join(few, "kmer", "left_anti"), "kmer").select("frag", "rpos", "tid", "pos")
 
 
 def chains(hits: DataFrame) -> DataFrame:
@@ -40,6 +48,59 @@ def chains(hits: DataFrame) -> DataFrame:
     return hits.groupBy("frag", "tid", diagonal.alias("diagonal")).agg(F.count("*").alias("seeds"), F.min("rpos").alias("first"), F.max("rpos").alias("last"))
 
 
+def gapped_chains(hits: DataFrame, k: int, most_length: int, most_shift: int = 15) -> DataFrame:
+    """(frag, tid, chain, seeds, bases, first, last, start, stop): collinear chains with gaps.
+
+    First the seeds of a read follow one another on each diagonal of a target, by windows: runs of seeds no further than
+    ``most_length`` apart. Runs then join along the target while the diagonal moves by ``most_shift`` at most, place in
+    read and target both grow and the whole stays within ``most_length``. bases: letters of the read that seeds cover."""
+    on = Window.partitionBy("frag", "tid", "diagonal").orderBy("rpos")
+    rows = hits.withColumn("diagonal", F.col("pos") - F.col("rpos"))
+    gap = F.col("rpos") - F.lag("rpos").over(on)
+    rows = rows.withColumn("new", F.when(gap <= most_length, 0).otherwise(1)).withColumn("covered", F.least(F.coalesce(gap, F.lit(k)), F.lit(k)))
+    rows = rows.withColumn("run", F.sum("new").over(on.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy("frag", "tid", "diagonal", "run").agg(F.count("*").alias("seeds"), F.sum("covered").alias("bases"), F.min("rpos").alias("first"), (F.max("rpos") + k).alias("last"))
+    along = Window.partitionBy("frag", "tid").orderBy(F.col("first") + F.col("diagonal"), "first")
+    before = lambda c: F.lag(c).over(along)
+    apart = (F.abs(F.col("diagonal") - before("diagonal")) > most_shift) | (F.col("first") <= before("first")) | (F.col("last") + F.col("diagonal") - before("first") - before("diagonal") > most_length)
+    runs = runs.withColumn("over", F.greatest(before("last") - F.col("first"), F.lit(0))).withColumn("new", F.when(apart | before("first").isNull(), 1).otherwise(0))
+    runs = runs.withColumn("chain", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    bases = F.sum(F.col("bases") - F.when(F.col("new") == 1, 0).otherwise(F.least("over", "bases")))
+    return runs.groupBy("frag", "tid", "chain").agg(F.sum("seeds").alias("seeds"), bases.alias("bases"), F.min("first").alias("first"), F.max("last").alias("last"), F.min(F.col("first") + F.col("diagonal")).alias("start"), F.max(F.col("last") + F.col("diagonal")).alias("stop"))
+
+
+def consensus_filter(chains: DataFrame, share: float = 0.65, of_best: float = 0.75, when: str = "both") -> DataFrame:
+    """Chains that are good enough, before (``share`` of the read's best target), after (``of_best`` of the target's best
+    chain), both or none. For reads without mates both thresholds are usually 1."""
+    if when not in ("before", "after", "both", "none"):
+        raise ValueError(f"{when!r} is none of before, after, both, none")
+    out = chains
+    if when in ("before", "both"):
+        out = out.withColumn("__t", F.max("bases").over(Window.partitionBy("frag"))).filter(F.col("bases") >= F.col("__t") * share).drop("__t")
+    if when in ("after", "both"):
+        out = out.withColumn("__t", F.max("bases").over(Window.partitionBy("frag", "tid"))).filter(F.col("bases") >= F.col("__t") * of_best).drop("__t")
+    return out
+
+
+def dovetails(fwd_start: Column, rev_end: Column, rev_start: Column) -> Column:
+    """Whether mates on opposite strands run past each other: the reverse one begins before the forward one."""
+    return (rev_start < fwd_start) & (rev_end >= fwd_start)
+
+
+def best_decoys(best: DataFrame) -> DataFrame:
+    """For fragments whose best alignment is to decoys alone: the decoys that are equally good."""
+    w = Window.partitionBy("frag")
+    target, decoy = F.max(F.when(~F.col("decoy"), F.col("score"))).over(w), F.max(F.when(F.col("decoy"), F.col("score"))).over(w)
+    rows = best.withColumn("__t", target).withColumn("__d", decoy).filter(F.col("decoy") & (F.col("score") == F.col("__d")))
+    return rows.filter(F.col("__t").isNull() | (F.col("__t") < F.col("__d"))).drop("__t", "__d")
+
+
+def read_statistics(reads: DataFrame, k: int) -> DataFrame:
+    """One row: reads, shortest, too_short (below k), all_too_short."""
+    n = reads.agg(F.count("*").alias("reads"), F.min(F.length("seq")).alias("shortest"), F.count_if(F.length("seq") < k).alias("too_short"))
+    return n.withColumn("all_too_short", (F.col("reads") > 0) & (F.col("reads") == F.col("too_short")))
+
+
 def sketch_map(hits: DataFrame) -> DataFrame:
     """(frag, tid, hits): targets that hold the most of a read's k-mers, all of those with as many."""
     n = hits.groupBy("frag", "tid").agg(F.countDistinct("rpos").alias("hits"))

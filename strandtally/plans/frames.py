@@ -75,3 +75,4 @@ def fragment_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 HIST = f"{ALN}, hist AS (SELECT CAST(least(50 + score * 10, 1000) AS INTEGER) AS length, count(*) AS n FROM aln GROUP BY 1)"
 DIST = f"""{HIST}, dist AS (SELECT length, n / sum(n) OVER () AS p, sum(n) OVER w / sum(n) OVER () AS c, sum(n * length) OVER w / CAST(sum(n) OVER w AS DOUBLE) AS mean
     FROM (SELECT e.i::INTEGER AS length, coalesce(n, 0)::DOUBLE AS n FROM range(1001) e(i) LEFT JOIN hist ON length = e.i) WINDOW w AS (ORDER BY length ROWS UNBOUNDED PRECEDING))"""
+DIST_AFTER_ALN = DIST[len(ALN) + 2 :]  # where alignments are there already

@@ -11,9 +11,9 @@ from pyspark.sql.window import Window
 from ..functions import formats
 from ..functions import sequences as seq
 from ..functions.numeric import digamma_sql, log_add
-from ..operators import abundance, bias, classes, graph, inference, lengths, likelihood, mapping
+from ..operators import abundance, bias, classes, graph, inference, kmers, lengths, likelihood, mapping
 from ..store import stored
-from .frames import ALN, BEST, CLASSES, DIST, HIST, HITS, LABELS, SEQS, TARGETS, alignments, best, fragment_lengths, hits, read, sequences, targets
+from .frames import ALN, BEST, CLASSES, DIST, DIST_AFTER_ALN, HIST, HITS, LABELS, SEQS, TARGETS, alignments, best, fragment_lengths, hits, read, sequences, targets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -110,6 +110,60 @@ def em_fixed_rounds(spark, d):
     return em(spark, d).select("tid", F.round("alpha", 4).alias("alpha"))
 
 
+_WEIGHTS = f"""{CLASSES}, ws AS (SELECT label AS key, tid, sum(w) AS s FROM hits JOIN lab USING (frag) GROUP BY 1, 2), cw AS (SELECT key, tid, s / sum(s) OVER (PARTITION BY key) AS w FROM ws)"""
+_LENGTHS = f"{DIST_AFTER_ALN}, {TARGETS}, el AS (SELECT tid, CASE WHEN len - coalesce(mean, 0) < 1 THEN len ELSE len - coalesce(mean, 0) END AS eff_len FROM targets LEFT JOIN dist ON least(len, 1000) = length)"
+_WEIGHTED_ROUNDS = """UNION ALL SELECT it + 1, tid, sum(n * x / den) FROM (SELECT it, m.tid, m.n, em.a * m.w AS x, sum(em.a * m.w) OVER (PARTITION BY m.key) AS den FROM {0} m JOIN em ON em.tid = m.tid WHERE it < 20) GROUP BY it, tid)"""
+_START = """pj AS (SELECT tid, sum(n * 1.0 / k) AS projected FROM (SELECT *, count(*) OVER (PARTITION BY key) AS k FROM mem) GROUP BY 1),
+    st AS (SELECT tid, projected * f + u * (1 - f) AS a FROM (SELECT *, least(0.999, sum(projected) OVER () / 5e7) AS f, avg(projected) OVER () AS u FROM pj))"""
+
+
+def class_weights(spark, d):
+    n = eqclass_build(spark, d)
+    return classes.weights(hits(spark, d), labelled(spark, d)).join(n, "key")
+
+
+def target_lengths(spark, d):
+    return lengths.effective_lengths(targets(spark, d), dist(spark, d)).select("tid", "eff_len")
+
+
+@query(f"WITH {_WEIGHTS}, {_LENGTHS} SELECT key, tid, round(w / greatest(eff_len, 1) / sum(w / greatest(eff_len, 1)) OVER (PARTITION BY key), 8) AS w FROM cw JOIN el USING (tid)")
+def combined_weights(spark, d):
+    return classes.length_weights(class_weights(spark, d), target_lengths(spark, d)).select("key", "tid", F.round("w", 8).alias("w"))
+
+
+def even_shares(spark, d):
+    """(tid, projected): each class dealt evenly."""
+    k = F.count("*").over(Window.partitionBy("key"))
+    return classes.members(eqclass_build(spark, d)).withColumn("p", F.col("n") / k).groupBy("tid").agg(F.sum("p").alias("projected"))
+
+
+@query(f"WITH {CLASSES}, {_START} SELECT tid, round(a, 4) AS alpha FROM st")
+def start_abundance(spark, d):
+    return inference.start(even_shares(spark, d)).withColumn("alpha", F.round("alpha", 4))
+
+
+@query(f"""WITH RECURSIVE {_WEIGHTS}, {_LENGTHS}, cm AS (SELECT key, n, tid, w / greatest(eff_len, 1) / sum(w / greatest(eff_len, 1)) OVER (PARTITION BY key) AS w FROM cw JOIN el USING (tid) JOIN cls USING (key)), {_START},
+    em(it, tid, a) AS (SELECT 0, tid, a::DOUBLE FROM st {_WEIGHTED_ROUNDS.format('cm')} SELECT tid, round(a, 3) AS alpha FROM em WHERE it = 20""")
+def em_weighted(spark, d):
+    """Weights by alignment and effective length, from the mixed start."""
+    m = stored(classes.length_weights(class_weights(spark, d), target_lengths(spark, d)), "members")
+    return inference.expectation_maximisation(m, ROUNDS, start=inference.start(even_shares(spark, d))).withColumn("alpha", F.round("alpha", 3))
+
+
+@query(f"""WITH RECURSIVE {_WEIGHTS}, cm AS (SELECT key, n, tid, w FROM cw JOIN cls USING (key)), em(it, tid, a) AS (SELECT 0, tid, 1.0::DOUBLE FROM (SELECT DISTINCT tid FROM cm) {_WEIGHTED_ROUNDS.format('cm')}
+    SELECT n_name AS name, round(a, 3) AS num_reads FROM em JOIN nation ON n_nationkey = tid WHERE it = 20""")
+def quant_from_classes(spark, d):
+    """Classes written as files and read back; their weights are taken as they are, from an even start."""
+    from ..sources import readers, writers
+    from ..store import new_path
+
+    path = new_path(spark, "classes")
+    weighted = class_weights(spark, d)
+    writers.write_classes(eqclass_build(spark, d), targets(spark, d), path, weighted)
+    names, members = readers.read_class_tables(spark, path)
+    return inference.expectation_maximisation(members, ROUNDS).join(names, "tid").select("name", F.round("alpha", 3).alias("num_reads"))
+
+
 _VB_ROUNDS, _PRIOR = 8, 0.01
 _THETA = f"exp({digamma_sql(f'a + {_PRIOR}')} - {digamma_sql('s')})"
 
@@ -122,6 +176,15 @@ def vbem_fixed_rounds(spark, d):
     return inference.expectation_maximisation(equal_members(spark, d), _VB_ROUNDS, prior=_PRIOR).select("tid", F.round("alpha", 4).alias("alpha"))
 
 
+@query(f"""WITH RECURSIVE {CLASSES}, {_LENGTHS}, pr AS (SELECT tid, eff_len * 1e-3 AS pr FROM el), vb(it, tid, a) AS (SELECT 0, tid, 1.0::DOUBLE FROM (SELECT DISTINCT tid FROM mem) UNION ALL
+    SELECT it + 1, tid, sum(n * th / den) FROM (SELECT it, m.tid, m.n, th, sum(th) OVER (PARTITION BY m.key) AS den FROM mem m JOIN
+        (SELECT it, tid, exp({digamma_sql('b')} - {digamma_sql('s')}) AS th FROM (SELECT it, tid, b, sum(b) OVER () AS s FROM (SELECT it, tid, a + pr AS b FROM vb JOIN pr USING (tid)))) v ON v.tid = m.tid WHERE it < {_VB_ROUNDS}) GROUP BY it, tid)
+    SELECT tid, round(a, 4) AS alpha FROM vb WHERE it = {_VB_ROUNDS}""")
+def vbem_per_nucleotide(spark, d):
+    prior = inference.per_nucleotide(target_lengths(spark, d), 1e-3)
+    return inference.expectation_maximisation(equal_members(spark, d), _VB_ROUNDS, prior=prior).select("tid", F.round("alpha", 4).alias("alpha"))
+
+
 @query()
 def em_until_settled(spark, d):
     return inference.truncate(inference.expectation_maximisation(equal_members(spark, d), 10_000, tolerance=0.01, least_rounds=100))
@@ -230,6 +293,54 @@ def compatibility(spark, d):
     return o.select("frag", "ln", *(formats.compatible_pair(c, f).alias(c.lower()) for c in ("IU", "ISF", "MU")), left.alias("orphan_left"), right.alias("orphan_right"))
 
 
+_CODES = ", ".join(f"('{c}', '{k}', '{o}', '{t}')" for c, (k, o, t) in formats.FORMATS.items())
+_KNOWN = f"codes(expected, kind, orientation, strand) AS (VALUES {_CODES})"
+
+
+@query(f"""WITH {ALN}, {_KNOWN}, o AS (SELECT {_OBSERVED} AS observed, count(*) AS n FROM aln GROUP BY 1)
+    SELECT expected, observed, n, expected = observed OR (expected IN ('IU', 'OU', 'MU') AND left(observed, 1) = left(expected, 1)) AS compatible FROM codes, o""")
+def compatible_formats(spark, d):
+    """Every library format against every format that pairs have."""
+    n = observed(spark, d).groupBy(F.col("format").alias("observed")).agg(F.count("*").alias("n"))
+    one = lambda c: F.struct(F.lit(c).alias("expected"), formats.compatible_pair(c, F.col("observed")).alias("compatible"))
+    return n.select("observed", "n", F.explode(F.array(*map(one, formats.FORMATS))).alias("x")).select("x.expected", "observed", "n", "x.compatible")
+
+
+@query(f"""WITH {ALN}, {_KNOWN}, o AS (SELECT fwd, count(*) AS n FROM aln GROUP BY 1), m(mate) AS (VALUES ('single'), ('left'), ('right'))
+    SELECT expected, fwd, mate, n, strand = 'U' OR CASE WHEN orientation = 'same' THEN fwd = (strand = 'S') WHEN strand IN ('S', 'SA') THEN fwd = (mate <> 'right') ELSE fwd = (mate = 'right') END AS compatible
+    FROM codes, o, m WHERE (kind = 'single') = (mate = 'single')""")
+def compatible_orphans(spark, d):
+    """Every library format against reads without their mate: single ones, left and right ones."""
+    n = alignments(spark, d).groupBy("fwd").agg(F.count("*").alias("n"))
+    one = lambda c, m: F.struct(F.lit(c).alias("expected"), F.lit(m).alias("mate"), formats.compatible_single(c, F.col("fwd"), F.lit(m)).alias("compatible"))
+    cases = [one(c, m) for c, (kind, _, _) in formats.FORMATS.items() for m in (("single",) if kind == "single" else ("left", "right"))]
+    return n.select("fwd", "n", F.explode(F.array(*cases)).alias("x")).select("x.expected", "fwd", "x.mate", "n", "x.compatible")
+
+
+@query(f"WITH {ALN}, o AS (SELECT *, {_OBSERVED} AS format FROM aln) SELECT frag, ln, round(CASE WHEN format = 'ISF' THEN 0.0 ELSE ln(1e-5) END, 6) AS log_p FROM o")
+def format_prior(spark, d):
+    return observed(spark, d).select("frag", "ln", F.round(formats.log_prior(formats.compatible_pair("ISF", F.col("format")), 1e-5), 6).alias("log_p"))
+
+
+@query(f"""WITH {ALN} SELECT frag, ln, CAST(abs(pos - mate_pos) + CASE WHEN pos < mate_pos THEN 75 ELSE 100 END AS INTEGER) AS span,
+    CAST(CASE WHEN fwd <> mate_fwd THEN abs(least(greatest(CASE WHEN fwd THEN pos ELSE mate_pos END, 0), len) - least(greatest(CASE WHEN fwd THEN mate_pos + 75 ELSE pos + 100 END, 0), len)) ELSE 0 END AS INTEGER) AS inner_span FROM aln""")
+def pair_lengths(spark, d):
+    """Fragment lengths of pairs of a read of 100 letters and a mate of 75."""
+    c = {x: F.col(x) for x in ("fwd", "pos", "mate_fwd", "mate_pos", "len")}
+    inner = formats.inner_length(c["fwd"], c["pos"], F.lit(100), c["mate_fwd"], c["mate_pos"], F.lit(75), c["len"])
+    return alignments(spark, d).select("frag", "ln", formats.span_length(c["pos"], F.lit(100), c["mate_pos"], F.lit(75)).cast("int").alias("span"), inner.cast("int").alias("inner_span"))
+
+
+@query(f"""WITH {ALN}, o AS (SELECT frag, {_OBSERVED} AS format FROM aln), f AS (SELECT frag, bool_or(format LIKE 'I%') AS ok, bool_or(format = 'ISF') AS sf, bool_or(format = 'ISR') AS sr FROM o GROUP BY 1),
+    s AS (SELECT count(*) AS fragments, count(*) FILTER (WHERE ok) AS compatible, count(*) FILTER (WHERE sf) AS sense, count(*) FILTER (WHERE sr) AS antisense FROM f)
+    SELECT 'IU' AS expected, fragments, compatible, round(compatible / fragments, 6) AS ratio, sense, antisense, round(abs(sense / (sense + antisense) - 0.5), 6) AS strand_bias,
+        abs(sense / (sense + antisense) - 0.5) > 0.01 AS warn_strand, 1 - compatible / fragments > 0.05 AS warn_incompatible FROM s""")
+def format_agreement(spark, d):
+    from ..operators.reports import format_agreement as agreement
+
+    return agreement(observed(spark, d), "IU").withColumns({c: F.round(c, 6) for c in ("ratio", "strand_bias")})
+
+
 @query(f"""WITH {ALN}, o AS (SELECT {_OBSERVED} AS format FROM (SELECT * FROM aln ORDER BY frag, ln LIMIT 50000)),
     c AS (SELECT count(*) FILTER (WHERE format LIKE 'I%') AS i, count(*) FILTER (WHERE format LIKE 'O%') AS u, count(*) FILTER (WHERE format LIKE 'M%') AS m, avg(CASE WHEN format LIKE '%F' THEN 1.0 ELSE 0.0 END) AS f FROM o)
     SELECT CASE WHEN i >= u AND i >= m THEN 'I' WHEN u >= m THEN 'O' ELSE 'M' END || CASE WHEN f < 0.3 THEN 'SR' WHEN f < 0.7 THEN 'U' ELSE 'SF' END AS detected FROM c""")
@@ -329,6 +440,26 @@ def decoy_filter(spark, d):
     return mapping.decoy_filter(best(spark, d)).select("frag", "tid", "score")
 
 
+@query(f"""WITH {BEST}, x AS (SELECT *, max(score) FILTER (WHERE decoy) OVER (PARTITION BY frag) AS dm, max(score) FILTER (WHERE NOT decoy) OVER (PARTITION BY frag) AS tm FROM best)
+    SELECT frag, tid, score FROM x WHERE decoy AND score = dm AND (tm IS NULL OR tm < dm)""")
+def best_decoys(spark, d):
+    return mapping.best_decoys(best(spark, d)).select("frag", "tid", "score")
+
+
+@query(f"WITH {ALN} SELECT frag, ln, mate_pos < pos AND mate_pos + 75 >= pos AS dovetail FROM aln WHERE fwd AND NOT mate_fwd")
+def dovetails(spark, d):
+    a = alignments(spark, d).filter(F.col("fwd") & ~F.col("mate_fwd"))
+    return a.select("frag", "ln", mapping.dovetails(F.col("pos"), F.col("mate_pos") + 75, F.col("mate_pos")).alias("dovetail"))
+
+
+@query(f"""WITH {SEQS} SELECT sha256(string_agg(s, '' ORDER BY b)) AS sequences, sha256(string_agg(n, '' ORDER BY b)) AS names
+    FROM (SELECT tid // 65536 AS b, sha256(string_agg(sha256(seq), '' ORDER BY tid)) AS s, sha256(string_agg(sha256(CAST(tid AS VARCHAR)), '' ORDER BY tid)) AS n FROM seqs GROUP BY 1)""")
+def index_digests(spark, d):
+    from ..operators.reports import digests
+
+    return digests(sequences(spark, d).withColumn("name", F.col("tid").cast("string")))
+
+
 @query(f"WITH {BEST} SELECT frag, tid FROM best QUALIFY count(*) OVER (PARTITION BY frag) <= 3")
 def max_places_filter(spark, d):
     return mapping.most_places_filter(best(spark, d), 3).select("frag", "tid")
@@ -375,16 +506,10 @@ def zero_prob_fragments(spark, d):
     return likelihood.impossible_fragments(a)
 
 
-@query(f"""WITH {ALN} SELECT frag, round(ln(sum(exp(score * 0.1))), 6) AS a FROM (SELECT frag, score FROM aln WHERE ln <= 2) GROUP BY 1 HAVING count(*) = 2""")
+@query(f"WITH {ALN} SELECT frag, round(ln(sum(exp(score * 0.1))), 6) AS a FROM aln GROUP BY 1")
 def log_add_pairs(spark, d):
-    a = alignments(spark, d).filter("ln <= 2").groupBy("frag").agg(F.min(F.col("score") * 0.1).alias("x"), F.max(F.col("score") * 0.1).alias("y"), F.count("*").alias("k")).filter("k = 2")
-    return a.select("frag", F.round(log_add(F.col("x"), F.col("y")), 6).alias("a"))
-
-
-@query()
-def log_add_alignments(spark, d):
-    """Over all alignments of every fragment, where log_add_pairs and its SQL take fragments' first two."""
-    x = F.collect_list(F.col("score") * F.lit(0.1))
+    """All alignments of every fragment, added pair by pair."""
+    x = F.collect_list(F.col("score") * F.lit(0.1))  # a fragment's alignments are few
     a = alignments(spark, d).groupBy("frag").agg(F.reduce(F.array_sort(x), F.lit(float("-inf")), log_add).alias("a"))
     return a.select("frag", F.round("a", 6).alias("a"))
 
@@ -434,12 +559,6 @@ def orphan_links(spark, d):
 
 
 
-def part_hits(spark, d):
-    return read(spark, d, "lineitem").filter("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("frag"), F.col("l_partkey").alias("tid"))
-
-
-
-
 def all_hits(spark, d):
     return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("frag"), F.col("l_partkey").alias("tid"))
 
@@ -448,16 +567,13 @@ def components_of(h):
     return graph.connected_components(graph.class_edges(h), h.select("tid").distinct())
 
 
-@query("""WITH RECURSIVE fr AS (SELECT DISTINCT l_orderkey AS frag, l_partkey AS tid FROM lineitem WHERE l_orderkey % 20 = 0), ed AS (SELECT DISTINCT a.tid AS a, b.tid AS b FROM fr a JOIN fr b USING (frag)),
-    lab(it, tid, c) AS (SELECT 0, tid, tid FROM (SELECT DISTINCT tid FROM fr) UNION ALL SELECT it + 1, ed.b, min(c) FROM lab JOIN ed ON ed.a = lab.tid WHERE it < 40 GROUP BY it, ed.b)
-    SELECT tid, c AS component FROM lab WHERE it = 40""")
-def connected_components(spark, d):
-    return components_of(part_hits(spark, d))
+_COMPONENTS = """fr AS (SELECT DISTINCT l_orderkey AS frag, l_partkey AS tid FROM lineitem), ed AS (SELECT DISTINCT a.tid AS a, b.tid AS b FROM fr a JOIN fr b USING (frag)),
+    lab(it, tid, c) AS (SELECT 0, tid, tid FROM (SELECT DISTINCT tid FROM fr) UNION ALL SELECT it + 1, ed.b, min(c) FROM lab JOIN ed ON ed.a = lab.tid WHERE it < 40 GROUP BY it, ed.b),
+    comp AS (SELECT tid, c AS component FROM lab WHERE it = 40)"""
 
 
-@query()
-def connected_components_whole(spark, d):
-    """Over all fragments, where connected_components and its SQL take every twentieth."""
+@query(f"WITH RECURSIVE {_COMPONENTS} SELECT tid, component FROM comp")
+def connected_components(spark, d):
     return components_of(all_hits(spark, d))
 
 
@@ -469,24 +585,25 @@ def _projected(hits):
     return h, comp, n, graph.projected_counts(mass, comp, n)
 
 
-@query("""WITH RECURSIVE fr AS (SELECT DISTINCT l_orderkey AS frag, l_partkey AS tid FROM lineitem WHERE l_orderkey % 20 = 0), ed AS (SELECT DISTINCT a.tid AS a, b.tid AS b FROM fr a JOIN fr b USING (frag)),
-    lab(it, tid, c) AS (SELECT 0, tid, tid FROM (SELECT DISTINCT tid FROM fr) UNION ALL SELECT it + 1, ed.b, min(c) FROM lab JOIN ed ON ed.a = lab.tid WHERE it < 40 GROUP BY it, ed.b),
-    comp AS (SELECT tid, c AS component FROM lab WHERE it = 40), m AS (SELECT tid, count(*) AS mass FROM fr GROUP BY 1), k AS (SELECT component, count(DISTINCT frag) AS n FROM fr JOIN comp USING (tid) GROUP BY 1)
-    SELECT tid, round(n * mass / sum(mass) OVER (PARTITION BY component), 5) AS projected FROM m JOIN comp USING (tid) JOIN k USING (component)""")
-def cluster_projected_counts(spark, d):
-    return _projected(part_hits(spark, d))[3].withColumn("projected", F.round("projected", 5))
+_PROJECTED = f"""{_COMPONENTS}, m AS (SELECT tid, count(*) AS mass FROM fr GROUP BY 1), k AS (SELECT component, count(DISTINCT frag) AS n FROM fr JOIN comp USING (tid) GROUP BY 1),
+    pro AS (SELECT tid, component, n, n * mass / sum(mass) OVER (PARTITION BY component) AS projected FROM m JOIN comp USING (tid) JOIN k USING (component))"""
 
 
-@query()
-def cluster_projected_counts_whole(spark, d):
+@query(f"WITH RECURSIVE {_PROJECTED} SELECT tid, round(projected, 5) AS projected FROM pro")
+def cluster_projected_counts(spark, d):
     return _projected(all_hits(spark, d))[3].withColumn("projected", F.round("projected", 5))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PROJECTED}, sz AS (SELECT frag, count(*) AS k FROM fr GROUP BY 1), tc AS (SELECT tid, count(*)::DOUBLE AS high, (count(*) FILTER (WHERE k = 1))::DOUBLE AS low FROM fr JOIN sz USING (frag) GROUP BY 1),
+    pp(it, tid, component, n, low, high, x, bound) AS (SELECT 0, tid, component, n::DOUBLE, low, high, projected::DOUBLE, false FROM pro JOIN tc USING (tid) UNION ALL
+        SELECT it + 1, tid, component, n, low, high, CASE WHEN abs(fixed + loose - n) <= 1e-9 * greatest(1, n) THEN x WHEN loose = 0 THEN x * n / fixed WHEN bound THEN x ELSE x * (n - fixed) / loose END, bound AND loose <> 0
+        FROM (SELECT *, sum(CASE WHEN bound THEN x ELSE 0 END) OVER (PARTITION BY component) AS fixed, sum(CASE WHEN bound THEN 0 ELSE x END) OVER (PARTITION BY component) AS loose
+            FROM (SELECT it, tid, component, n, low, high, least(greatest(x, low), high) AS x, bound OR x < low OR x > high AS bound FROM pp WHERE it < 60)))
+    SELECT tid, round(x, 4) AS fitted FROM pp WHERE it = 60""")
 def polytope_projection(spark, d):
     h, comp, n, projected = _projected(all_hits(spark, d))
     rows = projected.join(comp, "tid").join(n, "component").join(classes.target_counts(h), "tid")
-    return graph.project_to_bounds(rows.select("component", F.col("tid").cast("long").alias("tid"), "projected", "uniq", "total", "n"))
+    return graph.project_to_bounds(rows.select("component", F.col("tid").cast("long").alias("tid"), "projected", "uniq", "total", "n")).withColumn("fitted", F.round("fitted", 4))
 
 
 # --- sequences
@@ -502,42 +619,39 @@ def revcomp(spark, d):
 _K = 15
 
 
-@query(f"WITH {SEQS}, idx AS (SELECT substr(seq, CAST(i + 1 AS BIGINT), {_K}) AS kmer, tid, CAST(i AS INTEGER) AS pos FROM (SELECT tid, seq, unnest(range(length(seq) - {_K} + 1)) AS i FROM seqs WHERE length(seq) >= {_K})) SELECT least(kmer, translate(reverse(kmer), 'ACGT', 'TGCA')) AS kmer, count(*) AS n, count(DISTINCT tid) AS targets FROM idx GROUP BY 1 HAVING count(*) > 1")
-def kmer_index(spark, d):
-    return kmer_index_whole(spark, d).filter("n > 1")
+_SEQ_KMERS = "SELECT substr(seq, CAST(i + 1 AS BIGINT), {0}) AS kmer, tid, CAST(i AS INTEGER) AS pos FROM (SELECT tid, seq, unnest(range(length(seq) - {0} + 1)) AS i FROM seqs WHERE length(seq) >= {0})"
 
 
-@query()
-def kmer_index_whole(spark, d):
-    """All k-mers, where kmer_index and its SQL give those that occur twice."""
-    rows = mapping.kmer_index(sequences(spark, d), _K)
-    return rows.groupBy(seq.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n"), F.countDistinct("tid").alias("targets"))
+@query(f"WITH {SEQS}, idx AS ({_SEQ_KMERS.format(_K)}) SELECT least(kmer, translate(reverse(kmer), 'ACGT', 'TGCA')) AS kmer, count(*) AS n, count(DISTINCT tid) AS targets FROM idx GROUP BY 1")
+def kmer_index(spark, d):
+    rows = kmers.kmer_counts(sequences(spark, d), _K)
+    return rows.select(seq.kmer_text(F.col("kmer"), _K).alias("kmer"), "n", "targets")
 
 
-@query(f"WITH {SEQS} SELECT substr(seq, 1, 6) AS kmer, count(*) AS n FROM seqs WHERE length(seq) >= 6 GROUP BY 1")
+@query(f"WITH {SEQS}, idx AS ({_SEQ_KMERS.format(6)}) SELECT kmer, count(*) AS n FROM idx GROUP BY 1")
 def kmer_histogram(spark, d):
     return bias.kmer_histogram(sequences(spark, d))
 
 
-@query(f"""WITH {SEQS} SELECT kmer, CAST(list_sum(list_transform(range(1, 7), lambda i: (strpos('ACGT', substr(kmer, CAST(i AS BIGINT), 1)) - 1) * CAST(pow(4, 6 - i) AS BIGINT))) AS BIGINT) AS code FROM (SELECT DISTINCT substr(seq, 1, 6) AS kmer FROM seqs WHERE length(seq) >= 6)""")
+@query(f"""WITH {SEQS}, idx AS ({_SEQ_KMERS.format(6)}) SELECT kmer, CAST(list_sum(list_transform(range(1, 7), lambda i: (strpos('ACGT', substr(kmer, CAST(i AS BIGINT), 1)) - 1) * CAST(pow(4, 6 - i) AS BIGINT))) AS BIGINT) AS code FROM (SELECT DISTINCT kmer FROM idx)""")
 def kmer_codes(spark, d):
-    k = sequences(spark, d).filter(F.length("seq") >= 6).select(F.substring("seq", 1, 6).alias("kmer")).distinct()
+    k = kmer_histogram(spark, d).select("kmer")
     return k.withColumn("code", seq.kmer_code(F.col("kmer"))).filter(seq.kmer_text(F.col("code"), 6) == F.col("kmer"))
 
 
 def reads(spark, d):
-    return read(spark, d, "pages").select(F.col("page_id").alias("frag"), F.substring(seq.clean(F.col("html")), 1, 200).alias("seq"))
+    return read(spark, d, "pages").select(F.col("page_id").alias("frag"), seq.clean(F.col("html")).alias("seq"))
 
 
-_READS = "reads AS (SELECT page_id AS frag, substr(upper(regexp_replace(html, '[^acgtACGT]', '', 'g')), 1, 200) AS seq FROM pages)"
-_SEED_K = 9
-_HITS = f"""{SEQS}, {_READS}, idx AS (SELECT substr(seq, CAST(i + 1 AS BIGINT), {_SEED_K}) AS kmer, tid, CAST(i AS INTEGER) AS pos FROM (SELECT tid, seq, unnest(range(length(seq) - {_SEED_K} + 1)) AS i FROM seqs WHERE length(seq) >= {_SEED_K})),
+_READS = "reads AS (SELECT page_id AS frag, upper(regexp_replace(html, '[^acgtACGT]', '', 'g')) AS seq FROM pages)"
+_SEED_K = _K
+_HITS = f"""{SEQS}, {_READS}, idx AS ({_SEQ_KMERS.format(_SEED_K)}),
     rk AS (SELECT substr(seq, CAST(i + 1 AS BIGINT), {_SEED_K}) AS kmer, frag, CAST(i AS INTEGER) AS rpos FROM (SELECT frag, seq, unnest(range(length(seq) - {_SEED_K} + 1)) AS i FROM reads WHERE length(seq) >= {_SEED_K})),
-    rare AS (SELECT kmer FROM idx GROUP BY 1 HAVING count(*) <= 50), sh AS (SELECT frag, rpos, tid, pos FROM rk JOIN idx USING (kmer) SEMI JOIN rare USING (kmer))"""
+    rare AS (SELECT kmer FROM idx GROUP BY 1 HAVING count(*) <= 1000), sh AS (SELECT frag, rpos, tid, pos FROM rk JOIN idx USING (kmer) SEMI JOIN rare USING (kmer))"""
 
 
 def seeds(spark, d):
-    return mapping.seed_hits(reads(spark, d), mapping.kmer_index(sequences(spark, d), _SEED_K), _SEED_K, 50)
+    return mapping.seed_hits(reads(spark, d), mapping.kmer_index(sequences(spark, d), _SEED_K), _SEED_K)
 
 
 @query(f"WITH {_HITS} SELECT frag, tid, count(*) AS n FROM sh GROUP BY 1, 2")
@@ -545,9 +659,9 @@ def seed_join(spark, d):
     return seeds(spark, d).groupBy("frag", "tid").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_HITS} SELECT frag, tid, pos - rpos AS diagonal, count(*) AS seeds, min(rpos) AS first, max(rpos) AS last FROM sh GROUP BY 1, 2, 3 HAVING count(*) > 1")
+@query(f"WITH {_HITS} SELECT frag, tid, pos - rpos AS diagonal, count(*) AS seeds, min(rpos) AS first, max(rpos) AS last FROM sh GROUP BY 1, 2, 3")
 def seed_chains(spark, d):
-    return mapping.chains(seeds(spark, d)).filter("seeds > 1")
+    return mapping.chains(seeds(spark, d))
 
 
 @query(f"WITH {_HITS}, h AS (SELECT frag, tid, count(DISTINCT rpos) AS hits FROM sh GROUP BY 1, 2) SELECT frag, tid, hits FROM h QUALIFY hits = max(hits) OVER (PARTITION BY frag)")
@@ -555,25 +669,33 @@ def sketch_map(spark, d):
     return mapping.sketch_map(seeds(spark, d))
 
 
-def whole_seeds(spark, d):
-    """Over whole pages and with the reference's 1000 places, where seeds() and its SQL take 200 letters and 50 places."""
-    pages = read(spark, d, "pages").select(F.col("page_id").alias("frag"), seq.clean(F.col("html")).alias("seq"))
-    return mapping.seed_hits(pages, mapping.kmer_index(sequences(spark, d), _SEED_K), _SEED_K)
+_CHAINS = f"""{_HITS},
+    g AS (SELECT *, pos - rpos AS dg, rpos - lag(rpos) OVER w AS gap FROM sh WINDOW w AS (PARTITION BY frag, tid, pos - rpos ORDER BY rpos)),
+    rn AS (SELECT *, sum(CASE WHEN gap <= 500 THEN 0 ELSE 1 END) OVER (PARTITION BY frag, tid, dg ORDER BY rpos) AS run FROM g),
+    runs AS (SELECT frag, tid, dg, run, count(*) AS seeds, sum(least(coalesce(gap, {_SEED_K}), {_SEED_K})) AS bases, min(rpos) AS first, max(rpos) + {_SEED_K} AS last FROM rn GROUP BY ALL),
+    pv AS (SELECT *, lag(dg) OVER w AS pd, lag(first) OVER w AS pf, lag(last) OVER w AS pl FROM runs WINDOW w AS (PARTITION BY frag, tid ORDER BY first + dg, first)),
+    nw AS (SELECT *, CASE WHEN pf IS NULL OR abs(dg - pd) > 15 OR first <= pf OR last + dg - pf - pd > 500 THEN 1 ELSE 0 END AS new FROM pv),
+    ch AS (SELECT *, sum(new) OVER (PARTITION BY frag, tid ORDER BY first + dg, first) AS chain FROM nw),
+    gc AS (SELECT frag, tid, CAST(chain AS BIGINT) AS chain, CAST(sum(seeds) AS BIGINT) AS seeds, CAST(sum(bases - CASE WHEN new = 1 THEN 0 ELSE least(greatest(pl - first, 0), bases) END) AS BIGINT) AS bases, min(first) AS first, max(last) AS last, min(first + dg) AS start, max(last + dg) AS stop FROM ch GROUP BY ALL)"""
 
 
-@query()
-def seed_join_whole(spark, d):
-    return whole_seeds(spark, d).groupBy("frag", "tid").agg(F.count("*").alias("n"))
+def gapped(spark, d):
+    return mapping.gapped_chains(seeds(spark, d), _SEED_K, 500)
 
 
-@query()
-def seed_chains_whole(spark, d):
-    return mapping.chains(whole_seeds(spark, d))
+@query(f"WITH {_CHAINS} SELECT frag, tid, chain, seeds, bases, first, last, start, stop FROM gc")
+def gapped_chains(spark, d):
+    return gapped(spark, d)
 
 
-@query()
-def sketch_map_whole(spark, d):
-    return mapping.sketch_map(whole_seeds(spark, d))
+@query(f"""WITH {_CHAINS}, f1 AS (SELECT * FROM gc QUALIFY bases >= 0.65 * max(bases) OVER (PARTITION BY frag)) SELECT frag, tid, chain, bases FROM f1 QUALIFY bases >= 0.75 * max(bases) OVER (PARTITION BY frag, tid)""")
+def consensus_chains(spark, d):
+    return mapping.consensus_filter(gapped(spark, d)).select("frag", "tid", "chain", "bases")
+
+
+@query(f"WITH {_READS} SELECT count(*) AS reads, min(length(seq)) AS shortest, count(*) FILTER (WHERE length(seq) < {_K}) AS too_short, count(*) > 0 AND count(*) = count(*) FILTER (WHERE length(seq) < {_K}) AS all_too_short FROM reads")
+def read_statistics(spark, d):
+    return mapping.read_statistics(reads(spark, d), _K).withColumn("shortest", F.col("shortest").cast("long"))
 
 
 @query(f"WITH {SEQS} SELECT min(tid) AS tid, length(seq) AS len FROM seqs GROUP BY seq")
@@ -589,26 +711,32 @@ def polya_clip(spark, d):
 _GC = "CAST(round_even(100.0 * length(regexp_replace({0}, '[AT]', '', 'g')) / nullif(length({0}), 0), 0) AS INTEGER)"
 
 
-@query(f"WITH {SEQS} SELECT tid, {_GC.format('substr(seq, 11, 50)')} AS gc FROM seqs WHERE length(seq) > 10")
+@query(f"WITH {SEQS} SELECT tid, {_GC.format('seq')} AS gc FROM seqs WHERE length(seq) > 0")
 def gc_fraction(spark, d):
-    return sequences(spark, d).filter(F.length("seq") > 10).select("tid", seq.gc_percent(F.col("seq"), F.lit(10), F.lit(50)).alias("gc"))
+    return sequences(spark, d).filter(F.length("seq") > 0).select("tid", seq.gc_percent(F.col("seq"), F.lit(0), F.length("seq")).alias("gc"))
+
 
+_CTX = "(substr(seq, CAST(p - 2 AS BIGINT), 5) || substr(seq, CAST(p + 50 AS BIGINT), 5))"
 
-_CTX = "(substr(seq, 8, 5) || substr(seq, 60, 5))"
 
+def places(spark, d, length):
+    """(tid, seq, p): fragments one after the other along each sequence, of which ``length`` letters must be there."""
+    return sequences(spark, d).select("tid", "seq", F.explode(seq.starts(F.col("seq"), 10, length, 50)).alias("p"))
 
-@query(f"WITH {SEQS} SELECT tid, {_GC.format(_CTX)} AS gc FROM seqs WHERE length(seq) >= 70")
+
+@query(f"WITH {SEQS}, pl AS (SELECT tid, seq, unnest(range(10, length(seq) - 59, 50)) AS p FROM seqs) SELECT tid, p, {_GC.format(_CTX)} AS gc FROM pl")
 def gc_context(spark, d):
-    s = sequences(spark, d).filter(F.length("seq") >= 70)
-    return s.select("tid", seq.context_gc_percent(F.col("seq"), F.lit(10), F.lit(51)).alias("gc"))
+    s = places(spark, d, 60)
+    return s.select("tid", F.col("p").cast("long").alias("p"), seq.context_gc_percent(F.col("seq"), F.col("p"), F.lit(51)).alias("gc"))
 
 
-_GCBIN = f"{SEQS}, g AS (SELECT tid, tid % 3 AS ctx, {_GC.format('substr(seq, 11, 50)')} AS gc FROM seqs WHERE length(seq) >= 60), b AS (SELECT tid, ctx, CAST(least(24, floor(gc / 4.0)) AS INTEGER) AS gc FROM g)"
+_GCBIN = f"""{SEQS}, g AS (SELECT tid, tid % 3 AS ctx, {_GC.format('substr(seq, CAST(p + 1 AS BIGINT), 50)')} AS gc FROM (SELECT tid, seq, unnest(range(10, length(seq) - 49, 50)) AS p FROM seqs)),
+    b AS (SELECT tid, ctx, CAST(least(24, floor(gc / 4.0)) AS INTEGER) AS gc FROM g)"""
 
 
 def gc_observations(spark, d):
-    s = sequences(spark, d).filter(F.length("seq") >= 60)
-    return s.select("tid", (F.col("tid") % 3).alias("ctx"), seq.percent_bin(seq.gc_percent(F.col("seq"), F.lit(10), F.lit(50)), 25).alias("gc"), F.lit(1.0).alias("w"))
+    s = places(spark, d, 50)
+    return s.select("tid", (F.col("tid") % 3).alias("ctx"), seq.percent_bin(seq.gc_percent(F.col("seq"), F.col("p"), F.lit(50)), 25).alias("gc"), F.lit(1.0).alias("w"))
 
 
 @query(f"WITH {_GCBIN} SELECT gc, count(*) AS n FROM b GROUP BY 1")
@@ -632,12 +760,15 @@ def pos_bias_bins(spark, d):
 
 
 @query(f"""WITH {SEQS} SELECT CAST(pos AS INTEGER) AS pos, substr(w, CAST(pos - o + 1 AS BIGINT), CAST(o AS BIGINT)) AS ctx, substr(w, CAST(pos + 1 AS BIGINT), 1) AS base, CAST(count(*) AS DOUBLE) AS n
-    FROM (SELECT substr(seq, 21, 9) AS w FROM seqs WHERE length(seq) >= 29), (SELECT i AS pos, least(i, 2) AS o FROM range(9) t(i)) GROUP BY 1, 2, 3""")
+    FROM (SELECT substr(seq, CAST(i + 1 AS BIGINT), 9) AS w FROM (SELECT seq, unnest(range(length(seq) - 8)) AS i FROM seqs WHERE length(seq) >= 9)), (SELECT i AS pos, least(i, 2) AS o FROM range(9) t(i)) GROUP BY 1, 2, 3""")
 def markov_counts(spark, d):
-    w = sequences(spark, d).filter(F.length("seq") >= 29).select(F.substring("seq", 21, 9).alias("seq"), F.lit(1.0).alias("w"))
-    return bias.markov_counts(w)
+    return bias.markov_counts(nine_letters(spark, d))
 
 
+def nine_letters(spark, d):
+    """(seq, w): every window of nine letters, with how often it occurs."""
+    n = kmers.kmer_counts(sequences(spark, d), 9, both_strands=False)
+    return n.select(seq.kmer_text(F.col("kmer"), 9).alias("seq"), F.col("n").cast("double").alias("w"))
 
 
 @query("SELECT l_orderkey AS frag, l_linenumber AS ln, 2 * CAST(l_quantity AS INTEGER) + CAST(l_partkey % 7 + 1 AS INTEGER) AS ref_span, CAST(l_linenumber + 2 * CAST(l_quantity AS INTEGER) + l_suppkey % 5 + 1 AS INTEGER) AS read_span FROM lineitem")
@@ -672,12 +803,15 @@ def bootstrap(spark, d):
 
 @query()
 def gibbs(spark, d):
-    return inference.gibbs(equal_members(spark, d).withColumn("component", F.lit(0)), chains=2, kept_draws=2, thinning=2)
+    return inference.gibbs(equal_members(spark, d), chains=2, kept_draws=2, thinning=2)
 
 
-@query()
+@query(f"""WITH {_LIKE}, q AS (SELECT frag, tid, sum(p) AS p FROM post GROUP BY 1, 2), cu AS (SELECT *, sum(p) OVER (PARTITION BY frag ORDER BY tid) AS cum, max(tid) OVER (PARTITION BY frag) AS top,
+        (CAST('0x' || substr(md5(CAST(frag AS VARCHAR) || ':1'), 1, 8) AS BIGINT)::DOUBLE + 0.5) / 4294967296 AS u FROM q)
+    SELECT frag, tid, round(p, 6) AS p FROM cu WHERE cum > u OR tid = top QUALIFY row_number() OVER (PARTITION BY frag ORDER BY tid) = 1""")
 def posterior_sample(spark, d):
-    return inference.posterior_sample(likelihood.posterior(scored(spark, d)).groupBy("frag", "tid").agg(F.sum("p").alias("p")))
+    p = likelihood.posterior(scored(spark, d)).groupBy("frag", "tid").agg(F.sum("p").alias("p"))
+    return inference.posterior_sample(p).withColumn("p", F.round("p", 6))
 
 
 @query()

@@ -54,12 +54,17 @@ def read_fastq(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return rows.select("file", "rec", _first_word(F.substring("head", 2, 1 << 30)).alias("name"), "seq", "qual")
 
 
-def read_fasta(spark: SparkSession, paths: list[str] | str, bar_ends_name: bool = False) -> DataFrame:
-    """(file, rec, name, seq): sequences over any number of lines. bar_ends_name: names end at a vertical bar too."""
-    lines = numbered_lines(spark, paths).filter(F.length("value") > 0)
+def read_fasta(spark: SparkSession, paths: list[str] | str, bar_ends_name: bool = False, lines_each: int = 100_000) -> DataFrame:
+    """(file, rec, name, seq): sequences over any number of lines. bar_ends_name: names end at a vertical bar too.
+
+    A record is known by the line that begins it. Lines fall into blocks; the last beginning in each block is carried
+    over to the blocks after it, a row for each block, and within a block lines take the last beginning before them."""
+    lines = numbered_lines(spark, paths).filter(F.length("value") > 0).withColumn("block", F.floor(F.col("line") / lines_each))
     starts = F.when(F.col("value").startswith(">"), F.col("line"))
-    rec = F.max(starts).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    lines = lines.withColumn("rec", rec).filter("rec is not null")
+    carried = lines.groupBy("file", "block").agg(F.max(starts).alias("begun"))
+    carried = carried.select("file", "block", F.max("begun").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("begun"))
+    own = F.max(starts).over(Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    lines = lines.withColumn("own", own).join(carried, ["file", "block"]).withColumn("rec", F.coalesce("own", "begun")).filter("rec is not null")
     head = F.max(F.when(F.col("line") == F.col("rec"), F.substring("value", 2, 1 << 30)))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("line") != F.col("rec"), F.struct("line", "value")))), lambda x: x["value"]), "")  # of one sequence
     rows = lines.groupBy("file", "rec").agg(head.alias("head"), body.alias("seq"))
@@ -164,6 +169,22 @@ def read_classes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return targets, counts, members
 
 
+def read_class_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Targets (tid, name) and members (key, n, tid, w) of the two tables that write_classes makes.
+
+    Only the targets' order counts, by file and line; each class stands on a line of its own, of which there may be any
+    number of files."""
+    names = numbered_lines(spark, f"{path}/targets")
+    sizes = names.groupBy("file").agg(F.count("*").alias("n"))
+    before = sizes.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each file
+    targets = names.join(F.broadcast(before), "file").select((F.col("before") + F.col("line")).cast("int").alias("tid"), F.col("value").alias("name"))
+    rows = spark.read.text(f"{path}/classes").select(F.split("value", "\t").alias("f")).withColumn("k", F.col("f")[0].cast("int"))
+    tids = F.slice("f", F.lit(2), F.col("k"))
+    w = F.when(F.size("f") == 2 * F.col("k") + 2, F.slice("f", F.col("k") + 2, F.col("k")).cast("array<double>")).otherwise(F.array_repeat(F.lit(1.0), F.col("k")))
+    each = rows.select(F.array_join(tids, ",").alias("key"), F.element_at("f", -1).cast("long").alias("n"), F.explode(F.arrays_zip(tids.cast("array<int>").alias("tid"), w.alias("w"))).alias("x"))
+    return targets, each.select("key", "n", "x.tid", "x.w")
+
+
 def read_gene_map(spark: SparkSession, path: str) -> DataFrame:
     """(name, gene) of a file of two words a line; a name's first gene counts."""
     rows = numbered_lines(spark, path).select("line", F.split(F.trim("value"), r"\s+").alias("f")).filter(F.size("f") >= 2)

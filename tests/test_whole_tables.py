@@ -38,12 +38,12 @@ def clusters():
 
 def test_clusters_of_all_fragments(spark):
     frags, component = clusters()
-    assert {r.tid: r.component for r in run(spark, "connected_components_whole")} == component
+    assert {r.tid: r.component for r in run(spark, "connected_components")} == component
     mass = Counter(t for ts in frags.values() for t in ts)
     n, whole = Counter(component[min(ts)] for ts in frags.values()), Counter()
     for t, m in mass.items():
         whole[component[t]] += m
-    got = {r.tid: r.projected for r in run(spark, "cluster_projected_counts_whole")}
+    got = {r.tid: r.projected for r in run(spark, "cluster_projected_counts")}
     assert got == pytest.approx({t: n[component[t]] * m / whole[component[t]] for t, m in mass.items()}, abs=1e-4)
     fitted = Counter()
     for r in run(spark, "polytope_projection"):
@@ -73,7 +73,7 @@ def test_online_masses_beyond_twenty_batches(spark):
 
 def test_log_add_over_all_alignments(spark):
     n = duckdb.sql(f"SELECT count(DISTINCT l_orderkey) FROM '{DATA}/lineitem.parquet'").fetchall()[0][0]
-    got = {r.frag: r.a for r in run(spark, "log_add_alignments")}
+    got = {r.frag: r.a for r in run(spark, "log_add_pairs")}
     from strandtally.plans.frames import alignments
 
     scores = defaultdict(list)
