@@ -143,12 +143,18 @@ def words_of(text: Column) -> Column:
 
 def units(paragraph: Column) -> Column:
     """The word arrays by which a paragraph is read: windows of its words, and its lines of up to a window's length."""
-    lines = F.transform(F.split(paragraph, "\n"), words_of)
-    words = F.flatten(lines)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - WINDOW // 2, F.lit(1)), F.lit(WINDOW // 2))
-    windows = F.transform(starts, lambda i: F.slice(words, i, WINDOW))
-    short = F.filter(lines, lambda x: F.size(x) <= WINDOW)
-    return F.filter(F.concat(windows, F.when(F.size(lines) > 1, short).otherwise(F.slice(short, 1, 0))), lambda x: F.size(x) > 0)
+
+    def windows(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - WINDOW // 2, F.lit(1)), F.lit(WINDOW // 2))
+        return F.transform(starts, lambda i: F.slice(words, i, WINDOW))
+
+    def both(lines: Column) -> Column:
+        short = F.filter(lines, lambda x: F.size(x) <= WINDOW)
+        cut = F.transform(F.array(F.flatten(lines)), windows)[0]
+        return F.filter(F.concat(cut, F.when(F.size(lines) > 1, short).otherwise(F.slice(short, 1, 0))), lambda x: F.size(x) > 0)
+
+    # a lambda's variable is evaluated once, so words are cut once and not anew for each window
+    return F.transform(F.array(F.transform(F.split(paragraph, "\n"), words_of)), both)[0]
 
 
 def grams(words: Column) -> Column:
