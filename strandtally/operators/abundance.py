@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranks import value_ranks
 
 
 def tpm(counts: DataFrame) -> DataFrame:
@@ -55,9 +56,8 @@ def merge_long(long: DataFrame, samples: list[str], missing: str = "NA") -> Data
 
 def correlation(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row: pearson and spearman of two columns; tied ranks are averaged."""
-
-    def rank(c: str):
-        return F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0
-
-    ranked = pairs.select(F.col(a).alias("a"), F.col(b).alias("b"), rank(a).alias("ra"), rank(b).alias("rb"))
+    ranked = pairs.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    for c in "ab":
+        ranks = value_ranks(ranked, c).select(F.col("value").alias(f"v{c}"), (F.col("upto") - (F.col("n") - 1) / 2.0).alias(f"r{c}"))
+        ranked = ranked.join(ranks, F.col(c).eqNullSafe(F.col(f"v{c}"))).drop(f"v{c}")
     return ranked.agg(F.corr("a", "b").alias("pearson"), F.corr("ra", "rb").alias("spearman"))

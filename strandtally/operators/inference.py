@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from ..functions.numeric import digamma
 from ..store import stored
+from .ranks import running_sum
 
 CUT_EVERY = 5
 #: Targets up to which their abundances are broadcast: 16 bytes each.
@@ -198,8 +199,7 @@ def forgetting_mass(batches: DataFrame, factor: float = 0.65) -> DataFrame:
     """``batches`` (batch, from 1) with log_mass: each batch's weight in a one-pass estimate, as a running sum."""
     i = F.col("batch").cast("double")
     step = F.when(i > 1, factor * F.log(F.greatest(i - 1, F.lit(1.0))) - F.log(F.nullif(F.pow(i, F.lit(factor)) - 1, F.lit(0.0)))).otherwise(0.0)
-    whole = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)  # batches are few: one row for thousands of fragments
-    return batches.withColumn("log_mass", F.sum(step).over(whole))
+    return running_sum(batches, "batch", step, "log_mass")
 
 
 def posterior_sample(posteriors: DataFrame, seed: int = 1) -> DataFrame:

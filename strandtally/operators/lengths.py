@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import value_ranks
+
 KERNEL = (1, 4, 6, 4, 1)  # fixed values: binomial weights, sixteenths
 
 
@@ -54,11 +56,12 @@ def exact_effective_lengths(targets: DataFrame, dist: DataFrame) -> DataFrame:
 
 def length_classes(targets: DataFrame, classes: int = 5) -> DataFrame:
     """``targets`` with length_class: bounds are order statistics at equal ranks, exactly."""
-    ranked = targets.select("len", F.row_number().over(Window.orderBy("len", "tid")).alias("r"))
+    ranks = value_ranks(targets, "len")
     n = targets.count()
     step = max(1, n // classes)
     at = [min(n, step * (i + 1)) for i in range(classes)]
-    bounds = [r.len for r in ranked.filter(F.col("r").isin(at)).orderBy("r").collect()]  # one for each class
+    held = F.filter(F.array(*map(F.lit, at)), lambda r: (r > F.col("upto") - F.col("n")) & (r <= F.col("upto")))
+    bounds = [r.value for r in ranks.select("value", F.explode(held).alias("r")).orderBy("r").collect()]  # one for each class
     cls = F.lit(classes - 1)
     for i in reversed(range(min(len(bounds), classes - 1))):
         cls = F.when(F.col("len") < bounds[i], F.lit(i)).otherwise(cls) if i == 0 else F.when((F.col("len") >= bounds[i - 1]) & (F.col("len") < bounds[i]), F.lit(i)).otherwise(cls)

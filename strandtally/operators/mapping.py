@@ -161,35 +161,54 @@ def mapping_type(has_pair: Column, has_left: Column, has_right: Column, only_dec
     return code.otherwise("u")
 
 
-def banded_score(read: str, target: str, band: int = BAND) -> int:
-    """Best score of a global alignment of a read to a target within a band, with affine gaps."""
-    n, m = len(read), len(target)
-    low = -(10**9)
-    width = max(band, abs(n - m))
-    best = [low] * (m + 1)
-    gap_t = [low] * (m + 1)  # ends in a gap of the target
-    for j in range(min(m, width) + 1):
-        best[j] = -(GAP_OPEN + GAP_EXTEND * j) if j else 0
-    for i in range(1, n + 1):
-        a, b = max(1, i - width), min(m, i + width)
-        new = [low] * (m + 1)
-        if i <= width:
-            new[0] = -(GAP_OPEN + GAP_EXTEND * i)
-        gap_r = low
-        for j in range(a, b + 1):
-            gap_t[j] = max(best[j] - GAP_OPEN, gap_t[j]) - GAP_EXTEND
-            gap_r = max(new[j - 1] - GAP_OPEN, gap_r) - GAP_EXTEND
-            new[j] = max(best[j - 1] + (MATCH if read[i - 1] == target[j - 1] else MISMATCH), gap_t[j], gap_r)
+def _padded(texts: list[str], fill: int) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of all texts as rows of one array, and their lengths."""
+    raw = [t.encode() for t in texts]
+    size = np.array([len(t) for t in raw], np.int64)
+    out = np.full((len(raw), max(1, size.max(initial=0))), fill, np.uint8)
+    inside = np.arange(out.shape[1]) < size[:, None]
+    out[inside] = np.frombuffer(b"".join(raw), np.uint8)
+    return out, size
+
+
+def banded_scores(reads: list[str], targets: list[str], band: int = BAND) -> np.ndarray:
+    """Best scores of global alignments of reads to targets within a band, with affine gaps; all pairs at once.
+
+    One row of the table for each letter of the reads; gaps along a row come from a running maximum."""
+    q, n = _padded(reads, 1)
+    t, m = _padded(targets, 2)
+    low, j = -(10**9), np.arange(t.shape[1] + 1)
+    width = np.maximum(band, np.abs(n - m))[:, None]
+    best = np.where((j == 0), 0, np.where((j <= width) & (j <= m[:, None]), -(GAP_OPEN + GAP_EXTEND * j), low))
+    gap_t = np.full(best.shape, low)
+    rows = np.arange(len(n))
+    out = np.where(n == 0, best[rows, m], low)
+    for i in range(1, q.shape[1] + 1):
+        inside = (np.abs(j - i) <= width) & (j <= m[:, None])
+        gap_t = np.where(inside, np.maximum(best - GAP_OPEN, gap_t) - GAP_EXTEND, low)
+        new = gap_t.copy()
+        pair = np.where(q[:, i - 1 : i] == t, MATCH, MISMATCH)
+        new[:, 1:] = np.where(inside[:, 1:], np.maximum(best[:, :-1] + pair, gap_t[:, 1:]), low)
+        new[:, 0] = np.where(i <= width[:, 0], -(GAP_OPEN + GAP_EXTEND * i), low)
+        gap_r = np.maximum.accumulate(new + GAP_EXTEND * j, axis=1)
+        new[:, 1:] = np.where(inside[:, 1:], np.maximum(new[:, 1:], gap_r[:, :-1] - GAP_OPEN - GAP_EXTEND * j[1:]), low)
         best = new
-    return best[m]
+        ends = n == i
+        out[ends] = best[rows[ends], m[ends]]
+    return out
+
+
+def banded_score(read: str, target: str, band: int = BAND) -> int:
+    return int(banded_scores([read], [target], band)[0])
 
 
-def score_alignments(candidates: DataFrame) -> DataFrame:
+def score_alignments(candidates: DataFrame, pairs_each: int = 2_000) -> DataFrame:
     """(frag, tid, pos, score) of candidates (frag, tid, pos, read, target): target is the part that the read may lie on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf["score"] = [banded_score(r, t) for r, t in zip(pdf["read"], pdf["target"], strict=True)]
+            found = [banded_scores(pdf["read"][a : a + pairs_each].tolist(), pdf["target"][a : a + pairs_each].tolist()) for a in range(0, len(pdf), pairs_each)]
+            pdf["score"] = np.concatenate(found) if found else np.zeros(0, np.int64)
             yield pdf[["frag", "tid", "pos", "score"]]
 
     return candidates.select("frag", "tid", "pos", "read", "target").mapInPandas(run, "frag long, tid int, pos int, score int")
@@ -200,29 +219,39 @@ def good_scores(scored: DataFrame, read_length: Column) -> DataFrame:
     return scored.filter(F.col("score") >= read_length * MATCH * LEAST_SCORE)
 
 
-def rescue(orphan_reads: DataFrame, most_edits: int) -> DataFrame:
+def rescue(orphan_reads: DataFrame, most_edits: int, pairs_each: int = 2_000) -> DataFrame:
     """(frag, tid, edits, at) of missing mates (frag, tid, mate, window) found in the window near their partner:
     the mate's reverse complement with at most ``most_edits`` edits, anywhere in the window."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [infix_distance(q, w) for q, w in zip(pdf["query"], pdf["window"], strict=True)]
-            pdf["edits"], pdf["at"] = [x[0] for x in found], [x[1] for x in found]
-            yield pdf.loc[pdf["edits"] <= most_edits, ["frag", "tid", "edits", "at"]]
+            for a in range(0, len(pdf), pairs_each):
+                part = pdf.iloc[a : a + pairs_each].copy()
+                part["edits"], part["at"] = infix_distances(part["query"].tolist(), part["window"].tolist())
+                yield part.loc[part["edits"] <= most_edits, ["frag", "tid", "edits", "at"]]
 
     rows = orphan_reads.select("frag", "tid", reverse_complement(F.col("mate")).alias("query"), "window")
     return rows.mapInPandas(run, "frag long, tid int, edits int, at int")
 
 
-def infix_distance(query: str, text: str) -> tuple[int, int]:
-    """Least edits of a query against any part of a text, and where that part ends (exclusive)."""
-    q, t = np.frombuffer(query.encode(), np.uint8), np.frombuffer(text.encode(), np.uint8)
-    row = np.zeros(len(t) + 1, np.int64)
-    steps = np.arange(len(t) + 1)
-    for i, c in enumerate(q, 1):
+def infix_distances(queries: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits of each query against any part of its text, and where that part ends (exclusive); all pairs at once."""
+    q, n = _padded(queries, 1)
+    t, m = _padded(texts, 2)
+    steps = np.arange(t.shape[1] + 1)
+    row = np.zeros((len(n), len(steps)), np.int64)
+    last = row.copy()
+    for i in range(1, q.shape[1] + 1):
         new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[:-1] + (t != c), row[1:] + 1)
-        row = np.minimum.accumulate(new - steps) + steps  # gaps along the text
-    at = int(row.argmin())
-    return int(row[at]), at
+        new[:, 0] = i
+        new[:, 1:] = np.minimum(row[:, :-1] + (t != q[:, i - 1 : i]), row[:, 1:] + 1)
+        row = np.minimum.accumulate(new - steps, axis=1) + steps  # gaps along the text
+        last[n == i] = row[n == i]
+    last[steps[None] > m[:, None]] = np.iinfo(np.int32).max
+    at = last.argmin(1)
+    return last[np.arange(len(n)), at], at
+
+
+def infix_distance(query: str, text: str) -> tuple[int, int]:
+    edits, at = infix_distances([query], [text])
+    return int(edits[0]), int(at[0])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -814,11 +815,33 @@ def posterior_sample(spark, d):
     return inference.posterior_sample(p).withColumn("p", F.round("p", 6))
 
 
+def bias_tables(spark, d):
+    """Fragments (chains of pages on texts) and targets, with uncorrected lengths and length classes."""
+    seqs = sequences(spark, d).filter(F.length("seq") > 0).withColumn("len", F.length("seq"))
+    share = np.array([p for _, p in lengths.truncated_normal(120.0, 20.0, 300)])
+    cmf, mean = np.cumsum(share), np.cumsum(share * np.arange(301))
+    known = F.array(*(F.lit(float(m / c) if c > 0 else 0.0) for m, c in zip(mean, cmf, strict=True)))
+    eff = F.col("len") - known[F.least("len", F.lit(300))]
+    chains = stored(mapping.consensus_filter(gapped(spark, d)), "chains").withColumn("w", 1.0 / F.count("*").over(Window.partitionBy("frag")))
+    t = lengths.length_classes(seqs).withColumn("eff_len", F.when(eff < 1, F.col("len").cast("double")).otherwise(eff))
+    t = stored(t.join(chains.groupBy("tid").agg(F.sum("w").alias("alpha")), "tid", "left").na.fill(0.0, ["alpha"]), "bias-targets")
+    low, high = int(np.searchsorted(cmf, 0.005)), int(np.searchsorted(cmf, 0.995))
+    return chains.select("tid", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "w"), t, cmf, low, high
+
+
+@query()
+def bias_models(spark, d):
+    chains, t, cmf, low, high = bias_tables(spark, d)
+    o = bias.observed_models(chains.join(t, "tid")).withColumn("kind", F.lit("observed"))
+    return o.unionByName(bias.expected_models(t, cmf, low, high).withColumn("kind", F.lit("expected")))
+
+
 @query()
 def bias_corrected_length(spark, d):
-    ratio = {r.gc: r.ratio for r in gc_ratio(spark, d).filter("ctx = 0").collect()}  # 25 rows
-    pmf = [(x, p) for x, p in lengths.truncated_normal(120.0, 20.0, 300)]
-    return bias.corrected_lengths(sequences(spark, d), pmf, ratio)
+    """Sequence, G+C and place at once."""
+    chains, t, cmf, low, high = bias_tables(spark, d)
+    models = bias.models_of(bias.observed_models(chains.join(t, "tid")), bias.expected_models(t, cmf, low, high))
+    return bias.corrected_lengths(t, models, cmf, low, high)
 
 
 @query("""WITH b AS (SELECT l_orderkey AS frag, CAST(l_linenumber // 2 AS INTEGER) AS bin, l_returnflag AS cur, coalesce(lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey), '-') AS prev FROM lineitem)

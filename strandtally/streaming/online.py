@@ -2,8 +2,9 @@
 
 State is a table of masses by target. Each batch's posterior shares depend on
 the masses before it and are added with the batch's forgetting mass. The same
-step serves Structured Streaming through foreachBatch, where the state table is
-kept in the shared folder, and a table that is read in batches."""
+step serves Structured Streaming through foreachBatch, where the state after
+each batch is a table that a restart finds again, and a table that is read in
+batches."""
 
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..store import stored
+from ..store import new_path, stored
 
 
 def log_masses(batches: int, factor: float = 0.65) -> list[float]:
@@ -24,13 +25,16 @@ def log_masses(batches: int, factor: float = 0.65) -> list[float]:
     return out
 
 
-def add_batch(state: DataFrame, hits: DataFrame, log_mass: float) -> DataFrame:
+def moved(state: DataFrame, hits: DataFrame, log_mass: float) -> DataFrame:
     """(tid, mass) after a batch of hits (frag, tid)."""
     prior = hits.join(state, "tid", "left").withColumn("m", F.coalesce("mass", F.lit(0.0)) + 1.0)
     share = F.col("m") / F.sum("m").over(Window.partitionBy("frag"))
     got = prior.withColumn("p", share).groupBy("tid").agg((F.sum("p") * math.exp(log_mass)).alias("add"))
-    both = state.join(got, "tid", "full").select("tid", (F.coalesce("mass", F.lit(0.0)) + F.coalesce("add", F.lit(0.0))).alias("mass"))
-    return stored(both, "online-state")
+    return state.join(got, "tid", "full").select("tid", (F.coalesce("mass", F.lit(0.0)) + F.coalesce("add", F.lit(0.0))).alias("mass"))
+
+
+def add_batch(state: DataFrame, hits: DataFrame, log_mass: float) -> DataFrame:
+    return stored(moved(state, hits, log_mass), "online-state")
 
 
 def online_masses(events: DataFrame) -> DataFrame:
@@ -51,16 +55,22 @@ def online_masses(events: DataFrame) -> DataFrame:
 class OnlinePass:
     """For ``writeStream.foreachBatch``: hits (frag, tid) of each micro-batch move the state forward.
 
-    A micro-batch that comes again after a failure starts from the state before it, so it counts once."""
+    The state after each batch is a table below ``folder``, by its number. Kept beside the stream's checkpoint, it
+    outlives the driver: a new OnlinePass with the same folder goes on from the batch before its first. A batch that
+    comes again after a failure starts from the state before it and replaces its own, so it counts once."""
+
+    def __init__(self, state: DataFrame, factor: float = 0.65, folder: str | None = None) -> None:
+        self.start, self.factor = state, factor
+        self.folder = folder or new_path(state.sparkSession, "online-states")
 
-    def __init__(self, state: DataFrame, factor: float = 0.65) -> None:
-        self.states, self.factor = {-1: state}, factor
+    def after(self, batch: int) -> DataFrame:
+        """The state after a batch, of which there must be a table; before the first, that to start with."""
+        return self.start if batch < 0 else self.start.sparkSession.read.parquet(f"{self.folder}/batch={batch}")
 
     def __call__(self, hits: DataFrame, batch: int) -> None:
-        before = self.states[max(k for k in self.states if k < batch)]
-        self.states[batch] = add_batch(before, hits, log_masses(batch + 1, self.factor)[batch])
-        self.states = {k: v for k, v in self.states.items() if k >= batch - 1}
+        moved(self.after(batch - 1), hits, log_masses(batch + 1, self.factor)[batch]).write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
 
     @property
     def state(self) -> DataFrame:
-        return self.states[max(self.states)]
+        every = self.start.sparkSession.read.parquet(self.folder)  # with a column batch
+        return self.after(every.agg(F.max("batch")).first()[0])
