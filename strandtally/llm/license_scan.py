@@ -141,8 +141,10 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.+-]+|[.]+(?=\s|$)"), lambda w: w != "")
 
 
-def units(paragraph: Column) -> Column:
-    """The word arrays by which a paragraph is read: windows of its words, and its lines of up to a window's length."""
+def units(paragraph: Column, known: list[str]) -> Column:
+    """The word arrays by which a paragraph is read: windows of its words, and its lines of up to a window's length.
+
+    Words that aren't known are empty: no n-gram with such a word is among the model's terms or a notice's."""
 
     def windows(words: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(words) - WINDOW // 2, F.lit(1)), F.lit(WINDOW // 2))
@@ -154,17 +156,17 @@ def units(paragraph: Column) -> Column:
         return F.filter(F.concat(cut, F.when(F.size(lines) > 1, short).otherwise(F.slice(short, 1, 0))), lambda x: F.size(x) > 0)
 
     # a lambda's variable is evaluated once, so words are cut once and not anew for each window
-    return F.transform(F.array(F.transform(F.split(paragraph, "\n"), words_of)), both)[0]
+    mark = lambda words: F.transform(words, lambda w: F.when(w.isin(known), w).otherwise(""))
+    return F.transform(F.array(F.transform(F.split(paragraph, "\n"), lambda x: mark(words_of(x)))), both)[0]
 
 
 def grams(words: Column) -> Column:
-    """Word n-grams of an array of words, one to three words each; all of them, in order."""
+    """Word n-grams of an array of words, one to three words each; all of them but those with an empty word."""
     none = F.array().cast("array<string>")
     n = F.size(words)
-    follow = lambda runs, k: F.zip_with(F.slice(runs, F.lit(1), n - k), F.slice(words, k + 1, n - k), lambda a, b: F.concat_ws(" ", a, b))
-    two = F.when(n >= 2, follow(words, 1)).otherwise(none)
-    three = F.when(n >= 3, follow(follow(words, 1), 2)).otherwise(none)
-    return F.concat(words, two, three)
+    follow = lambda runs, k: F.when(n > k, F.zip_with(F.slice(runs, F.lit(1), n - k), F.slice(words, k + 1, n - k), lambda a, b: F.when((a != "") & (b != ""), F.concat(a, F.lit(" "), b)))).otherwise(none)
+    every = F.transform(F.array(follow(words, 1)), lambda two: F.concat(words, two, follow(two, 2)))[0]
+    return F.filter(every, lambda x: x.isNotNull() & (x != ""))
 
 
 class LicenseModel:
@@ -214,9 +216,10 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFra
     spark = docs.sparkSession
     model = model or train(spark)
     none = F.array().cast("array<string>")
+    known = [t for t in model.terms.vocabulary if " " not in t]  # some hundred words
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")  # numbered before rows multiply
     rows = rows.select("row", "doc_id", F.posexplode_outer(F.split("text", r"\r?\n[^\S\n]*\n\s*")).alias("at", "paragraph"))
-    rows = rows.select("row", "doc_id", "at", F.coalesce(F.col("paragraph").rlike(CUES), F.lit(False)).alias("cue"), F.posexplode_outer(units(F.col("paragraph"))).alias("u", "words"))
+    rows = rows.select("row", "doc_id", "at", F.coalesce(F.col("paragraph").rlike(CUES), F.lit(False)).alias("cue"), F.posexplode_outer(units(F.col("paragraph"), known)).alias("u", "words"))
     scored = model.predict(rows.withColumn("grams", grams(F.coalesce("words", none))))
     # what was predicted, and a row for each text and for each paragraph with a cue
     first = (F.coalesce("u", F.lit(0)) == 0) & ((F.coalesce("at", F.lit(0)) == 0) | F.col("cue"))
