@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,12 +34,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back.
+def stored(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and return the table read back. Its path is added to ``paths``, if given.
 
     Nothing reads the write's shuffle files afterwards, so they are removed at its end."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if paths is not None:
+        paths.append(path)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -48,6 +51,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(paths: list[str]) -> None:
+    """Remove stored tables that no later step reads, because all that came of them is stored itself."""
+    for path in paths:
+        store, at = fs.FileSystem.from_uri(path)
+        store.delete_dir(at)
+    paths.clear()
+
+
 def free_prefix(df: DataFrame, start: str = "__own_") -> str:
     """A prefix that no column of ``df`` begins with, whatever case it is written in."""
     taken = [c.lower() for c in df.columns]

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .language_id import fold
-from .shared import stored
+from .shared import remove, stored
 from .wordscan import LOWER, raw_bytes, scan, slices
 
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never has
@@ -57,7 +57,7 @@ class TreeRules:
     gain: float = 10.0
     weight: float = 3.0
     common: int = 100_000
-    chunk: int = 48 << 20
+    chunk: int = 64 << 20
 
 
 class Tally:
@@ -149,15 +149,16 @@ def count(texts: DataFrame, rules: TreeRules) -> DataFrame:
     return texts.select("chunk", "held_out", "text").mapInArrow(run, "word boolean, chunk int, key long, n long")
 
 
-def tree(counts: DataFrame, rules: TreeRules) -> DataFrame:
+def tree(counts: DataFrame, rules: TreeRules, paths: list[str] | None = None) -> DataFrame:
     """(key, log10): log10 probability of every context's next symbol in a table of counts (key, n), from the longest
     state that is a suffix of the context.
 
-    From the empty context on, each length's table is joined to the one before; no part of it leaves Spark."""
+    From the empty context on, each length's table is joined to the one before; no part of it leaves Spark. The tables
+    that the result is made from are added to ``paths``."""
     shorter = lambda d: F.expr(f"key & {(1 << (8 * (d + 1))) - 1}L")
     levels = [counts]
     for d in range(rules.depth - 1, -1, -1):
-        levels.append(stored(levels[-1].groupBy(shorter(d).alias("key")).agg(F.sum("n").alias("n")), "tree-counts"))
+        levels.append(stored(levels[-1].groupBy(shorter(d).alias("key")).agg(F.sum("n").alias("n")), "tree-counts", paths))
     levels.reverse()
     whole = levels[0].agg(F.sum("n")).first()[0] or 0
     least = max(rules.least_count, whole * rules.least_share)
@@ -178,7 +179,7 @@ def tree(counts: DataFrame, rules: TreeRules) -> DataFrame:
         p = F.when(state, smooth(F.col("n"), F.col("total"), F.col("base"))).otherwise(F.col("base"))
         known = rows.select("key", F.coalesce(F.col("n") / F.nullif("total", F.lit(0)), F.lit(0.0)).cast("float").alias("share"), p.cast("float").alias("p"))
         if d < rules.depth:
-            known = stored(known, "tree-states")
+            known = stored(known, "tree-states", paths)
     return known.select("key", F.log10("p").cast("float").alias("log10"))
 
 
@@ -189,12 +190,14 @@ def lm_scores(docs: DataFrame, rules: TreeRules = TreeRules(), folds: int = 5, h
     chunks = max(2, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // rules.chunk))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", out_of.alias("held_out"), "text")
     texts = stored(rows.repartition(chunks).withColumn("chunk", F.spark_partition_id()), "lm-texts")
-    counts = stored(count(texts, rules), "lm-counts")
+    paths: list[str] = []
+    counts = stored(count(texts, rules), "lm-counts", paths)
     words = stored(counts.filter("word").groupBy(F.col("key").alias("token")).agg(F.sum("n").alias("c")), "lm-words")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     keys_of = counts.filter("NOT word")
-    logs_of = tree(stored(keys_of.groupBy("key").agg(F.sum("n").alias("n")), "tree-counts"), rules)
+    logs_of = tree(stored(keys_of.groupBy("key").agg(F.sum("n").alias("n")), "tree-counts", paths), rules, paths)
     looked_up = stored(keys_of.select("chunk", "key").join(logs_of, "key"), "lm-looked-up")  # one row for each context of a chunk
+    remove(paths)
     top = words.orderBy(F.col("c").desc(), "token").limit(rules.common).toArrow()  # a table of fixed size
     key, c = top.column("token").to_numpy().view(np.uint64), top.column("c").to_numpy()
     order = np.argsort(key)
@@ -206,10 +209,11 @@ def lm_scores(docs: DataFrame, rules: TreeRules = TreeRules(), folds: int = 5, h
         keys, logs, known = common.value
         grams_, log10 = found.column("key").to_numpy(), found.column("log10").to_numpy()
         by_key = np.argsort(grams_)
-        grams_, log10 = grams_[by_key], log10[by_key].astype(float)
+        grams_, log10 = grams_[by_key], log10[by_key]
+        del by_key
         out = []
         for batch in texts.to_batches():
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 text = part.column("text")
                 w = scan(text, lower=True)
                 token = np.append(w.hashes(), np.full(len(text), END_TOKEN, np.uint64))
