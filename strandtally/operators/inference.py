@@ -55,7 +55,8 @@ def expectation_maximisation(members: DataFrame, rounds: int, start: DataFrame |
             if change is None or change <= tolerance:
                 break
         else:
-            alpha = stored(new, "alpha") if i % CUT_EVERY == 0 or i == rounds else new
+            # the variational form reads abundances twice in a round
+            alpha = stored(new, "alpha") if prior is not None or i % CUT_EVERY == 0 or i == rounds else new
     else:
         if tolerance is not None:
             kept.unpersist()

@@ -600,11 +600,11 @@ def cluster_projected_counts(spark, d):
         SELECT it + 1, tid, component, n, low, high, CASE WHEN abs(fixed + loose - n) <= 1e-9 * greatest(1, n) THEN x WHEN loose = 0 THEN x * n / fixed WHEN bound THEN x ELSE x * (n - fixed) / loose END, bound AND loose <> 0
         FROM (SELECT *, sum(CASE WHEN bound THEN x ELSE 0 END) OVER (PARTITION BY component) AS fixed, sum(CASE WHEN bound THEN 0 ELSE x END) OVER (PARTITION BY component) AS loose
             FROM (SELECT it, tid, component, n, low, high, least(greatest(x, low), high) AS x, bound OR x < low OR x > high AS bound FROM pp WHERE it < 60)))
-    SELECT tid, round(x, 4) AS fitted FROM pp WHERE it = 60""")
+    SELECT tid, round(x, 6) AS fitted FROM pp WHERE it = 60""")
 def polytope_projection(spark, d):
     h, comp, n, projected = _projected(all_hits(spark, d))
     rows = projected.join(comp, "tid").join(n, "component").join(classes.target_counts(h), "tid")
-    return graph.project_to_bounds(rows.select("component", F.col("tid").cast("long").alias("tid"), "projected", "uniq", "total", "n")).withColumn("fitted", F.round("fitted", 4))
+    return graph.project_to_bounds(rows.select("component", F.col("tid").cast("long").alias("tid"), "projected", "uniq", "total", "n")).withColumn("fitted", F.round("fitted", 6))
 
 
 # --- sequences
