@@ -790,11 +790,14 @@ def forgetting_mass(spark, d):
     return inference.forgetting_mass(b).select("batch", F.round("log_mass", 6).alias("log_mass"))
 
 
-@query()
+@query("""WITH i AS (SELECT i::DOUBLE AS i FROM range(1, (SELECT max(event_id // 500) + 2 FROM events)) t(i)),
+    lm AS (SELECT i AS batch, sum(CASE WHEN i > 1 THEN 0.65 * ln(greatest(i - 1, 1)) - ln(nullif(pow(i, 0.65) - 1, 0)) ELSE 0 END) OVER (ORDER BY i) AS log_mass FROM i)
+    SELECT CAST(user_id % 25 AS INTEGER) AS tid, round(sum(exp(log_mass)), 4) AS mass FROM events JOIN lm ON batch = event_id // 500 + 1 GROUP BY 1""")
 def online_pass(spark, d):
     from ..streaming.online import online_masses
 
-    return online_masses(read(spark, d, "events").select((F.floor((F.col("event_id") / 500)) + 1).cast("int").alias("batch"), "event_id", (F.col("user_id") % 25).cast("int").alias("tid")))
+    rows = read(spark, d, "events").select((F.floor((F.col("event_id") / 500)) + 1).cast("int").alias("batch"), "event_id", (F.col("user_id") % 25).cast("int").alias("tid"))
+    return online_masses(rows).withColumn("mass", F.round("mass", 4))
 
 
 @query()
