@@ -15,12 +15,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import remove, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(vertex, root) for each vertex of ``edges``; root is the smallest vertex of its component."""
-    e = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), "edges")
+    paths: list[str] = []
+    e = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), "edges", paths)
     mark = _mark(e)
     for _ in range(most_rounds):
         # large star: neighbours above a vertex go to the smallest of its neighbourhood
@@ -30,7 +31,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         # small star: a vertex and its neighbours below go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         below = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(below.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, paths = paths, []
+        e = stored(below.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges", paths)
+        remove(old)  # the round before
         before, mark = mark, _mark(e)
         if mark == before:
             break

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import free_prefix, stored
+from .shared import free_prefix, remove, stored
 from .wordscan import mix, scan, slices, windows
 
 _CHUNK = 4096  # cells of the count table in one row
@@ -247,10 +247,10 @@ def first_listed(sets: DataFrame, bits: "Broadcast[np.ndarray]", rules: JoinRule
     return sets.select("cls", "n", "by0").mapInArrow(run, f"cls {_CLASS}, n long, pos long, token long")
 
 
-def texts_of(docs: DataFrame, classes: DataFrame, sets: DataFrame, rules: JoinRules) -> DataFrame:
+def texts_of(docs: DataFrame, classes: DataFrame, sets: DataFrame, rules: JoinRules, paths: list[str]) -> DataFrame:
     """One text of each of ``classes``; documents are read again, and only texts that pass a bit filter are shuffled."""
     prints = sets.select("cls", "print", "check").join(classes, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("print", "check")).alias("x"))
-    prints = stored(prints.select("cls", "x.*"), "filtered-prints")
+    prints = stored(prints.select("cls", "x.*"), "filtered-prints", paths)
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(prints, "print", rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,10 +266,12 @@ def texts_of(docs: DataFrame, classes: DataFrame, sets: DataFrame, rules: JoinRu
 
 
 def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rules: JoinRules) -> DataFrame:
-    """The pairs (x, y) of classes whose whole sets reach the threshold; the hash orders' filters come first."""
-    sc = docs.sparkSession.sparkContext
-    pairs = stored(pairs, "candidates")
-    members = stored(pairs.select(F.col("x").alias("cls")).union(pairs.select("y")).distinct(), "candidate-classes")
+    """The pairs (x, y) of classes whose whole sets reach the threshold; the hash orders' filters come first.
+
+    The tables on the way are removed once the pairs are stored."""
+    sc, paths = docs.sparkSession.sparkContext, []
+    pairs = stored(pairs, "candidates", paths)
+    members = stored(pairs.select(F.col("x").alias("cls")).union(pairs.select("y")).distinct(), "candidate-classes", paths)
     bits = sc.broadcast(bit_filter(members, "cls", rules))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,13 +279,13 @@ def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rules: JoinRules
             yield batch.filter(pa.array(has_bit(bits.value, low_bits(batch.column("cls")), rules)))
 
     own = sets.select("cls", "n", "by1", "by2")
-    own = stored(own.mapInArrow(pick, own.schema).join(members, "cls", "left_semi").dropDuplicates(["cls"]), "candidate-sets")
+    own = stored(own.mapInArrow(pick, own.schema).join(members, "cls", "left_semi").dropDuplicates(["cls"]), "candidate-sets", paths)
     for k in ("x", "y"):
         pairs = pairs.join(own.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), *(F.col(f"by{i}").alias(f"{k}{i}") for i in (1, 2))), k)
     o = least_overlap(F.col("nx"), F.col("ny"), rules.percent)
-    pairs = stored(pairs.filter((F.least("nx", "ny") >= o) & shares_first(o, rules)).select("x", "y"), "filtered")
-    members = stored(pairs.select(F.col("x").alias("cls")).union(pairs.select("y")).distinct(), "filtered-classes")
-    texts = stored(texts_of(docs, members, sets, rules), "filtered-texts")
+    pairs = stored(pairs.filter((F.least("nx", "ny") >= o) & shares_first(o, rules)).select("x", "y"), "filtered", paths)
+    members = stored(pairs.select(F.col("x").alias("cls")).union(pairs.select("y")).distinct(), "filtered-classes", paths)
+    texts = stored(texts_of(docs, members, sets, rules, paths), "filtered-texts", paths)
     for k in ("x", "y"):
         pairs = pairs.join(texts.select(F.col("cls").alias(k), F.col("text").alias(f"text_{k}")), k)
 
@@ -300,7 +302,9 @@ def similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rules: JoinRules
                 at = pa.array(np.flatnonzero(ok))
                 yield pa.RecordBatch.from_arrays([part.column("x").take(at), part.column("y").take(at)], names=["x", "y"])
 
-    return pairs.select("x", "y", "text_x", "text_y").mapInArrow(run, f"x {_CLASS}, y {_CLASS}")
+    links = stored(pairs.select("x", "y", "text_x", "text_y").mapInArrow(run, f"x {_CLASS}, y {_CLASS}"), "links")
+    remove(paths)
+    return links
 
 
 def shares_first(o: Column, rules: JoinRules) -> Column:
@@ -323,26 +327,27 @@ def near_classes(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     order = spark.sparkContext.broadcast(token_counts(docs, rules))
-    rows = stored(sketches(docs, order, rules), "shingle-sets")
+    paths: list[str] = []
+    rows = stored(sketches(docs, order, rules), "shingle-sets", paths)
     sets = rows.filter("by0 is not null")  # a class has one row for each task that met it
 
     # tokens that several classes have among their first, with the most common class as pivot
     lists = sets.select("cls", F.explode("by0").alias("token")).groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("pivot"))
-    lists = stored(lists.filter("low != pivot").drop("low"), "shared-tokens")
-    listed = stored(first_listed(sets, spark.sparkContext.broadcast(bit_filter(lists, "token", rules)), rules).join(lists, "token"), "token-lists")
+    lists = stored(lists.filter("low != pivot").drop("low"), "shared-tokens", paths)
+    listed = stored(first_listed(sets, spark.sparkContext.broadcast(bit_filter(lists, "token", rules)), rules).join(lists, "token"), "token-lists", paths)
 
     # each class against the pivots of its lists; both places in the list decide whether the pair can be similar
     pivots = listed.filter("cls = pivot").select("token", F.col("n").alias("pn"), F.col("pos").alias("ppos")).distinct()
     o = least_overlap(F.col("n"), F.col("pn"), rules.percent)
     near = (F.col("pos") <= F.col("n") - o) & (F.col("ppos") <= F.col("pn") - o)
     pairs = listed.filter("cls != pivot").join(pivots, "token").filter(near).select(F.col("cls").alias("x"), F.col("pivot").alias("y")).distinct()
-    links = stored(similar(pairs, sets, docs, rules), "links")
+    links = similar(pairs, sets, docs, rules)
     roots = components(links, "x", "y")
 
     # then pairs of classes that share a first token and are not connected yet
     joined = listed.join(roots, listed["cls"] == roots["vertex"], "left").select("token", "cls", "n", "pos", F.coalesce("root", "cls").alias("root"))
     several = joined.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("token")
-    left = stored(joined.join(several, "token", "left_semi"), "open-lists")
+    left = stored(joined.join(several, "token", "left_semi"), "open-lists", paths)
     # similar sets differ in size by a bounded share: a list falls into bands of sizes, and only neighbouring ones meet
     band = F.floor(F.log("n") / F.lit(1.001 * float(np.log(100 / rules.percent)))).cast("int") if rules.percent < 100 else F.col("n").cast("int")
     left = left.withColumn("band", band)
@@ -354,6 +359,8 @@ def near_classes(docs: DataFrame, rules: JoinRules = JoinRules()) -> DataFrame:
     pairs = a.join(b, ["token", "band"]).filter(below & (F.col("root_a") != F.col("root_b")) & near)
     more = similar(pairs.select(F.col("cls_a").alias("x"), F.col("cls_b").alias("y")).distinct(), sets, docs, rules)
     roots = components(links.unionByName(more), "x", "y")
+    rows = stored(rows.drop("by0", "by1", "by2"), "classes-of-texts")  # all that is left to read
+    remove(paths)
 
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"))
     classes = classes.join(roots, classes["cls"] == roots["vertex"], "left").select("cls", "id", "rows", F.coalesce("root", "cls").alias("root"))
