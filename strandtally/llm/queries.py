@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_sort, language_id, license_scan, ngram_join, packing, pii, quality_rules, suffix_tree, warc, word_bpe
+from . import byte_bpe, content_sort, filter_audit, language_id, lexical_search, license_scan, ngram_join, packing, pii, quality_rules, suffix_tree, warc, word_bpe
 from .shared import table
 
 
@@ -49,7 +49,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_content_sort, op3_word_bpe, op4_ngram_jaccard_join, op5_warc, op6_contextual_pii, op7_best_fit_packing, op8_suffix_tree, op9_license_scan, op10_quality_rules)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_decode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_content_sort, op3_word_bpe, op4_ngram_jaccard_join, op5_warc, op6_contextual_pii, op7_best_fit_packing, op8_suffix_tree, op9_license_scan, op10_quality_rules, op11_lexical_search, op12_byte_bpe, op13_filter_audit)}
 
 ORACLE_SQL = {
     "op2_content_sort": """
@@ -58,4 +70,31 @@ ORACLE_SQL = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_lexical_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL),
+        n AS (SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS whole FROM d WHERE len(terms) > 0),
+        tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), n),
+        m AS (SELECT r, doc_id, 100 - 90 + (90 * len(terms)::BIGINT * docs) // whole AS m FROM d, n WHERE len(terms) > 0),
+        s AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM tf JOIN q USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) <= 10
+    """,
+    "op13_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+        l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM (SELECT doc_id, CASE WHEN quality = 1 THEN 1 ELSE 0 END AS quality, CASE WHEN toxic = 1 THEN 1 ELSE 0 END AS toxic FROM labels) GROUP BY 1),
+        f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+            CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END
+            || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+            || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM w LEFT JOIN l USING (doc_id)),
+        x(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+        o AS (SELECT a.c || b.c || c.c || d.c || e.c AS o FROM x a, x b, x c, x d, x e WHERE b.c <> a.c AND c.c NOT IN (a.c, b.c) AND d.c NOT IN (a.c, b.c, c.c) AND e.c NOT IN (a.c, b.c, c.c, d.c)),
+        g AS (SELECT *, CASE WHEN contains(fails, o[1]) THEN 1 WHEN contains(fails, o[2]) THEN 2 WHEN contains(fails, o[3]) THEN 3 WHEN contains(fails, o[4]) THEN 4 WHEN contains(fails, o[5]) THEN 5 ELSE 6 END AS first FROM f, o),
+        s AS (SELECT part, o, CAST(step AS INTEGER) AS step, o[step] AS letter, count(*) FILTER (WHERE first > step) AS kept, count(*) FILTER (WHERE first = step) AS removed,
+            count(*) FILTER (WHERE contains(fails, o[step]) AND first < step) AS redundant, count(*) FILTER (WHERE fails = o[step]) AS unique_fails,
+            count(*) FILTER (WHERE first = step AND good) AS good_lost, count(*) FILTER (WHERE first = step AND toxic) AS toxic_lost FROM g, range(1, 6) r(step) GROUP BY ALL)
+        SELECT part, o AS filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM s
+    """,
 }
