@@ -42,9 +42,10 @@ def test_words():
     assert np.diff(w.first).tolist() == [len(brute.WORD.findall(t)) for t in texts] and len(set(w.hashes().tolist())) == 5
 
 
-def test_content_sort_sql(spark):
+def test_sql(spark):
     db = duckdb.connect()
-    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for t in ("documents", "benchmark", "labels"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         got = queries.QUERIES[name](spark, DATA)
         want = db.sql(sql)
