@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .language_id import fold
@@ -61,7 +62,7 @@ class TreeRules:
 
 
 class Tally:
-    """Summed weights of 64-bit keys, kept sorted; given out when there are many."""
+    """Summed 32-bit weights of 64-bit keys, kept sorted; given out when there are many. A chunk's sums are below its bytes."""
 
     def __init__(self, most: int = 1 << 21) -> None:
         self.keys, self.counts, self.held, self.most = [], [], 0, most
@@ -81,7 +82,7 @@ class Tally:
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         self.merge()
-        got = (self.keys[0], self.counts[0]) if self.keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        got = (self.keys[0], self.counts[0]) if self.keys else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
         self.keys, self.counts, self.held = [], [], 0
         return got
 
@@ -91,7 +92,7 @@ def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(keys)
     keys, weights = keys[order], weights[order]
     at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
-    return keys[at], np.add.reduceat(weights, at) if len(at) else weights
+    return keys[at], np.add.reduceat(weights, at, dtype=weights.dtype) if len(at) else weights
 
 
 def streams(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,9 +136,9 @@ def count(texts: DataFrame, rules: TreeRules) -> DataFrame:
                     text, learn = part.column("text"), ~part.column("held_out").to_numpy(zero_copy_only=False)
                     w = scan(text, lower=True)
                     token = np.append(w.hashes(), np.full(len(text), END_TOKEN, np.uint64))[np.append(learn[w.doc], learn)]
-                    words.add(token, np.ones(len(token), np.int64))
+                    words.add(token, np.ones(len(token), np.int32))
                     stream, begin = streams(text, rules.depth)
-                    runs.add(grams(stream, rules.depth), np.repeat(learn.astype(np.int64), np.diff(begin) - rules.depth))
+                    runs.add(grams(stream, rules.depth), np.repeat(learn.astype(np.int32), np.diff(begin) - rules.depth))
                     for tally, word in ((words, True), (runs, False)):
                         if tally.held > tally.most // 2:
                             tally.merge()
@@ -203,39 +204,58 @@ def lm_scores(docs: DataFrame, rules: TreeRules = TreeRules(), folds: int = 5, h
     order = np.argsort(key)
     size = n + 0.5 * (v + 1)
     common = spark.sparkContext.broadcast((np.append(key[order], np.uint64(2**64 - 1)), np.append(np.log10((c[order] + 0.5) / size), 0.0), len(key)))
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+    own = [T.StructField("row", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType())]
+    numbers = [T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()), ("rare", T.ArrayType(T.LongType())))]
+
+    def scores(part: pa.RecordBatch, grams_: np.ndarray, log10: np.ndarray) -> pa.RecordBatch:
         keys, logs, known = common.value
-        grams_, log10 = found.column("key").to_numpy(), found.column("log10").to_numpy()
-        by_key = np.argsort(grams_)
-        grams_, log10 = grams_[by_key], log10[by_key]
-        del by_key
-        out = []
-        for batch in texts.to_batches():
-            for part in slices(batch, "text", 1 << 19):
-                text = part.column("text")
-                w = scan(text, lower=True)
-                token = np.append(w.hashes(), np.full(len(text), END_TOKEN, np.uint64))
-                doc = np.append(w.doc, np.arange(len(text)))
-                at = np.searchsorted(keys, token)
-                hit = (keys[at] == token) & (at < known)
-                rest = np.flatnonzero(~hit)
-                rest = rest[np.argsort(doc[rest], kind="stable")]
-                ends = np.searchsorted(doc[rest], np.arange(len(text) + 1)).astype(np.int32)
-                stream, begin = streams(text, rules.depth)
-                run_, of = grams(stream, rules.depth).view(np.int64), np.repeat(np.arange(len(text)), np.diff(begin) - rules.depth)
-                sort = np.argsort(run_)
-                score = np.bincount(of[sort], log10[np.searchsorted(grams_, run_[sort])], len(text))
-                arrays = [
-                    part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(w.first) + 1, pa.int64()), pa.array(np.bincount(doc[hit], minlength=len(text)), pa.int64()),
-                    pa.array(np.bincount(doc[hit], logs[at[hit]], len(text)).astype(float)), pa.array(score.astype(float)), pa.ListArray.from_arrays(pa.array(ends), pa.array(token[rest].view(np.int64))),
-                ]
-                out.append(pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"]))
-        return pa.Table.from_batches(out)
-
-    scored = texts.groupBy("chunk").cogroup(looked_up.groupBy("chunk"))
-    rows = stored(scored.applyInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"), "lm-scores")
+        text = part.column("text")
+        w = scan(text, lower=True)
+        token = np.append(w.hashes(), np.full(len(text), END_TOKEN, np.uint64))
+        doc = np.append(w.doc, np.arange(len(text)))
+        at = np.searchsorted(keys, token)
+        hit = (keys[at] == token) & (at < known)
+        rest = np.flatnonzero(~hit)
+        rest = rest[np.argsort(doc[rest], kind="stable")]
+        ends = np.searchsorted(doc[rest], np.arange(len(text) + 1)).astype(np.int32)
+        stream, begin = streams(text, rules.depth)
+        run_, of = grams(stream, rules.depth).view(np.int64), np.repeat(np.arange(len(text)), np.diff(begin) - rules.depth)
+        sort = np.argsort(run_)
+        score = np.bincount(of[sort], log10[np.searchsorted(grams_, run_[sort])], len(text))
+        arrays = [
+            part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(w.first) + 1, pa.int64()), pa.array(np.bincount(doc[hit], minlength=len(text)), pa.int64()),
+            pa.array(np.bincount(doc[hit], logs[at[hit]], len(text)).astype(float)), pa.array(score.astype(float)), pa.ListArray.from_arrays(pa.array(ends), pa.array(token[rest].view(np.int64))),
+        ]
+        return pa.RecordBatch.from_arrays(arrays, names=[f.name for f in (*own, *numbers)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by chunk, its contexts before its texts: only the contexts of one chunk are held."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        ready = grams_ = log10 = None
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            for at in np.unique(place):
+                rows = batch.filter(pa.array(place == at))
+                if at % 2 == 0:
+                    if ready is not None:
+                        held, ready, grams_, log10 = [], None, None, None
+                    held.append((rows.column("key").to_numpy(), rows.column("log10").to_numpy()))
+                    continue
+                if ready is None:
+                    grams_, log10 = (np.concatenate(c) for c in zip(*held, strict=True))
+                    held.clear()
+                    by_key = np.argsort(grams_)
+                    grams_, log10, ready = grams_[by_key], log10[by_key], True
+                    del by_key
+                for part in slices(rows, "text", 1 << 19):
+                    yield scores(part, grams_, log10)
+
+    place = lambda kind: (F.col("chunk") * 2 + kind).alias("place")
+    contexts = looked_up.select(place(0), "key", "log10", *(F.lit(None).cast(f.dataType).alias(f.name) for f in own), F.lit(None).cast("string").alias("text"))
+    both = contexts.unionByName(texts.select(place(1), F.lit(None).cast("long").alias("key"), F.lit(None).cast("float").alias("log10"), *(f.name for f in own), "text"))
+    by_chunk = both.repartition(F.floor(F.col("place") / 2)).sortWithinPartitions("place")
+    rows = stored(by_chunk.mapInArrow(run, T.StructType([*own, *numbers])), "lm-scores")
     rare = rows.select("row", F.explode("rare").alias("token")).join(words, "token")
     rare = rare.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10((F.col("c") + 0.5) / F.lit(size))).alias("sum"))
     known = F.col("known") + F.coalesce("more", F.lit(0))
