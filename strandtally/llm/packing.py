@@ -36,8 +36,8 @@ from .wordscan import slices
 CAPACITY = 2048
 #: Pre-tokeniser of the byte-level vocabulary: a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Most chunks that a worker remembers; beyond it forgets all of them and goes on.
-MOST_CACHED = 400_000
+#: Most bytes of chunks, with their ids, that a worker remembers; beyond it forgets all of them and goes on.
+MOST_CACHED = 48 << 20
 
 
 class ByteBpe:
@@ -57,6 +57,7 @@ class ByteBpe:
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.seen: dict[str, bytes | None] = {}
+        self.held = 0
         vocab, letters = spec["model"]["vocab"], {c: b for b, c in enumerate(byte_letters())}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         ordered = spec["normalizer"] is None and all(vocab[a + b] == 256 + i for i, (a, b) in enumerate(pairs))
@@ -80,8 +81,9 @@ class ByteBpe:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         seen, cut, met = self.seen, [], set()
-        if len(seen) > MOST_CACHED:
+        if self.held > MOST_CACHED:
             seen.clear()
+            self.held = 0
         for t in texts:
             parts = None
             if not any([s in t for s in self.special]):
@@ -91,7 +93,8 @@ class ByteBpe:
                 met.update(parts)
             cut.append(parts)
         for x in met.difference(seen):
-            seen[x] = self.chunk(x)
+            seen[x] = ids = self.chunk(x)
+            self.held += len(x) + len(ids or b"") + 200
         out = []
         for t, parts in zip(texts, cut, strict=True):
             got = [None] if parts is None else [seen[x] for x in parts]
