@@ -36,6 +36,12 @@ def parts(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Iter
 
 def codes(texts: pa.Array, k: int, both_strands: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, pos, code) of all k-mers; both_strands: the smaller of a k-mer and its reverse complement."""
+    row, at, code, other = strand_codes(texts, k, both_strands)
+    return row, at, np.minimum(code, other) if both_strands else code
+
+
+def strand_codes(texts: pa.Array, k: int, both_strands: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pos, code, code of the reverse complement) of all k-mers."""
     texts = pc.fill_null(texts, "")
     kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     offsets = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -44,7 +50,7 @@ def codes(texts: pa.Array, k: int, both_strands: bool = False) -> tuple[np.ndarr
     offsets = offsets - offsets[0]
     n = len(data) - k + 1
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 4
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
     odd = np.concatenate([[0], np.cumsum(data == 4)])
     at = np.flatnonzero((offsets[row + 1] - np.arange(n) >= k) & (odd[k:] == odd[:n]))
@@ -55,7 +61,7 @@ def codes(texts: pa.Array, k: int, both_strands: bool = False) -> tuple[np.ndarr
         if both_strands:
             other |= (3 - letter) << 2 * j
     row = row[at]
-    return row, at - offsets[row], np.minimum(code, other) if both_strands else code
+    return row, at - offsets[row], code, other
 
 
 def kmer_places(sequences: DataFrame, name: str, k: int, place: str = "pos") -> DataFrame:
@@ -72,6 +78,23 @@ def kmer_places(sequences: DataFrame, name: str, k: int, place: str = "pos") ->
     return sequences.select(name, "seq").mapInArrow(run, schema)
 
 
+def stranded_places(sequences: DataFrame, name: str, k: int, place: str = "pos") -> DataFrame:
+    """(kmer, name, place, fwd, length): the smaller of each k-mer and its reverse complement, whether it is the k-mer
+    itself, and the length of its sequence."""
+    check_k(k)
+    schema = T.StructType([T.StructField("kmer", T.LongType()), sequences.schema[name], T.StructField(place, T.IntegerType()), T.StructField("fwd", T.BooleanType()), T.StructField("length", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, "seq"):
+                row, at, code, other = strand_codes(part.column("seq"), k)
+                size = pc.fill_null(pc.utf8_length(part.column("seq")), 0).to_numpy(zero_copy_only=False)
+                arrays = [pa.array(np.minimum(code, other)), part.column(name).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(code < other), pa.array(size[row].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return sequences.select(name, "seq").mapInArrow(run, schema)
+
+
 def kmer_counts(sequences: DataFrame, k: int, both_strands: bool = True) -> DataFrame:
     """(kmer, n, targets): how often each k-mer occurs, and in how many rows. Each batch is summed before the shuffle.
 

@@ -8,11 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.sequences import reverse_complement
 from ..store import stored
-from .kmers import kmer_places
+from .kmers import kmer_places, stranded_places
+from .slices import target_blocks, with_slices
 
 MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND, BAND, LEAST_SCORE = 2, -4, 6, 2, 15, 0.65  # fixed values: default scoring
 
@@ -36,10 +38,25 @@ def seed_hits(reads: DataFrame, index: DataFrame, k: int, most_places: int = 100
     """(frag, rpos, tid, pos): places of the reads' k-mers; k-mers with more than ``most_places`` places give none.
 
     Such k-mers leave the index before the join, so that their places are never shuffled with the reads."""
+    return kmer_places(reads, "frag", k, "rpos").join(rare_kmers(index, most_places), "kmer").select("frag", "rpos", "tid", "pos")
+
+
+def rare_kmers(index: DataFrame, most_places: int) -> DataFrame:
+    """The index without k-mers that have more than ``most_places`` places."""
     index = stored(index, "kmer-index")
     often = stored(index.groupBy("kmer").agg(F.count("*").alias("places")).filter(F.col("places") > most_places).select("kmer"), "kmers-often")
     few = F.broadcast(often) if often.count() <= MOST_BROADCAST else often
-    return kmer_places(reads, "frag", k, "rpos").join(index.join(few, "kmer", "left_anti"), "kmer").select("frag", "rpos", "tid", "pos")
+    return index.join(few, "kmer", "left_anti")
+
+
+def stranded_hits(reads: DataFrame, targets: DataFrame, k: int, most_places: int = 1000) -> DataFrame:
+    """(frag, tid, fwd, rpos, pos): places that reads (frag, seq) and targets (tid, seq) share, on both strands.
+
+    Of a reverse hit rpos counts along the read's reverse complement, so on either strand both places grow together."""
+    index = rare_kmers(stranded_places(targets, "tid", k), most_places).select("kmer", "tid", "pos", F.col("fwd").alias("up"))
+    hits = stranded_places(reads, "frag", k, "rpos").join(index, "kmer")
+    same = F.col("fwd") == F.col("up")
+    return hits.select("frag", "tid", same.alias("fwd"), F.when(same, F.col("rpos")).otherwise(F.col("length") - k - F.col("rpos")).alias("rpos"), "pos")
 
 
 def chains(hits: DataFrame) -> DataFrame:
@@ -55,7 +72,7 @@ def gapped_chains(hits: DataFrame, k: int, most_length: int, most_shift: int = 1
     ``most_length`` apart. Runs then join along the target while the diagonal moves by ``most_shift`` at most, place in
     read and target both grow and the whole stays within ``most_length``. bases: letters of the read that seeds cover."""
     on = Window.partitionBy("frag", "tid", "diagonal").orderBy("rpos")
-    rows = hits.withColumn("diagonal", F.col("pos") - F.col("rpos"))
+    rows = hits.repartition("frag", "tid").withColumn("diagonal", F.col("pos") - F.col("rpos"))  # serves all steps below
     gap = F.col("rpos") - F.lag("rpos").over(on)
     rows = rows.withColumn("new", F.when(gap <= most_length, 0).otherwise(1)).withColumn("covered", F.least(F.coalesce(gap, F.lit(k)), F.lit(k)))
     rows = rows.withColumn("run", F.sum("new").over(on.rowsBetween(Window.unboundedPreceding, 0)))
@@ -174,27 +191,35 @@ def _padded(texts: list[str], fill: int) -> tuple[np.ndarray, np.ndarray]:
 def banded_scores(reads: list[str], targets: list[str], band: int = BAND) -> np.ndarray:
     """Best scores of global alignments of reads to targets within a band, with affine gaps; all pairs at once.
 
-    One row of the table for each letter of the reads; gaps along a row come from a running maximum."""
+    A row of the table for each letter of the reads holds the cells of the band only, by their distance from the main
+    diagonal; gaps along a row come from a running maximum."""
     q, n = _padded(reads, 1)
     t, m = _padded(targets, 2)
-    low, j = -(10**9), np.arange(t.shape[1] + 1)
-    width = np.maximum(band, np.abs(n - m))[:, None]
-    best = np.where((j == 0), 0, np.where((j <= width) & (j <= m[:, None]), -(GAP_OPEN + GAP_EXTEND * j), low))
-    gap_t = np.full(best.shape, low)
+    low, width = -(10**8), np.maximum(band, np.abs(n - m))[:, None]
+    wide = int(width.max(initial=band))
+    off = np.arange(-wide, wide + 1, dtype=np.int32)
+    t = np.pad(t, ((0, 0), (wide + 1, max(0, q.shape[1] - t.shape[1]) + wide + 1)), constant_values=2)
+    within = np.abs(off) <= width
+    best = np.where(off == 0, 0, np.where((off > 0) & within & (off <= m[:, None]), -(GAP_OPEN + GAP_EXTEND * off), low)).astype(np.int32)
+    gap_t = np.full(best.shape, low, np.int32)
     rows = np.arange(len(n))
-    out = np.where(n == 0, best[rows, m], low)
-    for i in range(1, q.shape[1] + 1):
-        inside = (np.abs(j - i) <= width) & (j <= m[:, None])
-        gap_t = np.where(inside, np.maximum(best - GAP_OPEN, gap_t) - GAP_EXTEND, low)
-        new = gap_t.copy()
-        pair = np.where(q[:, i - 1 : i] == t, MATCH, MISMATCH)
-        new[:, 1:] = np.where(inside[:, 1:], np.maximum(best[:, :-1] + pair, gap_t[:, 1:]), low)
-        new[:, 0] = np.where(i <= width[:, 0], -(GAP_OPEN + GAP_EXTEND * i), low)
-        gap_r = np.maximum.accumulate(new + GAP_EXTEND * j, axis=1)
-        new[:, 1:] = np.where(inside[:, 1:], np.maximum(new[:, 1:], gap_r[:, :-1] - GAP_OPEN - GAP_EXTEND * j[1:]), low)
-        best = new
-        ends = n == i
-        out[ends] = best[rows[ends], m[ends]]
+    last = np.clip(m - n, -wide, wide) + wide
+    out = np.where(n == 0, best[rows, last], low)
+    for i in range(1, int(n.max(initial=0)) + 1):
+        j = off + i
+        inside = within & (j <= m[:, None]) & (j >= 1)
+        gap_t[:, :-1] = np.maximum(best[:, 1:] - GAP_OPEN, gap_t[:, 1:]) - GAP_EXTEND  # the cell above lies one further right
+        gap_t[:, -1] = low
+        pair = np.where(q[:, i - 1 : i] == t[:, i : i + len(off)], np.int32(MATCH), np.int32(MISMATCH))
+        new = np.where(inside, np.maximum(best + pair, gap_t), low)
+        if i <= wide:
+            new[:, wide - i] = np.where(i <= width[:, 0], -(GAP_OPEN + GAP_EXTEND * i), low)
+        gap_t = np.where(inside | (j == 0), gap_t, low).astype(np.int32)
+        along = np.maximum.accumulate(new + GAP_EXTEND * j, axis=1)
+        new[:, 1:] = np.where(inside[:, 1:], np.maximum(new[:, 1:], along[:, :-1] - GAP_OPEN - GAP_EXTEND * j[1:]), new[:, 1:])
+        best = new.astype(np.int32)
+        ends = np.flatnonzero(n == i)
+        out[ends] = best[ends, last[ends]]
     return out
 
 
@@ -203,15 +228,44 @@ def banded_score(read: str, target: str, band: int = BAND) -> int:
 
 
 def score_alignments(candidates: DataFrame, pairs_each: int = 2_000) -> DataFrame:
-    """(frag, tid, pos, score) of candidates (frag, tid, pos, read, target): target is the part that the read may lie on."""
+    """Candidates (frag, tid, pos, read, target and others) with score instead of read and target: target is the part
+    that the read may lie on. Pairs of like length are scored together."""
+    kept = [f for f in candidates.schema.fields if f.name not in ("read", "target")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [banded_scores(pdf["read"][a : a + pairs_each].tolist(), pdf["target"][a : a + pairs_each].tolist()) for a in range(0, len(pdf), pairs_each)]
-            pdf["score"] = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pdf[["frag", "tid", "pos", "score"]]
-
-    return candidates.select("frag", "tid", "pos", "read", "target").mapInPandas(run, "frag long, tid int, pos int, score int")
+            size = pdf["read"].str.len()
+            pdf = pdf.iloc[np.lexsort(((pdf["target"].str.len() - size).abs(), size))]
+            found = [banded_scores(pdf["read"].iloc[a : a + pairs_each].tolist(), pdf["target"].iloc[a : a + pairs_each].tolist()) for a in range(0, len(pdf), pairs_each)]
+            pdf = pdf[[f.name for f in kept]].copy()
+            pdf["score"] = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
+            yield pdf
+
+    return candidates.mapInPandas(run, T.StructType([*kept, T.StructField("score", T.IntegerType())]))
+
+
+def score_chains(chains: DataFrame, reads: DataFrame, targets: DataFrame) -> DataFrame:
+    """Chains (frag, tid, fwd, first, last, start, stop) that score well, with pos and score of the whole read on the part
+    of the target where the chain puts it. reads (frag, seq), targets (tid, seq); targets travel as slices."""
+    reads = reads.select("frag", F.col("seq").alias("read"), F.length("seq").cast("long").alias("size"))
+    sizes = targets.select("tid", F.length("seq").cast("long").alias("whole"))
+    rows = chains.join(reads, "frag").join(sizes, "tid")
+    begin, end = F.greatest(F.col("start") - F.col("first"), F.lit(0)), F.least(F.col("stop") + F.col("size") - F.col("last"), "whole")
+    rows = with_slices(rows.withColumns({"from": begin, "to": end}), target_blocks(targets))
+    read = F.when(F.col("fwd"), F.col("read")).otherwise(reverse_complement(F.col("read")))
+    found = score_alignments(rows.select("frag", "tid", "fwd", "start", "stop", F.col("from").alias("pos"), "size", read.alias("read"), F.col("slice").alias("target")))
+    return good_scores(found, F.col("size")).drop("size")
+
+
+def missing_mates(anchors: DataFrame, chains_of_mates: DataFrame, mates: DataFrame, targets: DataFrame, most_length: int) -> DataFrame:
+    """(frag, tid, fwd, from, mate, window): for anchors (frag, tid, fwd, start, stop), chains of one mate, without a chain
+    of the other on that target, the other one (frag, seq) and where on the target it must lie within a fragment."""
+    alone = anchors.join(chains_of_mates.select("frag", "tid").distinct(), ["frag", "tid"], "left_anti")
+    rows = alone.join(mates.select("frag", F.col("seq").alias("mate")), "frag").join(targets.select("tid", F.length("seq").cast("long").alias("whole")), "tid")
+    begin = F.when(F.col("fwd"), F.col("start")).otherwise(F.greatest(F.col("stop") - most_length, F.lit(0)))
+    end = F.when(F.col("fwd"), F.least(F.col("start") + most_length, "whole")).otherwise(F.col("stop"))
+    rows = with_slices(rows.withColumns({"from": begin, "to": end}).select("frag", "tid", "fwd", "mate", "from", "to"), target_blocks(targets))
+    return rows.select("frag", "tid", "fwd", "from", "mate", F.col("slice").alias("window"))
 
 
 def good_scores(scored: DataFrame, read_length: Column) -> DataFrame:
@@ -219,19 +273,27 @@ def good_scores(scored: DataFrame, read_length: Column) -> DataFrame:
     return scored.filter(F.col("score") >= read_length * MATCH * LEAST_SCORE)
 
 
-def rescue(orphan_reads: DataFrame, most_edits: int, pairs_each: int = 2_000) -> DataFrame:
+def rescue(orphan_reads: DataFrame, most_edits: int, pairs_each: int = 1_000) -> DataFrame:
     """(frag, tid, edits, at) of missing mates (frag, tid, mate, window) found in the window near their partner:
-    the mate's reverse complement with at most ``most_edits`` edits, anywhere in the window."""
+    the mate's reverse complement with at most ``most_edits`` edits, anywhere in the window. Where there is a column fwd
+    and it is false, the partner lies on the reverse strand, so the mate is sought as it is. With a column from, at is a
+    place on the target."""
+    names = orphan_reads.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            pdf = pdf.iloc[np.argsort(pdf["query"].str.len().to_numpy(), kind="stable")]
             for a in range(0, len(pdf), pairs_each):
                 part = pdf.iloc[a : a + pairs_each].copy()
-                part["edits"], part["at"] = infix_distances(part["query"].tolist(), part["window"].tolist())
+                part["edits"], at = infix_distances(part["query"].tolist(), part["window"].tolist())
+                part["at"] = at + part["from"]
                 yield part.loc[part["edits"] <= most_edits, ["frag", "tid", "edits", "at"]]
 
-    rows = orphan_reads.select("frag", "tid", reverse_complement(F.col("mate")).alias("query"), "window")
-    return rows.mapInPandas(run, "frag long, tid int, edits int, at int")
+    mate = reverse_complement(F.col("mate"))
+    query = F.when(F.col("fwd"), mate).otherwise(F.col("mate")) if "fwd" in names else mate
+    rows = orphan_reads.select("frag", "tid", query.alias("query"), "window", (F.col("from") if "from" in names else F.lit(0)).cast("long").alias("from"))
+    tid = orphan_reads.schema["tid"].dataType.simpleString()
+    return rows.mapInPandas(run, f"frag long, tid {tid}, edits int, at long")
 
 
 def infix_distances(queries: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import formats
 from ..functions import sequences as seq
 from ..functions.numeric import digamma_sql, log_add
-from ..operators import abundance, bias, classes, graph, inference, kmers, lengths, likelihood, mapping
+from ..operators import abundance, bias, chaining, classes, graph, inference, kmers, lengths, likelihood, mapping
 from ..store import stored
 from .frames import ALN, BEST, CLASSES, DIST, DIST_AFTER_ALN, HIST, HITS, LABELS, SEQS, TARGETS, alignments, best, fragment_lengths, hits, read, sequences, targets
 
@@ -694,6 +694,49 @@ def consensus_chains(spark, d):
     return mapping.consensus_filter(gapped(spark, d)).select("frag", "tid", "chain", "bases")
 
 
+def both_strands(spark, d):
+    hits = mapping.stranded_hits(reads(spark, d), sequences(spark, d), _SEED_K)
+    return chaining.collinear_chains(hits, _SEED_K, 500)
+
+
+@query()
+def collinear_chains(spark, d):
+    """The best chains of pages on texts, on both strands."""
+    return both_strands(spark, d)
+
+
+def short_reads(spark, d):
+    """(frag, seq): the pages in pieces of 100 letters."""
+    r = reads(spark, d).filter(F.length("seq") > 0)
+    i = F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / 100).cast("int"))).alias("i")
+    return r.select("frag", "seq", i).select((F.col("frag") * 65536 + F.col("i")).alias("frag"), F.substring("seq", F.col("i") * 100 + 1, F.lit(100)).alias("seq"))
+
+
+def short_chains(spark, d):
+    hits = mapping.stranded_hits(short_reads(spark, d), sequences(spark, d), _SEED_K)
+    return mapping.consensus_filter(chaining.collinear_chains(hits, _SEED_K, 500).filter("bases >= 31"))  # a seed of the usual 31 letters
+
+
+@query()
+def score_chains(spark, d):
+    """Scores of pieces of pages where their chains put them, of 0.65 of a perfect score and more."""
+    return mapping.score_chains(short_chains(spark, d), short_reads(spark, d), sequences(spark, d))
+
+
+@query()
+def rescued_mates(spark, d):
+    """The first half of a piece of a page is a read; the other half, on the other strand and with every twelfth letter
+    overwritten, its mate, which shares no seed with any target: mates found near their reads, with 6 edits at most."""
+    r = short_reads(spark, d).filter(F.length("seq") == 100)
+    left = r.select("frag", F.substring("seq", 1, 50).alias("seq"))
+    worn = F.regexp_replace(F.substring("seq", 51, 50), "(.{11}).", "$1A")
+    right = r.select("frag", seq.reverse_complement(worn).alias("seq"))
+    t = sequences(spark, d)
+    anchors = stored(chaining.collinear_chains(mapping.stranded_hits(left, t, _SEED_K), _SEED_K, 500).filter("bases >= 31"), "anchors")
+    others = chaining.collinear_chains(mapping.stranded_hits(right, t, _SEED_K), _SEED_K, 500)
+    return mapping.rescue(mapping.missing_mates(anchors, others, right, t, 200), 6)
+
+
 @query(f"WITH {_READS} SELECT count(*) AS reads, min(length(seq)) AS shortest, count(*) FILTER (WHERE length(seq) < {_K}) AS too_short, count(*) > 0 AND count(*) = count(*) FILTER (WHERE length(seq) < {_K}) AS all_too_short FROM reads")
 def read_statistics(spark, d):
     return mapping.read_statistics(reads(spark, d), _K).withColumn("shortest", F.col("shortest").cast("long"))
