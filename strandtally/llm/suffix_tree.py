@@ -58,7 +58,7 @@ class TreeRules:
     gain: float = 10.0
     weight: float = 3.0
     common: int = 100_000
-    chunk: int = 64 << 20
+    chunk: int = 32 << 20
 
 
 class Tally:
@@ -120,7 +120,7 @@ def count(texts: DataFrame, rules: TreeRules) -> DataFrame:
     contexts with their next symbol that any text of a chunk has, with their counts over its training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, runs, now = Tally(), Tally(1 << 23), 0
+        words, runs, now = Tally(1 << 20), Tally(1 << 22), 0
 
         def give(tally: Tally, word: bool) -> pa.RecordBatch:
             keys, n = tally.take()
@@ -132,7 +132,7 @@ def count(texts: DataFrame, rules: TreeRules) -> DataFrame:
                 if c != now:
                     yield give(runs, False)
                     now = int(c)
-                for part in slices(batch.filter(pa.array(chunks == c)), "text", 2 << 20):
+                for part in slices(batch.filter(pa.array(chunks == c)), "text", 1 << 20):
                     text, learn = part.column("text"), ~part.column("held_out").to_numpy(zero_copy_only=False)
                     w = scan(text, lower=True)
                     token = np.append(w.hashes(), np.full(len(text), END_TOKEN, np.uint64))[np.append(learn[w.doc], learn)]
@@ -254,7 +254,7 @@ def lm_scores(docs: DataFrame, rules: TreeRules = TreeRules(), folds: int = 5, h
     place = lambda kind: (F.col("chunk") * 2 + kind).alias("place")
     contexts = looked_up.select(place(0), "key", "log10", *(F.lit(None).cast(f.dataType).alias(f.name) for f in own), F.lit(None).cast("string").alias("text"))
     both = contexts.unionByName(texts.select(place(1), F.lit(None).cast("long").alias("key"), F.lit(None).cast("float").alias("log10"), *(f.name for f in own), "text"))
-    by_chunk = both.repartition(F.floor(F.col("place") / 2)).sortWithinPartitions("place")
+    by_chunk = both.repartition(chunks, F.floor(F.col("place") / 2)).sortWithinPartitions("place")
     rows = stored(by_chunk.mapInArrow(run, T.StructType([*own, *numbers])), "lm-scores")
     rare = rows.select("row", F.explode("rare").alias("token")).join(words, "token")
     rare = rare.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10((F.col("c") + 0.5) / F.lit(size))).alias("sum"))
