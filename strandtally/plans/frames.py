@@ -76,3 +76,26 @@ HIST = f"{ALN}, hist AS (SELECT CAST(least(50 + score * 10, 1000) AS INTEGER) AS
 DIST = f"""{HIST}, dist AS (SELECT length, n / sum(n) OVER () AS p, sum(n) OVER w / sum(n) OVER () AS c, sum(n * length) OVER w / CAST(sum(n) OVER w AS DOUBLE) AS mean
     FROM (SELECT e.i::INTEGER AS length, coalesce(n, 0)::DOUBLE AS n FROM range(1001) e(i) LEFT JOIN hist ON length = e.i) WINDOW w AS (ORDER BY length ROWS UNBOUNDED PRECEDING))"""
 DIST_AFTER_ALN = DIST[len(ALN) + 2 :]  # where alignments are there already
+
+
+def cigar_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(frag, ln, side, w, cigar, read, ref): each line item lies on the sequence of the document with its part's number,
+    with a clipped front, a deletion and an insertion; every tenth letter of what is aligned is overwritten."""
+    lines = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("frag"), F.col("l_linenumber").cast("int").alias("ln"), F.col("l_partkey").alias("tid"), F.col("l_quantity").cast("int").alias("q"),
+        (F.col("l_partkey") % 3 + 1).cast("int").alias("d"), (F.col("l_suppkey") % 4 + 1).cast("int").alias("i"),
+    )
+    span = 2 * F.col("q") + F.col("d")
+    rows = lines.join(sequences(spark, sf_dir).filter(F.length("seq") >= 120), "tid")
+    at = ((F.col("frag") * 7 + F.col("ln")) % (F.length("seq") - span + 1)).cast("int")
+    rows = rows.withColumn("ref", F.substring("seq", at + 1, span))
+    worn = lambda c: F.regexp_replace(c, "(.{9}).", "$1A")
+    text = F.concat(F.repeat(F.lit("C"), F.col("ln")), worn(F.substring("ref", F.lit(1), F.col("q"))), F.repeat(F.lit("G"), F.col("i")), worn(F.substring("ref", F.col("q") + F.col("d") + 1, F.col("q"))))
+    cigar = F.concat_ws("", "ln", F.lit("S"), "q", F.lit("M"), "d", F.lit("D"), "i", F.lit("I"), "q", F.lit("M"))
+    return rows.select("frag", "ln", (F.col("ln") % 2).alias("side"), (1.0 / F.col("ln")).alias("w"), cigar.alias("cigar"), text.alias("read"), "ref", F.col("q"), F.col("d"), F.col("i"))
+
+
+CIGARS = f"""{SEQS}, cg AS (SELECT row_number() OVER () AS rid, l_orderkey AS frag, CAST(l_linenumber AS INTEGER) AS ln, CAST(l_quantity AS INTEGER) AS q, CAST(l_partkey % 3 + 1 AS INTEGER) AS d, CAST(l_suppkey % 4 + 1 AS INTEGER) AS i, seq
+        FROM lineitem JOIN seqs ON tid = l_partkey WHERE length(seq) >= 120),
+    cr AS (SELECT *, substr(seq, CAST((frag * 7 + ln) % (length(seq) - (2 * q + d) + 1) + 1 AS BIGINT), 2 * q + d) AS ref FROM cg),
+    ca AS (SELECT rid, frag, ln, ln % 2 AS side, 1.0 / ln AS w, q, d, i, ref, repeat('C', ln) || regexp_replace(substr(ref, 1, q), '(.{{9}}).', '\\1A', 'g') || repeat('G', i) || regexp_replace(substr(ref, q + d + 1, q), '(.{{9}}).', '\\1A', 'g') AS read FROM cr)"""

@@ -12,9 +12,9 @@ from pyspark.sql.window import Window
 from ..functions import formats
 from ..functions import sequences as seq
 from ..functions.numeric import digamma_sql, log_add
-from ..operators import abundance, bias, chaining, classes, graph, inference, kmers, lengths, likelihood, mapping
+from ..operators import abundance, bias, chaining, classes, errors, graph, inference, kmers, lengths, likelihood, mapping
 from ..store import stored
-from .frames import ALN, BEST, CLASSES, DIST, DIST_AFTER_ALN, HIST, HITS, LABELS, SEQS, TARGETS, alignments, best, fragment_lengths, hits, read, sequences, targets
+from .frames import ALN, BEST, CIGARS, CLASSES, DIST, DIST_AFTER_ALN, HIST, HITS, LABELS, SEQS, TARGETS, alignments, best, cigar_alignments, fragment_lengths, hits, read, sequences, targets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -897,3 +897,51 @@ def error_model(spark, d):
     prev = F.lag("l_returnflag").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     rows = line.select(F.floor(F.col("l_linenumber") / 2).cast("int").alias("bin"), F.coalesce(prev, F.lit("-")).alias("prev"), F.col("l_returnflag").alias("cur"), F.lit(1.0).alias("mass"))
     return likelihood.error_rates(rows).withColumn("p", F.round("p", 6))
+
+
+_LETTERS = f"""{CIGARS}, sy AS (SELECT *, unnest(range(ln + 2 * q + d + i)) AS s FROM ca),
+    op AS (SELECT *, CASE WHEN s < ln THEN 'S' WHEN s < ln + q THEN 'M' WHEN s < ln + q + d THEN 'D' WHEN s < ln + q + d + i THEN 'I' ELSE 'N' END AS op,
+        s IN (0, ln, ln + q, ln + q + d, ln + q + d + i) AS opens, ln + 2 * q + i AS size, s - CASE WHEN s < ln + q + d THEN 0 ELSE d END AS rp, s - ln - CASE WHEN s < ln + q + d THEN 0 ELSE i END AS tp FROM sy),
+    st AS (SELECT rid, frag, ln, side, w, s, CAST(max(CASE WHEN opens OR op = 'D' THEN 0 ELSE rp * 6 // size END) OVER (PARTITION BY rid ORDER BY s) AS INTEGER) AS bin,
+        CAST(9 * CASE WHEN op = 'S' THEN 5 WHEN op = 'I' THEN 4 ELSE strpos('ACGT', substr(ref, tp + 1, 1)) - 1 END + CASE WHEN op = 'D' THEN 4 ELSE strpos('ACGT', substr(read, rp + 1, 1)) - 1 END AS INTEGER) AS cur FROM op),
+    tr AS (SELECT *, lag(cur, 1, 81) OVER (PARTITION BY rid ORDER BY s) AS prev FROM st), ms AS (SELECT side, bin, prev, cur, sum(w) AS mass FROM tr GROUP BY ALL)"""
+
+
+@query(f"WITH {_LETTERS} SELECT side, bin, prev, cur, round(mass, 4) AS mass FROM ms")
+def error_transitions(spark, d):
+    return errors.transition_masses(cigar_alignments(spark, d)).withColumn("mass", F.round("mass", 4))
+
+
+@query(f"""WITH {_LETTERS}, sums AS (SELECT side, bin, prev, sum(mass) + 82 AS total FROM ms GROUP BY ALL), zero AS (SELECT side, bin, coalesce(max(mass) FILTER (WHERE prev = 0 AND cur = 0), 0) + 1 AS m, coalesce(sum(mass) FILTER (WHERE prev = 0), 0) + 82 AS t FROM ms GROUP BY ALL)
+    SELECT frag, ln, round(sum(ln((mass + 1) / total) - ln(m / t)), 4) AS log_err FROM tr JOIN ms USING (side, bin, prev, cur) JOIN sums USING (side, bin, prev) JOIN zero USING (side, bin) GROUP BY rid, 1, 2""")
+def error_likelihoods(spark, d):
+    """Of all alignments, by the rates that their own weighted letters give."""
+    a = cigar_alignments(spark, d)
+    rates = errors.log_rates(errors.transition_masses(a))
+    return errors.log_error(a, rates, ["frag", "ln"]).withColumn("log_err", F.round("log_err", 4))
+
+
+_COUNTED = f"""{_LETTERS}, ct AS (SELECT frag, ln, any_value(w) AS w, any_value(size) AS size, count(*) FILTER (WHERE op = 'S') AS front, count(*) FILTER (WHERE op IN ('I', 'D') OR (op IN ('M', 'N') AND substr(ref, tp + 1, 1) <> substr(read, rp + 1, 1))) AS errors FROM op GROUP BY rid, 1, 2),
+    ln_ AS (SELECT *, size - front AS n, CAST(least(500, (size - front) // 20) AS INTEGER) AS eb, CAST(least(500, size // 20) AS INTEGER) AS cb FROM ct),
+    er AS (SELECT eb, sum(w * errors / n) / sum(w) AS rate, sum(w) AS mass FROM ln_ WHERE n > 0 AND errors <= n GROUP BY 1), fr AS (SELECT cb, sum(w * front / size * (cb + 1) * 20) / sum(w) AS mean, sum(w) AS mass FROM ln_ WHERE n > 0 AND errors <= n GROUP BY 1)"""
+
+
+def counted_letters(spark, d):
+    return errors.error_counts(cigar_alignments(spark, d), ["frag", "ln", "w"])
+
+
+@query(f"WITH {_COUNTED} SELECT 'error' AS kind, eb AS bin, round(mass, 4) AS mass, round(rate, 6) AS mean FROM er UNION ALL SELECT 'front', cb, round(mass, 4), round(mean, 6) FROM fr UNION ALL SELECT 'back', cb, round(mass, 4), 0.0 FROM fr")
+def long_read_rates(spark, d):
+    """Rates by length, in bins of 20 letters, as the table's reads are short."""
+    return errors.long_read_rates(counted_letters(spark, d), 20).withColumns({c: F.round(c, k) for c, k in (("mass", 4), ("mean", 6))})
+
+
+@query(f"""WITH {_COUNTED}, ks AS (SELECT DISTINCT n, rate FROM ln_ JOIN er USING (eb)),
+    pm AS (SELECT n, rate, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(rate) + (n - k) * ln(1 - rate)) AS pk FROM (SELECT *, unnest(range(n + 1)) AS k FROM ks)),
+    cd AS (SELECT n, rate, k, sum(pk) OVER (PARTITION BY n, rate ORDER BY k) AS c FROM pm), md AS (SELECT n, rate, min(k) AS med FROM cd WHERE c >= 0.5 GROUP BY 1, 2),
+    ev AS (SELECT frag, ln, front, mean, n, rate, greatest(med - abs(med - errors), 0) AS lo, least(med + abs(med - errors), n) AS hi FROM ln_ JOIN er USING (eb) JOIN fr USING (cb) JOIN md USING (n, rate))
+    SELECT frag, ln, round(ln(a.c + 1 - b.c) + CASE WHEN front > round(mean) THEN (front - round(mean)) * ln(mean / (mean + 1)) ELSE 0 END, 4) + 0.0 AS log_err
+    FROM ev JOIN cd a ON a.n = ev.n AND a.rate = ev.rate AND a.k = lo JOIN cd b ON b.n = ev.n AND b.rate = ev.rate AND b.k = hi""")
+def long_read_likelihoods(spark, d):
+    c = counted_letters(spark, d)
+    return errors.long_read_log(c, errors.long_read_rates(c, 20), 20).select("frag", "ln", F.round("log_err", 4).alias("log_err"))
