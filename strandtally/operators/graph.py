@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..store import stored
+from ..store import new_path, stored
+from .skew import SHARE, hot_keys, join_values
 
 
 def class_edges(hits: DataFrame) -> DataFrame:
@@ -15,26 +16,46 @@ def class_edges(hits: DataFrame) -> DataFrame:
     return hits.select("frag", "tid").distinct().withColumn("a", before).filter("a is not null").select("a", F.col("tid").alias("b")).distinct()
 
 
+def _to_least(rows: DataFrame) -> DataFrame:
+    """``rows`` (u, v), stored, with m: the least of u and all v beside it. What is shuffled are partial minima; vertices
+    with many rows are joined to theirs by broadcast."""
+    least = stored(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least-neighbours")
+    hubs = least.filter(F.col("n") * SHARE > rows.count()).select("u")  # fewer than SHARE
+    return join_values(rows, least.select("u", F.least("u", "m").alias("m")), "u", hubs)
+
+
 def connected_components(edges: DataFrame, vertices: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(tid, component): the smallest tid reachable, for every vertex; by labels that hop to their own labels."""
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).filter("a != b").distinct(), "edges")
-    label = vertices.select("tid", F.col("tid").alias("component"))
+    """(tid, component): the smallest tid reachable, for every vertex; by alternating stars.
+
+    In turn every vertex links its larger neighbours to its least neighbour, and then itself and its smaller neighbours,
+    until each cluster is a star around its least vertex. Rounds grow with the logarithm of the longest path, edges never
+    become more, and neither a hub nor a giant cluster is one key of a shuffle."""
+    links = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    now = stored(links.distinct(), "links")
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20, 0)"))).first())
+    before = mark(now)
     for _ in range(most_rounds):
-        low = both.join(label, both["b"] == label["tid"]).groupBy("a").agg(F.min("component").alias("low"))
-        new = label.join(low, label["tid"] == low["a"], "left").select("tid", F.least("component", "low").alias("component"), F.col("component").alias("was"))
-        hop = new.select(F.col("tid").alias("component"), F.col("component").alias("next"))
-        new = stored(new.join(hop, "component", "left").select("tid", F.coalesce("next", "component").alias("component"), "was"), "labels")
-        label = new.select("tid", "component")
-        if not new.filter("component != was").limit(1).count():
-            return label
+        both = stored(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), "links-both-ways")
+        large = stored(_to_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links-large")
+        small = _to_least(large)
+        small = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        now = stored(small.distinct(), "links")
+        after = mark(now)
+        if after == before:
+            stars = now.withColumnRenamed("u", "tid")
+            return vertices.select("tid").distinct().join(stars, "tid", "left").select("tid", F.coalesce("v", "tid").alias("component"))
+        before = after
     raise RuntimeError("components did not settle")
 
 
 def projected_counts(masses: DataFrame, components: DataFrame, fragments: DataFrame) -> DataFrame:
-    """(tid, projected): the fragments of a cluster, dealt by the masses of its targets."""
-    m = masses.join(components, "tid").join(fragments, "component")
-    share = F.col("mass") / F.nullif(F.sum("mass").over(Window.partitionBy("component")), F.lit(0.0))
-    return m.select("tid", F.coalesce(F.col("n") * share, F.lit(0.0)).alias("projected"))
+    """(tid, projected): the fragments of a cluster, dealt by the masses of its targets. A cluster's whole mass is a sum
+    by key that is joined back, so a cluster of any size is spread over tasks."""
+    m = stored(masses.join(components, "tid").select("tid", "component", "mass"), "cluster-masses")
+    whole = m.groupBy("component").agg(F.sum("mass").alias("whole")).join(fragments, "component")
+    rows = join_values(m, whole, "component", stored(hot_keys(m, "component"), "clusters-large"))
+    share = F.col("mass") / F.nullif("whole", F.lit(0.0))
+    return rows.select("tid", F.coalesce(F.col("n") * share, F.lit(0.0)).alias("projected"))
 
 
 def fit_bounds(projected: list[float], low: list[float], high: list[float], total: float, tolerance: float = 1e-9, most_rounds: int = 5000) -> list[float]:
@@ -65,23 +86,25 @@ def project_to_bounds(counts: DataFrame, tolerance: float = 1e-9, most_rounds: i
     in one task; those that have settled leave the rounds. Clusters without any solution (uniq above n or total below it,
     summed) keep their counts of the first round within the bounds."""
     left = stored(counts.select("component", "tid", F.col("projected").cast("double").alias("x"), F.col("uniq").cast("double").alias("low"), F.col("total").cast("double").alias("high"), F.col("n").cast("double").alias("n"), F.lit(False).alias("bound")), "bounds")
-    done = None
-    for i in range(most_rounds):
+    large = stored(hot_keys(left, "component"), "clusters-large")
+    settled = new_path(counts.sparkSession, "bounds-settled")
+    for _ in range(most_rounds):
         x = F.least(F.greatest("x", "low"), "high")
         rows = left.withColumn("bound", F.col("bound") | (x != F.col("x"))).withColumn("x", x)
         fixed = F.sum(F.when(F.col("bound"), F.col("x")).otherwise(0.0))
         loose = F.sum(F.when(F.col("bound"), 0.0).otherwise(F.col("x")))
         sums = rows.groupBy("component").agg(fixed.alias("fixed"), loose.alias("loose"), F.sum("low").alias("least"), F.sum("high").alias("most"))
-        both = rows.join(sums, "component")
+        both = join_values(rows, sums, "component", large)
         off = F.abs(F.col("fixed") + F.col("loose") - F.col("n")) > tolerance * F.greatest(F.lit(1.0), F.col("n"))
         can = (F.col("least") <= F.col("n") * (1 + tolerance)) & (F.col("most") >= F.col("n") * (1 - tolerance)) & (F.col("fixed") + F.col("loose") > 0)
         free = F.col("loose") == 0
         scale = F.when(free, F.col("n") / F.nullif(F.col("fixed"), F.lit(0.0))).otherwise((F.col("n") - F.col("fixed")) / F.nullif(F.col("loose"), F.lit(0.0)))
         both = both.withColumn("open", off & can).withColumn("x", F.when(F.col("open") & (free | ~F.col("bound")), F.col("x") * scale).otherwise(F.col("x")))
         both = stored(both.select("component", "tid", "x", "low", "high", "n", (F.col("bound") & ~free).alias("bound"), "open"), "bounds")
-        settled = both.filter("NOT open").select("tid", F.col("x").alias("fitted"))
-        done = settled if done is None else done.unionByName(settled)
+        both.filter("NOT open").select("tid", F.col("x").alias("fitted")).write.mode("append").parquet(settled)
         left = both.filter("open").drop("open")
         if left.isEmpty():
-            return done
-    return done.unionByName(left.select("tid", F.col("x").alias("fitted")))
+            break
+    else:
+        left.select("tid", F.col("x").alias("fitted")).write.mode("append").parquet(settled)
+    return counts.sparkSession.read.parquet(settled)
