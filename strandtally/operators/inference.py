@@ -9,17 +9,20 @@ shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import digamma
-from ..store import stored
+from ..store import new_path, stored
+from .bias import due
+from .classes import length_weights
 from .ranks import running_sum
 
 CUT_EVERY = 5
@@ -34,10 +37,19 @@ def expectation_maximisation(members: DataFrame, rounds: int, start: DataFrame |
     Up to MOST_BROADCAST targets, abundances are broadcast and a round has one shuffle, of partial sums by target.
     tolerance: rounds end when no abundance above ``significant`` changes by a larger share, but not before least_rounds;
     if they never do, that is an error."""
+    alpha, _, settled = em_rounds(members, rounds, start, prior, tolerance, least_rounds, significant)
+    if tolerance is not None and not settled:
+        raise RuntimeError("abundances did not settle")
+    return alpha
+
+
+def em_rounds(members: DataFrame, rounds: int, start: DataFrame | None = None, prior: DataFrame | float | None = None, tolerance: float | None = None, least_rounds: int = 0, significant: float = 1e-2) -> tuple[DataFrame, int, bool]:
+    """The same, with the number of rounds made and whether abundances have settled."""
     kept = members.select("key", "n", "tid", "w").repartition("key").persist(StorageLevel.DISK_ONLY)
     alpha = start if start is not None else kept.select("tid").distinct().withColumn("alpha", F.lit(1.0))
     shares = Window.partitionBy("key")
     small = alpha.count() <= MOST_BROADCAST
+    settled, i = False, 0
     for i in range(1, rounds + 1):
         if prior is None:
             theta = alpha.select("tid", F.col("alpha").alias("theta"))
@@ -53,16 +65,79 @@ def expectation_maximisation(members: DataFrame, rounds: int, start: DataFrame |
             change = new.alias("b").join(alpha.alias("a"), "tid").filter(F.col("b.alpha") > significant).agg(F.max(F.abs(F.col("b.alpha") - F.col("a.alpha")) / F.col("b.alpha"))).first()[0]
             alpha = new
             if change is None or change <= tolerance:
+                settled = True
                 break
         else:
             # the variational form reads abundances twice in a round
             alpha = stored(new, "alpha") if prior is not None or i % CUT_EVERY == 0 or i == rounds else new
-    else:
-        if tolerance is not None:
-            kept.unpersist()
-            raise RuntimeError("abundances did not settle")
     kept.unpersist()
-    return alpha
+    return alpha, i, settled
+
+
+class BiasRun:
+    """Expectation maximisation whose class weights are made anew once in mid run, from lengths that its own abundances
+    correct: after more than ``first`` rounds, or when abundances have settled before.
+
+    members: (key, n, tid, w) with weights of alignments alone; lengths: (tid, eff_len); correct: a function from
+    (tid, alpha) to corrected lengths (tid, eff_len), or to None where there is too little to go by. prior_per_base: with it
+    the variational form, with that many pseudo-counts for each base of the effective length, so priors follow lengths.
+    Every phase is a table below ``folder``: a run that begins again with the same folder goes on after the last of them."""
+
+    def __init__(self, members: DataFrame, lengths: DataFrame, correct: Callable[[DataFrame], DataFrame | None], folder: str | None = None, tolerance: float = 1e-2, first: int = 10, least_rounds: int = 100, most_rounds: int = 10_000, save_every: int = 50, prior_per_base: float | None = None) -> None:
+        self.members, self.uncorrected, self.correct, self.spark = members, lengths, correct, members.sparkSession
+        self.folder = folder or new_path(self.spark, "bias-run")
+        self.tolerance, self.first, self.least, self.most, self.save_every, self.prior = tolerance, first, least_rounds, most_rounds, save_every, prior_per_base
+
+    def saved(self, name: str) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(f"{self.folder}/{name}")
+        except AnalysisException:
+            return None  # no such table yet
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def state(self) -> tuple[DataFrame | None, int, bool, bool]:
+        """(abundances, rounds made, whether they had settled, whether lengths have been corrected) of the last table."""
+        marks = self.saved("marks")
+        last = marks.orderBy(F.col("rounds").desc(), F.col("corrected").desc()).first() if marks is not None else None
+        return (None, 0, False, False) if last is None else (self.saved(f"alpha-{last.rounds}"), last.rounds, last.settled, last.corrected)
+
+    def mark(self, rounds: int, settled: bool, corrected: bool) -> None:
+        self.spark.createDataFrame([(rounds, settled, corrected)], "rounds int, settled boolean, corrected boolean").write.mode("append").parquet(f"{self.folder}/marks")
+
+    def go_on(self, lengths: DataFrame, least_length: float, alpha: DataFrame | None, done: int, upto: int, least: int) -> tuple[DataFrame, int, bool]:
+        weighted = stored(length_weights(self.members, lengths, least_length), "bias-run-members")
+        prior = per_nucleotide(lengths, self.prior) if self.prior is not None else None
+        alpha, made, settled = em_rounds(weighted, upto - done, alpha, prior, self.tolerance, max(0, least - done))
+        return self.save(alpha, f"alpha-{done + made}"), done + made, settled
+
+    def lengths(self) -> DataFrame:
+        """The lengths that count by now."""
+        found = self.saved("lengths")
+        return self.uncorrected if found is None else found
+
+    def run(self) -> DataFrame:
+        """(tid, alpha) when abundances have settled; they never do in fewer than ``least_rounds`` rounds."""
+        alpha, done, settled, corrected = self.state()
+        if not corrected:
+            if not due(done, settled, corrected):
+                alpha, done, settled = self.go_on(self.uncorrected, 1.0, alpha, done, self.first + 1, 0)
+                self.mark(done, settled, False)
+            new = self.correct(alpha)
+            if new is not None:
+                self.save(new, "lengths")
+            self.mark(done, False, True)
+        lengths = self.lengths()
+        least_length = 1.0 if self.saved("lengths") is None else 0.0
+        settled = settled and corrected
+        while not settled and done < self.most:
+            alpha, done, settled = self.go_on(lengths, least_length, alpha, done, min(self.most, done + self.save_every), self.least)
+            self.mark(done, settled, True)
+        if not settled:
+            raise RuntimeError("abundances did not settle")
+        return alpha
 
 
 def truncate(alpha: DataFrame, least: float = 1e-8) -> DataFrame:

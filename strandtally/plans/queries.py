@@ -872,13 +872,35 @@ def bias_tables(spark, d):
     t = lengths.length_classes(seqs).withColumn("eff_len", F.when(eff < 1, F.col("len").cast("double")).otherwise(eff))
     t = stored(t.join(chains.groupBy("tid").agg(F.sum("w").alias("alpha")), "tid", "left").na.fill(0.0, ["alpha"]), "bias-targets")
     low, high = int(np.searchsorted(cmf, 0.005)), int(np.searchsorted(cmf, 0.995))
-    return chains.select("tid", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "w"), t, cmf, low, high
+    return chains.select("frag", "tid", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "w"), t, cmf, low, high
+
+
+@query()
+def quant_with_bias(spark, d):
+    """Abundances from pages on texts, with lengths corrected once in mid run by what the abundances then say; texts whose
+    number ends in 7 are auxiliary. Observed models come from one chain of each page."""
+    chains, t, cmf, low, high = bias_tables(spark, d)
+    t = t.drop("alpha").withColumn("auxiliary", F.col("tid") % 10 == 7)
+    hits = chains.groupBy("frag", "tid").agg(F.sum("w").alias("w"))
+    labelled = classes.labels(hits)
+    members = stored(classes.weights(hits, labelled).join(classes.counts(labelled), "key"), "bias-run-classes")
+    observed = stored(bias.observed_models(bias.bias_sample(chains), t), "bias-observed")
+
+    def correct(alpha):
+        rows = t.join(alpha, "tid", "left").na.fill(0.0, ["alpha"])
+        if not bias.enough_background(rows):
+            return None
+        models = bias.models_of(observed, bias.expected_models(rows, cmf, low, high))
+        return bias.corrected_lengths(t, models, cmf, low, high)
+
+    run = inference.BiasRun(members, t.select("tid", "eff_len"), correct, least_rounds=20, tolerance=0.05)
+    return run.run().join(run.lengths(), "tid")
 
 
 @query()
 def bias_models(spark, d):
     chains, t, cmf, low, high = bias_tables(spark, d)
-    o = bias.observed_models(chains.join(t, "tid")).withColumn("kind", F.lit("observed"))
+    o = bias.observed_models(chains, t).withColumn("kind", F.lit("observed"))
     return o.unionByName(bias.expected_models(t, cmf, low, high).withColumn("kind", F.lit("expected")))
 
 
@@ -886,7 +908,7 @@ def bias_models(spark, d):
 def bias_corrected_length(spark, d):
     """Sequence, G+C and place at once."""
     chains, t, cmf, low, high = bias_tables(spark, d)
-    models = bias.models_of(bias.observed_models(chains.join(t, "tid")), bias.expected_models(t, cmf, low, high))
+    models = bias.models_of(bias.observed_models(chains, t), bias.expected_models(t, cmf, low, high))
     return bias.corrected_lengths(t, models, cmf, low, high)
 
 

@@ -257,3 +257,81 @@ def test_online_pass_goes_on_after_a_restart(spark, tmp_path):
     for k in (2, 3):
         (tmp_path / f"later{k}").rename(tmp_path / f"in/{k}")
     assert stream(str(tmp_path / "in/*")) == pytest.approx(10 * sum(math.exp(m) for m in log_masses(4)))
+
+
+def plain_bias_run(members, lengths, correct, tolerance, first, least):
+    """Rounds of expectation maximisation with one correction, in plain Python: members (key, n, tid, w)."""
+    classes = {}
+    for key, n, tid, w in members:
+        classes.setdefault(key, (n, []))[1].append((tid, w))
+
+    def weighted(by, floor):
+        return {k: (n, [(t, w / max(by[t], floor)) for t, w in ms]) for k, (n, ms) in classes.items()}
+
+    alpha, rounds, settled, corrected = {t: 1.0 for _, _, t, _ in members}, 0, False, False
+    now = weighted(lengths, 1.0)
+    while True:
+        if not corrected and (rounds > first or settled):
+            lengths, corrected = correct(alpha), True
+            now, settled = weighted(lengths, 1e-300), False
+        if corrected and settled and rounds >= least:
+            return alpha, lengths, rounds
+        new = dict.fromkeys(alpha, 0.0)
+        for n, ms in now.values():
+            whole = sum(alpha[t] * w for t, w in ms)
+            for t, w in ms:
+                new[t] += n * alpha[t] * w / whole
+        change = max(abs(new[t] - alpha[t]) / new[t] for t in new if new[t] > 1e-2)
+        alpha, rounds = new, rounds + 1
+        settled = change <= tolerance and (rounds >= least if corrected else True)
+
+
+def test_bias_run(spark):
+    rnd = random.Random(12)
+    members = []
+    for k in range(60):
+        tids = rnd.sample(range(12), rnd.choice([1, 2, 3]))
+        n = rnd.randrange(1, 40)
+        members += [(f"c{k}", n, t, 1 / len(tids)) for t in tids]
+    lengths = {t: float(rnd.randrange(20, 400)) for t in range(12)}
+    calls = []
+
+    def corrected(alpha):
+        return {t: lengths[t] * (1 + alpha[t] / sum(alpha.values())) for t in lengths}
+
+    def correct(df):
+        calls.append(1)
+        if len(calls) == 1:
+            raise OSError("the driver is lost")  # after the first rounds are saved
+        return spark.createDataFrame(list(corrected({r.tid: r.alpha for r in df.collect()}).items()), "tid int, eff_len double")
+
+    from strandtally.store import new_path
+
+    folder = new_path(spark, "bias-run-test")
+    frame = spark.createDataFrame(members, "key string, n long, tid int, w double")
+    start = lambda: inference.BiasRun(frame, spark.createDataFrame(list(lengths.items()), "tid int, eff_len double"), correct, folder, tolerance=1e-3, least_rounds=20, save_every=7)
+    with pytest.raises(OSError):
+        start().run()
+    assert start().state()[1:] == (11, False, False) or start().state()[2]
+    run = start()
+    got = {r.tid: r.alpha for r in run.run().collect()}
+    want, by, rounds = plain_bias_run(members, dict(lengths), corrected, 1e-3, 10, 20)
+    assert len(calls) == 2 and run.state()[1] == rounds
+    assert got == {t: pytest.approx(v, rel=1e-6) for t, v in want.items()}
+    assert {r.tid: r.eff_len for r in run.lengths().collect()} == {t: pytest.approx(v) for t, v in by.items()}
+    assert {r.tid: r.alpha for r in start().run().collect()} == got and len(calls) == 2  # nothing left to do
+
+
+def test_bias_sample(spark):
+    rows = [(f, f % 7 + k, 10 * k, 10 * k + 50) for f in range(500) for k in range(f % 3 + 1)]
+    df = spark.createDataFrame(rows, "frag long, tid long, start long, stop long")
+    every = {r.frag: tuple(r) for r in bias.bias_sample(df, 1000).collect()}
+    assert set(every) == set(range(500)) and all(x in rows for x in every.values()) and len({x[2] for x in every.values()}) > 1
+    some = [tuple(r) for r in bias.bias_sample(df.repartition(7), 100).collect()]
+    assert len(some) == 100 and all(every[x[0]] == x for x in some)
+    assert set(some) <= set(tuple(r) for r in bias.bias_sample(df.repartition(2), 150).collect())
+
+
+def test_background_leaves_out_auxiliary(spark):
+    t = spark.createDataFrame([(1, "ACGT" * 20, 5.0, False), (2, "GGCC" * 20, 5.0, True), (3, "GGCC" * 20, 0.0, False), (4, "GGCC" * 20, 1.0, None)], "tid int, seq string, alpha double, auxiliary boolean")
+    assert sorted(r.tid for r in bias.background(t).collect()) == [1, 4] and bias.enough_background(t) and not bias.enough_background(t.filter("tid = 2"))
