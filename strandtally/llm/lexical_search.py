@@ -11,8 +11,9 @@ that each round takes some times as many as the one before. Sums by (item,
 document) are lower bounds. A term that a document has not met yet can add the
 highest impact below the level at most, which gives the upper bounds of met
 documents and of those not met at all. An item is done when its k-th lower bound
-is above what any document not met can reach; only then are the scores of those
-documents completed whose upper bound reaches the k-th lower one, and ranked.
+is above what any document not met can reach, and no more documents can still be
+among the best than it has taken postings, so completing costs no more than what
+came before; then the scores of these documents are completed and ranked.
 Long lists of frequent terms, whose impacts are low, are so never summed over
 all documents. Items that no bound settles end with all of their postings.
 
@@ -49,7 +50,7 @@ class SearchRules:
     best: int = 10
     #: Postings of an item in the first round, and how many times more in each next one.
     first: int = 2_000
-    growth: int = 8
+    growth: int = 4
     #: Distinct terms of all items up to which they are broadcast (some 100 bytes each) and looked up while texts are
     #: read; of more terms, all of a text's terms are shuffled.
     broadcast_terms: int = 500_000
@@ -204,13 +205,16 @@ def search(docs: DataFrame, items: DataFrame, rules: SearchRules = SearchRules()
         kth = ranked(met, rules.best).groupBy("qid").agg(F.count("*").alias("k"), F.min("score").alias("kth"))
         state = plan.groupBy("qid").agg(F.sum("rest").alias("rest"), F.max("level").alias("level")).join(kth, "qid")
         bound = F.when(F.col("k") >= rules.best, F.col("kth")).otherwise(0)
-        state = stored(state.select("qid", "rest", "level", bound.alias("kth"), ((F.col("rest") == 0) | (F.col("rest") < bound)).alias("done")), "search-state", paths)
-        done = state.filter("done").select("qid", "rest", "kth")
-        hopeful = met.join(near(done), "qid").filter(F.col("ahead") + F.col("rest") >= F.col("kth")).select("qid", "mark", "doc_id", "score")
-        hopeful = stored(hopeful, "search-hopeful", paths)
+        state = state.select("qid", "rest", bound.alias("kth")).filter((F.col("rest") == 0) | (F.col("rest") < F.col("kth")))
+        state = stored(state, "search-state", paths)  # items whose bounds prove that no other document is among the best
+        reach = met.join(near(state), "qid").filter(F.col("ahead") + F.col("rest") >= F.col("kth"))
+        open_ = reach.groupBy("qid", "rest").agg(F.count("*").alias("n")).filter((F.col("n") <= budget) | (F.col("rest") == 0))
+        done = stored(state.join(open_.select("qid"), "qid", "left_semi"), "search-done", paths)
+        hopeful = stored(reach.join(near(done.select("qid")), "qid", "left_semi").select("qid", "mark", "doc_id", "score"), "search-hopeful", paths)
         below = plan.filter("rest > 0").join(done.select("qid"), "qid", "left_semi").select("qid", "term", "level")
-        more = posted.join(hopeful.select("mark").distinct(), "mark", "left_semi").join(near(below), "term").filter(F.col("impact") < F.col("level"))
-        more = more.select("qid", "mark", "impact").join(hopeful.select("qid", "mark"), ["qid", "mark"], "left_semi").groupBy("qid", "mark").agg(F.sum("impact").alias("more"))
+        need = hopeful.select("qid", "mark").join(near(below), "qid")
+        more = posted.join(hopeful.select("mark").distinct(), "mark", "left_semi").select("mark", "term", "impact").join(need, ["mark", "term"])
+        more = more.filter(F.col("impact") < F.col("level")).groupBy("qid", "mark").agg(F.sum("impact").alias("more"))
         whole = hopeful.join(more, ["qid", "mark"], "left").select("qid", "mark", "doc_id", (F.col("score") + F.coalesce("more", F.lit(0))).alias("score"))
         best = stored(ranked(whole, rules.best), "search-best")
         found = best if found is None else found.unionByName(best)
