@@ -843,6 +843,17 @@ def online_pass(spark, d):
     return online_masses(rows).withColumn("mass", F.round("mass", 4))
 
 
+@query()
+def one_pass_masses(spark, d):
+    """Line items as alignments of their orders, in batches of 20,000 order keys; lengths count after 2,000 fragments and
+    are settled after 10,000."""
+    from ..streaming.one_pass import PassRules, whole_pass
+
+    a = alignments(spark, d).select((F.col("frag") / 20_000).cast("int").alias("batch"), "frag", "tid", F.exp(F.col("score") * 0.1).alias("w"), (50 + F.col("score") * 10).alias("frag_len"))
+    run, last = whole_pass(a, targets(spark, d), PassRules(before_lengths=2_000, burn_in=10_000))
+    return run.masses(last)
+
+
 @query()
 def bootstrap(spark, d):
     return inference.bootstrap(equal_members(spark, d), draws=4, rounds=10)

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.inference import forgetting_mass
 from ..store import new_path, stored
+from .one_pass import step_mass
 
 
 def log_masses(batches: int, factor: float = 0.65) -> list[float]:
@@ -42,13 +44,16 @@ def online_masses(events: DataFrame) -> DataFrame:
 
     Where no fragment has two targets, its share is 1 whatever the masses before it, so that batches add up in one step."""
     n = events.agg(F.max("batch")).first()[0] or 0
-    weights = log_masses(n)[:n]
     if events.groupBy("batch", "event_id").count().filter("count > 1").limit(1).count() == 0:
-        table = events.sparkSession.createDataFrame(list(enumerate(weights, 1)), "batch int, log_mass double")
-        return events.join(table, "batch").groupBy("tid").agg(F.sum(F.exp("log_mass")).alias("mass"))
-    state = events.select("tid").distinct().withColumn("mass", F.lit(0.0))
-    for i, m in enumerate(weights, 1):
-        state = add_batch(state, events.filter(F.col("batch") == i).select(F.col("event_id").alias("frag"), "tid"), m)
+        every = events.sparkSession.range(1, n + 1).withColumnRenamed("id", "batch")
+        return events.join(forgetting_mass(every).select("batch", "log_mass"), "batch").groupBy("tid").agg(F.sum(F.exp("log_mass")).alias("mass"))
+    path = new_path(events.sparkSession, "online-batches")
+    events.select("batch", F.col("event_id").alias("frag"), "tid").repartition("batch").write.partitionBy("batch").parquet(path)
+    dealt = events.sparkSession.read.parquet(path)  # each step reads its own part
+    state, log_mass = events.select("tid").distinct().withColumn("mass", F.lit(0.0)), 0.0
+    for i in range(1, n + 1):
+        log_mass += step_mass(i, 0.65)
+        state = add_batch(state, dealt.filter(F.col("batch") == i).select("frag", "tid"), log_mass)
     return state
 
 
