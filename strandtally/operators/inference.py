@@ -199,8 +199,9 @@ def bootstrap(members: DataFrame, draws: int, rounds: int = 50, seed: int = 1) -
     kept = stored(members.select("key", "tid", "w").join(drawn.filter("n > 0"), "key"), "bootstrap-members").repartition("sample_id", "key").persist(StorageLevel.DISK_ONLY)
     alpha = kept.select("sample_id", "tid").distinct().withColumn("alpha", F.lit(1.0))
     shares = Window.partitionBy("sample_id", "key")
+    few = members.select("tid").distinct().count() * draws <= MOST_BROADCAST
     for i in range(1, rounds + 1):
-        given = kept.join(alpha, ["sample_id", "tid"]).withColumn("x", F.col("alpha") * F.col("w"))
+        given = kept.join(F.broadcast(alpha) if few else alpha, ["sample_id", "tid"]).withColumn("x", F.col("alpha") * F.col("w"))
         given = given.withColumn("share", F.col("n") * F.col("x") / F.nullif(F.sum("x").over(shares), F.lit(0.0)))
         alpha = given.groupBy("sample_id", "tid").agg(F.coalesce(F.sum("share"), F.lit(0.0)).alias("alpha"))
         if i % CUT_EVERY == 0 or i == rounds:
@@ -233,44 +234,138 @@ def deal_classes(cls: np.ndarray, n: np.ndarray, p: np.ndarray, rng: np.random.G
     return out
 
 
-def gibbs(members: DataFrame, chains: int, kept_draws: int, thinning: int = 16, prior: float = 1.0, seed: int = 1, lengths: DataFrame | None = None) -> DataFrame:
+def _hashed(*parts: np.ndarray | int) -> np.ndarray:
+    """Numbers above 0 and below 1 that depend on the given ones alone."""
+    h = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for x in parts:
+            h = h ^ (np.asarray(x).astype(np.int64).view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+            h = h ^ (h >> np.uint64(31))
+    return ((h >> np.uint64(12)).astype(float) + 0.5) / float(1 << 52)
+
+
+def hashed_gamma(shape: np.ndarray, *key: np.ndarray | int) -> np.ndarray:
+    """Draws of gamma distributions of scale 1, each fixed by its key, all at once: squeezed normal draws, tried anew with
+    the next number of the key where they are refused."""
+    shape = np.asarray(shape, float)
+    key = tuple(np.broadcast_to(np.asarray(k), shape.shape) for k in key)
+    small = shape < 1
+    d = np.where(small, shape + 1, shape) - 1 / 3
+    c = 1 / np.sqrt(9 * d)
+    out, left, attempt = np.zeros(len(shape)), np.arange(len(shape)), 0
+    while len(left):
+        own = tuple(k[left] for k in key)
+        x = np.sqrt(-2 * np.log(_hashed(*own, attempt, 1))) * np.cos(2 * np.pi * _hashed(*own, attempt, 2))
+        v = (1 + c[left] * x) ** 3
+        good = (v > 0) & (np.log(_hashed(*own, attempt, 3)) < 0.5 * x**2 + d[left] * (1 - v + np.log(np.where(v > 0, v, 1))))
+        out[left[good]] = (d[left] * v)[good]
+        left, attempt = left[~good], attempt + 1
+    return np.where(small, out * _hashed(*key, -1, 4) ** (1 / np.where(small, shape, 1)), out)
+
+
+def gibbs(members: DataFrame, chains: int, kept_draws: int, thinning: int = 16, prior: float | DataFrame = 1.0, seed: int = 1, lengths: DataFrame | None = None, rescaled: bool = False, begin: DataFrame | None = None) -> DataFrame:
     """(sample_id, tid, alpha) by Gibbs sampling: counts of every ``thinning``-th round of each chain.
 
     In a round every target draws its rate from a gamma distribution, with 0.1 and its effective length (tid, eff_len; 1
-    if not given) as inverse scale, and every class deals its fragments by rate and weight. Targets draw where they are;
-    classes are dealt in blocks of some ten thousand by a hash, so no task has more, whatever hangs together. Draws
-    depend on seed, chain, round and block or target alone, so a lost task draws the same again."""
-    blocks = blocks_of(members, 20_000)
-    inverse = members.select("tid").distinct().withColumn("eff_len", F.lit(1.0)) if lengths is None else lengths.select("tid", "eff_len")
-    each = members.select("key", "n", "tid", "w", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain"))
-    each = stored(each, "gibbs-members")
-    alpha = stored(each.groupBy("chain", "tid").agg(F.sum(F.col("w") * F.col("n")).alias("alpha")).join(inverse, "tid").select("chain", "tid", "alpha", (1 / (0.1 + F.col("eff_len"))).alias("scale")), "gibbs-alpha")
-    out = None
+    if not given) as inverse scale, and every class deals its fragments by rate and weight; where all of these are 0, by
+    1 / eff_len. prior: pseudo-counts, one number or (tid, prior). begin: (tid, alpha) to start from, else by weights.
+    rescaled: instead of counts rates times lengths, scaled to the number of fragments.
 
-    def one_round(i: int, alpha: DataFrame) -> DataFrame:
-        def rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Members are dealt by class into blocks of some ten thousand classes, once; rates, one row a target with a number for
+    each chain, go to them by broadcast while they are few, so a round shuffles sums by target alone. Draws depend on seed,
+    chain, round and block or target, so a lost task draws the same again."""
+    blocks = blocks_of(members, 20_000)
+    inverse = members.select("tid").distinct().withColumn("eff_len", F.lit(1.0)) if lengths is None else lengths.select("tid", F.col("eff_len").cast("double").alias("eff_len"))
+    extra = F.lit(float(prior)).alias("prior") if not isinstance(prior, DataFrame) else None
+    block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block")
+    rows = members.select("key", F.col("n").cast("long").alias("n"), F.col("tid").cast("long").alias("tid"), F.col("w").cast("double").alias("w"), block).join(inverse.select(F.col("tid").cast("long").alias("tid"), "eff_len"), "tid")
+    each = rows.repartition(blocks, "block").sortWithinPartitions("block", "key", "tid").persist(StorageLevel.DISK_ONLY)
+    first = begin.select(F.col("tid").cast("long").alias("tid"), "alpha") if begin is not None else each.groupBy("tid").agg(F.sum(F.col("w") * F.col("n")).alias("alpha"))
+    whole = float(each.select("key", "n").distinct().agg(F.sum("n")).first()[0] or 0)
+    base = first.join(each.select("tid", "eff_len").distinct(), "tid", "right").na.fill(0.0, ["alpha"])
+    base = base.withColumn("prior", extra) if extra is not None else base.join(prior.select(F.col("tid").cast("long").alias("tid"), "prior"), "tid")
+    state = stored(base.select("tid", "eff_len", "prior", F.array_repeat(F.col("alpha").cast("double"), chains).alias("alpha")), "gibbs-state")
+    few = state.count() * chains <= MOST_BROADCAST
+
+    def draw_rates(i: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                pdf["mu"] = [np.random.default_rng([seed, i, c, t]).gamma(a + prior) * s for c, t, a, s in zip(pdf["chain"], pdf["tid"], pdf["alpha"], pdf["scale"], strict=True)]
-                yield pdf[["chain", "tid", "mu"]]
+                alpha = np.stack(pdf["alpha"].to_list()) if len(pdf) else np.zeros((0, chains))
+                shape = alpha + pdf["prior"].to_numpy()[:, None]
+                tid, chain = np.repeat(pdf["tid"].to_numpy(), chains), np.tile(np.arange(chains), len(pdf))
+                mu = hashed_gamma(shape.ravel(), seed, i, chain, tid).reshape(-1, chains) / (0.1 + pdf["eff_len"].to_numpy())[:, None]
+                yield pd.DataFrame({"tid": pdf["tid"], "mu": list(mu)})
 
-        def deal(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return run
+
+    def deal_blocks(i: int):
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["key", "tid"])
-            cls = np.unique(pdf["key"].to_numpy(), return_inverse=True)[1]
-            got = deal_classes(cls, pdf["n"].to_numpy(), (pdf["mu"] * pdf["w"]).to_numpy(), np.random.default_rng([seed, i, int(key[0]), int(key[1]), 7]))
-            return pd.DataFrame({"chain": key[0], "tid": pdf["tid"], "got": got}).groupby(["chain", "tid"], as_index=False).sum()
+            cls = np.cumsum(np.append(True, pdf["key"].to_numpy()[1:] != pdf["key"].to_numpy()[:-1])) - 1
+            n, w, eff, mu = pdf["n"].to_numpy(), pdf["w"].to_numpy(), pdf["eff_len"].to_numpy(), np.stack(pdf["mu"].to_list())
+            sums = np.zeros((len(pdf), chains), np.int64)
+            for c in range(chains):
+                p = mu[:, c] * w
+                none = np.bincount(cls, p) <= 0
+                p = np.where(none[cls], 1 / np.maximum(eff, 1e-300), p)
+                sums[:, c] = deal_classes(cls, n, p, np.random.default_rng([seed, i, c, int(pdf["block"].iloc[0]), 7]))
+            tid, at = np.unique(pdf["tid"].to_numpy(), return_inverse=True)
+            got = np.stack([np.bincount(at, sums[:, c], len(tid)) for c in range(chains)], axis=1)
+            return pd.DataFrame({"tid": np.repeat(tid, chains), "chain": np.tile(np.arange(chains, dtype=np.int32), len(tid)), "got": got.ravel()})
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: list[pd.DataFrame] = []
+            for pdf in batches:
+                for _, part in pdf.groupby("block", sort=False):
+                    if held and held[0]["block"].iloc[0] != part["block"].iloc[0]:
+                        yield one(pd.concat(held))
+                        held = []
+                    held.append(part)
+            if held:
+                yield one(pd.concat(held))
 
-        mu = alpha.mapInPandas(rates, "chain int, tid int, mu double")
-        drawn = each.join(mu, ["chain", "tid"]).groupBy("chain", "block").applyInPandas(deal, "chain int, tid int, got long").groupBy("chain", "tid").agg(F.sum("got").cast("double").alias("got"))
-        return stored(alpha.select("chain", "tid", "scale").join(drawn, ["chain", "tid"], "left").select("chain", "tid", F.coalesce("got", F.lit(0.0)).alias("alpha"), "scale"), "gibbs-alpha")
+        return run
 
+    out = None
     for i in range(kept_draws * thinning):
-        alpha = one_round(i, alpha)
+        mu = stored(state.mapInPandas(draw_rates(i), "tid long, mu array<double>"), "gibbs-rates")
+        near = each.join(F.broadcast(mu), "tid") if few else each.join(mu, "tid").repartition(blocks, "block").sortWithinPartitions("block", "key", "tid")
+        dealt = near.select("block", "key", "tid", "n", "w", "eff_len", "mu").mapInPandas(deal_blocks(i), "tid long, chain int, got double").groupBy("tid", "chain").agg(F.sum("got").alias("got"))
+        wide = dealt.groupBy("tid").agg(*(F.sum(F.when(F.col("chain") == c, F.col("got"))).alias(f"c{c}") for c in range(chains)))
+        joined = state.select("tid", "eff_len", "prior").join(wide, "tid", "left")
+        state = stored(joined.select("tid", "eff_len", "prior", F.array(*(F.coalesce(f"c{c}", F.lit(0.0)) for c in range(chains))).alias("alpha")), "gibbs-state")
         if (i + 1) % thinning == 0:
-            draw = alpha.select((F.col("chain") * kept_draws + i // thinning).cast("int").alias("sample_id"), F.col("tid").cast("int").alias("tid"), "alpha")
+            if rescaled:
+                rates = mu.join(state.select("tid", "eff_len"), "tid").select("tid", F.transform("mu", lambda m: m * F.col("eff_len")).alias("x"))
+                totals = rates.agg(*(F.sum(F.col("x")[c]).alias(f"s{c}") for c in range(chains))).first()
+                draw = rates.select("tid", F.array(*(F.col("x")[c] * (whole / totals[c] if totals[c] else 0.0) for c in range(chains))).alias("alpha"))
+            else:
+                draw = state.select("tid", "alpha")
+            draw = draw.select(F.col("tid").cast(members.schema["tid"].dataType).alias("tid"), F.posexplode("alpha").alias("chain", "alpha"))
+            draw = draw.select((F.col("chain") * kept_draws + i // thinning).cast("int").alias("sample_id"), "tid", "alpha")
             out = draw if out is None else out.unionByName(draw)
+    each.unpersist()
     return out
 
 
+def chains_for(draws: int) -> int:
+    """Chains that share a number of draws."""
+    return next(c for c, least in ((8, 200), (4, 100), (2, 50), (1, 0)) if draws >= least)
+
+
+def posterior_draws(members: DataFrame, draws: int, lengths: DataFrame, begin: DataFrame | None = None, thinning: int = 16, prior: float = 1e-3, variational: bool = False, by_base: bool = False, rescaled: bool = True, seed: int = 1) -> DataFrame:
+    """``draws`` draws by Gibbs sampling after a run of expectation maximisation, (sample_id, tid, alpha).
+
+    prior: that of the run if it was variational, for each target or, with by_base, each base of its effective length."""
+    value = gibbs_prior(prior, variational, by_base)
+    each = per_nucleotide(lengths, value) if variational and by_base else value
+    chains = chains_for(draws)
+    got = gibbs(members, chains, -(-draws // chains), thinning, each, seed, lengths, rescaled, begin)
+    return got.filter(F.col("sample_id") < draws)
+
+
 def forgetting_mass(batches: DataFrame, factor: float = 0.65) -> DataFrame:
     """``batches`` (batch, from 1) with log_mass: each batch's weight in a one-pass estimate, as a running sum."""
     i = F.col("batch").cast("double")

@@ -859,6 +859,15 @@ def bootstrap(spark, d):
     return inference.bootstrap(equal_members(spark, d), draws=4, rounds=10)
 
 
+@query()
+def posterior_draws(spark, d):
+    """Gibbs draws with weights and effective lengths, from abundances by expectation maximisation, as numbers of fragments."""
+    m = stored(class_weights(spark, d), "members")
+    t = target_lengths(spark, d)
+    begin = inference.expectation_maximisation(classes.length_weights(m, t), ROUNDS)
+    return inference.posterior_draws(m, 4, t, begin, thinning=4)
+
+
 @query()
 def gibbs(spark, d):
     return inference.gibbs(equal_members(spark, d), chains=2, kept_draws=2, thinning=2)

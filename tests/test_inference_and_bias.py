@@ -335,3 +335,37 @@ def test_bias_sample(spark):
 def test_background_leaves_out_auxiliary(spark):
     t = spark.createDataFrame([(1, "ACGT" * 20, 5.0, False), (2, "GGCC" * 20, 5.0, True), (3, "GGCC" * 20, 0.0, False), (4, "GGCC" * 20, 1.0, None)], "tid int, seq string, alpha double, auxiliary boolean")
     assert sorted(r.tid for r in bias.background(t).collect()) == [1, 4] and bias.enough_background(t) and not bias.enough_background(t.filter("tid = 2"))
+
+
+def test_hashed_gamma():
+    keys = np.arange(200_000)
+    for shape in (0.3, 1.0, 7.5):
+        x = inference.hashed_gamma(np.full(len(keys), shape), 1, 2, keys)
+        assert x.mean() == pytest.approx(shape, rel=0.02) and x.var() == pytest.approx(shape, rel=0.04) and (x > 0).all()
+        assert np.array_equal(x[500:600], inference.hashed_gamma(np.full(100, shape), 1, 2, keys[500:600]))
+        assert np.mean(x <= np.median(np.random.default_rng(1).gamma(shape, size=200_000))) == pytest.approx(0.5, abs=0.01)
+
+
+def test_posterior_draws(spark):
+    """Two targets that share a class and have one each: draws agree with a plain sampler in mean, and keep totals."""
+    rows = [("1", 300, 1, 1.0), ("2", 100, 2, 1.0), ("1,2", 600, 1, 0.5), ("1,2", 600, 2, 0.5), ("3", 50, 3, 0.0)]
+    m = spark.createDataFrame(rows, "key string, n long, tid int, w double")
+    lengths = spark.createDataFrame([(1, 100.0), (2, 300.0), (3, 10.0)], "tid int, eff_len double")
+    got = inference.posterior_draws(m, 24, lengths, thinning=2).collect()
+    assert sorted({r.sample_id for r in got}) == list(range(24))
+    sums = Counter()
+    for r in got:
+        sums[r.sample_id] += r.alpha
+    assert all(v == pytest.approx(1050) for v in sums.values())
+    raw = inference.posterior_draws(m, 24, lengths, thinning=2, rescaled=False, variational=True, prior=0.01, by_base=True).collect()
+    by = {t: [r.alpha for r in raw if r.tid == t] for t in (1, 2, 3)}
+    assert set(by[3]) == {50.0} and all(a + b == 1000 for a, b in zip(by[1], by[2], strict=True)) and len(set(by[1])) > 5
+    rng, a, keep = np.random.default_rng(3), [600.0, 400.0], []
+    for i in range(4000):
+        mu = [rng.gamma(a[0] + 1.0) / 100.1, rng.gamma(a[1] + 3.0) / 300.1]
+        k = rng.binomial(600, mu[0] / sum(mu))
+        a = [300 + k, 700 - k]
+        keep.append(a[0])
+    assert np.mean(by[1][4:]) == pytest.approx(np.mean(keep[100:]), rel=0.05)
+    assert [inference.chains_for(n) for n in (1, 49, 50, 99, 100, 199, 200)] == [1, 1, 2, 2, 4, 4, 8]
+    assert sorted(map(tuple, inference.posterior_draws(m.repartition(5), 24, lengths, thinning=2).collect())) == sorted(map(tuple, got))
