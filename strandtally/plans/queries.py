@@ -165,6 +165,22 @@ def quant_from_classes(spark, d):
     return inference.expectation_maximisation(members, ROUNDS).join(names, "tid").select("name", F.round("alpha", 3).alias("num_reads"))
 
 
+@query(SQL["quant_from_classes"])
+def quant_class_file(spark, d):
+    """The same by way of a class file, one list of lines, with targets numbered 5, 15, 25 and so on."""
+    from ..sources import readers, writers
+    from ..store import new_path
+
+    path, own = new_path(spark, "class-file"), F.col("tid") * 10 + 5
+    weighted = class_weights(spark, d)
+    other = F.array_join(F.transform(F.split("key", ","), lambda t: (t.cast("int") * 10 + 5).cast("string")), ",")
+    counts = eqclass_build(spark, d).withColumn("key", other)
+    writers.write_class_file(counts, targets(spark, d).withColumn("tid", own), path, weighted.withColumn("key", other).withColumn("tid", own))
+    names, n, members = readers.read_classes(spark, path)
+    members = members.join(n, "class_id").select(F.col("class_id").cast("string").alias("key"), "n", "tid", "w")
+    return inference.expectation_maximisation(stored(members, "members"), ROUNDS).join(names, "tid").select("name", F.round("alpha", 3).alias("num_reads"))
+
+
 _VB_ROUNDS, _PRIOR = 8, 0.01
 _THETA = f"exp({digamma_sql(f'a + {_PRIOR}')} - {digamma_sql('s')})"
 
@@ -389,6 +405,14 @@ def fld_cmf(spark, d):
     return dist(spark, d).select("length", F.round("c", 6).alias("c"))
 
 
+@query(f"""WITH {DIST}, dr AS (SELECT i, (CAST('0x' || substr(md5(CAST(i AS VARCHAR) || ':1'), 1, 8) AS BIGINT)::DOUBLE + 0.5) / 4294967296 AS u FROM range(10000) t(i)),
+    le AS (SELECT i, (SELECT count(*) FROM dist WHERE c <= u) AS n FROM dr) SELECT CAST(least(n, 1000) AS INTEGER) AS length, count(*) AS n FROM le GROUP BY 1""")
+def length_sample(spark, d):
+    from ..sources.writers import length_sample as sample
+
+    return sample(dist(spark, d).select("length", "c"))
+
+
 @query(f"WITH {DIST} SELECT length, round(mean, 4) AS mean FROM dist WHERE c > 0")
 def conditional_means(spark, d):
     return dist(spark, d).filter("c > 0").select("length", F.round("mean", 4).alias("mean"))
@@ -924,6 +948,15 @@ def bias_models(spark, d):
     return o.unionByName(bias.expected_models(t, cmf, low, high).withColumn("kind", F.lit("expected")))
 
 
+@query()
+def mutation_rate(spark, d):
+    """All texts' letters mutated at a rate of 0.02, and how far they then differ."""
+    from ..operators import mutation
+
+    t = sequences(spark, d)
+    return mutation.difference_rate(t, mutation.mutate(t, 0.02))
+
+
 @query()
 def bias_corrected_length(spark, d):
     """Sequence, G+C and place at once."""

@@ -46,6 +46,19 @@ def numbered_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return placed.join(parts.select("file", "block", before.alias("before")), ["file", "block"]).select("file", (F.col("before") + F.col("at")).alias("line"), "value")
 
 
+def lines_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value): lines of a file, or of the parts below a folder one after the other by name."""
+    lines = numbered_lines(spark, path)
+    sizes = lines.groupBy("file").agg(F.count("*").alias("n"))
+    before = sizes.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each file
+    return lines.join(F.broadcast(before), "file").select((F.col("before") + F.col("line")).alias("line"), "value")
+
+
+def read_bias_models(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, model, a, b, mass) as write_bias_models leaves them."""
+    return spark.read.parquet(path).select("kind", "model", "a", "b", "mass")
+
+
 def read_fastq(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """(file, rec, name, seq, qual): records of four lines."""
     lines = numbered_lines(spark, paths).withColumn("rec", F.floor(F.col("line") / 4)).withColumn("k", F.col("line") % 4)
@@ -150,11 +163,12 @@ def sam_pairs(sam: DataFrame) -> DataFrame:
 
 
 def read_classes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Targets (tid, name, eff_len), counts (class_id, n) and members (class_id, tid, w) of a class file.
+    """Targets (tid, name, eff_len), counts (class_id, n) and members (class_id, tid, w) of a class file, or of its parts
+    in a folder; tid is the target's place in the file.
 
     The file has the number of targets, of classes, the names, then for each class: size, targets, weights
     (or none), count; then lines of name and effective length, where missing ones count as 100."""
-    lines = numbered_lines(spark, path)
+    lines = lines_in_order(spark, path)
     n, m = (int(r.value) for r in lines.filter("line < 2").orderBy("line").collect())  # two lines
     names = lines.filter(F.col("line").between(2, n + 1)).select((F.col("line") - 2).cast("int").alias("tid"), F.trim("value").alias("name"))
     tail = lines.filter(F.col("line") >= 2 + n + m).select(F.split(F.trim("value"), r"\s+").alias("f")).filter(F.size("f") == 2).select(F.col("f")[0].alias("name"), F.col("f")[1].cast("double").alias("e"))
