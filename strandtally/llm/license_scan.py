@@ -3,8 +3,8 @@
 A sparse logistic regression over word n-grams, trained with Spark's own
 implementation on licence notices and on prose that merely speaks of licences,
 gives every paragraph a family or the class unknown. A prediction must reach a
-threshold, which is calibrated on sentences and variants that were not trained
-on, and counts only if the paragraph also has most of the word n-grams of one
+threshold, which is calibrated on prose and word lists that were not trained on,
+and counts only if the paragraph also has most of the word n-grams of one
 of the family's notices.
 
 Paragraphs end at blank lines; their wrapped lines are joined. Every paragraph
@@ -33,74 +33,111 @@ from .shared import stored
 NOTICES = {
     "MIT": [
         "Released under the MIT License.",
+        "SPDX-License-Identifier: MIT",
+        "The MIT License (MIT)",
         "This project is licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
+        "SPDX-License-Identifier: Apache-2.0",
+        "Apache License Version 2.0, January 2004",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
     ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GNU General Public License Version 3",
+        "GNU General Public License Version 2",
+        "under the GPLv2",
+        "under the GPLv3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "You should have received a copy of the GNU General Public License along with this program.",
     ],
     "BSD": [
         "Released under the BSD 3-Clause License.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
+        "BSD 2-Clause License",
+        "BSD 3-Clause License",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     ],
     "CC-BY-NC": [
         "Licensed under CC BY-NC 4.0.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
     "CC-BY": [
         "Licensed under CC BY 4.0.",
+        "SPDX-License-Identifier: CC-BY-4.0",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     ],
     "CC-BY-SA": [
         "Licensed under CC BY-SA 4.0.",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ],
     "LGPL": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
         "You should have received a copy of the GNU Lesser General Public License along with this library.",
         "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+        "GNU Lesser General Public License Version 2.1",
     ],
     "AGPL": [
         "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
         "You should have received a copy of the GNU Affero General Public License along with this program.",
         "This work is licensed under the GNU Affero General Public License, version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "GNU Affero General Public License Version 3",
     ],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
         "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
     ],
     "Unlicense": [
         "This is free and unencumbered software released into the public domain.",
+        "SPDX-License-Identifier: Unlicense",
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ],
     "CC0-1.0": [
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
         "Released under the CC0 1.0 Universal public domain dedication.",
+        "SPDX-License-Identifier: CC0-1.0",
     ],
     "Zlib": [
         "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
         "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+        "SPDX-License-Identifier: Zlib",
     ],
     "BSL-1.0": [
         "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+        "Boost Software License Version 1.0",
         "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
     ],
     "EPL-2.0": [
         "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
         "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+        "Eclipse Public License v 2.0",
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Released under the Mozilla Public License 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
+        "Mozilla Public License Version 2.0",
     ],
 }
 # Prose that shares words with notices.
@@ -181,9 +218,10 @@ class LicenseModel:
         return out.withColumn("family", F.element_at(F.array(*map(F.lit, self.families)), F.col("__best").cast("int") + 1)).drop("__x", "__raw", "__best")
 
 
-def examples(spark: SparkSession, left_out: tuple[int, ...], prose: list[str]) -> DataFrame:
+def examples(spark: SparkSession, left_out: tuple[int, ...], prose: list[str], mixed: int) -> DataFrame:
     """(label, text, grams) of notices and prose; of each also the variants without every k-th word, k in ``left_out``,
-    so that a paragraph need not be word for word (0: the whole sentence)."""
+    so that a paragraph need not be word for word (0: the whole sentence). Short lines, such as identifiers and titles,
+    have no variants. mixed: which of every four words of a notice make a row of words alone, which is unknown."""
     families = [*NOTICES, UNKNOWN]
     rows = [(float(families.index(f)), t) for f, ts in [*NOTICES.items(), (UNKNOWN, prose)] for t in ts]
     whole = spark.createDataFrame(rows, "label double, text string").coalesce(1)
@@ -191,22 +229,25 @@ def examples(spark: SparkSession, left_out: tuple[int, ...], prose: list[str]) -
     variants = whole.withColumn("k", F.explode(F.array(*map(F.lit, left_out)))).withColumn(
         "text", F.when(F.col("k") == 0, F.col("text")).otherwise(F.array_join(F.filter(words, lambda w, i: (i % F.col("k")) != F.col("k") - 1), " "))
     )
+    long = F.size(words) > 8
+    variants = variants.filter((F.col("k") == 0) | long)
     # words alone, without the notices' sentences, are prose as well
-    mixed = whole.filter(F.col("label") < len(NOTICES)).select(F.lit(float(len(NOTICES))).alias("label"), F.array_join(F.filter(words, lambda w, i: i % 4 == 1), " ").alias("text"), F.lit(1).alias("k"))
-    return variants.select("label", "text", "k").unionByName(mixed).withColumn("grams", grams(words_of(F.col("text"))))
+    alone = whole.filter((F.col("label") < len(NOTICES)) & long).select(F.lit(float(len(NOTICES))).alias("label"), F.array_join(F.filter(words, lambda w, i: i % 4 == mixed), " ").alias("text"), F.lit(1).alias("k"))
+    return variants.select("label", "text", "k").unionByName(alone).withColumn("grams", grams(words_of(F.col("text"))))
 
 
 def train(spark: SparkSession, coverage: float = 0.6, keep_unknown: float = 0.98) -> LicenseModel:
-    """A model from the notices and the prose above. Each third sentence of the prose, and variants of notices that
-    are not trained on, calibrate the threshold: keep_unknown is the share of that prose that must fall below it."""
+    """A model from the notices and the prose above. Each third sentence of the prose, which is not trained on, and other
+    words of the notices than those trained on as unknown calibrate the threshold: keep_unknown is the share of these rows
+    whose most probable licence must stay below it."""
     families = [*NOTICES, UNKNOWN]
-    data = stored(examples(spark, (0, 3, 5, 7), [t for i, t in enumerate(PROSE) if i % 3]), "license-examples")  # some hundred rows
+    data = stored(examples(spark, (0, 3, 5, 7), [t for i, t in enumerate(PROSE) if i % 3], 1), "license-examples")  # some hundred rows
     terms = CountVectorizer(inputCol="grams", outputCol="__x", binary=True, minDF=1).fit(data)
     net = LogisticRegression(featuresCol="__x", labelCol="label", family="multinomial", regParam=0.003, elasticNetParam=0.1, maxIter=60, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__best").fit(terms.transform(data))
     model = LicenseModel(terms, net, families, 0.0, coverage)
-    apart = model.predict(examples(spark, (4, 6), PROSE[::3])).filter(F.col("label") == len(NOTICES))
-    p = F.when(F.col("family") == UNKNOWN, 0.0).otherwise(F.array_max(vector_to_array("__p")))
-    model.threshold = max(0.5, float(apart.agg(F.percentile(p, keep_unknown)).first()[0]))
+    apart = model.predict(examples(spark, (0,), PROSE[::3], 3)).filter(F.col("label") == len(NOTICES))
+    p = F.array_max(F.slice(vector_to_array("__p"), 1, len(NOTICES)))
+    model.threshold = float(apart.agg(F.percentile(p, keep_unknown)).first()[0])
     return model
 
 

@@ -423,3 +423,23 @@ def test_pipeline(spark, rows):
     assert set(text[3]) == {c for _, _, c in brute.near(sorted(text[2].items()), 5, 80)}
     assert set(text[4]) == set(text[3]) and not any(brute.pii(t) for t in text[4].values())
     assert {r.doc_id for r in kept[5].collect()} == set(text[4])
+
+
+def test_short_forms_of_licences(spark):
+    """Identifiers, titles and clauses as they stand in files; and lines that only look like them."""
+    named = {
+        "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "# SPDX-License-Identifier: GPL-2.0-only": "GPL", "The MIT License (MIT)": "MIT", "BSD 2-Clause License": "BSD",
+        "GNU GENERAL PUBLIC LICENSE\n   Version 3": "GPL", "Apache License\n Version 2.0, January 2004": "Apache-2.0", "Mozilla Public License Version 2.0": "MPL-2.0", "The kernel is licensed under the GPLv2.": "GPL",
+        "Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.": "BSD",
+        "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0": "Apache-2.0",
+    }
+    plain = ["SPDX-License-Identifier: LicenseRef-Own", "The licence of the bar was renewed.", "This tool is licensed under the terms of the vendor.", "A general public meeting, version 3 of the plan", "The MIT students met.", "Neither the name of the ship nor the names of its crew are known.", "clause 2 of the BSD contract"]
+    texts = [*named, *plain]
+    got = {r.doc_id: r.licenses for r in license_scan.scan_licenses(table(spark, list(enumerate(texts)))).collect()}
+    assert {texts[i]: v for i, v in got.items()} == named | dict.fromkeys(plain, "")
+
+
+def test_licence_calibration_is_apart(spark):
+    fit = {r.text for r in license_scan.examples(spark, (0, 3, 5, 7), [t for i, t in enumerate(license_scan.PROSE) if i % 3], 1).collect()}
+    apart = [r.text for r in license_scan.examples(spark, (0,), license_scan.PROSE[::3], 3).collect() if r.label == len(license_scan.NOTICES)]
+    assert len(apart) > 30 and not fit & set(apart)
