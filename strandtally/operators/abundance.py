@@ -61,3 +61,11 @@ def correlation(pairs: DataFrame, a: str, b: str) -> DataFrame:
         ranks = value_ranks(ranked, c).select(F.col("value").alias(f"v{c}"), (F.col("upto") - (F.col("n") - 1) / 2.0).alias(f"r{c}"))
         ranked = ranked.join(ranks, F.col(c).eqNullSafe(F.col(f"v{c}"))).drop(f"v{c}")
     return ranked.agg(F.corr("a", "b").alias("pearson"), F.corr("ra", "rb").alias("spearman"))
+
+
+def table_or_empty(counted: DataFrame, assigned: int, least: int = 10) -> tuple[DataFrame, list[str]]:
+    """The abundance table of ``counted``, or that of its targets without any fragment where fewer than ``least`` fragments
+    were assigned, with the errors to be reported."""
+    if assigned >= least:
+        return table(counted), []
+    return empty_table(counted.select("name", "length")), ["insufficient_assigned_fragments"]

@@ -31,6 +31,11 @@ def log_ambiguous_length(cmf_most: Column, cmf_target: Column) -> Column:
     return F.when((cmf_most > 0) & (cmf_target > 0), F.log(cmf_most) - F.log(cmf_target)).otherwise(LOG_EPSILON)
 
 
+def log_alignment(estimate: Column) -> Column:
+    """Logarithm of an alignment's own probability; 0 where there is no positive one."""
+    return F.when(estimate > 0, F.log(estimate)).otherwise(0.0)
+
+
 def posterior(alignments: DataFrame, log_p: str = "log_p") -> DataFrame:
     """With p, an alignment's share of its fragment; fragments without any probability are left out."""
     w = Window.partitionBy("frag")

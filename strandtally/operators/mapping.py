@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,33 @@ from .slices import target_blocks, with_slices
 MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND, BAND, LEAST_SCORE = 2, -4, 6, 2, 15, 0.65  # fixed values: default scoring
 
 
+@dataclass(frozen=True)
+class ScoreRules:
+    """match, mismatch, gap_open, gap_extend: what letters and gaps earn and cost. band: how far alignments may leave the
+    diagonal. least: share of a perfect score that counts. consensus: share of the read's best target that a chain needs.
+    most_places: places beyond which a fragment has none. orphans: whether mates alone count. clip_ends: whether letters
+    beyond a target's ends are clipped."""
+
+    match: int = MATCH
+    mismatch: int = MISMATCH
+    gap_open: int = GAP_OPEN
+    gap_extend: int = GAP_EXTEND
+    band: int = BAND
+    least: float = LEAST_SCORE
+    consensus: float = 0.65
+    most_places: int = 200
+    orphans: bool = True
+    clip_ends: bool = False
+
+
+#: Rules like those of a well-known aligner, and strict ones that know hardly any gaps.
+PRESETS = {
+    "default": ScoreRules(),
+    "aligner": ScoreRules(gap_open=5, gap_extend=3, consensus=0.5, most_places=1000, orphans=False),
+    "strict": ScoreRules(match=1, mismatch=0, gap_open=25, gap_extend=25, least=0.8, consensus=0.5, most_places=1000, orphans=False),
+}
+
+
 def distinct_targets(targets: DataFrame) -> DataFrame:
     """Targets (tid, seq) without exact duplicates; the smallest tid of a sequence stays."""
     kept = targets.groupBy(F.sha2("seq", 256).alias("sha")).agg(F.min("tid").alias("tid")).select("tid")
@@ -133,6 +161,41 @@ def join_mates(left: DataFrame, right: DataFrame, most_length: int) -> DataFrame
     return left.join(r, ["frag", "tid"]).filter(near)
 
 
+def joint_hits(left: DataFrame, right: DataFrame, most_length: int, of_best_pair: float = 0.9, of_best_orphan: float = 0.95) -> DataFrame:
+    """(frag, tid, kind, pos, fwd, mate_pos, mate_fwd, score, tag) of left and right alignments (frag, tid, pos, fwd, score).
+
+    Pairs lie on one target, on different strands and within a fragment length, and score what both do; those with
+    ``of_best_pair`` of the fragment's best are kept (kind pair). Fragments without a pair keep single mates with
+    ``of_best_orphan`` of their best one (left, right). tag says what became of the fragment: paired, only_left,
+    only_right, or apart, if both mates lie somewhere and nowhere together."""
+    r = right.select("frag", "tid", F.col("pos").alias("mate_pos"), F.col("fwd").alias("mate_fwd"), F.col("score").alias("mate_score"))
+    near = (F.col("fwd") != F.col("mate_fwd")) & (F.abs(F.col("pos") - F.col("mate_pos")) <= most_length)
+    columns = ["frag", "tid", "kind", "pos", "fwd", "mate_pos", "mate_fwd", "score"]
+    pairs = left.join(r, ["frag", "tid"]).filter(near).withColumn("score", F.col("score") + F.col("mate_score")).withColumn("kind", F.lit("pair")).select(columns)
+    own = Window.partitionBy("frag")
+    pairs = stored(pairs, "pairs")
+    alone = left.select("frag", "tid", F.lit("left").alias("kind"), "pos", "fwd", F.lit(None).cast("int").alias("mate_pos"), F.lit(None).cast("boolean").alias("mate_fwd"), "score")
+    alone = alone.unionByName(r.select("frag", "tid", F.lit("right").alias("kind"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("boolean").alias("fwd"), "mate_pos", "mate_fwd", F.col("mate_score").alias("score")))
+    alone = alone.join(pairs.select("frag").distinct(), "frag", "left_anti")
+    found = lambda k: F.max(F.col("kind") == k).over(own)
+    tag = F.when(found("left") & found("right"), "apart").when(found("left"), "only_left").otherwise("only_right")
+    alone = alone.withColumn("tag", tag).withColumn("__t", F.max("score").over(own)).filter(F.col("score") >= F.col("__t") * of_best_orphan)
+    best = pairs.withColumn("tag", F.lit("paired")).withColumn("__t", F.max("score").over(own)).filter(F.col("score") >= F.col("__t") * of_best_pair)
+    return best.drop("__t").unionByName(alone.drop("__t"))
+
+
+def fits_library(strand: str) -> Column:
+    """Whether a joint hit agrees with a library's strand before it is aligned: U, SA (the left mate forward) or AS. Without
+    a strand orphans always do, and pairs whose mates lie on different strands."""
+    left, fwd, mate_fwd = F.col("kind") == "left", F.col("fwd"), F.col("mate_fwd")
+    if strand == "U":
+        return F.when(F.col("kind") == "pair", fwd != mate_fwd).otherwise(True)
+    if strand not in ("SA", "AS"):
+        raise ValueError(f"{strand!r} is none of U, SA, AS")
+    ahead = F.lit(strand == "SA")
+    return F.when(F.col("kind") == "pair", (fwd == ahead) & (mate_fwd != ahead)).when(left, fwd == ahead).otherwise(mate_fwd != ahead)
+
+
 def orphans(one: DataFrame, pairs: DataFrame) -> DataFrame:
     """Alignments of fragments that have no pair."""
     return one.join(pairs.select("frag").distinct(), "frag", "left_anti")
@@ -188,11 +251,12 @@ def _padded(texts: list[str], fill: int) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def banded_scores(reads: list[str], targets: list[str], band: int = BAND) -> np.ndarray:
+def banded_scores(reads: list[str], targets: list[str], band: int | None = None, rules: ScoreRules = ScoreRules()) -> np.ndarray:
     """Best scores of global alignments of reads to targets within a band, with affine gaps; all pairs at once.
 
     A row of the table for each letter of the reads holds the cells of the band only, by their distance from the main
     diagonal; gaps along a row come from a running maximum."""
+    band = rules.band if band is None else band
     q, n = _padded(reads, 1)
     t, m = _padded(targets, 2)
     low, width = -(10**8), np.maximum(band, np.abs(n - m))[:, None]
@@ -200,7 +264,7 @@ def banded_scores(reads: list[str], targets: list[str], band: int = BAND) -> np.
     off = np.arange(-wide, wide + 1, dtype=np.int32)
     t = np.pad(t, ((0, 0), (wide + 1, max(0, q.shape[1] - t.shape[1]) + wide + 1)), constant_values=2)
     within = np.abs(off) <= width
-    best = np.where(off == 0, 0, np.where((off > 0) & within & (off <= m[:, None]), -(GAP_OPEN + GAP_EXTEND * off), low)).astype(np.int32)
+    best = np.where(off == 0, 0, np.where((off > 0) & within & (off <= m[:, None]), -(rules.gap_open + rules.gap_extend * off), low)).astype(np.int32)
     gap_t = np.full(best.shape, low, np.int32)
     rows = np.arange(len(n))
     last = np.clip(m - n, -wide, wide) + wide
@@ -208,26 +272,26 @@ def banded_scores(reads: list[str], targets: list[str], band: int = BAND) -> np.
     for i in range(1, int(n.max(initial=0)) + 1):
         j = off + i
         inside = within & (j <= m[:, None]) & (j >= 1)
-        gap_t[:, :-1] = np.maximum(best[:, 1:] - GAP_OPEN, gap_t[:, 1:]) - GAP_EXTEND  # the cell above lies one further right
+        gap_t[:, :-1] = np.maximum(best[:, 1:] - rules.gap_open, gap_t[:, 1:]) - rules.gap_extend  # the cell above lies one further right
         gap_t[:, -1] = low
-        pair = np.where(q[:, i - 1 : i] == t[:, i : i + len(off)], np.int32(MATCH), np.int32(MISMATCH))
+        pair = np.where(q[:, i - 1 : i] == t[:, i : i + len(off)], np.int32(rules.match), np.int32(rules.mismatch))
         new = np.where(inside, np.maximum(best + pair, gap_t), low)
         if i <= wide:
-            new[:, wide - i] = np.where(i <= width[:, 0], -(GAP_OPEN + GAP_EXTEND * i), low)
+            new[:, wide - i] = np.where(i <= width[:, 0], -(rules.gap_open + rules.gap_extend * i), low)
         gap_t = np.where(inside | (j == 0), gap_t, low).astype(np.int32)
-        along = np.maximum.accumulate(new + GAP_EXTEND * j, axis=1)
-        new[:, 1:] = np.where(inside[:, 1:], np.maximum(new[:, 1:], along[:, :-1] - GAP_OPEN - GAP_EXTEND * j[1:]), new[:, 1:])
+        along = np.maximum.accumulate(new + rules.gap_extend * j, axis=1)
+        new[:, 1:] = np.where(inside[:, 1:], np.maximum(new[:, 1:], along[:, :-1] - rules.gap_open - rules.gap_extend * j[1:]), new[:, 1:])
         best = new.astype(np.int32)
         ends = np.flatnonzero(n == i)
         out[ends] = best[ends, last[ends]]
     return out
 
 
-def banded_score(read: str, target: str, band: int = BAND) -> int:
+def banded_score(read: str, target: str, band: int | None = None) -> int:
     return int(banded_scores([read], [target], band)[0])
 
 
-def score_alignments(candidates: DataFrame, pairs_each: int = 2_000) -> DataFrame:
+def score_alignments(candidates: DataFrame, pairs_each: int = 2_000, rules: ScoreRules = ScoreRules()) -> DataFrame:
     """Candidates (frag, tid, pos, read, target and others) with score instead of read and target: target is the part
     that the read may lie on. Pairs of like length are scored together."""
     kept = [f for f in candidates.schema.fields if f.name not in ("read", "target")]
@@ -236,7 +300,7 @@ def score_alignments(candidates: DataFrame, pairs_each: int = 2_000) -> DataFram
         for pdf in batches:
             size = pdf["read"].str.len()
             pdf = pdf.iloc[np.lexsort(((pdf["target"].str.len() - size).abs(), size))]
-            found = [banded_scores(pdf["read"].iloc[a : a + pairs_each].tolist(), pdf["target"].iloc[a : a + pairs_each].tolist()) for a in range(0, len(pdf), pairs_each)]
+            found = [banded_scores(pdf["read"].iloc[a : a + pairs_each].tolist(), pdf["target"].iloc[a : a + pairs_each].tolist(), rules=rules) for a in range(0, len(pdf), pairs_each)]
             pdf = pdf[[f.name for f in kept]].copy()
             pdf["score"] = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
             yield pdf
@@ -244,7 +308,7 @@ def score_alignments(candidates: DataFrame, pairs_each: int = 2_000) -> DataFram
     return candidates.mapInPandas(run, T.StructType([*kept, T.StructField("score", T.IntegerType())]))
 
 
-def score_chains(chains: DataFrame, reads: DataFrame, targets: DataFrame) -> DataFrame:
+def score_chains(chains: DataFrame, reads: DataFrame, targets: DataFrame, rules: ScoreRules = ScoreRules()) -> DataFrame:
     """Chains (frag, tid, fwd, first, last, start, stop) that score well, with pos and score of the whole read on the part
     of the target where the chain puts it. reads (frag, seq), targets (tid, seq); targets travel as slices."""
     reads = reads.select("frag", F.col("seq").alias("read"), F.length("seq").cast("long").alias("size"))
@@ -253,8 +317,8 @@ def score_chains(chains: DataFrame, reads: DataFrame, targets: DataFrame) -> Dat
     begin, end = F.greatest(F.col("start") - F.col("first"), F.lit(0)), F.least(F.col("stop") + F.col("size") - F.col("last"), "whole")
     rows = with_slices(rows.withColumns({"from": begin, "to": end}), target_blocks(targets))
     read = F.when(F.col("fwd"), F.col("read")).otherwise(reverse_complement(F.col("read")))
-    found = score_alignments(rows.select("frag", "tid", "fwd", "start", "stop", F.col("from").alias("pos"), "size", read.alias("read"), F.col("slice").alias("target")))
-    return good_scores(found, F.col("size")).drop("size")
+    found = score_alignments(rows.select("frag", "tid", "fwd", "start", "stop", F.col("from").alias("pos"), "size", read.alias("read"), F.col("slice").alias("target")), rules=rules)
+    return good_scores(found, F.col("size"), rules).drop("size")
 
 
 def missing_mates(anchors: DataFrame, chains_of_mates: DataFrame, mates: DataFrame, targets: DataFrame, most_length: int) -> DataFrame:

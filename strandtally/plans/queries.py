@@ -556,6 +556,33 @@ def mate_range_join(spark, d):
     return mates(spark, d)[2].select("frag", "tid", "pos", "mate_pos")
 
 
+_JOINT = f"""{ALN}, l AS (SELECT frag, tid, pos, fwd, score FROM aln WHERE ln % 2 = 1), r AS (SELECT frag, tid, pos AS mate_pos, fwd AS mate_fwd, score FROM aln WHERE ln % 2 = 0),
+    pr AS (SELECT frag, tid, 'pair' AS kind, pos, fwd, mate_pos, mate_fwd, l.score + r.score AS score FROM l JOIN r USING (frag, tid) WHERE fwd <> mate_fwd AND abs(pos - mate_pos) <= 200),
+    al AS (SELECT * FROM (SELECT frag, tid, 'left' AS kind, pos, fwd, NULL::INTEGER AS mate_pos, NULL::BOOLEAN AS mate_fwd, score FROM l UNION ALL SELECT frag, tid, 'right', NULL, NULL, mate_pos, mate_fwd, score FROM r) ANTI JOIN pr USING (frag)),
+    jh AS (SELECT *, 'paired' AS tag FROM pr QUALIFY score >= 0.9 * max(score) OVER (PARTITION BY frag) UNION ALL
+        SELECT *, CASE WHEN count(DISTINCT kind) OVER (PARTITION BY frag) = 2 THEN 'apart' ELSE 'only_' || kind END FROM al QUALIFY score >= 0.95 * max(score) OVER (PARTITION BY frag))"""
+
+
+def joined(spark, d):
+    a = alignments(spark, d).select("frag", "tid", "ln", "pos", "fwd", "score")
+    return mapping.joint_hits(a.filter("ln % 2 = 1").drop("ln"), a.filter("ln % 2 = 0").drop("ln"), 200)
+
+
+@query(f"WITH {_JOINT} SELECT * FROM jh")
+def joint_hits(spark, d):
+    """Pairs near the fragment's best, or single mates near theirs, and what became of the fragment."""
+    return joined(spark, d)
+
+
+@query(f"""WITH {_JOINT} SELECT strand, kind, tag, count(*) AS hits, count(*) FILTER (WHERE CASE WHEN strand = 'U' THEN kind <> 'pair' OR fwd <> mate_fwd WHEN kind = 'pair' THEN fwd = (strand = 'SA') AND mate_fwd <> (strand = 'SA')
+    WHEN kind = 'left' THEN fwd = (strand = 'SA') ELSE mate_fwd <> (strand = 'SA') END) AS fitting FROM jh, (VALUES ('U'), ('SA'), ('AS')) s(strand) GROUP BY ALL""")
+def library_precheck(spark, d):
+    """Joint hits that agree with each kind of library, before they are aligned."""
+    one = [F.struct(F.lit(k).alias("strand"), mapping.fits_library(k).alias("ok")) for k in ("U", "SA", "AS")]
+    rows = joined(spark, d).select("kind", "tag", F.explode(F.array(*one)).alias("x"))
+    return rows.groupBy("x.strand", "kind", "tag").agg(F.count("*").alias("hits"), F.count_if("x.ok").alias("fitting"))
+
+
 @query(f"WITH {_MATES} SELECT frag, tid, ln FROM l ANTI JOIN pairs USING (frag)")
 def orphans_anti(spark, d):
     left, _, pairs = mates(spark, d)

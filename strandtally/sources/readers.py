@@ -109,6 +109,14 @@ def paired_reads(left: DataFrame, right: DataFrame, files: list[tuple[str, str]]
     return one.join(two, ["pair", "rec"], "full")
 
 
+def check_mates(pairs: DataFrame) -> DataFrame:
+    """``pairs`` of paired_reads, if every read has its mate; otherwise an error that names the first place."""
+    odd = pairs.filter("seq1 is null or seq2 is null").orderBy("pair", "rec").first()
+    if odd is not None:
+        raise ValueError(f"files of pair {odd.pair} have different numbers of reads: record {odd.rec} has no mate")
+    return pairs
+
+
 _SAM = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
 _NUMBERS = ("flag", "pos", "mapq", "pnext", "tlen")
 
@@ -127,6 +135,20 @@ def read_sam_header(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return lines.select("file", F.col("line").alias("ord"), tag("SN").alias("name"), tag("LN").cast("int").alias("len"), (tag("DS") == "D").alias("decoy"))
 
 
+def refuse_decoys(headers: DataFrame) -> DataFrame:
+    """``headers`` of read_sam_header without decoys; alignments that name some can't be counted and are an error."""
+    decoys = headers.filter("decoy").select("name").distinct()
+    if first := decoys.orderBy("name").first():
+        raise ValueError(f"{decoys.count()} targets are decoys, such as {first.name}: write alignments without them")
+    return headers
+
+
+def looks_paired(sam: DataFrame) -> bool | None:
+    """Whether the first alignment belongs to a pair; None if there is none. All that is read is one row."""
+    row = sam.select(F.col("flag").bitwiseAND(0x1).alias("bit")).first()
+    return None if row is None else bool(row.bit)
+
+
 def aligner(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """(file, program): the first program that a header names, in lower case."""
     lines = numbered_lines(spark, paths).filter(F.col("value").startswith("@PG"))
