@@ -34,14 +34,14 @@ LETTER[ord("A") : ord("Z") + 1] = LETTER[ord("a") : ord("z") + 1] = LETTER[0x80:
 
 @dataclass(frozen=True)
 class NetRules:
-    """hidden: units in each direction. window: bytes read at a time. labels: languages that are learned, at most; the
-    most frequent ones. texts: labelled texts of each language that are learned from, at most; crops: windows taken
-    from each of them. epochs, batch, rate, seed: training."""
+    """hidden: units in each direction. window: bytes read at a time. texts: labelled texts of each language that are
+    learned from, at most; all_texts: those of all languages together, of which each has an equal part, so more languages
+    than that are an error. crops: windows taken from each text. epochs, batch, rate, seed: training."""
 
     hidden: int = 8
     window: int = 96
-    labels: int = 256
     texts: int = 500
+    all_texts: int = 128_000
     crops: int = 4
     epochs: int = 5
     batch: int = 128
@@ -167,7 +167,8 @@ class Net:
         length = np.minimum(begin + window, offsets[doc + 1]) - begin
         sums = np.zeros((len(size), len(self.labels)))
         weight = np.zeros(len(size))
-        for part in np.array_split(np.arange(len(doc)), max(1, len(doc) // 4000)):
+        together = max(16, 32_000 // max(8, len(self.labels)))  # windows; each has a number for every letter and label
+        for part in np.array_split(np.arange(len(doc)), max(1, len(doc) // together)):
             if not len(part):
                 continue
             t = np.arange(window)[:, None]
@@ -190,21 +191,24 @@ def fold(doc_id: Column) -> Column:
 def train(docs: DataFrame, learn: Column, rules: NetRules = NetRules()) -> Net | None:
     """A network for the labels of the rows of ``docs`` that satisfy ``learn``; None if there are none.
 
-    The ``labels`` most frequent labels are learned. Of each, the ``texts`` rows with the least hash of identifier and
-    text are taken (rows equal in both count once), and ``crops`` windows of each go to the driver."""
+    All labels are learned. Of each, the rows with the least hash of identifier and text are taken, as many as the rules
+    give it (rows equal in both count once), and ``crops`` windows of each go to the driver."""
     docs = docs.filter(learn & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "lang")
-    count = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(rules.labels).collect()}
-    if not count:
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    labels = sorted(r.lang for r in counts.select("lang").limit(rules.all_texts + 1).collect())
+    if not labels:
         return None
-    labels = sorted(count)
+    if len(labels) > rules.all_texts:
+        raise ValueError(f"more than {rules.all_texts} languages")
+    texts = min(rules.texts, rules.all_texts // len(labels))
     # by hash, some more rows than needed, so that few are sorted; the window has the exact number
     drawn = F.xxhash64("doc_id", "text")
-    share = F.element_at(F.create_map(*(F.lit(x) for lang in labels for x in (lang, min(1.0, 3.0 * rules.texts / count[lang])))), F.col("lang"))
-    some = docs.filter(F.col("lang").isin(labels)).withColumn("order", drawn).filter(F.shiftrightunsigned("order", 1) < share * float(2**63))
-    some = some.dropDuplicates(["lang", "order"]).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).filter(F.col("rank") <= rules.texts)
+    shares = F.broadcast(counts.select("lang", F.least(F.lit(1.0), F.lit(3.0 * texts) / F.col("n")).alias("share")))  # a row for each language
+    some = docs.withColumn("order", drawn).join(shares, "lang").filter(F.shiftrightunsigned("order", 1) < F.col("share") * float(2**63)).drop("share")
+    some = some.dropDuplicates(["lang", "order"]).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).filter(F.col("rank") <= texts)
     room = F.greatest(F.length("text") - rules.window, F.lit(1))
     crops = F.array(*(F.substring(F.col("text"), (1 + F.pmod(F.xxhash64("order", F.lit(i)), room)).cast("int"), F.lit(rules.window)) for i in range(rules.crops)))
-    rows = some.select("lang", crops.alias("crops"), "order").collect()  # labels * texts rows at most
+    rows = some.select("lang", crops.alias("crops"), "order").collect()  # all_texts rows at most
     rows.sort(key=lambda r: (r.order, r.lang))
     number = {lang: i for i, lang in enumerate(labels)}
     x = [np.frombuffer(c.encode()[: rules.window].ljust(rules.window), np.uint8) for r in rows for c in r.crops]

@@ -443,3 +443,42 @@ def test_licence_calibration_is_apart(spark):
     fit = {r.text for r in license_scan.examples(spark, (0, 3, 5, 7), [t for i, t in enumerate(license_scan.PROSE) if i % 3], 1).collect()}
     apart = [r.text for r in license_scan.examples(spark, (0,), license_scan.PROSE[::3], 3).collect() if r.label == len(license_scan.NOTICES)]
     assert len(apart) > 30 and not fit & set(apart)
+
+
+def test_network_forward_byte_by_byte():
+    """Pooled probabilities against a plain loop over bytes, both ways."""
+    net = language_id.Net(["a", "b", "c"], language_id.NetRules(hidden=3, seed=5))
+    window, texts = 11, ["Bonjour, le monde! Ça va?", "x", "", "1 2 3", "zwölf Boxkämpfer jagen Viktor quer"]
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(layer, data):
+        h, out = np.zeros(3), []
+        for b in data:
+            a, g = layer.table[:, b].astype(float), layer.carry.astype(float) @ h
+            z, r = sigmoid(a[:3] + g[:3]), sigmoid(a[3:6] + g[3:6])
+            n = np.tanh(a[6:] + r * g[6:])
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    want = []
+    for text in texts:
+        raw, sums, letters = text.encode(), np.zeros(3), 0
+        for at in range(0, len(raw), window):
+            part = raw[at : at + window]
+            ahead, behind = states(net.ahead, part), states(net.behind, part[::-1])[::-1]
+            for b, x, y in zip(part, ahead, behind, strict=True):
+                if language_id.LETTER[b]:
+                    e = np.exp(net.out.astype(float) @ np.concatenate([x, y]) + net.bias[:, 0])
+                    sums, letters = sums + e / e.sum(), letters + 1
+        want.append(sums / max(1, letters))
+    assert net.predict(pa.array(texts), window) == pytest.approx(np.array(want), abs=1e-5)
+
+
+def test_all_languages_are_learned(spark):
+    rows = [(i, "abcdefgh"[i % 8] * 30, f"l{i % 300}", "s", 1) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    rules = language_id.NetRules(hidden=2, epochs=1, all_texts=600)
+    assert len(language_id.train(docs, F.lit(True), rules).labels) == 300
+    with pytest.raises(ValueError):
+        language_id.train(docs, F.lit(True), language_id.NetRules(all_texts=299))
