@@ -137,7 +137,7 @@ class WordBpe:
         cut, met = [], set()
         for t in texts:
             own: list[str] = []
-            for part in self.cut.split(t) if "<|" in t else (t,):
+            for part in self.cut.split(t) if any([s in t for s in self.special]) else (t,):
                 own += ["\n" + part] if part in self.special else self.chunks(part)
             met.update(own)
             cut.append(own)
