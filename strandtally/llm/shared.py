@@ -7,14 +7,22 @@ driver see that folder, so a lost executor costs a re-read and nothing else.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LIBC = ctypes.CDLL(None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is set and all tasks run on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -51,6 +59,26 @@ def stored(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it tables are written from Arrow batches of that many rows at most, so rows with texts take less memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def give_back() -> None:
+    """Give memory that is free back to the system: a worker stays for later tasks, beside the executor's own memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def remove(paths: list[str]) -> None:
     """Remove stored tables that no later step reads, because all that came of them is stored itself."""
     for path in paths:

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .language_id import fold
-from .shared import remove, stored
+from .shared import batches_of, give_back, remove, stored
 from .wordscan import LOWER, raw_bytes, scan, slices
 
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never has
@@ -58,7 +58,7 @@ class TreeRules:
     gain: float = 10.0
     weight: float = 3.0
     common: int = 100_000
-    chunk: int = 32 << 20
+    chunk: int = 48 << 20
 
 
 class Tally:
@@ -146,6 +146,8 @@ def count(texts: DataFrame, rules: TreeRules) -> DataFrame:
                             yield give(tally, word)
         yield give(words, True)
         yield give(runs, False)
+        del words, runs
+        give_back()
 
     return texts.select("chunk", "held_out", "text").mapInArrow(run, "word boolean, chunk int, key long, n long")
 
@@ -192,7 +194,8 @@ def lm_scores(docs: DataFrame, rules: TreeRules = TreeRules(), folds: int = 5, h
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", out_of.alias("held_out"), "text")
     texts = stored(rows.repartition(chunks).withColumn("chunk", F.spark_partition_id()), "lm-texts")
     paths: list[str] = []
-    counts = stored(count(texts, rules), "lm-counts", paths)
+    with batches_of(spark, 1_000):
+        counts = stored(count(texts, rules), "lm-counts", paths)
     words = stored(counts.filter("word").groupBy(F.col("key").alias("token")).agg(F.sum("n").alias("c")), "lm-words")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     keys_of = counts.filter("NOT word")
@@ -250,12 +253,15 @@ def lm_scores(docs: DataFrame, rules: TreeRules = TreeRules(), folds: int = 5, h
                     del by_key
                 for part in slices(rows, "text", 1 << 19):
                     yield scores(part, grams_, log10)
+        del held, grams_, log10
+        give_back()
 
     place = lambda kind: (F.col("chunk") * 2 + kind).alias("place")
     contexts = looked_up.select(place(0), "key", "log10", *(F.lit(None).cast(f.dataType).alias(f.name) for f in own), F.lit(None).cast("string").alias("text"))
     both = contexts.unionByName(texts.select(place(1), F.lit(None).cast("long").alias("key"), F.lit(None).cast("float").alias("log10"), *(f.name for f in own), "text"))
     by_chunk = both.repartition(chunks, F.floor(F.col("place") / 2)).sortWithinPartitions("place")
-    rows = stored(by_chunk.mapInArrow(run, T.StructType([*own, *numbers])), "lm-scores")
+    with batches_of(spark, 2_000):
+        rows = stored(by_chunk.mapInArrow(run, T.StructType([*own, *numbers])), "lm-scores")
     rare = rows.select("row", F.explode("rare").alias("token")).join(words, "token")
     rare = rare.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10((F.col("c") + 0.5) / F.lit(size))).alias("sum"))
     known = F.col("known") + F.coalesce("more", F.lit(0))
