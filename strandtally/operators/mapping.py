@@ -153,6 +153,20 @@ def sketch_map(hits: DataFrame) -> DataFrame:
     return n.join(top, "frag").filter("hits = top").select("frag", "tid", "hits")
 
 
+def sketch_strands(hits: DataFrame, k: int, stretch: float = 1.25) -> DataFrame:
+    """(frag, tid, fwd, hits): targets and strands that hold the most of a read's k-mers, of stranded hits.
+
+    Of a place in the read the first one in the target counts, and only if it lies behind all before it; a target on which
+    the places spread over more than ``stretch`` times what they do in the read, and a k-mer, is none."""
+    one = hits.groupBy("frag", "tid", "fwd", "rpos").agg(F.min("pos").alias("pos"))
+    before = F.max("pos").over(Window.partitionBy("frag", "tid", "fwd").orderBy("rpos").rowsBetween(Window.unboundedPreceding, -1))
+    rising = one.withColumn("__b", before).filter(F.col("__b").isNull() | (F.col("pos") > F.col("__b")))
+    wide = lambda c: F.max(c) - F.min(c)
+    n = rising.groupBy("frag", "tid", "fwd").agg(F.count("*").alias("hits"), wide("pos").alias("__p"), wide("rpos").alias("__r"))
+    n = n.filter(F.col("__p") <= F.col("__r") * stretch + k).drop("__p", "__r")
+    return n.withColumn("__t", F.max("hits").over(Window.partitionBy("frag"))).filter("hits = __t").drop("__t")
+
+
 def join_mates(left: DataFrame, right: DataFrame, most_length: int) -> DataFrame:
     """Pairs of left and right alignments (frag, tid, pos, fwd) of a fragment on one target, on different strands and
     within a fragment length. Both sides are joined on fragment and target; the distance is checked within these."""

@@ -745,6 +745,17 @@ def consensus_chains(spark, d):
     return mapping.consensus_filter(gapped(spark, d)).select("frag", "tid", "chain", "bases")
 
 
+@query(f"""WITH {SEQS}, {_READS}, idx AS ({_SEQ_KMERS.format(_SEED_K)}), can AS (SELECT *, least(kmer, {_REV.replace('seq', 'kmer')}) AS c FROM idx),
+    rare AS (SELECT c FROM can GROUP BY 1 HAVING count(*) <= 1000), way AS (SELECT frag, seq, true AS fwd FROM reads UNION ALL SELECT frag, {_REV}, false FROM reads),
+    rk AS (SELECT substr(seq, CAST(i + 1 AS BIGINT), {_SEED_K}) AS kmer, frag, fwd, i AS rpos FROM (SELECT frag, fwd, seq, unnest(range(length(seq) - {_SEED_K} + 1)) AS i FROM way WHERE length(seq) >= {_SEED_K})),
+    one AS (SELECT frag, tid, fwd, rpos, min(pos) AS pos FROM rk JOIN can USING (kmer) SEMI JOIN rare USING (c) GROUP BY ALL),
+    up AS (SELECT * FROM one QUALIFY coalesce(pos > max(pos) OVER (PARTITION BY frag, tid, fwd ORDER BY rpos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)),
+    n AS (SELECT frag, tid, fwd, count(*) AS hits FROM up GROUP BY ALL HAVING max(pos) - min(pos) <= (max(rpos) - min(rpos)) * 1.25 + {_SEED_K})
+    SELECT frag, tid, fwd, hits FROM n QUALIFY hits = max(hits) OVER (PARTITION BY frag)""")
+def sketch_strands(spark, d):
+    return mapping.sketch_strands(mapping.stranded_hits(reads(spark, d), sequences(spark, d), _SEED_K), _SEED_K)
+
+
 def both_strands(spark, d):
     hits = mapping.stranded_hits(reads(spark, d), sequences(spark, d), _SEED_K)
     return chaining.collinear_chains(hits, _SEED_K, 500)
