@@ -346,9 +346,9 @@ def missing_mates(anchors: DataFrame, chains_of_mates: DataFrame, mates: DataFra
     return rows.select("frag", "tid", "fwd", "from", "mate", F.col("slice").alias("window"))
 
 
-def good_scores(scored: DataFrame, read_length: Column) -> DataFrame:
-    """Alignments with at least the default share of a perfect score."""
-    return scored.filter(F.col("score") >= read_length * MATCH * LEAST_SCORE)
+def good_scores(scored: DataFrame, read_length: Column, rules: ScoreRules = ScoreRules()) -> DataFrame:
+    """Alignments with at least the rules' share of a perfect score."""
+    return scored.filter(F.col("score") >= read_length * rules.match * rules.least)
 
 
 def rescue(orphan_reads: DataFrame, most_edits: int, pairs_each: int = 1_000) -> DataFrame:
