@@ -13,18 +13,27 @@ pass reads its input once; a restart goes on from the last table."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import LOG_EPSILON
-from ..operators.lengths import dense, distribution, smooth
+from ..operators.lengths import KERNEL, dense, distribution, smooth
 from ..store import new_path
 
 #: Targets up to which their masses are broadcast: some 20 bytes each.
 MOST_BROADCAST = 2_000_000
+#: Targets up to which the driver holds their masses between the steps of a pass over a table: 24 bytes each.
+MOST_HELD = 100_000
+#: Hits that are worth a task of their own in such a step.
+HITS_EACH = 200_000
 
 
 @dataclass(frozen=True)
@@ -119,15 +128,128 @@ def _part(kind: str, id_: Column, value: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), id_.cast("long").alias("id"), value.cast("double").alias("value"))
 
 
-def whole_pass(alignments: DataFrame, targets: DataFrame, rules: PassRules = PassRules(), folder: str | None = None) -> tuple[OnePass, int]:
+def _sums_of(tids: np.ndarray, mass: np.ndarray, lens: np.ndarray, log_p: np.ndarray | None, log_c: np.ndarray | None, top: int, settled: bool):
+    """A task's part of a step: (kind, id, value) sums of the shares of fragments (hits), each a row with all its hits.
+    log_p, log_c: logarithms of the share of each length and of all up to it, as far as lengths count."""
+    order = np.argsort(tids)
+    sorted_tids = tids[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_target, by_length, whole = np.zeros(len(tids)), np.zeros(top + 1), 0.0
+        for batch in batches:
+            hits = batch.column(0)
+            rows = hits.flatten()
+            frag = np.repeat(np.arange(len(hits)), pc.list_value_length(hits).to_numpy(zero_copy_only=False))
+            tid, w, size = (pc.struct_field(rows, x) for x in ("tid", "w", "frag_len"))
+            known = size.is_valid().to_numpy(zero_copy_only=False)
+            ok = (tid.is_valid().to_numpy(zero_copy_only=False)) & w.is_valid().to_numpy(zero_copy_only=False)
+            tid, w, size = (pc.fill_null(x, 0).to_numpy(zero_copy_only=False) for x in (tid, w, size))
+            at = np.minimum(np.searchsorted(sorted_tids, tid), max(len(tids) - 1, 0))
+            ok &= (sorted_tids[at] == tid) if len(tids) else False
+            frag, known, w, size, at = frag[ok], known[ok], w[ok], size[ok], order[at[ok]]
+            x = mass[at] * w
+            ok = ~(x <= 0)
+            frag, known, x, size, at = frag[ok], known[ok], x[ok], size[ok], at[ok]
+            if not len(frag):
+                continue
+            log = np.log(x) - np.log(np.maximum(lens[at], 1).astype(float))
+            bin_ = np.minimum(size, top)
+            inside = bin_ >= 0
+            if log_p is not None:
+                share = np.where(inside, log_p[np.maximum(bin_, 0)], np.nan)
+                if settled:
+                    fits = (size < lens[at]) & (lens[at] >= 0)
+                    share = np.where(fits, share - log_c[np.clip(lens[at], 0, top)], np.nan)
+                log += np.where(known, np.where(np.isnan(share), LOG_EPSILON, share), 0.0)
+            first = np.flatnonzero(np.append(True, frag[1:] != frag[:-1]))
+            own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(frag))))
+            e = np.exp(log - np.maximum.reduceat(log, first)[own])
+            p = e / np.add.reduceat(e, first)[own]
+            by_target += np.bincount(at, p, len(tids))
+            whole += p.sum()
+            if not settled:
+                ok = known & inside
+                by_length += np.bincount(bin_[ok], p[ok], top + 1)
+        some = np.flatnonzero(by_target != 0), np.flatnonzero(by_length != 0)
+        kind = ["mass"] * len(some[0]) + ["length"] * len(some[1]) + ["fragments"]
+        ids = np.concatenate([some[0], some[1], [-1]]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(ids), pa.array(np.concatenate([by_target[some[0]], by_length[some[1]], [whole]]))], names=["kind", "id", "value"])
+
+    return run
+
+
+class _Held:
+    """The state of a pass between its steps, for targets few enough that the driver holds it: a mass for each, a thousand lengths."""
+
+    def __init__(self, run: OnePass, targets: pd.DataFrame) -> None:
+        self.run, self.rules = run, run.rules
+        self.tids, self.lens = targets["tid"].to_numpy(np.int64), targets["len"].to_numpy(np.int64)
+        start = run.start.filter("kind = 'length'").orderBy("id").toPandas()
+        self.mass, self.lengths = np.full(len(self.tids), run.rules.prior), start["value"].to_numpy(float)
+        self.seen = self.log_mass = 0.0
+
+    def step(self, batch: int, rows: DataFrame | None) -> None:
+        """One job without a shuffle; of each task only sums come back."""
+        self.log_mass += step_mass(batch + 1, self.rules.factor)
+        if rows is None:
+            return
+        top, settled, log_p, log_c = self.rules.longest, self.seen >= self.rules.burn_in, None, None
+        if self.seen >= self.rules.before_lengths:
+            known = lambda x: np.log(np.where(x > 0, x, np.nan))
+            whole = self.lengths.sum() or np.nan
+            log_p, log_c = known(self.lengths / whole), known(np.cumsum(self.lengths) / whole)
+        got = rows.mapInArrow(_sums_of(self.tids, self.mass, self.lens, log_p, log_c, top, settled), "kind string, id long, value double").toArrow()
+        kind, ids, value = got["kind"].to_numpy(), got["id"].to_numpy(), got["value"].to_numpy()
+        sums = lambda k, n: np.bincount(ids[kind == k], value[kind == k], n)
+        scale = math.exp(self.log_mass)
+        self.mass = self.mass + scale * sums("mass", len(self.tids))
+        spread = np.convolve(scale * sums("length", top + 1), np.array(KERNEL) / 16.0)[2 : top + 3]
+        self.lengths, self.seen = self.lengths + spread, self.seen + value[kind == "fragments"].sum()
+
+    def write(self, batch: int) -> None:
+        parts = [pd.DataFrame({"kind": k, "id": np.asarray(i, np.int64), "value": np.asarray(v, float)}) for k, i, v in (
+            ("mass", self.tids, self.mass), ("length", np.arange(len(self.lengths)), self.lengths), ("fragments", [-1], [self.seen]), ("log_mass", [-1], [self.log_mass]))]
+        state = self.run.spark.createDataFrame(pd.concat(parts), "kind string, id long, value double")
+        state.coalesce(1).write.mode("overwrite").parquet(f"{self.run.folder}/batch={batch}")
+
+
+def _few_targets(targets: DataFrame) -> pd.DataFrame | None:
+    """(tid, len) of targets that the driver can hold and that are told apart by their tid."""
+    if targets.limit(MOST_HELD + 1).count() > MOST_HELD:
+        return None
+    pdf = targets.select(F.col("tid").cast("long").alias("tid"), F.col("len").cast("long").alias("len")).toPandas()
+    return pdf if pdf.notna().all(axis=None) and pdf["tid"].is_unique else None
+
+
+def whole_pass(alignments: DataFrame, targets: DataFrame, rules: PassRules = PassRules(), folder: str | None = None, keep_each: int = 100) -> tuple[OnePass, int]:
     """A pass over a table of alignments (batch from 0 on, frag, tid, w, frag_len), which is dealt by batch once, so that
-    each step reads its own part of it. Returns the pass and its last batch."""
+    each step reads its own part of it. Returns the pass and its last batch.
+
+    With at most MOST_HELD targets the state stays on the driver between steps and each step is one job without a shuffle,
+    as fragments are dealt with all their hits; states are written after every ``keep_each`` batches and the last one."""
     run = OnePass(targets, rules, folder)
     path = new_path(run.spark, "one-pass-batches")
-    alignments.select("batch", "frag", "tid", "w", "frag_len").repartition("batch").write.partitionBy("batch").parquet(path)
-    table = run.spark.read.schema(alignments.select("frag", "tid", "w", "frag_len", F.col("batch").cast("int").alias("batch")).schema).parquet(path)
-    last = alignments.agg(F.max("batch")).first()[0]
-    last = -1 if last is None else int(last)
+    columns = alignments.select("batch", "frag", "tid", "w", "frag_len")
+    few = _few_targets(run.targets)
+    if few is None:
+        columns.repartition("batch").write.partitionBy("batch").parquet(path)
+        table = run.spark.read.schema(alignments.select("frag", "tid", "w", "frag_len", F.col("batch").cast("int").alias("batch")).schema).parquet(path)
+        last = alignments.agg(F.max("batch")).first()[0]
+        last = -1 if last is None else int(last)
+        for b in range(last + 1):
+            run(table.filter(F.col("batch") == b), b)
+        return run, last
+    sizes = {int(r.batch): r.n for r in columns.filter("batch is not null").groupBy("batch").agg(F.count("*").alias("n")).collect()}
+    last = max(sizes, default=-1)
+    pieces = F.lit(max(1, max(sizes.values(), default=0) // HITS_EACH))
+    # a fragment's hits lie in one row; a batch's fragments in pieces, which are the tasks of its step
+    hit = F.struct(F.col("tid").cast("long").alias("tid"), F.col("w").cast("double").alias("w"), F.col("frag_len").cast("long").alias("frag_len"))
+    dealt = columns.filter("batch >= 0").withColumn("piece", F.pmod(F.xxhash64("frag"), pieces)).repartition("batch", "piece")
+    dealt = dealt.groupBy("batch", "piece", "frag").agg(F.collect_list(hit).alias("hits")).select("batch", "hits")
+    dealt.write.partitionBy("batch").parquet(path)
+    held = _Held(run, few)
     for b in range(last + 1):
-        run(table.filter(F.col("batch") == b), b)
+        held.step(b, run.spark.read.schema(dealt.select("hits").schema).parquet(f"{path}/batch={b}") if b in sizes else None)
+        if b == last or (b + 1) % keep_each == 0:
+            held.write(b)
     return run, last

@@ -7,6 +7,7 @@ import pytest
 
 from strandtally.functions.numeric import LOG_EPSILON
 from strandtally.store import new_path
+from strandtally.streaming import one_pass
 from strandtally.streaming.one_pass import OnePass, PassRules, step_mass, whole_pass
 from strandtally.streaming.online import online_masses
 
@@ -76,6 +77,30 @@ def test_whole_pass(spark, data):
     assert last == -1 and {r.mass for r in run.masses(last).collect()} == {RULES.prior}
 
 
+def test_a_step_of_a_whole_pass_is_one_job(spark, data):
+    lens, batches = data
+    rows = [(b, *r) for b in range(12) for r in batches[b % 5] if b != 7]
+    targets = spark.createDataFrame(list(lens.items()), "tid int, len int")
+    table = spark.createDataFrame(rows, "batch int, frag long, tid int, w double, frag_len int").localCheckpoint()
+    spark.sparkContext.setJobGroup("whole-pass", "")
+    run, last = whole_pass(table, targets, RULES)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("whole-pass"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert last == 11 and jobs < 30
+    mass, _ = plain([batches[b % 5] if b != 7 else [] for b in range(12)], lens, RULES)
+    assert {r.tid: r.mass for r in run.masses(last).collect()} == {t: pytest.approx(m, rel=1e-9) for t, m in mass.items()}
+
+
+def test_many_targets_pass_without_the_driver(spark, data, monkeypatch):
+    monkeypatch.setattr(one_pass, "MOST_HELD", 3)
+    lens, batches = data
+    rows = [(b, *r) for b, part in enumerate(batches[:2]) for r in part]
+    targets = spark.createDataFrame(list(lens.items()), "tid int, len int")
+    run, last = whole_pass(spark.createDataFrame(rows, "batch int, frag long, tid int, w double, frag_len int"), targets, RULES)
+    mass, _ = plain(batches[:2], lens, RULES)
+    assert {r.tid: r.mass for r in run.masses(last).collect()} == {t: pytest.approx(m, rel=1e-9) for t, m in mass.items()}
+
+
 def test_stream_goes_on_after_a_restart(spark, data, tmp_path):
     lens, batches = data
     targets, folder = spark.createDataFrame(list(lens.items()), "tid int, len int"), new_path(spark, "one-pass-test")
