@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from strandtally.operators import chaining, mapping, slices
+from strandtally.store import stored
 
 
 
@@ -132,3 +133,20 @@ def test_scores_of_chains_and_rescue(spark):
     none = chaining.collinear_chains(mapping.stranded_hits(mates, targets, 15), 15, 500)
     found = mapping.rescue(mapping.missing_mates(chains, none, mates, targets, 300), 6).collect()
     assert [(r.frag, r.tid, r.edits) for r in found] == [(1, 7, 4)] and abs(found[0].at - at - 250) <= 1  # of equal ends the first
+
+
+@pytest.mark.parametrize("stranded", [False, True])
+def test_reads_in_rounds(spark, monkeypatch, stranded):
+    rnd = random.Random(11)
+    parts = ["".join(rnd.choices("ACGT", k=60)) for _ in range(5)]
+    texts = ["".join(rnd.sample(parts, 3)) for _ in range(40)]
+    targets = spark.createDataFrame(list(enumerate(texts)), "tid long, seq string")
+    reads = spark.createDataFrame([(i, "".join(rnd.sample(parts, 2))) for i in range(30)] + [(99, None)], "frag long, seq string")
+    index = mapping.stranded_index(targets, 15) if stranded else mapping.rare_kmers(mapping.kmer_index(targets, 15), 1000)
+    rounds = []
+    monkeypatch.setattr(mapping, "stored", lambda df, name: rounds.append(name) or stored(df, name))
+    then = (lambda hits: mapping.sketch_strands(hits, 15)) if stranded else mapping.sketch_map
+    once = sorted(map(tuple, mapping.in_rounds(reads, index, 15, then, stranded, most_hits=10**9).collect()))
+    assert not rounds
+    many = sorted(map(tuple, mapping.in_rounds(reads, index, 15, then, stranded, most_hits=2_000).collect()))
+    assert len(rounds) > 2 and once and many == once
