@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -369,3 +370,22 @@ def test_posterior_draws(spark):
     assert np.mean(by[1][4:]) == pytest.approx(np.mean(keep[100:]), rel=0.05)
     assert [inference.chains_for(n) for n in (1, 49, 50, 99, 100, 199, 200)] == [1, 1, 2, 2, 4, 4, 8]
     assert sorted(map(tuple, inference.posterior_draws(m.repartition(5), 24, lengths, thinning=2).collect())) == sorted(map(tuple, got))
+
+
+def test_expected_sums_are_those_of_every_fragment():
+    """Arrays summed by start against every fragment one by one, and no more than a moment for a long target."""
+    rnd, cmf = random.Random(5), np.cumsum([0.0] * 20 + [1 / 30] * 30)
+    sums, cells = bias._Sums(5), {}
+    for n, cls in ((0, 0), (9, 1), (25, 2), (400, 3), (55, 6)):
+        t = bias.Target("".join(rnd.choices("ACGT", k=n)))
+        sums.add(t, 0.7, cls, cmf, 21, 48, 5)
+        for length, share in bias.length_steps(cmf, t.n, 21, 48, 5):
+            start = np.arange(max(t.n - length, 0))
+            if share > 0:
+                w = np.full(len(start), 0.7 * share)
+                bias._fragments(cells, t, start, start + length - 1, w, w, w, np.full(len(start), cls))
+    got = {(r.model, r.a, r.b): r.mass for r in sums.cells().itertuples()}
+    assert set(got) == set(cells) and got == {k: pytest.approx(v, rel=1e-9) for k, v in cells.items()}
+    began = time.process_time()
+    bias._Sums(5).add(bias.Target("ACGTTGCA" * 250_000), 1.0, 0, np.cumsum([0.0] * 60 + [1 / 120] * 120), 60, 179, 5)
+    assert time.process_time() - began < 5
