@@ -3,6 +3,7 @@
 import math
 import random
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -389,3 +390,12 @@ def test_expected_sums_are_those_of_every_fragment():
     began = time.process_time()
     bias._Sums(5).add(bias.Target("ACGTTGCA" * 250_000), 1.0, 0, np.cumsum([0.0] * 60 + [1 / 120] * 120), 60, 179, 5)
     assert time.process_time() - began < 5
+
+
+def test_counted_letters_take_bounded_memory():
+    batch = pa.RecordBatch.from_pydict({"seq": ["ACGTTGCATC" * 100] * 9_000})
+    tracemalloc.start()
+    whole = sum(len(kmers.codes(part.column("seq"), 15, True)[2]) for part in kmers.parts(batch, "seq", kmers.COUNTED))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert whole == 9_000 * 986 and peak < 150e6
