@@ -34,7 +34,7 @@ _CODE = np.zeros(256, np.int64)  # other letters count as A
 for _i, _c in enumerate("ACGT"):
     _CODE[ord(_c)] = _CODE[ord(_c.lower())] = _i
 _PARTS = re.compile(r"(\d+)([MIDNSHP=X])")
-MOST_LETTERS = 4_000_000  # that are expanded at once
+MOST_LETTERS = 500_000  # that are expanded at once: each takes some hundred bytes meanwhile
 
 
 @dataclass

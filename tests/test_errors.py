@@ -3,8 +3,10 @@
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from strandtally.functions.numeric import LOG_EPSILON
@@ -113,3 +115,13 @@ def test_long_reads(spark):
             m = mean[side, r.size // 100]
             want += max(0, c - math.floor(m + 0.5)) * math.log(m / (m + 1))
         assert r.log_err == pytest.approx(want, abs=1e-6)
+
+
+def test_expanded_letters_take_bounded_memory():
+    n = 20_000
+    pdf = pd.DataFrame({"cigar": ["50M2D50M"] * n, "read": ["ACGTTGCATC" * 10] * n, "ref": ["ACGTTGCATC" * 10 + "AC"] * n})
+    tracemalloc.start()
+    steps = sum(len(errors._expanded(part, 6).state) for part in errors._slices(pdf))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert steps == n * 102 and peak < 120e6
