@@ -16,6 +16,7 @@ are packed as rows of their own; a null identifier is carried along.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,18 +37,17 @@ from .wordscan import slices
 CAPACITY = 2048
 #: Pre-tokeniser of the byte-level vocabulary: a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Most bytes of chunks, with their ids, that a worker remembers; beyond it forgets all of them and goes on.
-MOST_CACHED = 48 << 20
+#: White space of this length is left to the tokenizers library: tiktoken's expression fails at some length beyond.
+_LONG_SPACE = re.compile(r"\s{1000}")
 
 
 class ByteBpe:
-    """Ids of a byte-level BPE vocabulary; results for runs between spaces are remembered.
+    """Ids of a byte-level BPE vocabulary.
 
-    The vocabulary's pre-tokeniser never lets a match cross from a visible
-    character into a following space, so runs can be encoded one by one. Runs of
-    several white-space characters, and special tokens, take the plain way.
-    Where the vocabulary numbers its tokens in the order of its merges, the same
-    ids come faster from tiktoken."""
+    Where the vocabulary numbers its tokens in the order of its merges, a text's
+    ids come from tiktoken in one call, which takes less than looking up its
+    words among those met before. Other vocabularies, texts with special tokens
+    and very long white space take the plain way."""
 
     _made: dict[str, "ByteBpe"] = {}
 
@@ -56,8 +56,6 @@ class ByteBpe:
             spec = json.load(f)
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.seen: dict[str, bytes | None] = {}
-        self.held = 0
         vocab, letters = spec["model"]["vocab"], {c: b for b, c in enumerate(byte_letters())}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         ordered = spec["normalizer"] is None and all(vocab[a + b] == 256 + i for i, (a, b) in enumerate(pairs))
@@ -73,32 +71,12 @@ class ByteBpe:
     def plain(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def chunk(self, text: str) -> bytes | None:
-        if text.isspace():
-            return None  # may be part of a longer run
-        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes() if self.fast else self.plain(text)
-
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        seen, cut, met = self.seen, [], set()
-        if self.held > MOST_CACHED:
-            seen.clear()
-            self.held = 0
-        for t in texts:
-            parts = None
-            if not any([s in t for s in self.special]):
-                first, _, rest = t.partition(" ")
-                parts = [first, *(" " + rest.replace(" ", "\0 ")).split("\0")] if "\0" not in t and " " in t else [t] if "\0" not in t else None
-            if parts is not None:
-                met.update(parts)
-            cut.append(parts)
-        for x in met.difference(seen):
-            seen[x] = ids = self.chunk(x)
-            self.held += len(x) + len(ids or b"") + 200
         out = []
-        for t, parts in zip(texts, cut, strict=True):
-            got = [None] if parts is None else [seen[x] for x in parts]
-            out.append(self.plain(t) if None in got else b"".join(got))
+        for t in texts:
+            plain = self.fast is None or any([s in t for s in self.special]) or _LONG_SPACE.search(t)
+            out.append(self.plain(t) if plain else np.array(self.fast.encode_ordinary(t), "<u4").tobytes())
         return out
 
 

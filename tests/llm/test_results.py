@@ -122,6 +122,18 @@ def test_packing(spark, rows):
     assert len(bins) <= math.ceil(sum(r.length for r in got) / packing.CAPACITY) * 1.02 + 1
 
 
+def test_packing_codec_calls_once_a_text():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    theirs, mine = Tokenizer.from_file(path), packing.ByteBpe(path)
+    odd = ["x" + c * n + y for c in (" ", "\n", "\t ") for n in (2, 999, 1001, 400_000) for y in ("", "y", " y", "<|endoftext|>")]
+    for t in [*strings(), *odd]:
+        assert np.frombuffer(mine.encode_batch([t])[0], "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids
+    calls = []
+    mine.fast = type("Counted", (), {"encode_ordinary": lambda _, t: calls.append(t) or [1]})()
+    mine.encode_batch(["one two  three", "one two"])
+    assert calls == ["one two  three", "one two"]  # words were looked up one by one before, at twice the time
+
+
 def test_packing_gives_ids(spark, rows):
     path = public_tokenizers.path("byte_bpe_50k.json")
     theirs, long = Tokenizer.from_file(path), (5000, "one two three " * 2000)
