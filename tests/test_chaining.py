@@ -63,6 +63,20 @@ def test_one_large_group():
     assert score.tolist() == [w[0] for w in plain(seeds, 4, 100)]
 
 
+def test_small_groups_go_together(monkeypatch):
+    """Without the tree, which takes large groups one by one, and with the same result as from it."""
+    groups = [*some_groups(2, 60, 80), *some_groups(3, 20, 2000), sorted({(i % 300, (i * 37) % 500) for i in range(1500)})]
+    g = np.repeat(np.arange(len(groups)), [len(x) for x in groups])
+    pos, rpos = np.array([s for x in groups for s in x]).T
+    sweep, alone = chaining._sweep, []
+    monkeypatch.setattr(chaining, "_sweep", lambda rpos, *more: alone.append(len(rpos)) or sweep(rpos, *more))
+    together = chaining.chain_seeds(g, rpos, pos, 5, 60)
+    assert not alone
+    monkeypatch.setattr(chaining, "DENSE", 1)
+    by_tree = chaining.chain_seeds(g, rpos, pos, 5, 60)
+    assert alone and all((a == b).all() for a, b in zip(together, by_tree, strict=True))
+
+
 def test_reads_on_both_strands(spark):
     rnd = random.Random(3)
     target = "".join(rnd.choice("ACGT") for _ in range(900))
