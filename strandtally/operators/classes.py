@@ -51,6 +51,17 @@ def weights(hits: DataFrame, labelled: DataFrame, key: str = "label") -> DataFra
     return sums.select("key", "tid", (F.col("s") / F.sum("s").over(Window.partitionBy("key"))).alias("w"))
 
 
+def weighted_classes(hits: DataFrame) -> DataFrame:
+    """(key, tid, w, n): members of each class with mean weights, which sum to 1 in it, and its number of fragments.
+
+    Of hits with one row for each fragment and target. Fragments are grouped once; sums by class and target leave that
+    grouping added up, so fragments are neither joined with their labels nor grouped again to count them."""
+    frag = hits.groupBy("frag").agg(F.array_sort(F.collect_list(F.struct("tid", "w"))).alias("e"))
+    label = F.array_join(F.transform("e", lambda x: x["tid"]).cast("array<string>"), ",")
+    sums = frag.select(label.alias("key"), F.explode("e").alias("x")).groupBy("key", F.col("x.tid").alias("tid")).agg(F.sum("x.w").alias("s"), F.count("*").alias("n"))
+    return sums.select("key", "tid", (F.col("s") / F.sum("s").over(Window.partitionBy("key"))).alias("w"), "n")
+
+
 def length_weights(class_members: DataFrame, lengths: DataFrame, least: float = 1.0) -> DataFrame:
     """Weights divided by effective lengths of at least ``least`` (0 after bias correction), normalised within each class."""
     scaled = class_members.join(lengths, "tid").withColumn("v", F.col("w") / F.greatest(F.col("eff_len"), F.lit(least)))
