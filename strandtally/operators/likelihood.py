@@ -17,11 +17,12 @@ def log_start(length: Column, fragment: Column) -> Column:
 def fragment_factor(alignments: DataFrame, pmf: DataFrame, cmf: DataFrame) -> DataFrame:
     """``alignments`` (frag_len, len) with log_fl: the length's mass, given that it fits on the target.
 
-    pmf (length, p) and cmf (length, c) are small tables over all lengths; beyond the longest, that one counts."""
+    pmf (length, p) and cmf (length, c) are small tables over all lengths, which are broadcast, as a shuffle by length
+    would have as few keys as there are lengths; beyond the longest, that one counts."""
     top = F.lit(1_000)
     p = pmf.select(F.col("length").alias("__l"), "p")
     c = cmf.select(F.col("length").alias("__m"), "c")
-    joined = alignments.join(p, F.least("frag_len", top) == F.col("__l"), "left").join(c, F.least("len", top) == F.col("__m"), "left")
+    joined = alignments.join(F.broadcast(p), F.least("frag_len", top) == F.col("__l"), "left").join(F.broadcast(c), F.least("len", top) == F.col("__m"), "left")
     value = F.when((F.col("frag_len") <= F.col("len")) & (F.col("p") > 0) & (F.col("c") > 0), F.log("p") - F.log("c")).otherwise(LOG_EPSILON)
     return joined.withColumn("log_fl", value).drop("__l", "__m", "p", "c")
 
