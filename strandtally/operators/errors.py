@@ -10,17 +10,18 @@ transition, or one row for each alignment; expanded letters never leave a task.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import LOG_EPSILON
+from ..store import stored
 
 # fixed values: A, C, G, T are 0 to 3; of the others each stands for the operation on the side that has no letter
 DASH, SOFT_CLIP, HARD_CLIP, PAD, SKIP = 4, 5, 6, 7, 8
@@ -33,7 +34,9 @@ _NO_READ = np.array([0, 0, DASH, SKIP, 0, HARD_CLIP, PAD, 0, 0])
 _CODE = np.zeros(256, np.int64)  # other letters count as A
 for _i, _c in enumerate("ACGT"):
     _CODE[ord(_c)] = _CODE[ord(_c.lower())] = _i
-_PARTS = re.compile(r"(\d+)([MIDNSHP=X])")
+_DIGIT, _OPERATION = np.full(256, -1, np.int64), np.full(256, -1, np.int64)
+_DIGIT[ord("0") : ord("9") + 1] = np.arange(10)
+_OPERATION[[ord(_c) for _c in OPERATIONS]] = np.arange(len(OPERATIONS))
 MOST_LETTERS = 500_000  # that are expanded at once: each takes some hundred bytes meanwhile
 
 
@@ -50,38 +53,65 @@ class Letters:
         return np.where(same, np.append(START, self.state[:-1])[: len(same)], START)
 
 
-def _joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [(t or "").encode() for t in texts]
-    return np.append(_CODE[np.frombuffer(b"".join(raw), np.uint8)], 0), np.cumsum([0, *map(len, raw)])
-
-
-def letters(cigars: list[str | None], reads: list[str | None], refs: list[str | None], bins: int) -> Letters:
-    """All letters of some alignments. A letter that opens an operation lies in the bin of the letter before it."""
-    ops = [(i, k, int(n), OPERATIONS.index(c)) for i, cigar in enumerate(cigars) for k, (n, c) in enumerate(_PARTS.findall(cigar or ""))]
-    row, number, n, op = np.array(ops, np.int64).reshape(-1, 4).T
-    own = np.repeat(np.arange(len(n)), n)
-    inner = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-    row, op, opening = row[own], op[own], number[own] == 0
-    takes, refers = _READS[op], _REFERS[op]
-    begin = np.searchsorted(row, np.arange(len(cigars) + 1))
-
-    def place(uses: np.ndarray) -> np.ndarray:
-        """Letters used before each one, within its alignment."""
-        done = np.append(0, np.cumsum(uses))
-        return done[:-1] - done[begin[row]]
-
+def _joined(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, null as empty, and where each begins."""
+    flat = pa.array(texts, pa.large_string(), from_pandas=True).fill_null("")
+    at = np.frombuffer(flat.buffers()[1], np.int64)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+    return np.frombuffer(flat.buffers()[2] or b"", np.uint8)[: at[-1]], at
+
+
+def operations(cigars: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number within the row, length and kind of all operations."""
+    raw, at = _joined(cigars)
+    digit = np.append(_DIGIT[raw], -1)  # at -1 as well
+    end = np.flatnonzero(_OPERATION[raw] >= 0)
+    row = np.searchsorted(at, end, "right") - 1
+    open_ = (end > at[row]) & (digit[end - 1] >= 0)
+    end, row = end[open_], row[open_]
+    n, place, left = np.zeros(len(end), np.int64), 1, np.arange(len(end))
+    at_digit = end - 1
+    while len(left):
+        n[left] += digit[at_digit[left]] * place
+        place *= 10
+        at_digit -= 1
+        left = left[(at_digit[left] >= at[row[left]]) & (digit[at_digit[left]] >= 0)]
+    return row, np.arange(len(row)) - np.searchsorted(row, row), n, _OPERATION[raw[end]]
+
+
+def letters(cigars: Sequence[str | None], reads: Sequence[str | None], refs: Sequence[str | None], bins: int) -> Letters:
+    """All letters of some alignments. A letter that opens an operation lies in the bin of the letter before it.
+
+    What a row has of each operation is found before its letters are made, so none are made that are not there."""
+    row, number, n, op = operations(cigars)
     (read, read_at), (ref, ref_at) = _joined(reads), _joined(refs)
-    i, j = place(takes), place(refers)
-    there = (~takes | (i < np.diff(read_at)[row])) & (~refers | (j < np.diff(ref_at)[row]))
-    gone = np.append(0, np.cumsum(~there))
-    there = gone[1:] == gone[begin[row]]
-    row, op, opening, i, j, takes, refers, inner = (x[there] for x in (row, op, opening, i, j, takes, refers, inner))
-    a = np.where(refers, ref[np.minimum(ref_at[row] + j, len(ref) - 1)], _NO_REF[op])
-    b = np.where(takes, read[np.minimum(read_at[row] + i, len(read) - 1)], _NO_READ[op])
-    size = np.maximum(np.diff(read_at)[row], 1)
-    now = np.where(takes & (inner > 0), i * bins // size, 0)
-    now = np.maximum.accumulate(now + row * bins) - row * bins if len(row) else now
-    return Letters(row, op, opening, 9 * a + b, np.minimum(now, bins - 1))
+    takes, refers = _READS[op], _REFERS[op]
+    first = np.searchsorted(row, row)
+
+    def start(uses: np.ndarray) -> np.ndarray:
+        """Letters used before each operation, within its alignment."""
+        done = np.cumsum(uses * n) - uses * n
+        return done - done[first]
+
+    i, j = start(takes), start(refers)
+    have = np.minimum(np.where(takes, np.diff(read_at)[row] - i, n), np.where(refers, np.diff(ref_at)[row] - j, n))
+    short = np.append(0, np.cumsum(have < n))
+    n = np.where(short[:-1] == short[first], np.clip(have, 0, n), 0)  # the first short operation is the last one
+    begin = np.cumsum(n) - n
+    inner = np.arange(n.sum()) - np.repeat(begin, n)
+
+    def codes(text: np.ndarray, at: np.ndarray, uses: np.ndarray, none: np.ndarray) -> np.ndarray:
+        """A letter where the operation uses one, and else what stands for the operation."""
+        table = np.append(_CODE[text], none)
+        return table[np.repeat(np.where(uses, at, len(text) + op), n) + inner * np.repeat(uses, n)]
+
+    state = 9 * codes(ref, ref_at[row] + j, refers, _NO_REF) + codes(read, read_at[row] + i, takes, _NO_READ)
+    own = np.repeat(row, n)
+    now = np.zeros(len(own), np.int64)
+    if bins > 1 and len(own):
+        size = np.maximum(np.diff(read_at), 1)[row]
+        now = np.where(np.repeat(takes, n) & (inner > 0), (np.repeat(i, n) + inner) * bins // np.repeat(size, n), 0)
+        now = np.minimum(np.maximum.accumulate(now + own * bins) - own * bins, bins - 1)
+    return Letters(own, np.repeat(op, n), np.repeat(number == 0, n), state, now)
 
 
 def _slices(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -91,8 +121,7 @@ def _slices(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
 
 
 def _expanded(part: pd.DataFrame, bins: int) -> Letters:
-    plain = [part[c].where(part[c].notna(), None).tolist() for c in ("cigar", "read", "ref")]
-    return letters(*plain, bins)
+    return letters(*(part[c] for c in ("cigar", "read", "ref")), bins)
 
 
 # --- letter by letter
@@ -107,13 +136,18 @@ def transition_masses(alignments: DataFrame, bins: int = 6) -> DataFrame:
         for pdf in batches:
             for part in _slices(pdf):
                 x = _expanded(part, bins)
-                side, w = part["side"].to_numpy(np.int64), part["w"].to_numpy(float)
+                sides, side = np.unique(part["side"].to_numpy(np.int64), return_inverse=True)
+                w = part["w"].to_numpy(float)
                 key = ((side[x.row] * bins + x.bin) * wide + x.before()) * wide + x.state
-                keys, number = np.unique(key, return_inverse=True)
-                mass = np.bincount(number, w[x.row], len(keys)) if len(keys) else np.zeros(0)
+                if len(sides) * bins * wide * wide > 4 * MOST_LETTERS:
+                    keys, number = np.unique(key, return_inverse=True)
+                    mass = np.bincount(number, w[x.row], len(keys)) if len(keys) else np.zeros(0)
+                else:
+                    keys = np.flatnonzero(np.bincount(key))
+                    mass = np.bincount(key, w[x.row])[keys]
                 rest, cur = np.divmod(keys, wide)
                 rest, prev = np.divmod(rest, wide)
-                yield pd.DataFrame({"side": (rest // bins).astype(np.int32), "bin": (rest % bins).astype(np.int32), "prev": prev.astype(np.int32), "cur": cur.astype(np.int32), "mass": mass})
+                yield pd.DataFrame({"side": sides[rest // bins].astype(np.int32), "bin": (rest % bins).astype(np.int32), "prev": prev.astype(np.int32), "cur": cur.astype(np.int32), "mass": mass})
 
     rows = alignments.select("side", "w", "cigar", "read", "ref").mapInPandas(run, "side int, bin int, prev int, cur int, mass double")
     return rows.groupBy("side", "bin", "prev", "cur").agg(F.sum("mass").alias("mass"))
@@ -133,7 +167,7 @@ def log_error(alignments: DataFrame, rates: np.ndarray, kept: list[str]) -> Data
     """``kept`` columns and log_err: the logarithm of an alignment's transitions, less that of as many matches of A.
 
     An alignment without CIGAR has LOG_EPSILON."""
-    table = alignments.sparkSession.sparkContext.broadcast(rates - rates[:, :, :1, :1])
+    table = alignments.sparkSession.sparkContext.broadcast((rates - rates[:, :, :1, :1]).ravel())
     bins = rates.shape[1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,7 +175,8 @@ def log_error(alignments: DataFrame, rates: np.ndarray, kept: list[str]) -> Data
             for part in _slices(pdf):
                 x = _expanded(part, bins)
                 side = part["side"].to_numpy(np.int64)
-                found = np.bincount(x.row, table.value[side[x.row], x.bin, x.before(), x.state], len(part)) if len(x.row) else np.zeros(len(part))
+                at = ((side[x.row] * bins + x.bin) * (STATES + 1) + x.before()) * (STATES + 1) + x.state
+                found = np.bincount(x.row, table.value[at], len(part)) if len(x.row) else np.zeros(len(part))
                 out = part[kept].copy()
                 out["log_err"] = np.where(part["cigar"].fillna("").str.contains("[0-9]"), found, LOG_EPSILON)
                 yield out
@@ -153,6 +188,7 @@ def log_error(alignments: DataFrame, rates: np.ndarray, kept: list[str]) -> Data
 # --- long reads
 
 COUNTS = ["matches", "mismatches", "insertions", "deletions", "soft", "hard", "front", "back"]
+_KIND = np.array([0, 2, 3, 6, 4, 5, 6, 0, 1])  # of each operation, its number in COUNTS; a mismatch of M is one more, 6 is none
 
 
 def error_counts(alignments: DataFrame, kept: list[str]) -> DataFrame:
@@ -163,13 +199,14 @@ def error_counts(alignments: DataFrame, kept: list[str]) -> DataFrame:
         for pdf in batches:
             for part in _slices(pdf):
                 x = _expanded(part, 1)
-                is_ = lambda ops, x=x: np.isin(x.op, [OPERATIONS.index(c) for c in ops])
-                alike, clip = x.state // 9 == x.state % 9, is_("SH")
-                kinds = (is_("=") | (is_("M") & alike), is_("X") | (is_("M") & ~alike), is_("I"), is_("D"), is_("S"), is_("H"), clip & x.opening, clip & ~x.opening)
+                kind = _KIND[x.op] + ((x.op == 0) & (x.state // 9 != x.state % 9))
+                found = np.bincount(x.row * 7 + kind, minlength=len(part) * 7).reshape(-1, 7)
+                clip = (kind == 4) | (kind == 5)
+                front = np.bincount(x.row[clip & x.opening], minlength=len(part))
                 out = part[kept].copy()
                 out["size"] = part["read"].str.len().fillna(0).astype(np.int64)
-                for name, which in zip(COUNTS, kinds, strict=True):
-                    out[name] = np.bincount(x.row[which], minlength=len(part)).astype(np.int64)
+                for name, counts in zip(COUNTS, (*found.T[:6], front, found[:, 4] + found[:, 5] - front), strict=True):
+                    out[name] = counts.astype(np.int64)
                 yield out
 
     more = [T.StructField(c, T.LongType()) for c in ("size", *COUNTS)]
@@ -240,6 +277,7 @@ def long_read_log(counted: DataFrame, rates: DataFrame, bases: int = 100, least:
     upper: "tail" adds the chance of more errors than the upper count, "below" that of no more than it, a sum that is at
     least about a half and so never excludes an alignment for its errors. An alignment with chimeric true, or without any aligned letter, has none; where a bin has no rate the factor is 1.
     rates have a row for each kind and bin, fewer than 1,503."""
+    rates = stored(rates, "long-read-rates")  # read once for each kind
     rate = lambda kind, n, name: rates.filter(F.col("kind") == kind).select(F.col("bin").alias(n), F.col("mean").alias(name))
     aligned = F.col("size") - F.col("soft") - F.col("hard")
     rows = counted.withColumns({"aligned": aligned, "__e": length_bin(aligned, bases), "__c": length_bin(F.col("size"), bases)})

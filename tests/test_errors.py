@@ -125,3 +125,15 @@ def test_expanded_letters_take_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert steps == n * 102 and peak < 120e6
+
+
+def test_letters_that_are_not_there_are_not_made():
+    x = errors.letters(["2S2000000000M4I", "3M"], ["ACGTT", "ACG"], ["ACG", "AC"], 6)
+    assert x.row.tolist() == [0] * 5 + [1] * 2 and x.op.tolist() == [4, 4, 0, 0, 0, 0, 0]
+
+
+def test_alignments_are_expanded_once_for_rates_and_scores(spark):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["long_read_likelihoods"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan and "regexp_replace" not in plan
