@@ -137,3 +137,10 @@ def test_alignments_are_expanded_once_for_rates_and_scores(spark):
 
     plan = __spark_entry__.queries()["long_read_likelihoods"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "MapInPandas" not in plan and "regexp_replace" not in plan
+
+
+def test_scored_alignments_are_made_once(spark):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["error_likelihoods"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "MapInPandas" in plan and "regexp_replace" not in plan
