@@ -16,8 +16,8 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame:
 
 def join_values(rows: DataFrame, values: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``values``, which has one row for each key. Values of hot keys are broadcast, so their rows
-    stay where they are; others are joined by key."""
+    stay where they are; others are joined by key, and are merged, so their values don't pass the driver."""
     few = F.broadcast(hot)
     here = rows.join(few, key, "left_semi").join(F.broadcast(values.join(few, key, "left_semi")), key, how)
-    there = rows.join(few, key, "left_anti").join(values, key, how)
+    there = rows.join(few, key, "left_anti").join(values.hint("merge"), key, how)
     return here.unionByName(there)
