@@ -10,10 +10,26 @@ from ..store import new_path, stored
 from .skew import SHARE, hot_keys, join_values
 
 
-def class_edges(hits: DataFrame) -> DataFrame:
-    """(a, b): a fragment's targets in a chain, so a fragment with k targets gives k - 1 edges."""
-    before = F.lag("tid").over(Window.partitionBy("frag").orderBy("tid"))
-    return hits.select("frag", "tid").distinct().withColumn("a", before).filter("a is not null").select("a", F.col("tid").alias("b")).distinct()
+def fragment_stars(hits: DataFrame) -> DataFrame:
+    """(tid, least, n, uniq), stored: a fragment links its targets to the least of them; n fragments do so for these two,
+    and uniq of them have no other target. Each fragment is counted at its least target, where tid is least.
+
+    Links, masses and bounds all come from this table, so hits are shuffled by fragment once."""
+    own = Window.partitionBy("frag")
+    rows = hits.select("frag", "tid").repartition("frag").dropDuplicates(["frag", "tid"])
+    rows = rows.select("tid", F.min("tid").over(own).alias("least"), (F.count("*").over(own) == 1).alias("alone"))
+    return stored(rows.groupBy("tid", "least").agg(F.count("*").alias("n"), F.count_if("alone").alias("uniq")), "fragment-stars")
+
+
+def class_edges(stars: DataFrame) -> DataFrame:
+    """(a, b) of fragment stars: a fragment with k targets gives k - 1 edges."""
+    return stars.filter("tid != least").select(F.col("least").alias("a"), F.col("tid").alias("b"))
+
+
+def target_masses(stars: DataFrame) -> DataFrame:
+    """(tid, total, uniq, first), stored: fragments that hit a target, that hit no other, and that have it as their least."""
+    first = F.sum(F.when(F.col("tid") == F.col("least"), F.col("n")).otherwise(0))
+    return stored(stars.groupBy("tid").agg(F.sum("n").alias("total"), F.sum("uniq").alias("uniq"), first.alias("first")), "target-masses")
 
 
 def _to_least(rows: DataFrame) -> DataFrame:
@@ -24,22 +40,28 @@ def _to_least(rows: DataFrame) -> DataFrame:
     return join_values(rows, least.select("u", F.least("u", "m").alias("m")), "u", hubs)
 
 
+def _small_star(rows: DataFrame) -> DataFrame:
+    """Each u of ``rows`` (u, v), stored, with v below u, and all its v linked to the least of them."""
+    small = _to_least(rows)
+    below = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return stored(below.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links")
+
+
 def connected_components(edges: DataFrame, vertices: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(tid, component): the smallest tid reachable, for every vertex; by alternating stars.
 
     In turn every vertex links its larger neighbours to its least neighbour, and then itself and its smaller neighbours,
-    until each cluster is a star around its least vertex. Rounds grow with the logarithm of the longest path, edges never
+    until each cluster is a star around its least vertex. The second of these comes first once more, as it leaves the
+    fewest of many edges, and only it sees them all. Rounds grow with the logarithm of the longest path, edges never
     become more, and neither a hub nor a giant cluster is one key of a shuffle."""
     links = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    now = stored(links.distinct(), "links")
+    now = _small_star(stored(links, "links"))
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20, 0)"))).first())
     before = mark(now)
     for _ in range(most_rounds):
         both = stored(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), "links-both-ways")
         large = stored(_to_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links-large")
-        small = _to_least(large)
-        small = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now = stored(small.distinct(), "links")
+        now = _small_star(large)
         after = mark(now)
         if after == before:
             stars = now.withColumnRenamed("u", "tid")
@@ -49,13 +71,13 @@ def connected_components(edges: DataFrame, vertices: DataFrame, most_rounds: int
 
 
 def projected_counts(masses: DataFrame, components: DataFrame, fragments: DataFrame) -> DataFrame:
-    """(tid, projected): the fragments of a cluster, dealt by the masses of its targets. A cluster's whole mass is a sum
+    """(tid, component, n, projected): the fragments of a cluster, dealt by the masses of its targets. A cluster's whole mass is a sum
     by key that is joined back, so a cluster of any size is spread over tasks."""
     m = stored(masses.join(components, "tid").select("tid", "component", "mass"), "cluster-masses")
     whole = m.groupBy("component").agg(F.sum("mass").alias("whole")).join(fragments, "component")
     rows = join_values(m, whole, "component", stored(hot_keys(m, "component"), "clusters-large"))
     share = F.col("mass") / F.nullif("whole", F.lit(0.0))
-    return rows.select("tid", F.coalesce(F.col("n") * share, F.lit(0.0)).alias("projected"))
+    return rows.select("tid", "component", "n", F.coalesce(F.col("n") * share, F.lit(0.0)).alias("projected"))
 
 
 def fit_bounds(projected: list[float], low: list[float], high: list[float], total: float, tolerance: float = 1e-9, most_rounds: int = 5000) -> list[float]:

@@ -68,3 +68,17 @@ def test_bounds_of_a_giant_cluster(spark):
         own = [r for r in rows if r[0] == c]
         want = graph.fit_bounds(*([r[k] for r in own] for k in (2, 3, 4)), total[c])
         assert [got[r[1]] for r in own] == pytest.approx(want, rel=1e-6)
+
+
+def test_stars_of_fragments(spark):
+    hits = spark.createDataFrame([(1, 7), (1, 3), (1, 3), (2, 3), (2, 7), (3, 7), (4, 7), (4, 7)], "frag int, tid int")
+    stars = graph.fragment_stars(hits)
+    assert {(r.tid, r.least): (r.n, r.uniq) for r in stars.collect()} == {(3, 3): (2, 0), (7, 3): (2, 0), (7, 7): (2, 2)}
+    assert [tuple(r) for r in graph.class_edges(stars).collect()] == [(3, 7)]
+    assert {r.tid: (r.total, r.uniq, r.first) for r in graph.target_masses(stars).collect()} == {3: (2, 0, 2), 7: (4, 2, 2)}
+
+
+def test_values_of_other_keys_do_not_pass_the_driver(spark):
+    rows, values = (spark.range(100).selectExpr("id as k", f"id as {c}") for c in "iv")
+    plan = skew.join_values(rows, values, "k", rows.filter("k < 0").select("k"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
