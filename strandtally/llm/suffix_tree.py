@@ -62,36 +62,64 @@ class TreeRules:
 
 
 class Tally:
-    """Summed 32-bit weights of 64-bit keys, kept sorted; given out when there are many. A chunk's sums are below its bytes."""
+    """How often 64-bit keys occur, each time with weight 0 or 1. Keys are sorted some at a time; sums are kept sorted, and
+    given out when there are more than four fifths of ``most`` distinct keys. A chunk's sums are below its bytes."""
 
-    def __init__(self, most: int = 1 << 21) -> None:
-        self.keys, self.counts, self.held, self.most = [], [], 0, most
-
-    def add(self, keys: np.ndarray, weights: np.ndarray) -> None:
-        k, n = summed(keys, weights)
-        self.keys.append(k)
-        self.counts.append(n)
-        self.held += len(k)
-        if self.held > self.most:
-            self.merge()
+    def __init__(self, most: int = 5 << 20, at_once: int = 1 << 22) -> None:
+        self.most, self.at_once = most, at_once
+        self.keys, self.counts, self.held = [], [], 0
+        self.fresh: tuple[list[np.ndarray], ...] = ([], [])
+        self.waiting = 0
+
+    def add(self, keys: np.ndarray, weight: int) -> None:
+        self.fresh[weight].append(keys)
+        self.waiting += len(keys)
+        if self.waiting > self.at_once:
+            self.settle()
+            if self.held > self.most:
+                self.merge()
+
+    def settle(self) -> None:
+        for weight, fresh in enumerate(self.fresh):
+            if fresh:
+                keys = np.concatenate(fresh)
+                fresh.clear()
+                keys.sort()  # without an order beside it, which would take several times as long
+                at = firsts(keys)
+                self.keys.append(keys[at])
+                self.counts.append((np.diff(np.append(at, len(keys))) * weight).astype(np.int32))
+                self.held += len(at)
+        self.waiting = 0
 
     def merge(self) -> None:
         if len(self.keys) > 1:
-            keys, counts = summed(np.concatenate(self.keys), np.concatenate(self.counts))
+            keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+            self.keys, self.counts = [], []
+            keys, counts = summed(keys, counts)
             self.keys, self.counts, self.held = [keys], [counts], len(keys)
 
+    def full(self) -> bool:
+        return self.held > self.most // 5 * 4 and len(self.keys) == 1
+
     def take(self) -> tuple[np.ndarray, np.ndarray]:
+        self.settle()
         self.merge()
         got = (self.keys[0], self.counts[0]) if self.keys else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
         self.keys, self.counts, self.held = [], [], 0
         return got
 
 
+def firsts(keys: np.ndarray) -> np.ndarray:
+    """Where each distinct key of sorted ones begins."""
+    return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
+
+
 def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sum of each one's weights."""
-    order = np.argsort(keys)
+    """Distinct keys in order, and the sum of each one's weights; quickest if the keys are a few sorted runs."""
+    order = np.argsort(keys, kind="stable")
     keys, weights = keys[order], weights[order]
-    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
+    del order
+    at = firsts(keys)
     return keys[at], np.add.reduceat(weights, at, dtype=weights.dtype) if len(at) else weights
 
 
@@ -109,9 +137,9 @@ def streams(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def grams(stream: np.ndarray, depth: int) -> np.ndarray:
     """Each symbol that is not a start, with the ``depth`` symbols before it, as one key."""
-    key = np.zeros(len(stream) - depth, np.uint64)
-    for k in range(depth + 1):
-        key = (key << np.uint64(8)) | stream[k : len(stream) - depth + k]
+    padded = np.concatenate([np.zeros(8 - depth - 1, np.uint8), stream])
+    key = np.ndarray(max(0, len(stream) - depth), ">u8", padded, strides=(1,)).astype(np.uint64)  # eight bytes from each place on
+    key &= np.uint64((1 << (8 * (depth + 1))) - 1)
     return key[stream[depth:] != START]
 
 
@@ -120,7 +148,7 @@ def count(texts: DataFrame, rules: TreeRules) -> DataFrame:
     contexts with their next symbol that any text of a chunk has, with their counts over its training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, runs, now = Tally(1 << 20), Tally(1 << 22), 0
+        words, runs, now = Tally(5 << 18, 1 << 20), Tally(), 0
 
         def give(tally: Tally, word: bool) -> pa.RecordBatch:
             keys, n = tally.take()
@@ -132,18 +160,17 @@ def count(texts: DataFrame, rules: TreeRules) -> DataFrame:
                 if c != now:
                     yield give(runs, False)
                     now = int(c)
-                for part in slices(batch.filter(pa.array(chunks == c)), "text", 1 << 20):
-                    text, learn = part.column("text"), ~part.column("held_out").to_numpy(zero_copy_only=False)
-                    w = scan(text, lower=True)
-                    token = np.append(w.hashes(), np.full(len(text), END_TOKEN, np.uint64))[np.append(learn[w.doc], learn)]
-                    words.add(token, np.ones(len(token), np.int32))
-                    stream, begin = streams(text, rules.depth)
-                    runs.add(grams(stream, rules.depth), np.repeat(learn.astype(np.int32), np.diff(begin) - rules.depth))
-                    for tally, word in ((words, True), (runs, False)):
-                        if tally.held > tally.most // 2:
-                            tally.merge()
-                        if tally.held > tally.most // 2:
-                            yield give(tally, word)
+                rows = batch.filter(pa.array(chunks == c))
+                held_out = rows.column("held_out").to_numpy(zero_copy_only=False)
+                for learn in (True, False):
+                    for part in slices(rows.filter(pa.array(held_out != learn)), "text", 1 << 20):
+                        text = part.column("text")
+                        if learn:
+                            words.add(np.append(scan(text, lower=True).hashes(), np.full(len(text), END_TOKEN, np.uint64)), 1)
+                        runs.add(grams(streams(text, rules.depth)[0], rules.depth), int(learn))
+                        for tally, word in ((words, True), (runs, False)):
+                            if tally.full():
+                                yield give(tally, word)
         yield give(words, True)
         yield give(runs, False)
         del words, runs
@@ -211,24 +238,30 @@ def lm_scores(docs: DataFrame, rules: TreeRules = TreeRules(), folds: int = 5, h
     own = [T.StructField("row", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType())]
     numbers = [T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()), ("rare", T.ArrayType(T.LongType())))]
 
+    spare = 64 - 8 * (rules.depth + 1)  # bits of a key that its context and symbol leave; a text's number within its slice is there
+
     def scores(part: pa.RecordBatch, grams_: np.ndarray, log10: np.ndarray) -> pa.RecordBatch:
         keys, logs, known = common.value
         text = part.column("text")
         w = scan(text, lower=True)
         token = np.append(w.hashes(), np.full(len(text), END_TOKEN, np.uint64))
         doc = np.append(w.doc, np.arange(len(text)))
-        at = np.searchsorted(keys, token)
-        hit = (keys[at] == token) & (at < known)
+        place = np.searchsorted(keys, token)
+        hit = (keys[place] == token) & (place < known)
         rest = np.flatnonzero(~hit)
         rest = rest[np.argsort(doc[rest], kind="stable")]
         ends = np.searchsorted(doc[rest], np.arange(len(text) + 1)).astype(np.int32)
         stream, begin = streams(text, rules.depth)
-        run_, of = grams(stream, rules.depth).view(np.int64), np.repeat(np.arange(len(text)), np.diff(begin) - rules.depth)
-        sort = np.argsort(run_)
-        score = np.bincount(of[sort], log10[np.searchsorted(grams_, run_[sort])], len(text))
+        run_ = grams(stream, rules.depth) << np.uint64(spare) | np.repeat(np.arange(len(text), dtype=np.uint64), np.diff(begin) - rules.depth)
+        run_.sort()
+        of = run_ & np.uint64((1 << spare) - 1)
+        run_ >>= np.uint64(spare)
+        at = firsts(run_)
+        found = log10[np.searchsorted(grams_, run_[at].view(np.int64))]
+        score = np.bincount(of.view(np.int64), np.repeat(found, np.diff(np.append(at, len(run_)))), len(text))
         arrays = [
             part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(w.first) + 1, pa.int64()), pa.array(np.bincount(doc[hit], minlength=len(text)), pa.int64()),
-            pa.array(np.bincount(doc[hit], logs[at[hit]], len(text)).astype(float)), pa.array(score.astype(float)), pa.ListArray.from_arrays(pa.array(ends), pa.array(token[rest].view(np.int64))),
+            pa.array(np.bincount(doc[hit], logs[place[hit]], len(text)).astype(float)), pa.array(score.astype(float)), pa.ListArray.from_arrays(pa.array(ends), pa.array(token[rest].view(np.int64))),
         ]
         return pa.RecordBatch.from_arrays(arrays, names=[f.name for f in (*own, *numbers)])
 
@@ -251,8 +284,9 @@ def lm_scores(docs: DataFrame, rules: TreeRules = TreeRules(), folds: int = 5, h
                     by_key = np.argsort(grams_)
                     grams_, log10, ready = grams_[by_key], log10[by_key], True
                     del by_key
-                for part in slices(rows, "text", 1 << 19):
-                    yield scores(part, grams_, log10)
+                for part in slices(rows, "text", 1 << 20):
+                    for first in range(0, len(part), 1 << spare):
+                        yield scores(part.slice(first, 1 << spare), grams_, log10)
         del held, grams_, log10
         give_back()
 

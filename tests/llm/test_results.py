@@ -322,6 +322,31 @@ def test_suffix_tree_keeps_rare_contexts(spark):
     assert all(few[i] > -8 and many[i] > -8 for i in range(10))  # shorter states alone give -126 in the second
 
 
+def test_suffix_tree_counts_a_chunk_once(spark):
+    text = "".join(random.Random(2).choices("abcdefghijklmnop", k=1_200_000))
+    docs = [(0, False, text[:600_000]), (0, False, text[600_000:]), (0, True, text[::-1]), (0, False, text[:600_000]), (0, True, text[600_000:])]
+    texts = spark.createDataFrame(docs, "chunk int, held_out boolean, text string").coalesce(1)
+    got = suffix_tree.count(texts, suffix_tree.TreeRules()).filter("NOT word").toArrow()
+    train, every = Counter(), set()
+    for _, held, t in docs:
+        stream = b"\xfe" * 6 + t.encode() + b"\xff"
+        runs = [int.from_bytes(stream[p : p + 7]) for p in range(len(t) + 1)]
+        every.update(runs)
+        if not held:
+            train.update(runs)
+    assert len(got) == len(every) > 2 << 20  # a context is one row, however often and wherever it occurs in the chunk
+    assert dict(zip(got["key"].to_pylist(), got["n"].to_pylist(), strict=True)) == {k - (k >> 63 << 64): train[k] for k in every}
+
+
+def test_suffix_tree_many_short_texts(spark):
+    docs = [(i, f"{i % 7} ab{i % 3}") for i in range(1_500)]
+    got = {r.doc_id: r for r in suffix_tree.lm_scores(table(spark, docs)).collect()}
+    alike: dict = {}
+    for i, t in docs:
+        alike.setdefault(t, set()).add((got[i].n_tokens, got[i].n_known, round(got[i].base_score, 9), round(got[i].score, 4)))
+    assert len(got) == 1_500 and len(alike) == 21 and all(len(x) == 1 for x in alike.values())
+
+
 def test_licenses(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     names = {"GNU General Public": "GPL", "CC BY-NC": "CC-BY-NC", "MIT License": "MIT", "Apache License": "Apache-2.0"}
