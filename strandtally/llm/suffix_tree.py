@@ -65,7 +65,7 @@ class Tally:
     """How often 64-bit keys occur, each time with weight 0 or 1. Keys are sorted some at a time; sums are kept sorted, and
     given out when there are more than four fifths of ``most`` distinct keys. A chunk's sums are below its bytes."""
 
-    def __init__(self, most: int = 5 << 20, at_once: int = 1 << 22) -> None:
+    def __init__(self, most: int = 5 << 20, at_once: int = 1 << 21) -> None:
         self.most, self.at_once = most, at_once
         self.keys, self.counts, self.held = [], [], 0
         self.fresh: tuple[list[np.ndarray], ...] = ([], [])
@@ -93,10 +93,15 @@ class Tally:
 
     def merge(self) -> None:
         if len(self.keys) > 1:
-            keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+            # a range of keys after the other, so that no second copy and no order of all of them is made
+            edges = max(self.keys, key=len)[1 << 17 :: 1 << 17]
+            cuts = [np.concatenate([[0], np.searchsorted(k, edges), [len(k)]]) for k in self.keys]
+            parts = []
+            for r in range(len(edges) + 1):
+                parts.append(summed(*(np.concatenate([x[c[r] : c[r + 1]] for x, c in zip(xs, cuts, strict=True)]) for xs in (self.keys, self.counts))))
             self.keys, self.counts = [], []
-            keys, counts = summed(keys, counts)
-            self.keys, self.counts, self.held = [keys], [counts], len(keys)
+            self.keys, self.counts = ([np.concatenate(x)] for x in zip(*parts, strict=True))
+            self.held = len(self.keys[0])
 
     def full(self) -> bool:
         return self.held > self.most // 5 * 4 and len(self.keys) == 1
@@ -150,15 +155,17 @@ def count(texts: DataFrame, rules: TreeRules) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, runs, now = Tally(5 << 18, 1 << 20), Tally(), 0
 
-        def give(tally: Tally, word: bool) -> pa.RecordBatch:
-            keys, n = tally.take()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), word)), pa.array(np.full(len(keys), now, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "chunk", "key", "n"])
+        def give(tally: Tally, word: bool) -> Iterator[pa.RecordBatch]:
+            all_keys, all_n = tally.take()
+            for at in range(0, len(all_keys), 1 << 16):  # the executor holds a batch outside its heap
+                keys, n = all_keys[at : at + (1 << 16)], all_n[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), word)), pa.array(np.full(len(keys), now, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "chunk", "key", "n"])
 
         for batch in batches:
             chunks = batch.column("chunk").to_numpy()
             for c in np.unique(chunks):
                 if c != now:
-                    yield give(runs, False)
+                    yield from give(runs, False)
                     now = int(c)
                 rows = batch.filter(pa.array(chunks == c))
                 held_out = rows.column("held_out").to_numpy(zero_copy_only=False)
@@ -170,9 +177,9 @@ def count(texts: DataFrame, rules: TreeRules) -> DataFrame:
                         runs.add(grams(streams(text, rules.depth)[0], rules.depth), int(learn))
                         for tally, word in ((words, True), (runs, False)):
                             if tally.full():
-                                yield give(tally, word)
-        yield give(words, True)
-        yield give(runs, False)
+                                yield from give(tally, word)
+        yield from give(words, True)
+        yield from give(runs, False)
         del words, runs
         give_back()
 
@@ -267,27 +274,33 @@ def lm_scores(docs: DataFrame, rules: TreeRules = TreeRules(), folds: int = 5, h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by chunk, its contexts before its texts: only the contexts of one chunk are held."""
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        ready = grams_ = log10 = None
+        none = lambda: [np.empty(1 << 16, np.int64), np.empty(1 << 16, np.float32)]
+        held, n, ready = none(), 0, False
         for batch in batches:
             place = batch.column("place").to_numpy()
             for at in np.unique(place):
                 rows = batch.filter(pa.array(place == at))
                 if at % 2 == 0:
-                    if ready is not None:
-                        held, ready, grams_, log10 = [], None, None, None
-                    held.append((rows.column("key").to_numpy(), rows.column("log10").to_numpy()))
+                    if ready:
+                        held, n, ready = none(), 0, False
+                    while n + len(rows) > len(held[0]):
+                        for x in held:
+                            x.resize(len(x) * 2, refcheck=False)
+                    for x, name in zip(held, ("key", "log10"), strict=True):
+                        x[n : n + len(rows)] = rows.column(name).to_numpy()
+                    n += len(rows)
                     continue
-                if ready is None:
-                    grams_, log10 = (np.concatenate(c) for c in zip(*held, strict=True))
-                    held.clear()
-                    by_key = np.argsort(grams_)
-                    grams_, log10, ready = grams_[by_key], log10[by_key], True
+                if not ready:
+                    by_key = np.argsort(held[0][:n])
+                    for k in (0, 1):
+                        held[k] = held[k][by_key]
                     del by_key
-                for part in slices(rows, "text", 1 << 20):
+                    ready = True
+                    give_back()
+                for part in slices(rows, "text", 1 << 19):
                     for first in range(0, len(part), 1 << spare):
-                        yield scores(part.slice(first, 1 << spare), grams_, log10)
-        del held, grams_, log10
+                        yield scores(part.slice(first, 1 << spare), *held)
+        del held
         give_back()
 
     place = lambda kind: (F.col("chunk") * 2 + kind).alias("place")
