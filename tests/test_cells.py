@@ -105,3 +105,31 @@ def test_seeds_are_not_shuffled(spark, name):
     plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"\bExchange\b", plan)) == 1 and "Join" not in plan
     assert plan.index("MapInArrow") < plan.index("Exchange")  # the plan begins with its last step
+
+
+def test_asked_pairs(spark, monkeypatch):
+    reads, targets = tables(spark)
+    monkeypatch.setattr(cells, "BLOCK", 2_000)
+    monkeypatch.setattr(cells, "LEAST_CELL", 200_000)
+    monkeypatch.setattr(cells, "LETTERS", 300)
+    asked = spark.createDataFrame([(f, t) for f in range(0, 50, 7) for t in range(0, 60, 3)] + [(500, 1), (1, 500), (81, 2), (None, 4), (7, None), (0, 0)], "frag long, tid long")
+    hits = mapping.stranded_hits(reads, targets, K).groupBy("frag", "tid").agg(F.count("*").alias("n"))
+    want = hits.join(asked.distinct(), hits.frag.eqNullSafe(asked.frag) & hits.tid.eqNullSafe(asked.tid), "left_semi")
+    got = cells.of_cells(reads, targets, K, cells.pair_counts, "n long", stranded=True, asked=asked)
+    same(got, want)
+    assert got.count() < hits.count() / 2
+
+
+def test_hopeless_scores_are_not_made(spark, monkeypatch):
+    """A part of a target that is far too long for its read is not aligned; the others give the same scores."""
+    rnd = random.Random(9)
+    target = "".join(rnd.choices("ACGT", k=900))
+    reads = spark.createDataFrame([(1, target[100:200]), (2, target[300:345] + target[700:755]), (3, target[500:550] + target[560:610])], "frag long, seq string")
+    targets = spark.createDataFrame([(7, target)], "tid long, seq string")
+    chains = spark.createDataFrame([(1, 7, True, 0, 100, 100, 200), (2, 7, True, 0, 100, 300, 755), (3, 7, True, 0, 100, 500, 610)], "frag long, tid long, fwd boolean, first long, last long, start long, stop long")
+    made = []
+    scored = mapping.score_alignments
+    monkeypatch.setattr(mapping, "score_alignments", lambda df, **how: made.extend(r.frag for r in df.collect()) or scored(df, **how))
+    got = {r.frag: r.score for r in mapping.score_chains(chains, reads, targets).collect()}
+    assert sorted(made) == [1, 3] and got == {1: 200, 3: 200 - 6 - 20}
+    assert mapping.banded_score(target[300:345] + target[700:755], target[300:755]) < 130
